@@ -9,6 +9,10 @@ signal may hold a third of the data, so every ordered operator here works on *ch
 * ``over_rows``      - ROWS frames and lag/lead of bounded depth; the bordering rows of the
   neighbouring chunks are copied in as a halo.
 * ``over_range``     - RANGE frames of bounded length; each row is also copied to the next bucket.
+
+Every pass reads its input two or three times (summary or border, and the rows).  A chain of passes
+over one another would multiply that, so composed operators write the intermediate table once
+(``session.materialise``) and go on from the copy.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ class Chunking:
 
 
 DEFAULT = Chunking()
+# A regular grid has a known number of rows per bucket, so nothing needs to be counted.
+GRID = Chunking(hot_rows=None)
 
 
 def assign_chunks(
@@ -101,8 +107,9 @@ def carry_forward(
 
     ``columns`` maps an output name to (kind, expression), kind one of last, max, min, sum.  ``order``
     breaks ties of ``ts``.  ``backwards`` scans from the future, so that ``last`` becomes ``next``.
+    An input that already has a ``_chunk`` column (growing with ``ts``) keeps it.
     """
-    base = assign_chunks(df, keys, ts, chunking)
+    base = df if "_chunk" in df.columns else assign_chunks(df, keys, ts, chunking)
     for name, (_, expression) in columns.items():
         base = base.withColumn(f"_v_{name}", expression)
     order_cols = [F.col(ts), *[F.col(c) for c in order]]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assaylake.functions.timecols import minutes_between, plus_minutes
 from assaylake.operators.asof import asof, window_published
 from assaylake.operators.chunks import DEFAULT, Chunking
+from assaylake.session import materialise
 from assaylake.operators.series import (
     LAGS, WINDOWS, exceedance_episodes, lag_values, published_lags, state_ages, steps_ahead, window_stats,
 )
@@ -148,6 +149,7 @@ def episode_frame(
     ``series`` is the analyser on its regular grid; one frame row per target on that grid.
     """
     keys = list(keys)
+    series = materialise(series, "episode-series")
     numbered = exceedance_episodes(series, keys=keys, ts=ts, limit=limit, chunking=chunking)
     frame = series.select(
         *keys, plus_minutes(ts, -horizon_minutes).alias("as_of"), F.col(ts).alias("target_at")
@@ -157,15 +159,16 @@ def episode_frame(
         labelled, series, keys=keys, query_ts="as_of", event_ts=ts, take=["value"], prefix="_now_",
         chunking=chunking,
     ).withColumnRenamed("_now_value", "baseline").drop(f"_now_{ts}")
+    with_now = materialise(with_now, "episode-labels")
     ages = state_ages(
         with_now, series, keys=keys, query_ts="as_of", ts=ts, thresholds=thresholds, bands=bands,
         chunking=chunking,
     )
     extremes = window_stats(
-        ages, series, keys=keys, query_id="target_at", query_ts="as_of", ts=ts, windows=(30, 60, 180),
+        with_now, series, keys=keys, query_id="target_at", query_ts="as_of", ts=ts, windows=(30, 60, 180),
         stats=("min", "max"),
     )
-    lagged = lag_table(ages, series, keys=keys, query_ts="as_of", ts=ts, lags=(30, 60, 180), chunking=chunking)
+    lagged = lag_table(with_now, series, keys=keys, query_ts="as_of", ts=ts, lags=(30, 60, 180), chunking=chunking)
     joined = ages.join(extremes, [*keys, "target_at"], "left").join(lagged, [*keys, "target_at"], "left")
     slopes = {m: (F.col("baseline") - F.col(f"lag_{m}m")) / F.lit(float(m)) for m in (30, 60, 180)}
     return joined.select(
@@ -235,10 +238,12 @@ def action_timeline(
     from assaylake.operators.chunks import over_rows
 
     keys = list(keys)
+    plant = materialise(plant, "action-plant")
     known = asof(
         plant, quality, keys=keys, query_ts=ts, event_ts="measured_at", take=["value"],
         tolerance_minutes=tolerance_minutes, prefix="_q_", chunking=chunking,
     ).withColumnRenamed("_q_value", "baseline_sulfur").drop("_q_measured_at")
+    known = materialise(known, "action-known")
     sloped = over_rows(
         known, keys, ts, [],
         lambda w: {"sulfur_slope_60m": (F.col("baseline_sulfur") - F.lag("baseline_sulfur", slope_rows).over(w)) / 60.0},

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assaylake.functions.timecols import micros, minutes_between, plus_minutes
 from assaylake.operators.asof import asof, asof_published
 from assaylake.operators.chunks import DEFAULT, Chunking, carry_forward, over_range, over_rows
+from assaylake.session import materialise
 
 LAGS = (0, 10, 30, 60, 180)
 WINDOWS = (60, 180)
@@ -236,30 +237,32 @@ def isolated_changes(
     offending row, so a running last replaces a scan of the stretch.
     """
     controls = list(thresholds)
-    steps = over_rows(
-        plant.select(*keys, ts, *controls, target), keys, ts, [],
-        lambda w: {
+
+    def before_row(w, k: int) -> Column:
+        """Whether the row ``k`` places back was reached by a step of threshold size."""
+        return F.greatest(
+            *[F.coalesce(F.abs(F.lag(c, k).over(w) - F.lag(c, k + 1).over(w)) >= x, F.lit(False))
+              for c, x in thresholds.items()],
+            F.lit(False),
+        )
+
+    def build(w):
+        hole = F.greatest(*[F.lag(c).over(w).isNull() for c in [*controls, target]])
+        return {
             **{f"d_{c}": F.col(c) - F.lag(c).over(w) for c in controls},
-            "_prev_ts": F.lag(ts).over(w),
             "_third_ts": F.lag(ts, 3).over(w),
             "baseline_quality": F.lag(target).over(w),
-        },
-        before=3, chunking=chunking,
+            # Offending rows strictly before this one, so the running values stop short of it.
+            "_b": F.when(before_row(w, 1), F.lag(ts, 2).over(w)),
+            "_h": F.when(hole, F.lag(ts).over(w)),
+        }
+
+    steps = over_rows(
+        plant.select(*keys, ts, *controls, target), keys, ts, [], build, before=3, chunking=chunking
     )
     big = {c: F.coalesce(F.abs(F.col(f"d_{c}")) >= x, F.lit(False)) for c, x in thresholds.items()}
-    any_big = F.greatest(*big.values(), F.lit(False))
-    hole = F.greatest(*[F.col(c).isNull() for c in [*controls, target]])
-    marked = steps.withColumn("_big_from", F.when(any_big, F.col("_prev_ts"))).withColumn(
-        "_hole_at", F.when(hole, F.col(ts))
-    )
-    # Shift by one row so that the running values stop before the change itself.
-    earlier = over_rows(
-        marked, keys, ts, [],
-        lambda w: {"_b": F.lag("_big_from").over(w), "_h": F.lag("_hole_at").over(w)},
-        before=1, chunking=chunking,
-    )
     seen = carry_forward(
-        earlier, keys, ts, [], {"_last_big": ("last", F.col("_b")), "_last_hole": ("last", F.col("_h"))},
+        steps, keys, ts, [], {"_last_big": ("last", F.col("_b")), "_last_hole": ("last", F.col("_h"))},
         chunking=chunking,
     )
     start = plus_minutes(ts, -stable_minutes)
@@ -275,20 +278,19 @@ def isolated_changes(
         *keys, F.col(ts).alias("changed_at"), chosen.alias("control_id"),
         delta.alias("control_delta"), "baseline_quality",
     )
+    events = materialise(events, "isolated-changes")
     series = plant.select(*keys, ts, F.col(target).alias("_target"))
-    for h in horizons:
-        events = asof(
-            events, series, keys=keys, query_ts=plus_minutes("changed_at", h), event_ts=ts,
-            take=["_target"], direction="forward", tolerance_minutes=tolerance_minutes,
-            prefix=f"_{h}", chunking=chunking,
-        ).drop(f"_{h}{ts}")
-    complete = F.lit(True)
-    for h in horizons:
-        complete = complete & F.col(f"_{h}_target").isNotNull()
-    return events.filter(complete).select(
-        *keys, "changed_at", "control_id", "control_delta", "baseline_quality",
-        *[(F.col(f"_{h}_target") - F.col("baseline_quality")).alias(f"delta_quality_{h}m") for h in horizons],
+    asks = events.select("*", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("_h"))
+    reached = asof(
+        asks, series, keys=keys, query_ts=plus_minutes("changed_at", F.col("_h")), event_ts=ts,
+        take=["_target"], direction="forward", tolerance_minutes=tolerance_minutes, chunking=chunking,
+    ).filter(F.col("_target").isNotNull())
+    wide = reached.groupBy(*events.columns).agg(
+        F.count("*").alias("_n"),
+        *[F.max(F.when(F.col("_h") == h, F.col("_target") - F.col("baseline_quality")))
+          .alias(f"delta_quality_{h}m") for h in horizons],
     )
+    return wide.filter(F.col("_n") == len(horizons)).drop("_n")
 
 
 def steps_ahead(
@@ -306,6 +308,7 @@ def half_split(df: DataFrame, order: Sequence[str]) -> DataFrame:
     accumulated by ``carry_forward`` and only ties inside one instant are numbered.
     """
     ts, *rest = order
+    df = materialise(df, "half-split")
     counts = df.groupBy(ts).agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0))
     placed = carry_forward(counts, ["_all"], ts, [], {"_upto": ("sum", F.col("_n"))})
     total = df.agg(F.count("*").alias("_total")).first()["_total"]

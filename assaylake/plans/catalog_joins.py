@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions.timecols import minutes_between, plus_minutes
 from assaylake.operators import asof as a
+from assaylake.operators.chunks import GRID
 from assaylake.operators import cleanse as c
 from assaylake.operators.series import lag_values, steps_ahead
 from assaylake.operators.state import latest_per_source, missing_required, state_snapshot
@@ -94,7 +95,7 @@ def asof_exact(t):
     from assaylake.sources.adapters import LIMIT
 
     series = analyser_grid(t)
-    numbered = exceedance_episodes(series, keys=["entity"], ts="measured_at", limit=LIMIT)
+    numbered = exceedance_episodes(series, keys=["entity"], ts="measured_at", limit=LIMIT, chunking=GRID)
     frame = series.select("entity", plus_minutes("measured_at", -60).alias("as_of"))
     return steps_ahead(frame, numbered, keys=["entity"], as_of="as_of", ts="measured_at", steps=STEPS).select(
         "entity", "as_of", "step", "value", "episode_id"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assaylake.functions.timecols import plus_minutes
 from assaylake.operators import series as s
 from assaylake.operators import state as st
+from assaylake.operators.chunks import GRID
 from assaylake.operators.features import episode_frame, lag_table
 from assaylake.plans.catalog_joins import STATE_SQL, all_observations, decision_times, snapshot, WANTED
 from assaylake.plans.registry import query
@@ -86,7 +87,7 @@ FROM (SELECT entity, target_at, baseline, max(value) FILTER (lag = 30) AS v30, m
 def slope_acceleration(t):
     series = analyser_grid(t)
     asks = series.select("entity", F.col("measured_at").alias("target_at"), plus_minutes("measured_at", -60).alias("as_of"))
-    lags = lag_table(asks, series, keys=["entity"], query_ts="as_of", ts="measured_at", lags=(0, 30, 60))
+    lags = lag_table(asks, series, keys=["entity"], query_ts="as_of", ts="measured_at", lags=(0, 30, 60), chunking=GRID)
     s30, s60 = (F.col("lag_0m") - F.col("lag_30m")) / 30.0, (F.col("lag_0m") - F.col("lag_60m")) / 60.0
     return lags.select("entity", "target_at", F.round(s30, 6).alias("slope_30m"), F.round(s60, 6).alias("slope_60m"),
                        F.round(s30 - s60, 6).alias("acceleration_30_60m"))
@@ -96,7 +97,7 @@ def slope_acceleration(t):
 SELECT entity, measured_at, value, CAST(episode_id AS BIGINT) AS episode_id,
   CASE WHEN episode_id IS NOT NULL THEN min(measured_at) OVER (PARTITION BY entity, episode_id) END AS episode_start_at FROM pakx"""))
 def exceedance_episodes(t):
-    return s.exceedance_episodes(analyser_grid(t), keys=["entity"], ts="measured_at", limit=LIMIT)
+    return s.exceedance_episodes(analyser_grid(t), keys=["entity"], ts="measured_at", limit=LIMIT, chunking=GRID)
 
 
 @query("time_since_crossing", with_views("frame pakg", """
@@ -112,7 +113,7 @@ ASOF LEFT JOIN (SELECT * FROM ch WHERE was IS NULL OR (value >= 48)::INT + (valu
 def time_since_crossing(t):
     series = analyser_grid(t)
     asks = series.select("entity", F.col("measured_at").alias("target_at"), plus_minutes("measured_at", -60).alias("as_of"))
-    out = s.state_ages(asks, series, keys=["entity"], query_ts="as_of", ts="measured_at", thresholds=THRESHOLDS, bands=BANDS)
+    out = s.state_ages(asks, series, keys=["entity"], query_ts="as_of", ts="measured_at", thresholds=THRESHOLDS, bands=BANDS, chunking=GRID)
     return out.select("entity", "target_at", *[F.round(n, 6).alias(n) for n in ("since_48_minutes", "since_60_minutes", "regime_minutes")])
 
 
@@ -131,12 +132,12 @@ ctx AS (SELECT *, sum((coalesce(abs(d_click) < 40, FALSE) AND coalesce(abs(d_sig
 
 
 def context(t):
-    return s.change_context(s.control_changes(plant_hours(t), controls=CONTROLS), {c: F.lit(40.0) for c in CONTROLS})
+    return s.change_context(s.control_changes(plant_hours(t), controls=CONTROLS, chunking=GRID), {c: F.lit(40.0) for c in CONTROLS}, chunking=GRID)
 
 
 @query("control_diff", with_views("plant", f"WITH {CHANGES_SQL} SELECT entity, ts, round(d_click, 6) AS d_click, round(d_signup, 6) AS d_signup FROM ch"))
 def control_diff(t):
-    return s.control_changes(plant_hours(t), controls=CONTROLS).select(
+    return s.control_changes(plant_hours(t), controls=CONTROLS, chunking=GRID).select(
         "entity", "ts", F.round("d_click", 6).alias("d_click"), F.round("d_signup", 6).alias("d_signup"))
 
 
@@ -156,7 +157,7 @@ def calm_rows(t):
 
 
 def episodes(t):
-    return episode_frame(analyser_grid(t), limit=LIMIT, thresholds=THRESHOLDS, bands=BANDS)
+    return episode_frame(analyser_grid(t), limit=LIMIT, thresholds=THRESHOLDS, bands=BANDS, chunking=GRID)
 
 
 @query("horizon_crossing", with_views("epi", """
@@ -169,7 +170,7 @@ def labels(t):
     from assaylake.operators.features import label_horizons
 
     series = analyser_grid(t)
-    numbered = s.exceedance_episodes(series, keys=["entity"], ts="measured_at", limit=LIMIT)
+    numbered = s.exceedance_episodes(series, keys=["entity"], ts="measured_at", limit=LIMIT, chunking=GRID)
     frame = series.select("entity", plus_minutes("measured_at", -60).alias("as_of"), F.col("measured_at").alias("target_at"))
     return label_horizons(frame, numbered, keys=["entity"], ts="measured_at", limit=LIMIT)
 
@@ -246,7 +247,7 @@ JOIN plant f1 ON f1.entity = c.entity AND f1.ts = c.ts + INTERVAL 60 MINUTE
 JOIN plant f2 ON f2.entity = c.entity AND f2.ts = c.ts + INTERVAL 120 MINUTE
 WHERE f1.sulfur IS NOT NULL AND f2.sulfur IS NOT NULL"""))
 def isolated_changes(t):
-    out = s.isolated_changes(plant_hours(t), {c: 40.0 for c in CONTROLS}, target="sulfur", horizons=(60, 120), stable_minutes=240)
+    out = s.isolated_changes(plant_hours(t), {c: 40.0 for c in CONTROLS}, target="sulfur", horizons=(60, 120), stable_minutes=240, chunking=GRID)
     return out.select("entity", "changed_at", "control_id", "baseline_quality",
                       *[F.round(n, 6).alias(n) for n in ("control_delta", "delta_quality_60m", "delta_quality_120m")])
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from assaylake.functions.timecols import plus_minutes
 from assaylake.operators.asof import asof, asof_published
+from assaylake.operators.chunks import GRID
 from assaylake.operators.splits import outer_split
+from assaylake.session import materialise
 from assaylake.sources.adapters import TRAIN_END, VALIDATION_END, analyser
 
 
@@ -42,7 +44,7 @@ def scored_episodes(t) -> DataFrame:
     from assaylake.sources.adapters import analyser_grid
 
     known = asof(
-        labels(t), analyser_grid(t), keys=["entity"], query_ts="as_of", event_ts="measured_at", take=["value"],
-        prefix="_now_",
+        materialise(labels(t), "labels"), analyser_grid(t), keys=["entity"], query_ts="as_of",
+        event_ts="measured_at", take=["value"], prefix="_now_", chunking=GRID,
     ).withColumnRenamed("_now_value", "baseline").drop("_now_measured_at")
-    return known.withColumn("p", alarm_score(F.col("baseline")))
+    return materialise(known.withColumn("p", alarm_score(F.col("baseline"))), "scored-episodes")
