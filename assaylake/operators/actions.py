@@ -13,3 +13,162 @@ def gate_rows(figures: DataFrame, gates: dict[str, tuple[Column, str]]) -> DataF
     ])).alias("_g")).select(
         "_g.gate", "_g.passed", F.when(~F.col("_g.passed"), F.col("_g.reason")).alias("reason_code")
     )
+
+
+STATE = ("baseline_sulfur", "sulfur_slope_60m")
+
+
+def action_pairs(
+    timeline: DataFrame,
+    *,
+    controls,
+    context,
+    thresholds: dict[str, float],
+    horizons,
+    train_end: str,
+    before_rows: int = 6,
+    quiet_rows: int = 18,
+    keys=("entity",),
+    ts: str = "ts",
+) -> DataFrame:
+    """Isolated control changes, each with the most similar calm row of the same plant and year.
+
+    Two rows per pair; the matched row carries zero deltas.
+    """
+    from assaylake.operators.chunks import GRID
+    from assaylake.operators.matching import nearest_match
+    from assaylake.operators.series import change_context, control_changes
+    from assaylake.session import materialise
+
+    keys = list(keys)
+    state = [*STATE, *controls, *context]
+    outcomes = [f"sulfur_{h}m" for h in horizons]
+    changes = materialise(control_changes(timeline, controls=controls, keys=keys, ts=ts, chunking=GRID), "action-changes")
+    marked = change_context(
+        changes, {c: F.lit(thresholds[c]) for c in controls}, keys=keys, ts=ts, before_rows=before_rows,
+        quiet_rows=quiet_rows, chunking=GRID,
+    )
+    complete = F.lit(True)
+    for c in [*state, *outcomes]:
+        complete = complete & F.col(c).isNotNull()
+    one = sum(F.col(f"notable_{c}").cast("int") for c in controls) == 1
+    rows = materialise(
+        marked.withColumn("_year", F.year(ts)).withColumn("_complete", complete)
+        .withColumn("_treated", one & F.col("stable_before") & F.col("quiet_after") & complete)
+        .withColumn("_calm", F.col("calm") & complete), "action-rows")
+    # Mean and spread of the training states: two numbers per feature.
+    train = rows.filter(F.col("_complete") & (F.col(ts) < F.lit(train_end).cast("timestamp_ntz")))
+    stats = train.agg(*[f(c).alias(f"{n}_{c}") for c in state for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+
+    def z(c):
+        return ((F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0)).alias(f"z_{c}")
+
+    dims = [f"z_{c}" for c in state]
+    left = rows.filter("_treated").select(*keys, "_year", F.col(ts).alias("treated_ts"), *[z(c) for c in state])
+    right = rows.filter("_calm").select(*keys, "_year", F.col(ts).alias("calm_ts"), *[z(c) for c in state])
+    matched = nearest_match(left, right, by=[*keys, "_year"], dims=dims, left_id="treated_ts", right_id="calm_ts")
+    pair = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("treated_ts").cast("string"))
+    matched = matched.withColumn("pair_id", pair)
+    which = F.coalesce(*[F.when(F.col(f"notable_{c}"), F.lit(c)) for c in controls])
+    base = [*keys, ts, *state, *outcomes]
+    treated = rows.filter("_treated").join(
+        matched.withColumnRenamed("treated_ts", ts), [*keys, "_year", ts]
+    ).select(
+        *base, "pair_id", F.lit(True).alias("is_action_episode"), which.alias("control_id"),
+        *[F.when(which == c, F.col(f"d_{c}")).otherwise(0.0).alias(f"delta_{c}") for c in controls],
+        F.col("distance").alias("match_distance"),
+    )
+    treated = materialise(treated, "action-treated")
+    calm = rows.join(matched.withColumnRenamed("calm_ts", ts), [*keys, "_year", ts]).join(
+        treated.select("pair_id", "control_id"), "pair_id"
+    ).select(
+        *base, "pair_id", F.lit(False).alias("is_action_episode"), "control_id",
+        *[F.lit(0.0).alias(f"delta_{c}") for c in controls], F.col("distance").alias("match_distance"),
+    )
+    return treated.unionByName(calm)
+
+
+def observed_bounds(pairs: DataFrame, controls) -> DataFrame:
+    """Smallest and largest observed change of each control."""
+    tall = pairs.filter("is_action_episode").unpivot(["pair_id"], [f"delta_{c}" for c in controls], "control", "d")
+    return tall.filter(F.col("d") != 0).groupBy(F.substring_index("control", "delta_", -1).alias("control_id")).agg(
+        F.min("d").alias("lower"), F.max("d").alias("upper"), F.count("*").alias("n"))
+
+
+def setpoint_grid(rows: DataFrame, specs: dict[str, dict], domain=None, max_combinations: int = 125) -> DataFrame:
+    """Hold and every combination of +-1 and +-2 steps within limits and the joint domain.
+
+    One to three controls; the grid is built inside the row, so nothing is joined.
+    """
+    from assaylake.operators.controls import distance_squared
+
+    names = sorted(specs)
+    if not 1 <= len(names) <= 3:
+        raise ValueError("setpoint search requires one to three controls")
+    grids = []
+    for n in names:
+        s = specs[n]
+        moves = [m for m in (-2, -1, 1, 2) if abs(m * s["step"]) <= s["max_step"] + 1e-12]
+        moved = [F.least(F.lit(s["upper"]), F.greatest(F.lit(s["lower"]), F.col(n) + m * s["step"])) for m in moves]
+        grids.append(F.array_sort(F.array_distinct(F.array(F.col(n), *moved))))
+    size = F.lit(1)
+    for g in grids:
+        size = size * F.size(g)
+    out = rows.withColumn("_size", size)
+    for n, g in zip(names, grids):
+        out = out.withColumn(f"_g_{n}", g)
+    guard = F.when(F.col("_size") - 1 <= max_combinations, F.lit(True)).otherwise(
+        F.raise_error(F.lit("setpoint grid exceeds the limit")).cast("boolean"))
+    out = out.filter(guard)
+    for n in names:
+        out = out.withColumn(f"set_{n}", F.explode(f"_g_{n}"))
+    hold = F.lit(True)
+    for n in names:
+        hold = hold & (F.abs(F.col(f"set_{n}") - F.col(n)) <= 1e-12)
+    out = out.withColumn("_hold", hold)
+    if domain is not None:
+        inside = distance_squared([F.col(f"set_{n}") for n in domain.names], domain) <= domain.max_distance_squared
+        out = out.withColumn("in_domain", inside).filter(F.col("_hold") | F.col("in_domain"))
+    payload = F.concat_ws(",", *[F.concat(F.lit(f"{n}="), F.format_string("%.6f", F.round(F.col(f"set_{n}"), 6))) for n in names])
+    return out.withColumn(
+        "candidate_id", F.when(F.col("_hold"), "hold").otherwise(F.concat(F.lit("setpoints:"), payload))
+    ).drop("_size", "_hold", *[f"_g_{n}" for n in names])
+
+
+def linear_outcomes(
+    candidates: DataFrame, specs: dict[str, dict], coefficients: dict[str, dict[str, float]], *,
+    baseline: str, baseline_upper: str, limit: float, risk: float = 0.5, throughput: float = 1.0, cost: float = 1.0,
+) -> DataFrame:
+    """Consequences of each setpoint candidate and the reasons that rule it out."""
+    names = sorted(specs)
+    unknown = {c for m in coefficients.values() for c in m} - set(names)
+    if unknown:
+        raise ValueError(f"coefficients reference unknown controls: {sorted(unknown)}")
+    delta = {n: F.col(f"set_{n}") - F.col(n) for n in names}
+
+    def move(metric: str) -> Column:
+        out = F.lit(0.0)
+        for n in names:
+            out = out + coefficients.get(metric, {}).get(n, 0.0) * delta[n]
+        return out
+
+    change = F.lit(0.0)
+    arms = []
+    for n in names:
+        s = specs[n]
+        change = change + F.abs(delta[n]) / s["step"]
+        at = F.col(f"set_{n}")
+        arms.append(F.when((at < s["lower"]) | (at > s["upper"]), F.lit("CONTROL_BOUND_VIOLATION")))
+        arms.append(F.when(F.abs(delta[n]) > s["max_step"] + 1e-12, F.lit("CONTROL_STEP_VIOLATION")))
+    if "in_domain" in candidates.columns:
+        arms.append(F.when(~F.col("in_domain"), F.lit("OUT_OF_DOMAIN")))
+    upper = F.col(baseline_upper) + move("sulfur")
+    arms.append(F.when(upper.isNull(), F.lit("UNCERTAINTY_UNAVAILABLE")).when(upper > limit, F.lit("QUALITY_LIMIT_VIOLATION")))
+    codes = F.array_distinct(F.array_compact(F.array(*arms)))
+    return candidates.select(
+        "*",
+        (F.col(baseline) + move("sulfur")).alias("sulfur"), upper.alias("sulfur_upper"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(risk) + move("risk"))).alias("risk_index"),
+        (F.lit(throughput) + move("throughput")).alias("throughput"), (F.lit(cost) + move("cost")).alias("cost_proxy"),
+        change.alias("change_size"), codes.alias("codes"),
+    ).withColumn("feasible", F.size("codes") == 0).withColumn("position", F.when(F.col("candidate_id") == "hold", 0).otherwise(1))

@@ -158,9 +158,10 @@ def stock_check(t):
 
 
 @query("evaluate_candidates", f"""
-WITH {SCENARIO_SQL} SELECT scenario_id, candidate_id, feasible, {', '.join(f'round({m}, 6) AS {m}' for m in METRICS)} FROM evf""")
+WITH {SCENARIO_SQL} SELECT scenario_id, candidate_id, feasible, {', '.join(f'round({m}, {8 if m == "cost_proxy" else 6}) AS {m}' for m in METRICS)} FROM evf""")
 def evaluate_candidates(t):
-    return rounded(evaluated(t).select("scenario_id", "candidate_id", "feasible", *METRICS), METRICS)
+    out = rounded(evaluated(t).select("scenario_id", "candidate_id", "feasible", *METRICS), [m for m in METRICS if m != "cost_proxy"])
+    return rounded(out, ("cost_proxy",), 8)
 
 
 @query("rank_candidates", f"""
