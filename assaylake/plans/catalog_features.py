@@ -72,12 +72,12 @@ def state_identity(t):
 
 @query("stage_dashboard", with_views("hours quality tele", f"""
 WITH {STATE_SQL}, {SELECTED_SQL.format(stale="")}
-SELECT entity, as_of, CASE WHEN signal_id = 'ht:sulfur' THEN 'quality' ELSE 'process' END AS page_group, signal_id, value, source, round(greatest(age, 0), 6) AS age_minutes,
+SELECT entity, as_of, CASE WHEN signal_id = 'ht:sulfur' THEN 'quality' ELSE 'process' END AS page_group, signal_id, value, source, round(CASE WHEN age IS NOT NULL THEN greatest(age, 0) END, 6) AS age_minutes,
   CASE WHEN value IS NULL THEN 'missing' WHEN fresh THEN 'fresh' ELSE 'stale' END AS freshness FROM sel"""))
 def stage_dashboard(t):
     groups = t.spark.createDataFrame([("ht:sulfur", "quality"), ("click", "process"), ("view", "process")], "signal_id string, page_group string")
     rows = snapshot(t, prefer_fresh=False).join(F.broadcast(groups), "signal_id")
     return rounded(rows.select(
         "entity", "as_of", "page_group", "signal_id", F.col("selected.value").alias("value"), F.col("selected.source").alias("source"),
-        F.greatest(F.col("age_seconds") / 60.0, F.lit(0.0)).alias("age_minutes"),
+        F.when(F.col("selected").isNotNull(), F.greatest(minutes_between("as_of", "selected.measured_at"), F.lit(0.0))).alias("age_minutes"),
         F.when(F.col("selected").isNull(), "missing").when(F.col("fresh"), "fresh").otherwise("stale").alias("freshness")), ("age_minutes",))

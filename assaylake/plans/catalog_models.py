@@ -1 +1,300 @@
+"""Model training, scoring and audits; figures are checked for shape and sanity, not bit by bit."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assaylake.functions.scalars import rounded
+from assaylake.operators import metrics as m
+from assaylake.operators import models as md
+from assaylake.operators import splits as sp
+from assaylake.operators.alarms import composite_alarm
+from assaylake.operators.asof import published_depth
+from assaylake.operators.cleanse import eligible
+from assaylake.operators.thresholds import event_threshold
+from assaylake.plans.catalog_actions import CONTEXT, CONTROLS, HORIZONS, timeline
+from assaylake.plans.catalog_features import serving_frame, supervised_frame
+from assaylake.plans.catalog_windows import episodes
+from assaylake.plans.frames import alarm_score, persistence, scored
+from assaylake.plans.registry import query
+from assaylake.plans.replay import summary
+from assaylake.sources.adapters import LIMIT, TRAIN_END, VALIDATION_END, analyser, hour_grid, late_lab, quality, with_views
+from assaylake.session import materialise
+
+FEATURES = ("click__lag_0m", "view__mean_180m", "signup__lag_0m", "target__last", "target__age_minutes", "target__lag_60m",
+            "target__mean_180m", "target__std_180m")
+
+
+def training_frame(t):
+    frame = supervised_frame(t).withColumn("split", sp.outer_split(TRAIN_END, VALIDATION_END))
+    return materialise(frame, "training-frame")
+
+
+@query("argmin_model", with_views("scored", """
+WITH c AS (SELECT * FROM (SELECT 'last_value' AS model, avg(abs(y - baseline)) AS mae, count(*) FILTER (y > 60 AND baseline <= 60) AS missed, 0 AS cx FROM scored WHERE split = 'validation'
+ UNION ALL SELECT 'ridge', avg(abs(y - point)), count(*) FILTER (y > 60 AND point <= 60), 1 FROM scored WHERE split = 'validation'
+ UNION ALL SELECT 'boosted', avg(abs(y - upper)), count(*) FILTER (y > 60 AND upper <= 60), 2 FROM scored WHERE split = 'validation')),
+e AS (SELECT * FROM c WHERE missed <= (SELECT missed FROM c WHERE model = 'last_value'))
+SELECT arg_min(model, (round(mae, 12), cx)) AS model, round(min(mae), 6) AS mae, count(*) AS eligible FROM e"""))
+def argmin_model(t):
+    rows = scored(t).filter("split = 'validation'")
+    tall = rows.select("y", F.explode(F.array(
+        F.struct(F.lit("last_value").alias("model"), F.col("baseline").alias("x"), F.lit(0).alias("complexity")),
+        F.struct(F.lit("ridge").alias("model"), F.col("point").alias("x"), F.lit(1).alias("complexity")),
+        F.struct(F.lit("boosted").alias("model"), F.col("upper").alias("x"), F.lit(2).alias("complexity")))).alias("_m")).select("y", "_m.*")
+    table = tall.groupBy("model", "complexity").agg(
+        F.avg(F.abs(F.col("y") - F.col("x"))).alias("mae"), F.count_if((F.col("y") > LIMIT) & (F.col("x") <= LIMIT)).alias("missed"))
+    return rounded(md.argmin_model(table), ("mae",))
+
+
+@query("train_point_models")
+def train_point_models(t):
+    model = md.train_point_model(training_frame(t), FEATURES, limit=LIMIT)
+    return t.spark.createDataFrame(
+        [(r["model"], float(r["mae"]), int(r["missed"]), r["model"] == model.family) for r in model.comparison],
+        "model string, validation_mae double, missed long, selected boolean")
+
+
+@query("upper_shift", with_views("scored", """
+WITH v AS (SELECT *, row_number() OVER (ORDER BY as_of, observation_id) AS pos, count(*) OVER () AS n FROM scored WHERE split = 'validation')
+SELECT round(greatest(0, quantile_cont(y - point, 0.95)), 6) AS shift FROM v WHERE pos > n // 2"""))
+def upper_shift(t):
+    from assaylake.operators.series import half_split
+
+    halves = half_split(scored(t).filter("split = 'validation'"), ["as_of", "observation_id"])
+    value = md.conformal_shift(halves.filter("half = 2"), "point")
+    return t.spark.range(1).select(F.round(F.lit(value), 6).alias("shift"))
+
+
+@query("upper_quantile_head")
+def upper_quantile_head(t):
+    frame = scored(t).drop("upper")
+    head = md.fit_upper_head(frame)
+    judged = head.score(frame.filter(F.col("split").isNotNull())).groupBy("split").agg(
+        *m.upper_columns(F.col("y"), F.col("point"), F.col("upper")))
+    return judged.withColumn("model_id", F.lit(head.model_id)).withColumn("shift", F.lit(head.shift))
+
+
+@query("joint_applicability")
+def joint_applicability(t):
+    frame = training_frame(t)
+    model = md.fit_joint_applicability(frame.filter("split = 'train'"), FEATURES, ["target__last"])
+    return model.score(frame).groupBy("split").agg(
+        F.count("*").alias("n"), F.count_if(F.col("applicability_code").isNull()).alias("applicable"),
+        F.count_if(F.col("applicability_code") == "OUT_OF_DOMAIN").alias("out_of_domain"))
+
+
+@query("risk_classifier")
+def risk_classifier(t):
+    frame = training_frame(t)
+    model = md.fit_risk_model(frame, FEATURES, limit=LIMIT, weights=(1.0, 5.0))
+    test = model.score(frame.filter("split = 'test' AND y IS NOT NULL AND baseline IS NOT NULL"))
+    out = test.agg(*m.alarm_columns(F.col("y") > LIMIT, F.col("p"), model.threshold))
+    return out.select(F.lit(model.family).alias("family"), F.lit(model.positive_weight).alias("positive_weight"), F.lit(model.threshold).alias("threshold"), "*")
+
+
+@query("lims_correction")
+def lims_correction(t):
+    lab = eligible(quality(t), "lims")
+    asks = lab.select("entity", "observation_id", F.col("measured_at").alias("target_at"), F.col("available_at").alias("target_available_at"),
+                      F.col("value").alias("y"), (F.col("measured_at") - F.expr("INTERVAL 60 MINUTES")).alias("as_of"))
+    from assaylake.operators.asof import asof_published
+
+    known = asof_published(asks, analyser(t), keys=["entity"], query_ts="as_of").withColumnRenamed("last_value", "baseline")
+    lagged = published_depth(known, lab, keys=["entity"], query_ts="as_of").filter(F.col("baseline").isNotNull())
+    frame = lagged.withColumn("pak_point", F.col("baseline") * 0.5 + 20.0).withColumn("split", sp.outer_split(TRAIN_END, VALIDATION_END)).filter("split IS NOT NULL")
+    fit = md.fit_lab_correction(frame, ["pak_point", "baseline", "age_minutes", *[f"lims_published_lag_{k}" for k in range(3)], "lims_age_minutes_0"])
+    return fit["report"].withColumn("selected", F.lit(fit["selected"])).withColumn("promotion_eligible", F.lit(bool(fit["promotion_eligible"])))
+
+
+EPISODE_FEATURES = ("baseline", "min_30m", "max_60m", "range_180m", "slope_30m", "slope_60m", "since_60_minutes", "regime_minutes")
+
+
+def episode_training(t):
+    frame = episodes(t).filter(F.col("baseline").isNotNull()).withColumn("target_available_at", F.col("target_at"))
+    frame = frame.withColumn("row_id", F.concat_ws("|", F.col("entity").cast("string"), F.col("as_of").cast("string")))
+    return materialise(sp.episode_weights(frame.withColumn("_w", F.date_trunc("week", "as_of")), period="_w").drop("_w"), "episode-training")
+
+
+@query("cap_training_rows")
+def cap_training_rows(t):
+    frame = episode_training(t)
+    kept = sp.cap_training_rows(frame, 1200, "row_id", F.col("crossing_60m"), 42)
+    return kept.groupBy("crossing_60m").agg(F.count("*").alias("n"))
+
+
+@query("episode_forecaster")
+def episode_forecaster(t):
+    """Families compared on one period, calibrated and thresholded on the next, audited on the last."""
+    frame = episode_training(t)
+    reports, picks = [], []
+    for order, family in enumerate(("logistic", "boosted")):
+        rows = md.rolling_scores(frame, EPISODE_FEATURES, family, "2024-01-08", "2024-01-16", step="8 DAY", horizons=(10, 60))
+        threshold = event_threshold(rows, limit=LIMIT)
+        figures = m.event_metrics(rows, threshold=threshold, limit=LIMIT).first()
+        mae = rows.agg(F.avg(F.abs(F.col("y_60m") - F.col("baseline") - F.col("predicted_delta"))).alias("e")).first()["e"]
+        ok = (figures["event_false_positive_rate"] or 0) <= 0.2 and (figures["row_false_positive_rate"] or 0) <= 0.2
+        fnr = figures["event_false_negative_rate"]
+        picks.append((0 if ok else 1, 1.0 if fnr is None else fnr, figures["brier"], mae, order, family))
+        reports.append(("selection", family, threshold, figures["event_count"], fnr, figures["event_false_positive_rate"]))
+    family = min(picks)[-1]
+    tuned = md.rolling_scores(frame, EPISODE_FEATURES, family, "2024-01-16", "2024-01-24", step="8 DAY", horizons=(10, 60), delta=False)
+    calibration = md.fit_platt(tuned, "p", "crossing_60m")
+    policy = materialise(tuned.withColumn("p", md.platt(F.col("p"), calibration)), "policy")
+    threshold = event_threshold(policy, limit=LIMIT)
+    audit = md.rolling_scores(frame, EPISODE_FEATURES, family, "2024-01-24", "2024-02-01", step="8 DAY", horizons=(10, 60), delta=False)
+    audit = audit.withColumn("p", md.platt(F.col("p"), calibration))
+    for stage, rows in (("threshold", policy), ("audit", audit)):
+        f = m.event_metrics(rows, threshold=threshold, limit=LIMIT).first()
+        reports.append((stage, family, threshold, f["event_count"], f["event_false_negative_rate"], f["event_false_positive_rate"]))
+    return t.spark.createDataFrame(reports, "stage string, family string, threshold double, event_count long, event_fnr double, event_fpr double")
+
+
+@query("episode_scoring")
+def episode_scoring(t):
+    """One forecast record per decision time with horizon probabilities and ordered reasons."""
+    frame = episode_training(t)
+    rows = md.rolling_scores(frame, EPISODE_FEATURES, "logistic", "2024-01-16", "2024-01-31", step="15 DAY", horizons=(10, 20, 30, 60))
+    model = md.fit_joint_applicability(frame.filter("as_of < '2024-01-16'"), EPISODE_FEATURES, ["baseline"])
+    ready = model.score(rows).withColumn("point", F.col("baseline") + F.col("predicted_delta")).withColumn("upper", F.col("point") + 15.0)
+    alarmed = composite_alarm(ready, threshold=0.5, limit=LIMIT)
+    from assaylake.functions.scalars import running_maximum
+
+    calm = running_maximum({f"p_{h}m": F.col(f"p_{h}m") for h in (10, 20, 30, 60)})
+    return alarmed.select("entity", "as_of", "point", "upper", "alarm", "applicable", F.col("predicted_delta"), *calm, F.array_join("reason_codes", ",").alias("reasons"))
+
+
+@query("feature_ablation")
+def feature_ablation(t):
+    """Fixed feature groups compared on the same folds under the same training budget."""
+    frame = episode_training(t)
+    groups = {"level_only": ["baseline"], "trajectory": ["baseline", "slope_30m", "slope_60m", "range_180m"], "full": list(EPISODE_FEATURES)}
+    out = []
+    for name, features in groups.items():
+        for family in ("logistic", "boosted"):
+            rows = md.rolling_scores(frame, features, family, "2024-01-16", "2024-01-24", step="8 DAY", horizons=(60,), cap=20_000)
+            threshold = event_threshold(rows, limit=LIMIT)
+            f = m.event_metrics(rows, threshold=threshold, limit=LIMIT).first()
+            out.append((name, family, len(features), f["event_false_negative_rate"], f["event_false_positive_rate"], f["row_false_positive_rate"], f["brier"]))
+    table = t.spark.createDataFrame(out, "feature_group string, family string, feature_count int, event_fnr double, event_fpr double, row_fpr double, brier double")
+    eligible_rows = (F.col("event_fpr") <= 0.2) & (F.col("row_fpr") <= 0.2)
+    best = table.groupBy("feature_group").agg(F.min_by("family", F.when(eligible_rows, F.struct("event_fnr", "brier", "family"))).alias("selected_family"))
+    return table.join(best, "feature_group")
+
+
+STATE = ["baseline_sulfur", "sulfur_slope_60m", *CONTROLS, *CONTEXT]
+ACTION_FEATURES = [*STATE, *[f"delta_{c}" for c in CONTROLS]]
+
+
+def action_rows(t):
+    from assaylake.operators import actions as ac
+
+    both = ac.action_pairs(timeline(t), controls=CONTROLS, context=CONTEXT, thresholds={c: 25.0 for c in CONTROLS}, horizons=HORIZONS,
+                           train_end=TRAIN_END, before_rows=1, quiet_rows=1)
+    split = F.when(F.col("ts") < TRAIN_END, "train").when(F.col("ts") < VALIDATION_END, "validation").otherwise("audit")
+    return materialise(both.withColumn("split", split), "action-rows")
+
+
+@query("action_effect_model")
+def action_effect_model(t):
+    rows = action_rows(t)
+    train = rows.filter("split = 'train'")
+    parts = []
+    for h in HORIZONS:
+        y = f"sulfur_{h}m"
+        model = md.fit_regression(train, ACTION_FEATURES, y, "ridge", alpha=10.0)
+        out = md.predict(model, rows, ACTION_FEATURES, "point").withColumn("y", F.col(y))
+        raw = md.bucket_upper(out.filter("split = 'train'"), 3)
+        held = out.withColumn("_raw", raw)
+        shift = md.conformal_shift(held.filter("split = 'validation'"), "_raw")
+        parts.append(held.withColumn("upper", F.greatest("point", F.col("_raw") + shift)).filter("split <> 'train'").groupBy("split").agg(
+            F.count("*").alias("rows"), F.avg(F.abs(F.col("y") - F.col("point"))).alias("mae"),
+            F.avg(F.abs(F.col("y") - F.col("baseline_sulfur"))).alias("hold_mae"),
+            F.avg((F.col("y") <= F.col("upper")).cast("double")).alias("upper_coverage")).withColumn("horizon", F.lit(h)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("action_estimate")
+def action_estimate(t):
+    """Effect of a proposed change against hold at every known state: two scores, one subtraction."""
+    rows = action_rows(t)
+    model = md.fit_regression(rows.filter("split = 'train'"), ACTION_FEATURES, "sulfur_60m", "ridge", alpha=10.0)
+    lo_hi = rows.filter("is_action_episode AND delta_click <> 0").agg(F.min("delta_click").alias("lo"), F.max("delta_click").alias("hi")).first()
+    asked = timeline(t).filter(" AND ".join(f"{c} IS NOT NULL" for c in STATE)).select("entity", "ts", *STATE)
+    both = asked.select("*", F.explode(F.array(F.lit(5.0), F.lit(0.0))).alias("delta_click"), F.lit(0.0).alias("delta_signup"))
+    out = md.predict(model, both, ACTION_FEATURES, "sulfur")
+    pair = out.groupBy("entity", "ts").agg(
+        F.max(F.when(F.col("delta_click") != 0, F.col("sulfur"))).alias("sulfur_60m"), F.max(F.when(F.col("delta_click") == 0, F.col("sulfur"))).alias("hold_60m"))
+    in_range = F.lit(lo_hi["lo"] is not None and lo_hi["lo"] <= 5.0 <= lo_hi["hi"])
+    reasons = F.array_compact(F.array(
+        F.lit("ACTION_EFFECT_VALIDATION_FAILED"), F.when(~in_range, F.lit("ACTION_DELTA_OUT_OF_OBSERVED_RANGE")),
+        F.when(F.col("sulfur_60m") > LIMIT, F.lit("SULFUR_UPPER_LIMIT_60M"))))
+    return pair.select("entity", "ts", "sulfur_60m", (F.col("sulfur_60m") - F.col("hold_60m")).alias("effect_60m"), F.array_join(reasons, ",").alias("reasons"))
+
+
+@query("temporal_residualization")
+def temporal_residualization(t):
+    """Residual-on-residual effect with forward-only cross-fitting, and its sign per fold."""
+    from assaylake.operators.quantiles import exact_quantiles
+
+    train = action_rows(t).filter("split = 'train'")
+    blocks = sp.time_blocks(train.withColumn("as_of", F.col("ts")), 4)
+    rows = materialise(train.join(blocks.withColumnRenamed("as_of", "ts"), "ts"), "residual-rows")
+    y = "sulfur_60m"
+    pieces = []
+    for k in (1, 2, 3):
+        past, now = rows.filter(F.col("block") < k), rows.filter(F.col("block") == k)
+        for target, out in ((f"delta_{CONTROLS[0]}", "a0"), (f"delta_{CONTROLS[1]}", "a1"), (y, "yh")):
+            now = md.predict(md.fit_regression(past, STATE, target, "ridge", alpha=10.0), now, STATE, out)
+        pieces.append(now.select(F.lit(k).alias("fold"), (F.col(f"delta_{CONTROLS[0]}") - F.col("a0")).alias("r0"),
+                                 (F.col(f"delta_{CONTROLS[1]}") - F.col("a1")).alias("r1"), (F.col(y) - F.col("yh")).alias("ry")))
+    residuals = pieces[0]
+    for p in pieces[1:]:
+        residuals = residuals.unionByName(p)
+    residuals = materialise(residuals, "residuals")
+    out = []
+    for fold in (0, 1, 2, 3):
+        part = residuals if fold == 0 else residuals.filter(F.col("fold") == fold)
+        effect = md.fit_regression(part, ["r0", "r1"], "ry", "ridge", alpha=10.0)
+        for i, control in enumerate(CONTROLS):
+            scale = exact_quantiles(part, [], F.abs(F.col(f"r{i}")), {"q": 0.75}).first()["q"]
+            probe = t.spark.createDataFrame([(0, 0.0, 0.0), (1, scale if i == 0 else 0.0, scale if i == 1 else 0.0)], "k int, r0 double, r1 double")
+            got = {r["k"]: r["e"] for r in md.predict(effect, probe, ["r0", "r1"], "e").collect()}
+            out.append((control, fold, got[1] - got[0], part.count()))
+    return t.spark.createDataFrame(out, "control_id string, fold int, effect double, rows long")
+
+
+def replayed(t):
+    """Every hour of the period: what was known, the forecast, its assessment and the decision."""
+    from assaylake.operators.asof import asof_published
+    from assaylake.operators.decisions import forecast_quality
+
+    known = asof_published(hour_grid(t), analyser(t), keys=["entity"], query_ts="as_of").withColumnRenamed("last_value", "baseline")
+    b = F.col("baseline")
+    rows = known.withColumn("point", b * 0.5 + 20.0).withColumn("upper", b * 0.9 + 35.0).withColumn("alarm", F.coalesce((b > LIMIT) | (alarm_score(b) >= 0.3), F.lit(False)))
+    rows = rows.withColumn("applicability_code", F.when(b.isNull(), "FEATURES_UNAVAILABLE"))
+    judged = forecast_quality(rows)
+    return judged.select("entity", "as_of", "point", "upper", F.lit("abstain").alias("status"),
+                         F.array_append("quality_codes", F.lit("ACTION_MODEL_UNAVAILABLE")).alias("reason_codes"))
+
+
+@query("interval_replay", with_views("hours pak", """
+SELECT h.entity, h.as_of, q.value * 0.5 + 20.0 AS point, q.value * 0.9 + 35.0 AS upper, 'abstain' AS status,
+  concat_ws(',', CASE WHEN q.value IS NULL THEN 'FEATURES_UNAVAILABLE' END, CASE WHEN q.value > 60 OR round(1.0 / (1.0 + exp(-(q.value - 60.0) / 20.0)), 2) >= 0.3 THEN 'SULFUR_EXCEEDANCE_RISK' END, 'ACTION_MODEL_UNAVAILABLE') AS reasons
+FROM hours h ASOF LEFT JOIN pak q ON q.entity = h.entity AND h.as_of >= q.measured_at"""))
+def interval_replay(t):
+    return replayed(t).select("entity", "as_of", "point", "upper", "status", F.array_join("reason_codes", ",").alias("reasons"))
+
+
+@query("interval_result_table", with_views("hours pak", """
+SELECT h.entity, h.as_of + INTERVAL 60 MINUTE AS target_at, q.value * 0.5 + 20.0 AS point, q.value * 0.9 + 35.0 AS upper
+FROM hours h ASOF LEFT JOIN pak q ON q.entity = h.entity AND h.as_of >= q.measured_at"""))
+def interval_result_table(t):
+    """Chart rows of a replay: shifted by the horizon, missing values stay NULL, time order."""
+    from assaylake.operators.cleanse import finite
+
+    return replayed(t).select("entity", (F.col("as_of") + F.expr("INTERVAL 60 MINUTES")).alias("target_at"),
+                              finite(F.col("point")).alias("point"), finite(F.col("upper")).alias("upper")).orderBy("target_at", "entity")
