@@ -104,7 +104,7 @@ def blend_metrics(candidates: DataFrame) -> DataFrame:
         reciprocal("density_lower").alias("density_upper"),
         weighted("risk", True).alias("risk_index"),
         F.col("total_mass").alias("throughput"),
-        (weighted("cost") + F.coalesce(F.col("dose") * F.col("additive.cost"), F.lit(0.0))).alias("cost_proxy"),
+        (weighted("cost") + F.coalesce(F.col("dose") * F.col("additive_cost"), F.lit(0.0))).alias("cost_proxy"),
         change.alias("change_size"),
     )
 
@@ -119,12 +119,25 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(n, key)
 
 
+def _flat(scenarios: DataFrame) -> DataFrame:
+    """The additive as plain numbers next to the nested column, which stays behind at the grid."""
+    a = F.col("additive")
+    return scenarios.select(
+        "*", a.isNotNull().alias("has_additive"), a["max_fraction"].alias("additive_limit"),
+        a["stock"].alias("additive_stock"), a["cost"].alias("additive_cost"))
+
+
+def _carried(scenarios: DataFrame) -> list[str]:
+    """Scenario columns that travel with every candidate; the curve has done its work in ``gain``."""
+    return [c for c in scenarios.columns if c != "additive"]
+
+
 def candidate_grid(scenarios: DataFrame, share_steps: int = 20, max_candidates: int = 125) -> DataFrame:
     """Hold plus the share x dose grid of each two-component scenario.
 
     A grid above the limit fails the job; it is never cut.
     """
-    scenarios = spread(scenarios, "scenario_id")
+    scenarios = _flat(spread(scenarios, "scenario_id"))
     doses = F.when(F.col("additive").isNull(), F.array(F.lit(0.0))).otherwise(
         F.transform(
             F.sequence(F.lit(0), F.round(F.col("additive.max_fraction") / F.col("additive.step")).cast("int")),
@@ -157,7 +170,7 @@ def candidate_grid(scenarios: DataFrame, share_steps: int = 20, max_candidates:
     )
     rows = guarded.select("*", F.posexplode("_grid").alias("position", "_g")).drop("_grid", "_doses")
     return rows.select(
-        *scenarios.columns, "position", F.col("_g.dose").alias("dose"), F.col("_g.gain").alias("gain"),
+        *_carried(scenarios), "position", F.col("_g.dose").alias("dose"), F.col("_g.gain").alias("gain"),
         F.col("_g.fractions").alias("fractions"),
         F.when(F.col("position") == 0, "hold").otherwise(
             candidate_id("blend", F.col("_g.fractions"), F.col("_g.dose"))).alias("candidate_id"),
@@ -165,7 +178,11 @@ def candidate_grid(scenarios: DataFrame, share_steps: int = 20, max_candidates:
 
 
 def candidate_id(kind: str, fractions: Column, dose: Column) -> Column:
-    text = lambda x: F.format_string("%.3f", F.round(x, 3))
+    def text(x: Column) -> Column:
+        """Three decimals from whole thousandths: cheaper than a formatter on every candidate."""
+        k = F.round(x * 1000.0).cast("int")
+        return F.concat((k / 1000).cast("int").cast("string"), F.lit("."), F.lpad((k % 1000).cast("string"), 3, "0"))
+
     return F.concat(
         F.lit(f"{kind}:"), _a("id"), F.lit("="), text(fractions[0]), F.lit(","), _b("id"), F.lit("="),
         text(fractions[1]), F.lit(",additive="), text(dose),
@@ -252,12 +269,12 @@ def stock_checks() -> Column:
         for of, w in ((_a, _fa()), (_b, _fb()))
     ])
     dose, mass = F.col("dose"), F.col("dose") * F.col("total_mass")
-    limit, stock = F.col("additive.max_fraction"), F.col("additive.stock")
+    limit, stock = F.col("additive_limit"), F.col("additive_stock")
     extra = F.array(
         check(F.lit("additive_fraction"), dose, limit, dose <= limit + TOLERANCE, "ADDITIVE_LIMIT"),
         check(F.lit("additive_stock"), mass, stock, mass <= stock + TOLERANCE, "ADDITIVE_STOCK"),
     )
-    return F.concat(parts, F.when(F.col("additive").isNotNull(), extra).otherwise(F.slice(extra, 1, 0)))
+    return F.concat(parts, F.when(F.col("has_additive"), extra).otherwise(F.slice(extra, 1, 0)))
 
 
 def assessment_issues() -> Column:
@@ -422,7 +439,8 @@ def share_interval(scenarios: DataFrame, desired_b: Column | None = None, desire
 
 def assisted_candidates(scenarios: DataFrame) -> DataFrame:
     """Interval ends, the nearest shares to the current recipe and the middle, as candidates."""
-    spans = share_interval(spread(scenarios, "scenario_id")).filter(F.col("lo") <= F.col("hi") + TOLERANCE)
+    scenarios = _flat(spread(scenarios, "scenario_id"))
+    spans = share_interval(scenarios).filter(F.col("lo") <= F.col("hi") + TOLERANCE)
     clamp = lambda x: F.greatest(F.col("lo"), F.least(F.col("hi"), x))
     points = F.array_sort(F.array_distinct(F.array(
         clamp(F.col("lo")), clamp(F.col("hi")), clamp(F.col("current_fractions")[1]),
@@ -430,7 +448,7 @@ def assisted_candidates(scenarios: DataFrame) -> DataFrame:
     rows = spans.select("*", F.explode(points).alias("_b"))
     fractions = F.array(1.0 - F.col("dose") - F.col("_b"), F.col("_b"))
     return rows.select(
-        *scenarios.columns, F.lit(1000).alias("position"), "dose", "gain", fractions.alias("fractions"),
+        *_carried(scenarios), F.lit(1000).alias("position"), "dose", "gain", fractions.alias("fractions"),
         F.concat(F.lit("assisted:"), F.format_string("%.12f", F.col("_b")), F.lit(",dose="), F.format_string("%.12f", F.col("dose"))).alias("candidate_id"),
     )
 

@@ -139,7 +139,7 @@ SCENARIO_SQL = f"""
 scen AS (SELECT a.p_partkey AS scenario_id, {_side_sql('a')}, {_side_sql('b')}, (a.p_size % 3) * 0.3::DOUBLE + 2.5::DOUBLE AS addk
   FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
 cand AS (SELECT *, 0 AS position, 0.01::DOUBLE AS dose, 0.693::DOUBLE AS fa, 0.297::DOUBLE AS fb, 'hold' AS candidate_id FROM scen
-  UNION ALL SELECT *, 'blend:A=' || printf('%.3f', round(fa, 3)) || ',B=' || printf('%.3f', round(fb, 3)) || ',additive=' || printf('%.3f', dose) FROM (
+  UNION ALL SELECT *, 'blend:A=' || printf('%.3f', round(fa * 1000) / 1000) || ',B=' || printf('%.3f', round(fb * 1000) / 1000) || ',additive=' || printf('%.3f', round(dose * 1000) / 1000) FROM (
    SELECT scen.*, 1 + i * 21 + j AS position, i * 0.01::DOUBLE AS dose, (1.0::DOUBLE - i * 0.01::DOUBLE) * (1.0::DOUBLE - j / 20.0::DOUBLE) AS fa,
      (1.0::DOUBLE - i * 0.01::DOUBLE) * (j / 20.0::DOUBLE) AS fb FROM scen, (SELECT unnest([0, 1, 2, 3]) AS i), (SELECT unnest(range(21)) AS j))
    WHERE NOT (abs(dose - 0.01) <= 1e-9 AND abs(fa - 0.693) <= 1e-9 AND abs(fb - 0.297) <= 1e-9)),
