@@ -27,10 +27,11 @@ l30 AS (SELECT s.observation_id, s.entity, e.value AS v FROM sup s ASOF LEFT JOI
 vm AS (SELECT s.observation_id, s.entity, avg(e.value) AS v FROM sup s LEFT JOIN tele e ON e.entity = s.entity AND e.signal_id = 'view' AND e.ts BETWEEN s.as_of - INTERVAL 60 MINUTE AND s.as_of GROUP BY 1, 2),
 sd AS (SELECT s.observation_id, s.entity, stddev_pop(e.value) AS v FROM sup s LEFT JOIN pak e ON e.entity = s.entity AND e.measured_at BETWEEN s.as_of - INTERVAL 180 MINUTE AND s.as_of GROUP BY 1, 2)
 SELECT s.observation_id, s.as_of, s.target_at, s.y, s.baseline, round(c0.v, 6) AS click__lag_0m, round(c0.v - c60.v, 6) AS click__delta_60m, round(vm.v, 6) AS view__mean_60m,
-  l30.v AS target__lag_30m, round(sd.v, 6) AS target__std_180m, round(s.age_minutes, 6) AS target__age_minutes
+  l30.v AS target__lag_30m, round(sd.v, 6) AS target__std_180m, round(s.age_minutes, 3) AS target__age_minutes
 FROM sup s JOIN c0 USING (observation_id) JOIN c60 USING (observation_id) JOIN l30 USING (observation_id) JOIN vm USING (observation_id) JOIN sd USING (observation_id)"""))
 def supervised_dataset(t):
-    return rounded(supervised_frame(t).select("observation_id", "as_of", "target_at", "y", "baseline", *CHECKED), CHECKED)
+    out = supervised_frame(t).select("observation_id", "as_of", "target_at", "y", "baseline", *CHECKED)
+    return rounded(rounded(out, CHECKED[:-1]), CHECKED[-1:], 3)
 
 
 def serving_frame(t):
@@ -72,7 +73,7 @@ def state_identity(t):
 
 @query("stage_dashboard", with_views("hours quality tele", f"""
 WITH {STATE_SQL}, {SELECTED_SQL.format(stale="")}
-SELECT entity, as_of, CASE WHEN signal_id = 'ht:sulfur' THEN 'quality' ELSE 'process' END AS page_group, signal_id, value, source, round(CASE WHEN age IS NOT NULL THEN greatest(age, 0) END, 6) AS age_minutes,
+SELECT entity, as_of, CASE WHEN signal_id = 'ht:sulfur' THEN 'quality' ELSE 'process' END AS page_group, signal_id, value, source, round(CASE WHEN age IS NOT NULL THEN greatest(age, 0) END, 3) AS age_minutes,
   CASE WHEN value IS NULL THEN 'missing' WHEN fresh THEN 'fresh' ELSE 'stale' END AS freshness FROM sel"""))
 def stage_dashboard(t):
     groups = t.spark.createDataFrame([("ht:sulfur", "quality"), ("click", "process"), ("view", "process")], "signal_id string, page_group string")
@@ -80,4 +81,4 @@ def stage_dashboard(t):
     return rounded(rows.select(
         "entity", "as_of", "page_group", "signal_id", F.col("selected.value").alias("value"), F.col("selected.source").alias("source"),
         F.when(F.col("selected").isNotNull(), F.greatest(minutes_between("as_of", "selected.measured_at"), F.lit(0.0))).alias("age_minutes"),
-        F.when(F.col("selected").isNull(), "missing").when(F.col("fresh"), "fresh").otherwise("stale").alias("freshness")), ("age_minutes",))
+        F.when(F.col("selected").isNull(), "missing").when(F.col("fresh"), "fresh").otherwise("stale").alias("freshness")), ("age_minutes",), 3)

@@ -117,19 +117,19 @@ def asof_forward_tol(t):
 
 @query("asof_bitemporal", with_views("pak late", """
 SELECT q.entity, q.observation_id, arg_max(l.value, l.measured_at) AS last_value,
-  round((epoch_us(any_value(q.measured_at)) - epoch_us(max(l.measured_at))) / 60e6, 6) AS age_minutes
+  round((epoch_us(any_value(q.measured_at)) - epoch_us(max(l.measured_at))) / 60e6, 3) AS age_minutes
 FROM pak q LEFT JOIN late l ON l.entity = q.entity AND l.available_at <= q.measured_at GROUP BY 1, 2"""))
 def asof_bitemporal(t):
     return a.asof_published(
         analyser(t).select("entity", "observation_id", "measured_at"), late_lab(t), keys=["entity"],
         query_ts="measured_at",
-    ).select("entity", "observation_id", "last_value", F.round("age_minutes", 6).alias("age_minutes"))
+    ).select("entity", "observation_id", "last_value", F.round("age_minutes", 3).alias("age_minutes"))
 
 
 @query("asof_published_depth", with_views("pak late", """
 SELECT q.entity, q.observation_id, h.value AS lims_published_lag_0, h.v1 AS lims_published_lag_1, h.v2 AS lims_published_lag_2,
-  round((epoch_us(q.measured_at) - epoch_us(h.measured_at)) / 60e6, 6) AS lims_age_minutes_0,
-  round((epoch_us(q.measured_at) - epoch_us(h.m2)) / 60e6, 6) AS lims_age_minutes_2
+  round((epoch_us(q.measured_at) - epoch_us(h.measured_at)) / 60e6, 3) AS lims_age_minutes_0,
+  round((epoch_us(q.measured_at) - epoch_us(h.m2)) / 60e6, 3) AS lims_age_minutes_2
 FROM pak q ASOF LEFT JOIN (
   SELECT *, lag(value, 1) OVER w AS v1, lag(value, 2) OVER w AS v2, lag(measured_at, 2) OVER w AS m2 FROM late
   WINDOW w AS (PARTITION BY entity ORDER BY available_at, measured_at, observation_id)) h
@@ -140,7 +140,7 @@ def asof_published_depth(t):
         query_ts="measured_at",
     ).select(
         "entity", "observation_id", *[f"lims_published_lag_{k}" for k in range(3)],
-        *[F.round(f"lims_age_minutes_{k}", 6).alias(f"lims_age_minutes_{k}") for k in (0, 2)],
+        *[F.round(f"lims_age_minutes_{k}", 3).alias(f"lims_age_minutes_{k}") for k in (0, 2)],
     )
 
 

@@ -519,9 +519,9 @@ def horizon_check(t):
     return sp.horizon_violations(persistence(t), 60)
 
 
-@query("age_minutes", with_views("sup", "SELECT observation_id, round(age_minutes, 6) AS age_minutes FROM sup"))
+@query("age_minutes", with_views("sup", "SELECT observation_id, round(age_minutes, 3) AS age_minutes FROM sup"))
 def age_minutes(t):
-    return r6(persistence(t).select("observation_id", "age_minutes"), "age_minutes")
+    return sc.rounded(persistence(t).select("observation_id", "age_minutes"), ("age_minutes",), 3)
 
 
 @query("age_bucket", with_views("scored", f"SELECT {AGE_SQL} AS age_bucket, count(*) AS n FROM scored GROUP BY 1"))
