@@ -128,6 +128,12 @@ def check_recipe(columns: Sequence[str], expected: Sequence[str]) -> None:
         raise ValueError(f"feature columns are missing: {missing}")
 
 
+def absent_features(required: Sequence[str]) -> Column:
+    """Required features a row does not have, in the required order."""
+    present = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in required]))
+    return F.array_except(F.array(*[F.lit(c) for c in required]), present)
+
+
 def missing_share(names: Sequence[str]) -> tuple[Column, Column]:
     n = sum(F.col(c).isNull().cast("int") for c in names)
     return n, n / F.lit(float(len(names)))

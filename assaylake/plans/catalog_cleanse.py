@@ -241,7 +241,10 @@ def mask_sentinel(t):
     )
 
 
-@query("observation_id")
+@query("observation_id", """
+SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
+  translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS observation_id
+FROM (SELECT event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('events#' || event_id)) AS h FROM events)""")
 def observation_id(t):
     return t.events.select(
         "event_id",

@@ -175,3 +175,67 @@ def cooldown(t):
     from assaylake.operators.cooldown import cooldown as keep
 
     return keep(scored(t).filter(F.col("p") >= 0.3).select("entity", F.col("as_of").alias("ts")), keys=["entity"], ts="ts", minutes=60)
+
+
+@query("write_prepared", with_views("tele quality", """
+SELECT 'telemetry' AS table_name, count(*) AS row_count, min(ts) AS min_at, max(ts) AS max_at FROM tele
+UNION ALL SELECT 'quality', count(*), min(measured_at), max(measured_at) FROM quality"""))
+def write_prepared(t):
+    """Published twice: the second call finds the finished dataset and changes nothing."""
+    tables = {"telemetry": (telemetry(t), "ts"), "quality": (quality(t), "measured_at")}
+    root = shared_dir(t.spark, "prepared")
+    target = pr.write_prepared(root, tables, {"telemetry": "signal_id"})
+    if pr.write_prepared(root, tables) != target:
+        raise ValueError("the same tables must give the same dataset")
+    return t.spark.read.parquet(f"{target}/manifest").drop("fingerprint")
+
+
+@query("scan_rule_dim", with_views("tele", """
+SELECT signal_id, max(value) AS exact_value, 'CONFIRMED_SENTINEL' AS issue_code, 'largest reading' AS detail FROM tele GROUP BY 1"""))
+def scan_rule_dim(t):
+    """A rule document that names each signal's largest reading, written and read back."""
+    rules = telemetry(t).groupBy("signal_id").agg(F.max("value").alias("top")).select(F.struct(
+        "signal_id", F.array("top").alias("exact_values"), F.lit("missing").alias("action"), F.lit("CONFIRMED_SENTINEL").alias("issue_code"),
+        F.lit("tables").alias("evidence_ref"), F.lit("largest reading").alias("detail")).alias("rule"))
+    path = shared_dir(t.spark, "rules")
+    # One rule per signal: a configuration document of a few lines.
+    rules.agg(F.lit(1).alias("version"), F.sort_array(F.collect_list("rule")).alias("rules")).coalesce(1).write.json(path)
+    return rd.read_rules(t.spark, path)
+
+
+@query("scan_scenarios", """
+SELECT 'part-' || p_partkey AS scenario_id, 'A' AS component_id, p_size * 0.4::DOUBLE AS sulfur, p_retailprice AS cost FROM part
+UNION ALL SELECT 'part-' || p_partkey, 'B', p_size * 0.8::DOUBLE, p_retailprice * 0.5 FROM part""")
+def scan_scenarios(t):
+    """Scenario documents made of the parts, written as JSON lines and read into tables."""
+    from assaylake.sources.scenarios import scan_scenarios as scan
+    from assaylake.sources.scenarios import scenario_tables
+
+    def part(name, factor, price):
+        return F.struct(F.lit(name).alias("id"), F.struct((F.col("p_size") * factor).alias("value"), F.lit("mg/kg").alias("unit")).alias("sulfur"),
+                        (F.col("p_retailprice") * price).alias("cost_proxy_per_t"))
+
+    path = shared_dir(t.spark, "scenarios")
+    t.part.select(
+        F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"), F.lit("model_demo").alias("mode"), F.lit(100.0).alias("total_mass_t"),
+        F.array(part("A", 0.4, 1.0), part("B", 0.8, 0.5)).alias("blend_components")).write.json(path)
+    parts = scenario_tables(scan(t.spark, path, one_per_file=False))["component"]
+    return parts.select("scenario_id", F.col("id").alias("component_id"), F.col("sulfur.value").alias("sulfur"), F.col("cost_proxy_per_t").alias("cost"))
+
+
+@query("drop_service_columns", "SELECT o_orderkey, o_totalprice FROM orders")
+def drop_service_columns(t):
+    from assaylake.operators.cleanse import drop_service_columns as drop
+
+    return drop(t.orders.select(F.col("o_custkey").alias("Unnamed: 0"), "o_orderkey", "o_totalprice", F.col("o_orderstatus").alias(" ")))
+
+
+@query("schema_difference", with_views("plant", """
+SELECT entity, ts, concat_ws(',', CASE WHEN click IS NULL THEN 'click' END, CASE WHEN signup IS NULL THEN 'signup' END,
+  CASE WHEN view IS NULL THEN 'view' END, CASE WHEN sulfur IS NULL THEN 'sulfur' END) AS absent FROM plant"""))
+def schema_difference(t):
+    from assaylake.operators.features import absent_features
+    from assaylake.sources.adapters import plant_hours
+
+    names = ["click", "signup", "view", "sulfur"]
+    return plant_hours(t).select("entity", "ts", F.array_join(absent_features(names), ",").alias("absent"))

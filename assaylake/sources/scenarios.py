@@ -19,9 +19,9 @@ SCENARIO_SCHEMA = f"""
 """
 
 
-def scan_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """Scenario documents as rows; the schema is given, nothing is inferred."""
-    return spark.read.schema(SCENARIO_SCHEMA).json(path, multiLine=True)
+def scan_scenarios(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Scenario documents as rows (a file each, or JSON lines); the schema is given, nothing is inferred."""
+    return spark.read.schema(SCENARIO_SCHEMA).json(path, multiLine=one_per_file)
 
 
 def scenario_tables(docs: DataFrame) -> dict[str, DataFrame]:
