@@ -48,9 +48,13 @@ RULES = (
 #: A text counts as good from this posterior on.
 KEEP_FROM = 0.5
 ROUNDS = 20
-#: Start of EM: most texts are good, rules are mostly right.  It also fixes which class is called good.
-START_GOOD, START_RIGHT = 0.9, 0.8
-#: Pseudo-votes that keep an accuracy off 0 and 1.
+#: Start of EM: share of good texts; how often a vote on a good text says keep, and one on a bad text says reject.  Most
+#: rules know one fault only, so a bad text still gets many keep votes, while a reject vote on a good text is rare.
+START_GOOD, START_KEEP, START_REJECT = 0.7, 0.99, 0.2
+#: Estimates are drawn halfway to the start.  Without it, EM may settle on other classes than good and bad, such as
+#: "repeats itself" and "does not", and call all other faults good.
+PULL = 0.5
+#: Pseudo-votes of a rule.
 SMOOTH = 2.0
 
 
@@ -151,23 +155,28 @@ class LabelModel:
 
 def fit(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = ROUNDS) -> LabelModel:
     """EM over (votes, number of texts)."""
-    model = LabelModel(START_GOOD, ((START_RIGHT, START_RIGHT),) * n_rules)
+    start_at = (START_KEEP, START_REJECT)
+    model = LabelModel(START_GOOD, (start_at,) * n_rules)
     for _ in range(rounds):
         start, odds = model.weights()
         good = total = 0.0
-        sums = [[SMOOTH * START_RIGHT, SMOOTH, SMOOTH * START_RIGHT, SMOOTH] for _ in range(n_rules)]
+        # Per rule and class: right votes, votes.
+        sums = [[[SMOOTH * x, SMOOTH] for x in start_at] for _ in range(n_rules)]
         for pattern, n in patterns:
             score = start + sum(o[0] if v > 0 else o[1] if v < 0 else 0.0 for v, o in zip(pattern, odds))
             p = 1 / (1 + math.exp(-score))
             good, total = good + n * p, total + n
-            for v, s in zip(pattern, sums):
+            for v, (on_good, on_bad) in zip(pattern, sums):
                 if v:
-                    s[0] += n * p * (v > 0)
-                    s[1] += n * p
-                    s[2] += n * (1 - p) * (v < 0)
-                    s[3] += n * (1 - p)
-        share = (good + SMOOTH * START_GOOD) / (total + SMOOTH)
-        model = LabelModel(share, tuple((s[0] / s[1], s[2] / s[3]) for s in sums))
+                    on_good[0] += n * p * (v > 0)
+                    on_good[1] += n * p
+                    on_bad[0] += n * (1 - p) * (v < 0)
+                    on_bad[1] += n * (1 - p)
+        drawn = lambda right, votes, at: PULL * at + (1 - PULL) * right / votes
+        model = LabelModel(
+            drawn(good + SMOOTH * START_GOOD, total + SMOOTH, START_GOOD),
+            tuple(tuple(drawn(*c, at) for c, at in zip(s, start_at)) for s in sums),
+        )
     return model
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import quality, sharding
+from assaylake.llm import mixing, quality, sharding, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,25 +34,30 @@ def register(name: str, sql: str | None = None):
 
 def _quality_sql() -> str:
     names = [r.name for r in quality.RULES]
-    model = ", ".join(f"{quality.START_RIGHT}::DOUBLE AS g{i}, {quality.START_RIGHT}::DOUBLE AS b{i}" for i in range(len(names)))
+    model = ", ".join(f"{quality.START_KEEP}::DOUBLE AS g{i}, {quality.START_REJECT}::DOUBLE AS b{i}" for i in range(len(names)))
     score = lambda: "ln(good / (1 - good)) + " + " + ".join(
         f"CASE WHEN {n} > 0 THEN ln(g{i} / (1 - b{i})) WHEN {n} < 0 THEN ln((1 - g{i}) / b{i}) ELSE 0 END"
         for i, n in enumerate(names)
     )
-    s, r = quality.SMOOTH, quality.START_RIGHT
+    smooth = quality.SMOOTH
     rounds = [f"m0 AS MATERIALIZED (SELECT {quality.START_GOOD}::DOUBLE AS good, {model})"]
+
+    def drawn(right: str, votes: str, at: float) -> str:
+        return (
+            f"{quality.PULL * at} + {1 - quality.PULL} * (coalesce(sum({right}), 0) + {smooth * at})"
+            f" / (coalesce(sum({votes}), 0) + {smooth})"
+        )
+
     for k in range(quality.ROUNDS):
         step = ", ".join(
-            f"(coalesce(sum(n * p * ({n} > 0)::INT), 0) + {s * r}) / (coalesce(sum(n * p * ({n} <> 0)::INT), 0) + {s}) AS g{i}, "
-            f"(coalesce(sum(n * (1 - p) * ({n} < 0)::INT), 0) + {s * r}) / (coalesce(sum(n * (1 - p) * ({n} <> 0)::INT), 0) + {s}) AS b{i}"
+            f"{drawn(f'n * p * ({n} > 0)::INT', f'n * p * ({n} <> 0)::INT', quality.START_KEEP)} AS g{i}, "
+            f"{drawn(f'n * (1 - p) * ({n} < 0)::INT', f'n * (1 - p) * ({n} <> 0)::INT', quality.START_REJECT)} AS b{i}"
             for i, n in enumerate(names)
         )
         rounds.append(
             f"e{k} AS MATERIALIZED (SELECT {', '.join(names)}, n, 1 / (1 + exp(-({score()}))) AS p FROM patterns, m{k})"
         )
-        rounds.append(
-            f"m{k + 1} AS MATERIALIZED (SELECT (coalesce(sum(n * p), 0) + {s * quality.START_GOOD}) / (coalesce(sum(n), 0) + {s}) AS good, {step} FROM e{k})"
-        )
+        rounds.append(f"m{k + 1} AS MATERIALIZED (SELECT {drawn('n * p', 'n', quality.START_GOOD)} AS good, {step} FROM e{k})")
     votes = ", ".join(f"{quality.vote_sql(x)} AS {x.name}" for x in quality.RULES)
     return rf"""
 WITH base AS MATERIALIZED (
@@ -137,3 +142,45 @@ FROM placed""")
 def op9_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard(table(spark, folder, "documents"), TREE, sharding.grown(TREE))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+# ---------------------------------------------------------------------------------------------- 8: mixing
+
+
+@register("op8_pivotal_mix")
+def op8_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.copies(table(spark, folder, "documents"), carry=["doc_id"], column="mix")
+    return mixed.select(
+        "doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken")
+    )
+
+
+# ---------------------------------------------------------------------------------------------- 4: url rules
+
+#: The rules to judge by (host, path, verdict).
+URL_RULES = (
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+)
+_URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+
+@register("op4_bloom_cascade", rf"""
+WITH parts AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+rules(h, p, v) AS (VALUES {_URL_RULES_SQL}),
+fits AS (
+  SELECT page_id, any_value(host) AS host, any_value(path) AS path,
+    arg_max(h || p, length(h) + length(p)) FILTER (h IS NOT NULL) AS rule,
+    arg_max(v, length(h) + length(p)) FILTER (h IS NOT NULL) AS v
+  FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fits""")
+def op4_bloom_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, rules).select("page_id", "judged.*")
