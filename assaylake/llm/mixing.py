@@ -8,6 +8,9 @@ at every step, and ends off its target by less than one document.
 The pairs form a reduction tree.  Documents of a source fall into blocks of about ``BLOCK``; a block is folded in one
 array and leaves at most one document with a fraction, and these meet in the blocks of the next level, until every source
 has one left.  No block grows with the input, whatever the size of the source.  Only DataFrame expressions are used.
+
+The last document with a fraction is rounded to the nearer whole number.  As that may be a large one, the root block of a
+source is folded with ``TRIES`` sets of draws, and the set that ends nearest to the target holds.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 from assaylake.llm.common import fresh, words_of
 from assaylake.session import materialise
 
-BLOCK = 48
+BLOCK = 128
+TRIES = 16
 #: Weights of the sources in order, repeated.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A target is at most so many times its source.
@@ -104,6 +108,22 @@ def _fold(items: Column) -> Column:
     return F.aggregate(items, F.expr(empty), step)
 
 
+def _best_fold(items: str, seed: int, level: int, tries: int) -> Column:
+    def fold(t: Column) -> Column:
+        return _fold(F.transform(items, lambda x: F.struct(
+            x["at"].alias("at"), x["key"].alias("key"), x["words"].alias("words"), x["p"].alias("p"),
+            _draw(seed, level, t, x["key"]).alias("draw"),
+        )))
+
+    if tries == 1:
+        return fold(F.lit(0))
+    scored = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda t: F.struct(fold(t).alias("f")))
+    scored = F.transform(scored, lambda c: F.struct(
+        (F.least(c["f"]["open"]["p"], 1 - c["f"]["open"]["p"]) * c["f"]["open"]["words"]).alias("off"), c["f"].alias("f")
+    ))
+    return F.array_min(scored)["f"]
+
+
 def copies(docs: DataFrame, seed: int = 0, column: str = "copies", carry: list[str] | None = None,
            weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """``docs`` (``doc_id``, ``text``, ``source``) with a struct ``column``: size, source_size, target, copies.
@@ -150,25 +170,25 @@ def copies(docs: DataFrame, seed: int = 0, column: str = "copies", carry: list[s
     )
     decided = []
     level, left = 0, largest
-    while left > 1:
+    while True:
+        is_root = left <= block
         blocks = F.ceil(F.col("n") / F.lit(float(block ** (level + 1)))).cast("long")
-        folded = items.select(
+        grouped = items.select(
             "source", "n",
             F.pmod(F.xxhash64(F.lit(seed), F.lit(-1 - level), "key"), blocks).alias("block"),
-            F.struct("words", "key", "at", "p", _draw(seed, level, F.col("key")).alias("draw")).alias("item"),
-        ).groupBy("source", "n", "block").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items")).select(
-            "source", "n", _fold(F.transform("items", lambda x: F.struct(
-                x["at"].alias("at"), x["key"].alias("key"), x["words"].alias("words"), x["p"].alias("p"),
-                x["draw"].alias("draw"),
-            ))).alias("f"),
-        )
+            F.struct("words", "key", "at", "p").alias("item"),
+        ).groupBy("source", "n", "block").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
+        folded = grouped.select("source", "n", _best_fold("items", seed, level, TRIES if is_root else 1).alias("f"))
+        if is_root:
+            last = F.struct(F.col("f.open.at").alias("at"), F.round("f.open.p").cast("int").alias("taken"))
+            decided.append(folded.select(F.inline(F.concat("f.done", F.array(last)))))
+            break
         folded = materialise(folded, f"mix-level{level}")
         decided.append(folded.select(F.inline("f.done")))
         items = folded.select("source", "n", *[F.col(f"f.open.{c}").alias(c) for c in ("at", "key", "words", "p")])
         level, left = level + 1, math.ceil(left / block)
-    # One open document a source, taken with its chance.
-    last = items.select("at", (_draw(seed, level, F.col("key")) < F.col("p")).cast("int").alias("taken"))
-    for part in decided:
+    last = decided[0]
+    for part in decided[1:]:
         last = last.unionByName(part)
     chosen = last.select(F.col("at").alias(f"{at}_d"), F.col("taken").alias(f"{at}_taken"))
     return planned.join(chosen, F.col(at) == F.col(f"{at}_d"), "left").select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import mixing, quality, sharding, urlfilter
+from assaylake.llm import dedup, mixing, quality, sharding, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +184,16 @@ def op4_bloom_cascade(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     pages = table(spark, folder, "pages").select("page_id", "url")
     return urlfilter.judge(pages, rules).select("page_id", "judged.*")
+
+
+# ---------------------------------------------------------------------------------------------- 1: exact duplicates
+
+
+@register("op1_stream_dedup", rf"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{SPACE_SQL}', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (same ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+FROM t WINDOW same AS (PARTITION BY text_sha256)""")
+def op1_stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = dedup.groups(table(spark, folder, "documents"), carry=["doc_id"])
+    return found.select("doc_id", "dedup.keep_id", "dedup.group_size", "dedup.kept", "dedup.text_sha256")
