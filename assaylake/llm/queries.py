@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import dedup, mixing, quality, sharding, urlfilter
+from assaylake.llm import dedup, mixing, pieces, quality, sharding, tokenfile, urlfilter
+from assaylake.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,3 +198,33 @@ FROM t WINDOW same AS (PARTITION BY text_sha256)""")
 def op1_stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = dedup.groups(table(spark, folder, "documents"), carry=["doc_id"])
     return found.select("doc_id", "dedup.keep_id", "dedup.group_size", "dedup.kept", "dedup.text_sha256")
+
+
+# ---------------------------------------------------------------------------------------------- 6: pieces
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files are; they are not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op6_sentencepiece_spans")
+def op6_sentencepiece_spans(spark: SparkSession, folder: str) -> DataFrame:
+    found = pieces.encode(
+        table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"),
+        ("n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"), carry=["doc_id"],
+    )
+    return found.select("doc_id", "pieces.*")
+
+
+# ---------------------------------------------------------------------------------------------- 7: token files
+
+
+@register("op7_simple8b_files")
+def op7_simple8b_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_dir(spark, "token-files")
+    encode = tokenfile.word_encoder(tokenizer_path("word_bpe_49k.json"), end_id=1)
+    tokenfile.write(table(spark, folder, "documents"), path, encode)
+    return tokenfile.digests(spark, path)
