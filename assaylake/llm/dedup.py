@@ -20,6 +20,9 @@ from assaylake.session import materialise, shared_dir
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What one micro-batch reads of the feed of digests, about 100 bytes a document.
 BYTES_A_BATCH = 8 << 30
+#: Up to so many digests that were hit again, their 64-bit hashes (16 MB) go to all tasks and keep other texts from moving.
+#: With more of them, the join moves all texts.
+FILTER_DIGESTS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -38,6 +41,8 @@ def state_session(spark: SparkSession) -> SparkSession:
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Else every store sets 4 MB aside for its log of files.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
     return own
@@ -113,6 +118,9 @@ def _decide(rows, hit, digest, kept_columns, body, dig, column) -> DataFrame:
         F.col("doc_id").alias("id"), F.col("_file").alias("file"), F.col("_row").alias("row"),
         normalised(F.col("text")).alias("body"), digest(normalised(F.col("text"))).alias("digest"),
     )
+    if hit.count() <= FILTER_DIGESTS:
+        short = hit.select(F.xxhash64("digest").alias("short")).distinct()
+        text = text.join(F.broadcast(short), F.xxhash64("digest") == F.col("short"), "left_semi")
     again = materialise(text.join(hit, "digest"), "dedup-again")
     is_kept = (F.col("file") == F.col("kept.file")) & (F.col("row") == F.col("kept.row"))
     contents = again.where(is_kept).select("digest", F.col("body").alias("content"))
