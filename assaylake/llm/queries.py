@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import dedup, mixing, pieces, quality, sharding, tokenfile, urlfilter
+from assaylake.llm import dedup, langid, mixing, pieces, quality, sharding, tokenfile, urlfilter
 from assaylake.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,20 @@ def op7_simple8b_files(spark: SparkSession, folder: str) -> DataFrame:
     encode = tokenfile.word_encoder(tokenizer_path("word_bpe_49k.json"), end_id=1)
     tokenfile.write(table(spark, folder, "documents"), path, encode)
     return tokenfile.digests(spark, path)
+
+
+# ---------------------------------------------------------------------------------------------- 5: language
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+@register("op5_byte_cnn_language")
+def op5_byte_cnn_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & langid.has_letter(F.col("text")))
+    cuts = langid.sample(labelled.select("lang", "text"))
+    net = langid.train([t.encode() for _, t in cuts], [lang for lang, _ in cuts]) if cuts else None
+    found = langid.predict(docs, net, carry=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
