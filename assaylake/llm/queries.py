@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import dedup, langid, mixing, pieces, quality, sharding, tokenfile, urlfilter
+from assaylake.llm import dedup, jaccard, langid, mixing, pieces, quality, sharding, tokenfile, urlfilter
 from assaylake.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,3 +245,13 @@ def op5_byte_cnn_language(spark: SparkSession, folder: str) -> DataFrame:
     net = langid.train([t.encode() for _, t in cuts], [lang for lang, _ in cuts]) if cuts else None
     found = langid.predict(docs, net, carry=["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
+
+
+# ---------------------------------------------------------------------------------------------- 10: near duplicates
+
+
+@register("op10_set_relation_join")
+def op10_set_relation_join(spark: SparkSession, folder: str) -> DataFrame:
+    rule = jaccard.Rule(words=4, percent=85)
+    found = jaccard.groups(table(spark, folder, "documents"), rule, carry=["doc_id"])
+    return found.select("doc_id", "near.n_shingles", "near.component_id", "near.links")
