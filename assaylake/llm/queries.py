@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import dedup, jaccard, langid, mixing, pieces, quality, sharding, tokenfile, urlfilter
+from assaylake.llm import dedup, jaccard, langid, mixing, pieces, quality, repeats, sharding, tokenfile, urlfilter
 from assaylake.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,3 +255,15 @@ def op10_set_relation_join(spark: SparkSession, folder: str) -> DataFrame:
     rule = jaccard.Rule(words=4, percent=85)
     found = jaccard.groups(table(spark, folder, "documents"), rule, carry=["doc_id"])
     return found.select("doc_id", "near.n_shingles", "near.component_id", "near.links")
+
+
+# ---------------------------------------------------------------------------------------------- 2: repeated passages
+
+
+@register("op2_suffix_repeats")
+def op2_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove(table(spark, folder, "documents"), length=400, carry=["doc_id"])
+    return found.select(
+        "doc_id", "repeats.n_bytes", "repeats.n_removed", F.size("repeats.spans").cast("long").alias("n_spans"),
+        F.sha2("repeats.kept", 256).alias("kept_sha256"),
+    )
