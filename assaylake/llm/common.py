@@ -29,12 +29,12 @@ def words_of(text: Column) -> Column:
 
 
 def located(docs: DataFrame, purpose: str) -> DataFrame:
-    """``docs`` with ``_file`` and ``_row`` (longs), which tell every row apart, also repeated ones.
+    """``docs`` with ``_llm_file`` and ``_llm_row`` (longs), which tell every row apart, also repeated ones.
 
     A frame read straight from files has its place there.  Any other frame is written once to the shared
     folder, because a number given on the fly would change when a lost task runs again.
     """
-    place = (F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    place = (F.xxhash64("_metadata.file_path").alias("_llm_file"), F.col("_metadata.row_index").alias("_llm_row"))
     try:
         return docs.select("*", *place)
     except AnalysisException:

@@ -98,8 +98,8 @@ def groups(docs: DataFrame, digest=sha256, carry: list[str] | None = None, bytes
     rows = located(docs, "dedup-input")
     body, dig = fresh(docs, "_body"), fresh(docs, "_digest")
     entry = F.struct(
-        F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_file").alias("file"),
-        F.col("_row").alias("row"),
+        F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_llm_file").alias("file"),
+        F.col("_llm_row").alias("row"),
     )
     feed, checkpoint, out = (shared_dir(spark, f"dedup-{x}") for x in ("feed", "state", "changes"))
     rows.select(digest(normalised(F.col("text"))).alias("digest"), entry.alias("entry")).write.parquet(feed)
@@ -115,7 +115,7 @@ def groups(docs: DataFrame, digest=sha256, carry: list[str] | None = None, bytes
 def _decide(rows, hit, digest, kept_columns, body, dig, column) -> DataFrame:
     # Full bytes of every row with a digest that was hit again; only these texts move.
     text = rows.select(
-        F.col("doc_id").alias("id"), F.col("_file").alias("file"), F.col("_row").alias("row"),
+        F.col("doc_id").alias("id"), F.col("_llm_file").alias("file"), F.col("_llm_row").alias("row"),
         normalised(F.col("text")).alias("body"), digest(normalised(F.col("text"))).alias("digest"),
     )
     if hit.count() <= FILTER_DIGESTS:
@@ -150,13 +150,13 @@ def _decide(rows, hit, digest, kept_columns, body, dig, column) -> DataFrame:
         F.col("file").alias(f"{dig}_f"), F.col("row").alias(f"{dig}_r"), F.col("kept").alias(f"{dig}_k"),
         F.col("size").alias(f"{dig}_n"),
     )
-    light = rows.select(*kept_columns, "_file", "_row", F.col("doc_id").alias(f"{dig}_id"),
+    light = rows.select(*kept_columns, "_llm_file", "_llm_row", F.col("doc_id").alias(f"{dig}_id"),
                         sha256(normalised(F.col("text"))).alias(dig))
     joined = light.join(
-        members, (F.col("_file") == F.col(f"{dig}_f")) & (F.col("_row") == F.col(f"{dig}_r")), "left"
+        members, (F.col("_llm_file") == F.col(f"{dig}_f")) & (F.col("_llm_row") == F.col(f"{dig}_r")), "left"
     )
     alone = F.col(f"{dig}_k").isNull()
-    stays = alone | ((F.col("_file") == F.col(f"{dig}_k.file")) & (F.col("_row") == F.col(f"{dig}_k.row")))
+    stays = alone | ((F.col("_llm_file") == F.col(f"{dig}_k.file")) & (F.col("_llm_row") == F.col(f"{dig}_k.row")))
     return joined.select(*kept_columns, F.struct(
         F.col(dig).alias("text_sha256"),
         F.when(alone, F.col(f"{dig}_id")).otherwise(F.col(f"{dig}_k.id")).alias("keep_id"),

@@ -33,9 +33,11 @@ from assaylake.session import materialise
 #: Bands of two minima each; sets that agree in a band are compared with the band's smallest node.
 BANDS = 4
 #: A token is common if found in this share of all sets; there are at most mean set size / share of them.
-COMMON_SHARE = 0.001
-#: Tokens found so often in one slice of texts are counted for the order.
+COMMON_SHARE = 0.0002
+#: Tokens found so often in the texts of one task are counted for the order.
 LOCAL_COUNT = 3
+#: A task that holds more counts than this forgets the tokens found once.
+LOCAL_TOKENS = 6_000_000
 #: Entries of a block of an index list.
 BLOCK = 64
 #: Up to so many wanted rows, their 64-bit hashes (16 MB) go to all tasks and keep other texts from moving.
@@ -61,38 +63,93 @@ def _minima(tokens: np.ndarray) -> list[int]:
     return mix(least[:, 0] * np.uint64(3) + least[:, 1]).view(np.int64).tolist()
 
 
+class _Counts:
+    """Tokens of a task with the number of sets that have them."""
+
+    def __init__(self) -> None:
+        self.token, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.held: list[np.ndarray] = []
+
+    def add(self, found: list[np.ndarray]) -> None:
+        self.held += found
+        if sum(map(len, self.held)) > LOCAL_TOKENS // 2:
+            self.merge()
+            if len(self.token) > LOCAL_TOKENS:
+                self._only(self.count > 1)
+
+    def merge(self) -> None:
+        token = np.concatenate([self.token, *self.held])
+        count = np.concatenate([self.count, np.ones(len(token) - len(self.token), np.int64)])
+        order = np.argsort(token, kind="stable")
+        token, count = token[order], count[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[:len(token)])
+        self.token, self.held = token[first], []
+        self.count = np.add.reduceat(count, first) if len(first) else count
+
+    def _only(self, which: np.ndarray) -> None:
+        self.token, self.count = self.token[which], self.count[which]
+
+    def often(self) -> tuple[np.ndarray, np.ndarray]:
+        self.merge()
+        self._only(self.count >= LOCAL_COUNT)
+        return self.token.view(np.int64), self.count
+
+
+def _parities(tokens: np.ndarray) -> bytes:
+    """Parity of the number of tokens in each of about as many cells: two sets differ in at least as many tokens as cells."""
+    cells = 1 << min(max(8, int(len(tokens)).bit_length()), 20)
+    return np.packbits(np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1 == 1).tobytes()
+
+
+def _least_difference(a: bytes, b: bytes) -> int:
+    """How many tokens two sets differ in at least, by their parities; the longer ones are folded to the shorter."""
+    # Cell i holds tokens whose low bits are i, so halves of the array are xor-ed.
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+_DESCRIBED = pa.schema([
+    ("file", pa.int64()), ("row", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()),
+    ("bands", pa.list_(pa.int64())), ("parities", pa.binary()), ("token", pa.int64()), ("seen", pa.int64()),
+])
+
+
 def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of ``docs`` (_file, _row, text) with the key of their set, its size and band keys; and common tokens."""
+    """Rows of ``docs`` (_llm_file, _llm_row, text) with the key of their set, its size, band keys and parities; and common tokens."""
 
     def run(batches):
+        counts = _Counts()
         for b in batches:
             files, rows, texts = (b.column(i).to_pylist() for i in range(3))
             for lo, hi in slices(texts):
                 found = sets(texts[lo:hi], rule.words)
-                keys = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in found]
-                token, count = np.unique(np.concatenate(found), return_counts=True)
-                often = count >= LOCAL_COUNT
-                token, count = token[often].view(np.int64), count[often]
-                n, m = hi - lo, len(token)
-                none = [None] * m
+                counts.add(found)
+                keys = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist() for s in found]
+                none = pa.nulls(hi - lo, pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(files[lo:hi] + none, pa.int64()), pa.array(rows[lo:hi] + none, pa.int64()),
-                    pa.array([int(k[0]) for k in keys] + none, pa.int64()),
-                    pa.array([int(k[1]) for k in keys] + none, pa.int64()),
-                    pa.array([len(s) for s in found] + none, pa.int64()),
-                    pa.array([_minima(s) if len(s) else None for s in found] + none, pa.list_(pa.int64())),
-                    pa.array([None] * n + token.tolist(), pa.int64()), pa.array([None] * n + count.tolist(), pa.int64()),
-                ], names=["file", "row", "k1", "k2", "n", "bands", "token", "seen"])
-
-    return docs.select("_file", "_row", "text").mapInArrow(
-        run, "file long, row long, k1 long, k2 long, n long, bands array<bigint>, token long, seen long"
+                    pa.array(files[lo:hi], pa.int64()), pa.array(rows[lo:hi], pa.int64()),
+                    pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                    pa.array([len(s) for s in found], pa.int64()),
+                    pa.array([_minima(s) if len(s) else None for s in found], pa.list_(pa.int64())),
+                    pa.array([_parities(s) for s in found], pa.binary()), none, none,
+                ], schema=_DESCRIBED)
+        token, seen = counts.often()
+        for at in range(0, len(token), 100_000):
+            part = token[at:at + 100_000]
+            empty = [pa.nulls(len(part), f.type) for f in _DESCRIBED][:-2]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(part), pa.array(seen[at:at + 100_000])], schema=_DESCRIBED)
+
+    return docs.select("_llm_file", "_llm_row", "text").mapInArrow(
+        run, "file long, row long, k1 long, k2 long, n long, bands array<bigint>, parities binary, token long, seen long"
     )
 
 
 def _common(described: DataFrame, n_sets: int) -> np.ndarray:
     """Common tokens, the most frequent last."""
     seen = described.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
-    rows = seen.where(F.col("seen") >= max(20.0, COMMON_SHARE * n_sets)).orderBy("seen", "token").collect()
+    rows = seen.where(F.col("seen") >= max(10.0, COMMON_SHARE * n_sets)).orderBy("seen", "token").collect()
     return np.array([r.token for r in rows], np.int64).view(np.uint64)
 
 
@@ -117,14 +174,14 @@ def _prefixes(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
                     names=["file", "row", "prefix"],
                 )
 
-    return docs.select("_file", "_row", "text").mapInArrow(run, "file long, row long, prefix binary")
+    return docs.select("_llm_file", "_llm_row", "text").mapInArrow(run, "file long, row long, prefix binary")
 
 
 def _compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """``pairs`` (a, b: nodes) with shared, na, nb: sizes of the common part and of both sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     places = materialise(wanted.join(nodes, "node").select("node", "file", "row"), "wanted")
-    texts = docs.select(F.col("_file").alias("file"), F.col("_row").alias("row"), "text")
+    texts = docs.select(F.col("_llm_file").alias("file"), F.col("_llm_row").alias("row"), "text")
     if places.count() <= FILTER_ROWS:
         short = places.select(F.xxhash64("file", "row").alias("short")).distinct()
         texts = texts.join(F.broadcast(short), F.xxhash64("file", "row") == F.col("short"), "left_semi")
@@ -238,6 +295,27 @@ def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
     return parted.mapInArrow(run, "a long, b long").distinct()
 
 
+def _plausible(pairs: DataFrame, leading: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs whose leaders' parities leave it open that any two members link."""
+    side = lambda x: leading.select(*[F.col(c).alias(f"{c}_{x}") for c in ("ball", "n", "parities", "r")])
+    joined = pairs.join(side("a"), F.col("a") == F.col("ball_a")).join(side("b"), F.col("b") == F.col("ball_b")).select(
+        "a", "b", "n_a", "n_b", "parities_a", "parities_b", (F.col("r_a") + F.col("r_b")).alias("r")
+    )
+
+    def run(batches):
+        for batch in batches:
+            n, m, r = (batch.column(i).to_numpy() for i in (2, 3, 6))
+            apart = np.array([
+                _least_difference(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            ], np.int64)
+            shared = (n + m - apart) // 2
+            ok = shared >= (1 - (1 - rule.percent / 100 + 1e-9 + r)) * (n + m - shared) - 1e-6
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
 def _open_pairs(ball, least, most, rest, rule: Rule) -> list[np.ndarray]:
     """Pairs of a list's entries whose bounds allow a link."""
     order = np.lexsort((rest, least))
@@ -288,15 +366,13 @@ def groups(docs: DataFrame, rule: Rule = Rule(), carry: list[str] | None = None,
     rows = located(docs, "near-input")
     described = materialise(_describe(rows, rule), "described")
     described_rows = described.where("file IS NOT NULL")
-    ids = rows.select(F.col("_file").alias("file"), F.col("_row").alias("row"), F.col("doc_id").alias("id"))
+    ids = rows.select(F.col("_llm_file").alias("file"), F.col("_llm_row").alias("row"), F.col("doc_id").alias("id"))
     entry = F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "row")
-    light = materialise(described_rows.select("file", "row", "k1", "k2", "n", "bands").join(ids, ["file", "row"])
+    light = materialise(described_rows.select("file", "row", "k1", "k2", "n", "bands", "parities").join(ids, ["file", "row"])
                         .withColumn("entry", entry).drop("id"), "near-rows")
     nodes = materialise(
-        light.where("n > 0").groupBy("k1", "k2").agg(
-            F.min("entry").alias("entry"), F.min_by("bands", "entry").alias("bands"), F.min("n").alias("n")
-        ).withColumn("node", F.monotonically_increasing_id())
-        .select("node", "k1", "k2", "n", "bands", "entry", F.col("entry.file").alias("file"), F.col("entry.row").alias("row")),
+        light.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("entry", "n", "bands", "parities")).alias("first"))
+        .select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "first.*", "first.entry.file", "first.entry.row"),
         "near-nodes",
     )
     n_nodes = nodes.count()
@@ -322,10 +398,11 @@ def groups(docs: DataFrame, rule: Rule = Rule(), carry: list[str] | None = None,
 
     common = _common(described, n_nodes)
     prefixes = _prefixes(rows, rule, common).join(members.select("file", "row", "ball", "n"), ["file", "row"])
-    open_pairs = materialise(_candidates(_postings(prefixes), rule), "open-pairs")
-    # A ball whose leader is elsewhere is still compared through that leader.
-    answers = _compare(open_pairs, nodes, rows, rule)
     radius = members.groupBy("ball").agg(F.max("d").alias("r"))
+    # A ball is compared through its leader, also where the leader itself is in another ball.
+    leading = nodes.select(F.col("node").alias("ball"), "n", "parities").join(radius, "ball")
+    open_pairs = materialise(_plausible(_candidates(_postings(prefixes), rule), leading, rule), "open-pairs")
+    answers = _compare(open_pairs, nodes, rows, rule)
     bounded = answers.withColumn("d", _distance()).join(
         radius.select(F.col("ball").alias("a"), F.col("r").alias("ra")), "a"
     ).join(radius.select(F.col("ball").alias("b"), F.col("r").alias("rb")), "b")
@@ -380,6 +457,6 @@ def _result(rows, light, nodes, joined, links, kept_columns, column) -> DataFram
     )
     f, r, s = (fresh(rows, x) for x in ("_f", "_r", "_s"))
     found = found.toDF(f, r, s)
-    return rows.join(found, (F.col("_file") == F.col(f)) & (F.col("_row") == F.col(r))).select(
+    return rows.join(found, (F.col("_llm_file") == F.col(f)) & (F.col("_llm_row") == F.col(r))).select(
         *kept_columns, F.col(s).alias(column)
     )

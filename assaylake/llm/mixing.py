@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import fresh, words_of
+from assaylake.llm.common import words_of
 from assaylake.session import materialise
 
 BLOCK = 128
@@ -136,19 +136,17 @@ def copies(docs: DataFrame, seed: int = 0, column: str = "copies", carry: list[s
     """
     if column.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has a column {column}; name another")
-    at, source = fresh(docs, "_at"), fresh(docs, "_source")
     kept = docs.columns if carry is None else carry
     # Draws hang on doc_id, so they are the same however the files are split; rows without one go by row number.
     number = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
     sized = docs.select(
-        *kept, F.col("source").alias(source), F.size(words_of(F.col("text"))).cast("long").alias(f"{at}_size"),
-        F.coalesce(F.col("doc_id").cast("string"), number).alias(f"{at}_key"),
-        F.monotonically_increasing_id().alias(at),
+        F.struct(*kept).alias("doc"), F.col("source").alias("from"), F.size(words_of(F.col("text"))).cast("long").alias("words"),
+        F.coalesce(F.col("doc_id").cast("string"), number).alias("key"), F.monotonically_increasing_id().alias("at"),
     )
     # Written once: the row numbers then stay when a lost task runs again.
     sized = materialise(sized, "mix-sizes")
-    per_source = sized.groupBy(F.col(source).alias("source")).agg(
-        F.sum(f"{at}_size").alias("source_size"), F.count(F.lit(1)).alias("n")
+    per_source = sized.groupBy(F.col("from").alias("source")).agg(
+        F.sum("words").alias("source_size"), F.count(F.lit(1)).alias("n")
     )
     want = materialise(
         targets(per_source.select("source", "source_size"), weights, most).join(
@@ -157,17 +155,10 @@ def copies(docs: DataFrame, seed: int = 0, column: str = "copies", carry: list[s
     )
     largest = want.agg(F.max("n")).first()[0] or 0
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    planned = sized.join(
-        want.select(F.col("source").alias(f"{at}_s"), "source_size", "target", "n"),
-        F.col(source).eqNullSafe(F.col(f"{at}_s")),
-    ).drop(f"{at}_s").withColumn("whole", F.floor(ratio + NEAR).cast("int")).withColumn(
-        "p", F.greatest(ratio - F.col("whole"), F.lit(0.0))
-    )
-    open_items = (F.col(f"{at}_size") > 0) & (F.col("p") > NEAR)
-    items = planned.where(open_items).select(
-        F.col(source).alias("source"), "n", F.col(at).alias("at"), F.col(f"{at}_key").alias("key"),
-        F.col(f"{at}_size").alias("words"), "p",
-    )
+    planned = sized.join(want, F.col("from").eqNullSafe(F.col("source"))).withColumn(
+        "whole", F.floor(ratio + NEAR).cast("int")
+    ).withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
+    items = planned.where((F.col("words") > 0) & (F.col("p") > NEAR)).select("source", "n", "at", "key", "words", "p")
     decided = []
     level, left = 0, largest
     while True:
@@ -190,10 +181,10 @@ def copies(docs: DataFrame, seed: int = 0, column: str = "copies", carry: list[s
     last = decided[0]
     for part in decided[1:]:
         last = last.unionByName(part)
-    chosen = last.select(F.col("at").alias(f"{at}_d"), F.col("taken").alias(f"{at}_taken"))
-    return planned.join(chosen, F.col(at) == F.col(f"{at}_d"), "left").select(
-        *kept, F.struct(
-            F.col(f"{at}_size").alias("size"), "source_size", "target",
-            (F.col("whole") + F.coalesce(F.col(f"{at}_taken"), F.lit(0))).alias("copies"),
+    chosen = last.select(F.col("at").alias("chosen"), "taken")
+    return planned.join(chosen, F.col("at") == F.col("chosen"), "left").select(
+        "doc.*", F.struct(
+            F.col("words").alias("size"), "source_size", "target",
+            (F.col("whole") + F.coalesce("taken", F.lit(0))).alias("copies"),
         ).alias(column),
     )

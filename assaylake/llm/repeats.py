@@ -104,7 +104,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                     arrays, names=["anchor", "u1", "u2", "id", "file", "row", "start", "n", "off"]
                 )
 
-    return docs.select("_file", "_row", "doc_id", "text").mapInArrow(
+    return docs.select("_llm_file", "_llm_row", "doc_id", "text").mapInArrow(
         run, "anchor long, u1 long, u2 long, id long, file long, row long, start long, n long, off long"
     )
 
@@ -251,7 +251,7 @@ def _wanted(docs: DataFrame, places: DataFrame) -> DataFrame:
     if places.count() > FILTER_ROWS:
         return docs
     short = places.select(F.xxhash64("file", "row").alias("short")).distinct()
-    return docs.join(F.broadcast(short), F.xxhash64("_file", "_row") == F.col("short"), "left_semi")
+    return docs.join(F.broadcast(short), F.xxhash64("_llm_file", "_llm_row") == F.col("short"), "left_semi")
 
 
 def repeated_windows(docs: DataFrame, length: int, keep_first: bool = False, most: int = MOST_SEGMENTS) -> DataFrame:
@@ -276,7 +276,7 @@ def repeated_windows(docs: DataFrame, length: int, keep_first: bool = False, mos
         "repeat-open",
     )
     texts = _wanted(docs, open_ones.select("file", "row").distinct()).select(
-        F.col("_file").alias("file"), F.col("_row").alias("row"), F.col("text").cast("binary").alias("data")
+        F.col("_llm_file").alias("file"), F.col("_llm_row").alias("row"), F.col("text").cast("binary").alias("data")
     )
     cut = materialise(open_ones.join(texts, ["file", "row"]).select(
         "anchor", "m", "copies", "n", "id", "file", "row", "start",
@@ -309,7 +309,7 @@ def remove(docs: DataFrame, length: int = 400, keep_first: bool = False, carry:
         F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + length - 1).alias("end")))).alias(s)
     ), "repeat-texts")
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    flat = rows.select(*kept_columns, data.alias(own), "_file", "_row")
+    flat = rows.select(*kept_columns, data.alias(own), "_llm_file", "_llm_row")
     # Overlapping ranges become spans; what lies between spans stays.
     merged = F.aggregate(s, F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)"), lambda acc, x: F.when(
         (F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]),
@@ -319,7 +319,7 @@ def remove(docs: DataFrame, length: int = 400, keep_first: bool = False, carry:
     ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))))
     keys = per_text.toDF(f, r, s)
     hit = _wanted(flat, per_text.select("file", "row")).join(
-        keys, (F.col("_file") == F.col(f)) & (F.col("_row") == F.col(r))
+        keys, (F.col("_llm_file") == F.col(f)) & (F.col("_llm_row") == F.col(r))
     ).withColumn(s, merged)
     between = F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: F.substring(
         F.col(own),
@@ -334,10 +334,10 @@ def remove(docs: DataFrame, length: int = 400, keep_first: bool = False, carry:
     ).alias(column)
     changed = hit.select(*kept_columns, out(removed, F.col(s), joined))
     short = per_text.select(F.col("file").alias(f), F.col("row").alias(r))
-    same = flat.join(short, (F.col("_file") == F.col(f)) & (F.col("_row") == F.col(r)), "left_anti")
+    same = flat.join(short, (F.col("_llm_file") == F.col(f)) & (F.col("_llm_row") == F.col(r)), "left_anti")
     if per_text.count() <= FILTER_ROWS:
         short = per_text.select(F.struct("file", "row").alias(f))
-        same = flat.join(F.broadcast(short), F.struct(F.col("_file").alias("file"), F.col("_row").alias("row")) == F.col(f), "left_anti")
+        same = flat.join(F.broadcast(short), F.struct(F.col("_llm_file").alias("file"), F.col("_llm_row").alias("row")) == F.col(f), "left_anti")
     untouched = same.select(*kept_columns, out(
         F.lit(0).cast("long"), F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)"), F.col(own)
     ))

@@ -226,10 +226,10 @@ def _judge_by_join(parted, listed, host_of, path_of, keys_of, column, default) -
     """For lists whose cascade is too large to send out."""
     names = [c for c in parted.columns if c not in (host_of, path_of, keys_of)]
     rows = located(materialise(parted, "urls"), "urls")
-    first = rows.select("_file", "_row", F.posexplode(keys_of).alias("pos", "key")).join(listed, "key").groupBy(
-        F.col("_file").alias("f_"), F.col("_row").alias("r_")
+    first = rows.select("_llm_file", "_llm_row", F.posexplode(keys_of).alias("pos", "key")).join(listed, "key").groupBy(
+        F.col("_llm_file").alias("f_"), F.col("_llm_row").alias("r_")
     ).agg(F.min(F.struct("pos", "key", "block")).alias("won_"))
-    return rows.join(first, (F.col("_file") == F.col("f_")) & (F.col("_row") == F.col("r_")), "left").select(
+    return rows.join(first, (F.col("_llm_file") == F.col("f_")) & (F.col("_llm_row") == F.col("r_")), "left").select(
         *names, F.struct(
             F.col(host_of).alias("host"), F.col(path_of).alias("path"), F.col("won_.key").alias("rule"),
             F.when(F.col("won_").isNull(), F.lit(default)).when(F.col("won_.block"), F.lit("block"))
