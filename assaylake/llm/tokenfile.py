@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 OFFSET_EVERY = 64
 #: A block is closed at so many ids.  A longer document is a block of its own.
 BLOCK_IDS = 1 << 16
+TEXTS_AT_ONCE = 256
 
 BLOCK_SCHEMA = (
     "part int, block int, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, words binary, escapes binary, "
@@ -48,19 +51,31 @@ BLOCK_SCHEMA = (
 def _fits_from(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each id the selector an encoder takes there, and how many ids that word holds."""
     n = len(ids)
-    selector, taken = np.zeros(n, np.int8), np.ones(n, np.int64)
-    small = np.arange(n, dtype=np.int64)
+    selector, taken = np.zeros(n, np.int8), np.ones(n, np.int32)
+    small = np.arange(n, dtype=np.int32)
+    # The narrowest width that holds every id beats all wider ones.
+    most = int(ids.max()) if n else 0
+    first = next((s for s in range(1, len(COUNTS)) if most < 1 << int(WIDTHS[s])), len(COUNTS) - 1)
+    if most < 1 << 31:
+        ids = ids.astype(np.int32)
     # From wide to narrow: a narrower selector that is full, or reaches the end, holds more and wins.
-    for s in range(len(COUNTS) - 1, 0, -1):
-        small = small[ids[small] < np.uint64(1 << int(WIDTHS[s]))]
+    for s in range(first, 0, -1):
+        small = small[ids[small] < ids.dtype.type(1 << int(WIDTHS[s]))] if s < first or most >= 1 << 60 else small
         if not len(small):
             break
         # Ids in a row that are small enough end where the next place is not the next small one.
-        last = np.flatnonzero(np.diff(small, append=n + 1) != 1)
-        run_end = np.repeat(small[last] + 1, np.diff(last, prepend=-1))
-        wanted = np.minimum(COUNTS[s], n - small)
-        ok = run_end - small >= wanted
-        selector[small[ok]], taken[small[ok]] = s, wanted[ok]
+        last = np.flatnonzero(np.diff(small, append=np.int32(n + 1)) != 1)
+        run = np.diff(last, prepend=-1)
+        count = int(COUNTS[s])
+        # Short runs hold no full word, unless they reach the end.
+        good = (run >= count) | (small[last] == n - 1)
+        if not good.any():
+            continue
+        where = small if good.all() else small[np.repeat(good, run)]
+        wanted = np.minimum(count, n - where)
+        ok = np.repeat(small[last][good] + 1, run[good]) - where >= wanted
+        where = where[ok]
+        selector[where], taken[where] = s, wanted[ok]
     return selector, taken
 
 
@@ -135,7 +150,7 @@ def blocks_of(part: int, documents: Iterator[tuple[int | None, bytes]], block_id
 def write(docs: DataFrame, path: str, encode, parts: int | None = None, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of ``docs`` (``doc_id``, ``text``) below ``path``, documents in ascending doc_id.
 
-    ``encode()`` is called once per task and returns a function from a list of texts to a list of ids, each the
+    ``encode()`` is called once per task and returns a function from a list of texts to their ids in order, each the
     little-endian uint32 bytes of a document.  A null text counts as empty.  A null doc_id comes first; repeated ids follow
     their texts' order.  Other columns are not read.  An empty table writes a table without blocks.
 
@@ -230,6 +245,13 @@ _PLAIN = re.compile(r"(?:(?!<\|)[\x21-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF])*")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^\sa-z0-9\xDF-\xF6\xF8-\xFF]+")
 
 
+def _byte_letters() -> list[str]:
+    """The model's character for each byte: itself if printable in Latin-1, else the next one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return [chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)]
+
+
 @lru_cache(maxsize=4)
 def _known_words(model_path: str, cache: int) -> UnitCache:
     """One cache per Python worker, which outlives a task."""
@@ -238,22 +260,29 @@ def _known_words(model_path: str, cache: int) -> UnitCache:
 
     tokenizer = Tokenizer.from_file(model_path)
 
+    packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+    model = tokenizer.model
+
     def pieces(new: list[str]):
-        encoded = tokenizer.encode_batch(new, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        # What the model's earlier steps would make of a piece: its bytes as characters.
+        letters = [p if p.isascii() else "".join([alphabet[b] for b in p.encode()]) for p in new]
+        return [packed([t.id for t in model.tokenize(p)]) for p in letters]
 
+    alphabet = _byte_letters()
     known = UnitCache(pieces, cache)
 
     def units(new: list[bytes]):
-        for u in new:
-            text = u.decode()
-            # Inside plain units the model's own word pattern splits further, and its pieces repeat more.
-            yield b"".join(known.of(_WORD.findall(text.lower()) if _PLAIN.fullmatch(text) else [text]))
+        texts = [u.decode() for u in new]
+        # Inside plain units the model's own word pattern splits further, and its pieces repeat more.
+        plain = [_WORD.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in texts]
+        values = iter(known.of([p for own in plain if own for p in own]))
+        others = iter(tokenizer.encode_batch([t for t, own in zip(texts, plain) if own is None], add_special_tokens=False))
+        return [packed(next(others).ids) if own is None else b"".join(islice(values, len(own))) for own in plain]
 
-    return UnitCache(units, cache)
+    return UnitCache(units, cache * 3 // 4)
 
 
-def word_encoder(model_path: str, end_id: int, cache: int = 600_000):
+def word_encoder(model_path: str, end_id: int, cache: int = 1_200_000):
     """An ``encode`` for ``write``: the tokenizers library's ids without special tokens, then ``end_id``.
 
     The model drops white space and never merges across it, and neither its normaliser nor its added tokens look across
@@ -263,6 +292,15 @@ def word_encoder(model_path: str, end_id: int, cache: int = 600_000):
 
     def make():
         known = _known_words(model_path, cache)
-        return lambda texts: [b"".join(known.of(t.encode().split())) + end for t in texts]
+
+        def run(texts: list[str]) -> Iterator[bytes]:
+            # Texts by the hundred, so that what is new in them is encoded together.
+            for at in range(0, len(texts), TEXTS_AT_ONCE):
+                parts = [t.encode().split() for t in texts[at:at + TEXTS_AT_ONCE]]
+                values = iter(known.of([u for own in parts for u in own]))
+                for own in parts:
+                    yield b"".join(islice(values, len(own))) + end
+
+        return run
 
     return make

@@ -183,6 +183,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", column: st
     lengths = sorted(r.n for r in listed.select("n").distinct().collect())
     host_of, path_of, keys_of = (fresh(pages, f"{column}_{x}") for x in ("host", "path", "keys"))
     host, path = host_and_path(F.col("url"))
+    if not lengths:
+        return pages.withColumn(column, F.struct(
+            host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")
+        ))
     parted = pages.withColumns({host_of: host, path_of: path}).withColumn(
         keys_of, candidates(F.col(host_of), F.col(path_of), lengths)
     )
