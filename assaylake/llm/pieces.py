@@ -11,8 +11,9 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.llm.common import fresh
+from assaylake.llm.shingles import slices
 from assaylake.llm.wordcache import UnitCache
 
 MARK = "▁"
+#: Texts of about so many characters are encoded together.
+CHARACTERS_AT_ONCE = 1 << 20
+_NOTHING = (0, "", np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), "")
 
 
 # ------------------------------------------------------------------------------------------ the model file
@@ -167,7 +172,7 @@ class Model:
 class Encoder:
     """Ids, spans and decoded text of whole texts."""
 
-    def __init__(self, model_path: str, cache: int = 400_000) -> None:
+    def __init__(self, model_path: str, cache: int = 700_000) -> None:
         import sentencepiece
 
         with open(model_path, "rb") as file:
@@ -180,8 +185,19 @@ class Encoder:
         across = any(a != MARK and b == MARK for p in self.model.pieces for a, b in zip(p, p[1:]))
         alone = "" if "\n" in joined else "\n"
         self.plain = not self.model.map.units and not self.model.trim and self.model.dummy_prefix and not across
-        self.units = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else ""))
+        # Signs that follow a letter in no piece: a word ends before them.
+        letter = lambda c: c.isalnum() and not c.isdecimal()
+        after = {b for p in self.model.pieces for a, b in zip(p, p[1:]) if letter(a)}
+        ends = "".join(re.escape(c) for c in ".,;:!?|*#$%&" if c not in after)
+        word = rf"{MARK}*[^\W\d_]+(?=[{ends}{MARK}{alone}]|\Z)|" if ends else ""
+        self.units = re.compile(word + f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else ""))
         self.widths = [self._width(i) for i in range(self.library.vocab_size())]
+        n = self.library.vocab_size()
+        self.digits = [str(i) for i in range(n)]
+        self.surface = [self.library.id_to_piece(i).replace(MARK, " ") for i in range(n)]
+        self.simple = {i for i in range(n) if not (
+            self.library.is_byte(i) or self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_unused(i)
+        )}
         self.known = UnitCache(self._encode_units, cache)
 
     def _width(self, i: int) -> int:
@@ -199,14 +215,16 @@ class Encoder:
     def _encode_units(self, new: list[str]):
         """Per unit: digits, ids and byte widths as little-endian 32-bit integers, and what it adds to the decoded text."""
         found = self._ids(new)
-        # A mark before keeps the unit's own leading space.
-        texts = self.library.decode([[self.mark_id, *ids] for ids in found])
-        for unit, ids, text in zip(new, found, texts):
+        odd = [k for k, ids in enumerate(found) if not self.simple.issuperset(ids)]
+        # Byte pieces and the like are decoded by the library; a mark before keeps the unit's own leading space.
+        texts = dict(zip(odd, self.library.decode([[self.mark_id, *found[k]] for k in odd])))
+        for k, (unit, ids) in enumerate(zip(new, found)):
             widths = [self.widths[i] for i in ids]
             if 0 in ids:
                 widths = self._unknown(unit, ids, widths)
+            text = texts[k] if k in texts else "".join([self.surface[i] for i in ids])
             form = f"<{len(ids)}i"
-            yield ",".join(map(str, ids)), struct.pack(form, *ids), struct.pack(form, *widths), text
+            yield ",".join([self.digits[i] for i in ids]), struct.pack(form, *ids), struct.pack(form, *widths), text
 
     def _unknown(self, unit: str, ids: list[int], widths: list[int]) -> list[int]:
         """Without byte fallback, an unknown id stands for the characters up to where the next known piece starts."""
@@ -221,20 +239,37 @@ class Encoder:
 
     def encode(self, text: str) -> tuple[int, str, np.ndarray, np.ndarray, np.ndarray, str]:
         """Number of ids, their digits joined by commas, ids, first and end byte of each in ``text``, decoded text."""
-        normal, source = self.model.normalise(text)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, np.ndarray, str]]:
+        """As ``encode``; what is new in some texts is encoded together."""
+        for lo, hi in slices(texts, CHARACTERS_AT_ONCE):
+            normal = [self.model.normalise(t) for t in texts[lo:hi]]
+            if not self.plain:
+                yield from (self._by_library(t, n, source) for t, (n, source) in zip(texts[lo:hi], normal))
+                continue
+            units = [self.units.findall(n) for n, _ in normal]
+            values = iter(self.known.of([u for own in units for u in own]))
+            for own, (_, source) in zip(units, normal):
+                yield self._tiled(list(islice(values, len(own))), source)
+
+    def _tiled(self, values: list[tuple], source: np.ndarray):
+        if not values:
+            return _NOTHING
+        digits, ids, widths, decoded = zip(*values)
+        ids, widths = (np.frombuffer(b"".join(x), "<i4") for x in (ids, widths))
+        # The first mark is the model's own and is not decoded.
+        return self._spans(ids, ",".join(digits), widths, "".join(decoded)[1:], source)
+
+    def _by_library(self, text: str, normal: str, source: np.ndarray):
         if not normal:
-            none = np.zeros(0, np.int64)
-            return 0, "", none.astype(np.int32), none, none, ""
-        if not self.plain:
-            ids = self.library.encode(text)
-            widths = [self.widths[i] for i in ids]
-            widths = np.array(self._unknown(normal, ids, widths) if 0 in ids else widths, np.int64)
-            digits, decoded, ids = ",".join(map(str, ids)), self.library.decode(ids), np.array(ids, np.int32)
-        else:
-            digits, ids, widths, decoded = zip(*self.known.of(self.units.findall(normal)))
-            # The first mark is the model's own and is not decoded.
-            digits, decoded = ",".join(digits), "".join(decoded)[1:]
-            ids, widths = (np.frombuffer(b"".join(x), "<i4") for x in (ids, widths))
+            return _NOTHING
+        ids = self.library.encode(text)
+        widths = [self.widths[i] for i in ids]
+        widths = np.array(self._unknown(normal, ids, widths) if 0 in ids else widths, np.int64)
+        return self._spans(np.array(ids, np.int32), ",".join(map(str, ids)), widths, self.library.decode(ids), source)
+
+    def _spans(self, ids, digits, widths, decoded, source):
         ends = np.cumsum(widths)
         if ends[-1] != len(source) - 1:
             raise ValueError("pieces do not tile the normalised text")
@@ -284,9 +319,7 @@ def encode(docs: DataFrame, model_path: str, outputs: Sequence[str] = ("ids", "s
         own = encoder(model_path)
         for b in batches:
             found = []
-            # Small slices keep the arrays of long texts few at a time.
-            for t in b.column(len(fields)):
-                n, digits, ids, first, end, decoded = own.encode(t.as_py())
+            for n, digits, ids, first, end, decoded in own.encode_all(b.column(len(fields)).to_pylist()):
                 found.append(_row(names, n, digits, ids, first, end, decoded))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:len(fields)], pa.array(found, arrow)], names=[*[f.name for f in fields], column]
