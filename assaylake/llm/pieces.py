@@ -185,11 +185,11 @@ class Encoder:
         across = any(a != MARK and b == MARK for p in self.model.pieces for a, b in zip(p, p[1:]))
         alone = "" if "\n" in joined else "\n"
         self.plain = not self.model.map.units and not self.model.trim and self.model.dummy_prefix and not across
-        # Signs that follow a letter in no piece: a word ends before them.
-        letter = lambda c: c.isalnum() and not c.isdecimal()
-        after = {b for p in self.model.pieces for a, b in zip(p, p[1:]) if letter(a)}
-        ends = "".join(re.escape(c) for c in ".,;:!?|*#$%&" if c not in after)
-        word = rf"{MARK}*[^\W\d_]+(?=[{ends}{MARK}{alone}]|\Z)|" if ends else ""
+        # A word ends before these signs, as no piece joins them to the letter before; letters for which one does are left out.
+        signs = ".,;:!?|*#$%&"
+        out = {a for p in self.model.pieces for a, b in zip(p, p[1:]) if b in signs and a.isalnum() and not a.isdecimal()}
+        letters = r"[^\W\d_" + re.escape("".join(sorted(out))) + "]"
+        word = rf"{MARK}*{letters}+(?=[{re.escape(signs)}{MARK}{alone}]|\Z)|"
         self.units = re.compile(word + f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else ""))
         self.widths = [self._width(i) for i in range(self.library.vocab_size())]
         n = self.library.vocab_size()
