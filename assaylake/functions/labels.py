@@ -86,24 +86,6 @@ FRESH_MINUTES = {"telemetry": 20, "pak": 30, "lims": 2880}
 # Fixed values - namespaces of the two installations.
 STAGE_OF_NAMESPACE = {"АВТ": "avt", "avt": "avt", "24-2000": "ht", "Гидроочистка": "ht", "ht": "ht"}
 
-# Fixed values - corrected virtual-analyser expressions that replace the inventoried text.
-FORMULA_CORRECTIONS = {
-    "24-2000:GODT:T90": "162.998+0.12945*T12+59.57*(F15/2000)+0.00036*W7+0.26366*T23-424.72638*F1/F26",
-    "24-2000:GODT:T50": "44.625+10.0224*P13+0.06981*F9+0.471*T6",
-    "24-2000:GODT:CloudPoint": (
-        "0.0002*F22+0.0021*W7+0.00008*F25-0.30656*F1+0.12018*T6"
-        "+0.01916*F9-48.254-0.05249*T16+0.00011"
-    ),
-    "24-2000:GODT:CFPP": "0.22088*T23-102.375-47.75834*P8+0.03862*F9+43.60207*W7+43.81849*P24",
-    "24-2000:GODT:T95": "0.03814*F9-9.201-0.00002*F2+0.50*T6+0.48321*LIMS:24-2000.Pipeline.95%.T",
-    "AVT6:240-350:D15": "791.22872-5.30294*(F65/(F32+F30))+0.52755*T66-0.15629*T33",
-    "AVT6:240-350:CFPP": "31.40363-0.06784*T33+17.411*P67-8.11544*P4-0.47309*F65/(F32+F30)",
-    "AVT6:350:T50": (
-        "493.6798+1.281193*T42-0.955342*T48-0.018454*F31+0.265904*F57-0.082047*T66-0.545083*T33"
-    ),
-    "AVT6:350:I350": "39.562-1.62865*L43+0.76664*T6-0.22361*T18+0.00031*F64*(T15-T11)",
-}
-
 
 def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(values.items())])

@@ -73,7 +73,7 @@ def assign_chunks(
     sub = F.floor(offset * parts / F.lit(float(width))).cast("long")
     return (
         df.withColumn("_bucket", bucket)
-        .join(F.broadcast(hot), condition, "left")
+        .join(hot, condition, "left")
         .withColumn(out, F.col("_bucket") * F.lit(MAX_PARTS) + sub)
         .drop("_bucket", "_hot_bucket", "_parts", *[f"_hot_{k}" for k in keys])
     )

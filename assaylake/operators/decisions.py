@@ -81,9 +81,12 @@ def reason_order(codes: str = "codes", position: str = "position", only: Column
     return F.transform(F.array_sort(F.array_compact(F.array(*arms))), lambda x: x["code"])
 
 
-def decide(evaluated: DataFrame, keys: Sequence[str] = ("scenario_id",), cooldown: dict | None = None) -> DataFrame:
+def decide(evaluated: DataFrame, keys: Sequence[str] = ("scenario_id",), cooldown_minutes: float = 60.0) -> DataFrame:
     """One decision per scenario.
 
+    If ``evaluated`` has ``as_of`` and ``last_recommended_at``, an improvement within ``cooldown_minutes`` of the last
+    recommendation is held back (``ACTION_COOLDOWN``); a last recommendation after ``as_of`` is an error.
+
     The candidates of a scenario come out of one row, so the grouping is almost entirely map-side; a
     scenario never has more candidates than the grid limit.
     """
@@ -92,6 +95,7 @@ def decide(evaluated: DataFrame, keys: Sequence[str] = ("scenario_id",), cooldow
     shown = [c for c in ("sulfur_upper", "t95_upper", "cetane_lower", "fractions", "dose") if c in evaluated.columns]
     body = F.struct("candidate_id", *CRITERIA, "change_size", *shown)
     thresholds = [c for c in ("min_risk", "min_throughput", "min_cost") if c in evaluated.columns]
+    timed = [c for c in ("as_of", "last_recommended_at") if {"as_of", "last_recommended_at"} <= {*evaluated.columns}]
     grouped = evaluated.groupBy(*keys).agg(
         F.max_by(body, is_hold.cast("int")).alias("hold"),
         F.bool_or(is_hold & ok).alias("hold_feasible"),
@@ -100,7 +104,7 @@ def decide(evaluated: DataFrame, keys: Sequence[str] = ("scenario_id",), cooldow
         F.slice(F.array_sort(F.collect_list(F.when(ok, key))), 1, 4).alias("_top"),
         reason_order().alias("_all_reasons"),
         reason_order(only=is_hold).alias("_hold_reasons"),
-        *[F.first(c).alias(c) for c in thresholds],
+        *[F.first(c).alias(c) for c in [*thresholds, *timed]],
     )
     lim = {c: F.col(c) if c in thresholds else F.lit(0.0) for c in ("min_risk", "min_throughput", "min_cost")}
     policy = change_policy(
@@ -110,6 +114,12 @@ def decide(evaluated: DataFrame, keys: Sequence[str] = ("scenario_id",), cooldow
     none = F.col("feasible_candidates") == 0
     held = F.col("hold_feasible")
     decided = grouped.withColumn("_policy", policy)
+    if timed:
+        elapsed = (F.unix_micros(F.col("as_of").cast("timestamp")) - F.unix_micros(F.col("last_recommended_at").cast("timestamp"))) / 60e6
+        checked = F.when(elapsed < 0, F.raise_error("a last recommendation lies after the decision time").cast("double")).otherwise(elapsed)
+        cold = F.col("_policy.allow") & F.coalesce(checked < cooldown_minutes, F.lit(False))
+        decided = decided.withColumn("_policy", F.when(cold, F.col("_policy").withField("allow", F.lit(False)).withField(
+            "reason", F.lit("ACTION_COOLDOWN"))).otherwise(F.col("_policy")))
     status = (
         F.when(held & (none | ~F.col("_policy.allow")), "hold").when(held, "recommend")
         .when(none, "abstain").otherwise("recommend")
@@ -177,7 +187,7 @@ def severity_index(snapshot: DataFrame, factors: DataFrame) -> DataFrame:
     """
     from assaylake.functions.scalars import severity
 
-    rows = snapshot.join(F.broadcast(factors), "signal_id")
+    rows = snapshot.join(factors, "signal_id")
     issue = (
         F.when(F.col("selected").isNull(), "MISSING_REQUIRED_SIGNAL")
         .when(F.col("selected.unit") != F.col("unit"), "UNIT_UNCONFIRMED")

@@ -196,7 +196,9 @@ def event_metrics(
         F.avg((F.col(score) - F.col("_actual").cast("double")) ** 2).alias("brier"),
     )
     zero = F.lit(0).cast("long")
-    out = plain.join(events, g, "left").join(hours, g, "left").select(
+    # One row per group from each: put together by an aggregate, which needs no join where there is one group.
+    stacked = plain.unionByName(events, allowMissingColumns=True).unionByName(hours, allowMissingColumns=True)
+    out = stacked.groupBy(g).agg(*[F.max(c).alias(c) for c in stacked.columns if c != g]).select(
         g,
         F.coalesce("event_count", zero).alias("event_count"),
         F.coalesce("detected_events", zero).alias("detected_events"),

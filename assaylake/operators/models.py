@@ -350,8 +350,13 @@ def fit_lab_correction(frame: DataFrame, names: Sequence[str]) -> dict:
 def rolling_scores(
     frame: DataFrame, names: Sequence[str], family: str, start: str, end: str, *, step: str, horizons: Sequence[int],
     weight: str | None = "weight", cap: int | None = None, delta: bool = True,
+    rounds: int = 5,
 ) -> DataFrame:
-    """Out-of-fold probabilities per horizon (and the predicted change) over rolling folds."""
+    """Out-of-fold probabilities per horizon (and, with ``delta``, the predicted change) over rolling folds.
+
+    ``cap`` bounds the rows a *classifier* is fitted on, all positives first; the regression of the change sees all rows.
+    ``rounds`` are the boosting rounds of the boosted family.
+    """
     from assaylake.operators.splits import cap_training_rows
 
     folded = materialise(rolling_folds(frame, start, end, step), "rolling-folds")
@@ -362,16 +367,17 @@ def rolling_scores(
     for s in starts:
         one = folded.filter(F.col("fold_start") == F.lit(s).cast("timestamp_ntz"))
         train, score = one.filter("role = 'train'"), one.filter("role = 'validation'")
+        labelled = train
         if cap:
             positive = reduce(lambda a, b: a | b, [F.col(f"crossing_{h}m") for h in horizons])
-            train = cap_training_rows(train, cap, "row_id", positive, 42)
+            labelled = cap_training_rows(train, cap, "row_id", positive, 42)
         w = F.col(weight) if weight else F.lit(1.0)
         for h in horizons:
-            model = fit_classifier(train, names, f"crossing_{h}m", family, w, maxIter=5)
+            model = fit_classifier(labelled, names, f"crossing_{h}m", family, w, maxIter=rounds)
             score = probability(model, score, names, f"p_{h}m")
         if delta:
             reg = fit_regression(train, names, "delta_60m", "boosted" if family == "boosted" else "ridge",
-                                 **({"maxIter": 5, "maxDepth": 3} if family == "boosted" else {}))
+                                 **({"maxIter": rounds, "maxDepth": 3} if family == "boosted" else {}))
             score = predict(reg, score, names, "predicted_delta")
         parts.append(score.drop("fold_start", "role"))
     if not parts:

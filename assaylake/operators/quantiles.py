@@ -13,8 +13,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assaylake.operators.chunks import carry_forward
+from assaylake.session import materialise
 
-CUTS = 128
+#: Distinct values of a chunk, about.
+CHUNK_VALUES = 500_000
+LEAST_CUTS = 128
+
+
+def _ranked(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """Distinct values ``_x`` with their number ``_n``, the number up to them ``_upto``, and the group's ``_total``.
+
+    Values are counted once and written.  The number of chunks follows the number of distinct values, so that
+    chunks stay even however many there are.  Without keys the cuts are one short array, which needs no join.
+    """
+    counts = materialise(
+        df.select(*keys, value.alias("_x")).filter(F.col("_x").isNotNull()).groupBy(*keys, "_x").agg(F.count("*").alias("_n")),
+        "value-counts",
+    )
+    n_cuts = max(LEAST_CUTS, counts.count() // CHUNK_VALUES)
+    cuts = F.percentile_approx("_x", [i / n_cuts for i in range(1, n_cuts)], max(1000, 10 * n_cuts))
+    if keys:
+        groups = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"), cuts.alias("_cuts"))
+        placed = counts.join(groups, keys)
+    else:
+        row = counts.agg(F.sum("_n").alias("total"), cuts.alias("cuts")).first()
+        placed = counts.withColumn("_total", F.lit(row["total"]).cast("long")).withColumn(
+            "_cuts", F.array(*[F.lit(c) for c in row["cuts"] or []]).cast(f"array<{counts.schema['_x'].dataType.simpleString()}>"))
+    placed = placed.withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).cast("long")).drop("_cuts")
+    held = keys or ["_all"]
+    placed = placed if keys else placed.withColumn("_all", F.lit(0))
+    return carry_forward(placed, held, "_x", [], {"_upto": ("sum", F.col("_n"))})
 
 
 def exact_quantiles(
@@ -25,49 +53,25 @@ def exact_quantiles(
     The table of cuts has one short array per group and joins on the group key.
     """
     keys = list(keys)
-    held = not keys
-    if held:
-        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-    counts = (
-        df.select(*keys, value.alias("_x")).filter(F.col("_x").isNotNull()).groupBy(*keys, "_x")
-        .agg(F.count("*").alias("_n"))
-    )
-    cuts = [i / CUTS for i in range(1, CUTS)]
-    groups = counts.groupBy(*keys).agg(
-        F.sum("_n").alias("_total"), F.percentile_approx("_x", cuts, 1000).alias("_cuts")
-    )
-    placed = counts.join(groups, keys).withColumn(
-        "_chunk", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).cast("long")
-    ).drop("_cuts")
-    ranked = carry_forward(placed, keys, "_x", [], {"_upto": ("sum", F.col("_n"))})
+    ranked = _ranked(df, keys, value)
     picks: list[Column] = [F.max("_total").alias("n")]
     for name, q in probs.items():
         pos = F.lit(q) * (F.col("_total") - 1)
         for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             hit = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
             picks.append(F.max(F.when(hit, F.col("_x"))).alias(f"_{side}_{name}"))
-    found = ranked.groupBy(*keys).agg(*picks)
+    found = ranked.groupBy(*keys).agg(*picks).filter("n IS NOT NULL")
     out = []
     for name, q in probs.items():
         pos = F.lit(q) * (F.col("n") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return found.select(*([] if held else keys), *out, "n")
+    return found.select(*keys, *out, "n")
 
 
 def value_at_rank(df: DataFrame, value: Column, rank) -> DataFrame:
     """The value at a 0-based rank of the whole column; ``rank`` maps the count to the wanted rank."""
-    counts = df.select(value.alias("_x")).filter(F.col("_x").isNotNull()).groupBy("_x").agg(
-        F.count("*").alias("_n")
-    ).withColumn("_all", F.lit(0))
-    cuts = [i / CUTS for i in range(1, CUTS)]
-    groups = counts.groupBy("_all").agg(
-        F.sum("_n").alias("_total"), F.percentile_approx("_x", cuts, 1000).alias("_cuts")
-    )
-    placed = counts.join(groups, "_all").withColumn(
-        "_chunk", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).cast("long")
-    ).drop("_cuts")
-    ranked = carry_forward(placed, ["_all"], "_x", [], {"_upto": ("sum", F.col("_n"))})
+    ranked = _ranked(df, [], value)
     wanted = rank(F.col("_total"))
     return ranked.filter((F.col("_upto") - F.col("_n") <= wanted) & (wanted < F.col("_upto"))).select(
         F.col("_x").alias("value"), F.col("_total").alias("n")

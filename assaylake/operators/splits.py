@@ -125,7 +125,7 @@ def cap_training_rows(frame: DataFrame, cap: int, row_id: str, positive: Column,
     cells = hashed.groupBy(F.floor(F.col("_rank") * 2048).cast("long").alias("_cell")).count()
     upto = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cut = cells.select("_cell", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_before"))
-    tagged = hashed.withColumn("_cell", F.floor(F.col("_rank") * 2048).cast("long")).join(F.broadcast(cut), "_cell")
+    tagged = hashed.withColumn("_cell", F.floor(F.col("_rank") * 2048).cast("long")).join(cut, "_cell")
     inside = F.row_number().over(Window.partitionBy("_cell").orderBy("_rank", row_id))
     # Only the cell that holds the cut-off needs an order inside it.
     return (

@@ -130,12 +130,12 @@ STATUS = "CASE WHEN r = 'OK' THEN 'pass' WHEN r IN ('UNCERTAINTY_UNAVAILABLE', '
 
 @query("constraint_join", f"""
 WITH {SCENARIO_SQL}, k AS (SELECT scenario_id, candidate_id, unnest(['blend_sulfur', 'blend_t95', 'blend_cetane']) AS constraint_id,
-  unnest([round(sulfur_upper, 6), round(t95_upper, 6), round(cetane_lower, 6)]) AS actual, unnest([c1, c2, c3]) AS r FROM chk WHERE candidate_id = 'hold')
-SELECT scenario_id, constraint_id, actual, r AS reason_code, {STATUS} AS status FROM k""")
+  unnest([round(sulfur_upper, 6), round(t95_upper, 6), round(cetane_lower, 6)]) AS actual, unnest([c1, c2, c3]) AS r FROM chk)
+SELECT scenario_id, candidate_id, constraint_id, actual, r AS reason_code, {STATUS} AS status FROM k""")
 def constraint_join(t):
-    """Each scenario constraint met by the metric it names, for the current recipe."""
-    rows = long_checks(t).filter((F.col("candidate_id") == "hold") & F.col("constraint_id").startswith("blend_"))
-    return rows.select("scenario_id", "constraint_id", F.round("actual", 6).alias("actual"), "reason_code", "status")
+    """Each scenario constraint met by the metric it names, for every candidate."""
+    rows = long_checks(t).filter(F.col("constraint_id").startswith("blend_"))
+    return rows.select("scenario_id", "candidate_id", "constraint_id", F.round("actual", 6).alias("actual"), "reason_code", "status")
 
 
 @query("constraint_check", f"""

@@ -73,7 +73,7 @@ def canonical_signal(t):
         .otherwise(F.col("p_type"))
     )
     named = t.part.select("p_partkey", c.prefixed("avt", raw).alias("raw_name"))
-    tags = F.broadcast(brand_tags(t).select("raw_name", "signal_id"))
+    tags = brand_tags(t).select("raw_name", "signal_id")
     return named.join(tags, "raw_name", "left").select(
         "p_partkey", F.coalesce("signal_id", "raw_name").alias("signal_id")
     )

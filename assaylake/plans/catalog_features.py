@@ -77,7 +77,7 @@ SELECT entity, as_of, CASE WHEN signal_id = 'ht:sulfur' THEN 'quality' ELSE 'pro
   CASE WHEN value IS NULL THEN 'missing' WHEN fresh THEN 'fresh' ELSE 'stale' END AS freshness FROM sel"""))
 def stage_dashboard(t):
     groups = t.spark.createDataFrame([("ht:sulfur", "quality"), ("click", "process"), ("view", "process")], "signal_id string, page_group string")
-    rows = snapshot(t, prefer_fresh=False).join(F.broadcast(groups), "signal_id")
+    rows = snapshot(t, prefer_fresh=False).join(groups, "signal_id")
     return rounded(rows.select(
         "entity", "as_of", "page_group", "signal_id", F.col("selected.value").alias("value"), F.col("selected.source").alias("source"),
         F.when(F.col("selected").isNotNull(), F.greatest(minutes_between("as_of", "selected.measured_at"), F.lit(0.0))).alias("age_minutes"),

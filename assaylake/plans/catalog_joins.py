@@ -103,16 +103,16 @@ def asof_exact(t):
 
 
 @query("asof_forward_tol", with_views("tele pak", """
-SELECT q.entity, q.ts, CASE WHEN p.measured_at <= q.ts + INTERVAL 70 MINUTE THEN p.value END AS value_60m
-FROM (SELECT * FROM tele WHERE signal_id = 'view') q
+SELECT q.entity, q.signal_id, q.ts, CASE WHEN p.measured_at <= q.ts + INTERVAL 70 MINUTE THEN p.value END AS value_60m
+FROM tele q
 ASOF LEFT JOIN pak p ON q.entity = p.entity AND q.ts + INTERVAL 60 MINUTE <= p.measured_at"""))
 def asof_forward_tol(t):
-    views = telemetry(t).filter(F.col("signal_id") == "view").select("entity", "ts")
+    views = telemetry(t).select("entity", "signal_id", "ts")
     return a.asof(
         views, analyser(t).select("entity", "measured_at", "value"), keys=["entity"],
         query_ts=plus_minutes("ts", 60), event_ts="measured_at", take=["value"], direction="forward",
         tolerance_minutes=10, prefix="p_",
-    ).select("entity", "ts", F.col("p_value").alias("value_60m"))
+    ).select("entity", "signal_id", "ts", F.col("p_value").alias("value_60m"))
 
 
 @query("asof_bitemporal", with_views("pak late", """
@@ -165,7 +165,7 @@ def tag_antijoin(t):
         t.part.groupBy(F.col("p_brand").alias("raw_name")).agg(F.count("*").alias("n")))
     confirmed = brand_tags(t).filter(F.col("mapping_status") == "confirmed").select(
         F.substring_index("raw_name", ":", -1).alias("raw_name"))
-    return names.join(F.broadcast(confirmed), "raw_name", "left_anti")
+    return names.join(confirmed, "raw_name", "left_anti")
 
 
 WANTED = [("ht:sulfur", "pak"), ("ht:sulfur", "lims"), ("click", "telemetry"), ("view", "telemetry")]

@@ -599,4 +599,4 @@ UNION ALL SELECT 'quality', count(*), min(measured_at), max(measured_at) FROM qu
 def dataset_manifest(t):
     from assaylake.sources.prepared import manifest_rows
 
-    return manifest_rows({"telemetry": (telemetry(t), "ts"), "quality": (quality(t), "measured_at")}).drop("fingerprint")
+    return manifest_rows({"telemetry": (telemetry(t), "ts"), "quality": (quality(t), "measured_at")}).drop("fingerprint", "hash_sum")

@@ -87,7 +87,7 @@ def joint_applicability(t):
 @query("risk_classifier")
 def risk_classifier(t):
     frame = training_frame(t)
-    model = md.fit_risk_model(frame, FEATURES, limit=LIMIT, weights=(1.0, 5.0))
+    model = md.fit_risk_model(frame, FEATURES, limit=LIMIT)
     test = model.score(frame.filter("split = 'test' AND y IS NOT NULL AND baseline IS NOT NULL"))
     out = test.agg(*m.alarm_columns(F.col("y") > LIMIT, F.col("p"), model.threshold))
     return out.select(F.lit(model.family).alias("family"), F.lit(model.positive_weight).alias("positive_weight"), F.lit(model.threshold).alias("threshold"), "*")
@@ -116,6 +116,18 @@ def episode_training(t):
     return materialise(sp.episode_weights(frame.withColumn("_w", F.date_trunc("week", "as_of")), period="_w").drop("_w"), "episode-training")
 
 
+PERIOD = "8 DAY"
+HORIZONS_AHEAD = (10, 20, 30, 60)
+
+
+def periods(frame) -> list[str]:
+    """Starts of three folds of eight days, and the end, counted back from the last row."""
+    row = frame.agg(F.max("as_of").alias("b")).select(*[
+        F.date_format(F.date_add(F.to_date("b"), 1 - 8 * k), "yyyy-MM-dd").alias(f"c{k}") for k in (3, 2, 1, 0)
+    ]).first()
+    return list(row)
+
+
 @query("cap_training_rows")
 def cap_training_rows(t):
     frame = episode_training(t)
@@ -127,9 +139,10 @@ def cap_training_rows(t):
 def episode_forecaster(t):
     """Families compared on one period, calibrated and thresholded on the next, audited on the last."""
     frame = episode_training(t)
+    first, second, third, end = periods(frame)
     reports, picks = [], []
     for order, family in enumerate(("logistic", "boosted")):
-        rows = md.rolling_scores(frame, EPISODE_FEATURES, family, "2024-01-08", "2024-01-16", step="8 DAY", horizons=(10, 60))
+        rows = md.rolling_scores(frame, EPISODE_FEATURES, family, first, second, step=PERIOD, horizons=HORIZONS_AHEAD)
         threshold = event_threshold(rows, limit=LIMIT)
         figures = m.event_metrics(rows, threshold=threshold, limit=LIMIT).first()
         mae = rows.agg(F.avg(F.abs(F.col("y_60m") - F.col("baseline") - F.col("predicted_delta"))).alias("e")).first()["e"]
@@ -138,11 +151,11 @@ def episode_forecaster(t):
         picks.append((0 if ok else 1, 1.0 if fnr is None else fnr, figures["brier"], mae, order, family))
         reports.append(("selection", family, threshold, figures["event_count"], fnr, figures["event_false_positive_rate"]))
     family = min(picks)[-1]
-    tuned = md.rolling_scores(frame, EPISODE_FEATURES, family, "2024-01-16", "2024-01-24", step="8 DAY", horizons=(10, 60), delta=False)
+    tuned = md.rolling_scores(frame, EPISODE_FEATURES, family, second, third, step=PERIOD, horizons=HORIZONS_AHEAD, delta=False)
     calibration = md.fit_platt(tuned, "p", "crossing_60m")
     policy = materialise(tuned.withColumn("p", md.platt(F.col("p"), calibration)), "policy")
     threshold = event_threshold(policy, limit=LIMIT)
-    audit = md.rolling_scores(frame, EPISODE_FEATURES, family, "2024-01-24", "2024-02-01", step="8 DAY", horizons=(10, 60), delta=False)
+    audit = md.rolling_scores(frame, EPISODE_FEATURES, family, third, end, step=PERIOD, horizons=HORIZONS_AHEAD, delta=False)
     audit = audit.withColumn("p", md.platt(F.col("p"), calibration))
     for stage, rows in (("threshold", policy), ("audit", audit)):
         f = m.event_metrics(rows, threshold=threshold, limit=LIMIT).first()
@@ -154,10 +167,16 @@ def episode_forecaster(t):
 def episode_scoring(t):
     """One forecast record per decision time with horizon probabilities and ordered reasons."""
     frame = episode_training(t)
-    rows = md.rolling_scores(frame, EPISODE_FEATURES, "logistic", "2024-01-16", "2024-01-31", step="15 DAY", horizons=(10, 20, 30, 60))
-    model = md.fit_joint_applicability(frame.filter("as_of < '2024-01-16'"), EPISODE_FEATURES, ["baseline"])
-    ready = model.score(rows).withColumn("point", F.col("baseline") + F.col("predicted_delta")).withColumn("upper", F.col("point") + 15.0)
-    alarmed = composite_alarm(ready, threshold=0.5, limit=LIMIT)
+    first, second, _, end = periods(frame)
+    with_point = lambda df: df.withColumn("point", F.col("baseline") + F.col("predicted_delta"))
+    # Threshold and upper shift come from the period before the one that is scored.
+    tuned = with_point(md.rolling_scores(frame, EPISODE_FEATURES, "logistic", first, second, step=PERIOD, horizons=HORIZONS_AHEAD))
+    threshold = event_threshold(tuned, limit=LIMIT)
+    shift = md.conformal_shift(tuned.withColumn("y", F.col("y_60m")).filter("y IS NOT NULL"), "point")
+    rows = md.rolling_scores(frame, EPISODE_FEATURES, "logistic", second, end, step=PERIOD, horizons=HORIZONS_AHEAD)
+    model = md.fit_joint_applicability(frame.filter(F.col("as_of") < F.lit(second).cast("timestamp_ntz")), EPISODE_FEATURES, ["baseline"])
+    ready = with_point(model.score(rows)).withColumn("upper", F.col("point") + shift)
+    alarmed = composite_alarm(ready, threshold=threshold, limit=LIMIT)
     from assaylake.functions.scalars import running_maximum
 
     calm = running_maximum({f"p_{h}m": F.col(f"p_{h}m") for h in (10, 20, 30, 60)})
@@ -172,7 +191,7 @@ def feature_ablation(t):
     out = []
     for name, features in groups.items():
         for family in ("logistic", "boosted"):
-            rows = md.rolling_scores(frame, features, family, "2024-01-16", "2024-01-24", step="8 DAY", horizons=(60,), cap=20_000)
+            rows = md.rolling_scores(frame, features, family, *periods(frame)[1:3], step=PERIOD, horizons=(60,), cap=20_000, delta=False)
             threshold = event_threshold(rows, limit=LIMIT)
             f = m.event_metrics(rows, threshold=threshold, limit=LIMIT).first()
             out.append((name, family, len(features), f["event_false_negative_rate"], f["event_false_positive_rate"], f["row_false_positive_rate"], f["brier"]))

@@ -187,7 +187,7 @@ def write_prepared(t):
     target = pr.write_prepared(root, tables, {"telemetry": "signal_id"})
     if pr.write_prepared(root, tables) != target:
         raise ValueError("the same tables must give the same dataset")
-    return t.spark.read.parquet(f"{target}/manifest").drop("fingerprint")
+    return t.spark.read.parquet(f"{target}/manifest").drop("fingerprint", "hash_sum")
 
 
 @query("scan_rule_dim", with_views("tele", """

@@ -39,13 +39,15 @@ def pin_session(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    The setting is the cluster's shared folder.  Only where it is unset (tests on one machine) a
-    temporary folder takes its place.
+    The setting is the cluster's shared folder.  Only on one machine a temporary folder takes the place of
+    an unset one; on a cluster that is an error, as executors would each write to their own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if root is None:
+        if not spark.conf.get("spark.master", "local").startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="assaylake-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)

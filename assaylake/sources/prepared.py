@@ -13,6 +13,8 @@ def manifest_rows(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
             F.lit(name).alias("table_name"), F.count("*").alias("row_count"),
             F.min(ts).alias("min_at"), F.max(ts).alias("max_at"),
             F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("fingerprint"),
+            # Equal rows cancel in the exclusive or, but not in the sum.
+            F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).alias("hash_sum"),
         ))
     out = parts[0]
     for p in parts[1:]:
@@ -23,7 +25,7 @@ def manifest_rows(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 def dataset_identity(manifest: DataFrame, version: str = "1") -> str:
     """12 characters over the sorted table fingerprints; the manifest has one row per table."""
     row = manifest.agg(F.substring(F.sha2(F.concat_ws(
-        "\n", F.array_sort(F.collect_list(F.concat_ws("|", "table_name", F.col("row_count").cast("string"), F.col("fingerprint").cast("string")))),
+        "\n", F.array_sort(F.collect_list(F.concat_ws("|", "table_name", F.col("row_count").cast("string"), F.col("fingerprint").cast("string"), F.col("hash_sum").cast("string")))),
         F.lit(version)), 256), 1, 12).alias("id")).first()
     return row["id"]
 

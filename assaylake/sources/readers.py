@@ -58,7 +58,7 @@ def scan_telemetry(spark, path: str, namespace: str, tags: DataFrame, zone: str
     tall = raw.select("date", c.utc_of(F.col("date"), zone).alias("ts"), F.explode(F.array(*[
         F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").alias("text")) for n in names])).alias("_v")
     ).select("date", "ts", "_v.column", "_v.text").withColumn("raw_name", c.prefixed(namespace, F.col("column")))
-    dim = F.broadcast(tags.select("raw_name", F.col("signal_id").alias("_signal"), F.col("mapping_status").alias("_status")))
+    dim = tags.select("raw_name", F.col("signal_id").alias("_signal"), F.col("mapping_status").alias("_status"))
     named = tall.join(dim, "raw_name", "left").withColumn("signal_id", F.coalesce("_signal", "raw_name")).withColumn(
         "value", c.number_of(F.col("text")))
     good = named.filter(F.col("ts").isNotNull())
@@ -105,7 +105,7 @@ def _observations(long: DataFrame, header: DataFrame, tags: DataFrame, *, source
 
     mapped = c.mapping_audit(header, tags).withColumn(
         "mapping_ref", F.concat(F.lit(f"{path}#columns="), F.col("column_no").cast("string"), F.lit(","), (F.col("column_no") + 1).cast("string")))
-    dim = F.broadcast(mapped.select("column_no", "signal_id", "unit", "conversion", "mapping_validity", F.col("source_stage").alias("stage")))
+    dim = mapped.select("column_no", "signal_id", "unit", "conversion", "mapping_validity", F.col("source_stage").alias("stage"))
     rows = long.join(dim, "column_no").select(
         "*",
         F.concat(F.lit(f"{path}#row="), F.col("row_no").cast("string"), F.lit(";columns="), F.col("column_no").cast("string"),

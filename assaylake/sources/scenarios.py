@@ -160,5 +160,5 @@ chk AS (SELECT *, sulfur_value IS NULL AS miss, cetane_value IS NULL OR cetane_l
    CASE WHEN fa * 100.0 <= ak THEN 'OK' ELSE 'COMPONENT_STOCK' END AS c4, CASE WHEN fb * 100.0 <= bk THEN 'OK' ELSE 'COMPONENT_STOCK' END AS c5,
    CASE WHEN dose <= 0.03 + 1e-9 THEN 'OK' ELSE 'ADDITIVE_LIMIT' END AS c6, CASE WHEN dose * 100 <= addk + 1e-9 THEN 'OK' ELSE 'ADDITIVE_STOCK' END AS c7 FROM met),
 ev AS (SELECT *, list_filter(list_concat(CASE WHEN unass THEN ['UNASSESSED_REQUIRED_PROPERTY'] WHEN nounc THEN ['UNCERTAINTY_UNAVAILABLE'] ELSE [] END, [c1, c2, c3, c4, c5, c6, c7]), lambda x: x <> 'OK') AS codes FROM chk),
-evf AS (SELECT *, len(codes) = 0 AS feasible FROM ev)""".replace('\"as\"', '"as"').replace("at_", '"at"')
+evf AS MATERIALIZED (SELECT *, len(codes) = 0 AS feasible FROM ev)""".replace('\"as\"', '"as"').replace("at_", '"at"')
 SCENARIO_SQL = SCENARIO_SQL.replace(" AS as,", ' AS "as",').replace(" AS at,", ' AS "at",')

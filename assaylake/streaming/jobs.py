@@ -10,34 +10,52 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from assaylake.functions.timecols import plus_minutes
 from assaylake.session import shared_dir
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def watch_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table file of a folder as a stream; the schema comes from the file, event time is zoned."""
+    """A table of a folder as a stream, one file or a directory of files; event time is zoned.
+
+    The path is written as a pattern that only it matches, because a stream takes a plain path for a directory.
+    """
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    rows = spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, purpose: str, write: Callable[[DataFrame, str], None] | None = None, mode: str = "append") -> str:
-    """Process everything available, then stop; returns the output folder."""
+def drain(
+    stream: DataFrame, purpose: str, write: Callable[[DataFrame, str], None] | None = None, mode: str = "append",
+    out: str | None = None, state: str | None = None,
+) -> str:
+    """Process everything available, then stop; returns the output folder.
+
+    With the folders ``out`` and ``state`` of an earlier call, the job goes on where that one stopped; a batch that was
+    interrupted replaces its own output.  Without them each call starts anew in fresh folders.
+    """
     spark = stream.sparkSession
-    out, state = shared_dir(spark, purpose), shared_dir(spark, f"{purpose}-state")
+    out, state = out or shared_dir(spark, purpose), state or shared_dir(spark, f"{purpose}-state")
 
     def put(batch: DataFrame, batch_id: int) -> None:
         (write or _plain)(batch, f"{out}/{{table}}/batch={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", state)
-        .trigger(availableNow=True).foreachBatch(put).start()
-    )
-    query.awaitTermination()
+    # A query copies its session's settings when it starts; the caller's own stay as they are.
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode).option("checkpointLocation", state)
+            .trigger(availableNow=True).foreachBatch(put).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
     return out
 
 
@@ -45,8 +63,14 @@ def _plain(batch: DataFrame, path: str) -> None:
     batch.write.mode("overwrite").parquet(path.format(table="rows"))
 
 
-def collected(spark: SparkSession, out: str, table: str = "rows") -> DataFrame:
-    return spark.read.parquet(f"{out}/{table}").drop("batch")
+def collected(spark: SparkSession, out: str, table: str = "rows", schema: str | None = None) -> DataFrame:
+    """What a job has written; with ``schema``, a job that had nothing to do counts as no rows."""
+    try:
+        return spark.read.parquet(f"{out}/{table}").drop("batch")
+    except AnalysisException as missing:
+        if schema is None or missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def clean_stream(stream: DataFrame, clean: Callable[[DataFrame], tuple[DataFrame, DataFrame]], purpose: str = "clean") -> str:
@@ -198,19 +222,13 @@ class SnapshotProcessor(StatefulProcessor):
     def close(self) -> None: ...
 
 
-def _with_rocks(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-
-
 def cooldown_stream(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    _with_rocks(changes.sparkSession)
     rows = changes.withWatermark("ts", delay).select("entity", "ts", F.unix_micros("ts").alias("us"), "value")
     return rows.groupBy("entity").transformWithStateInPandas(
         CooldownProcessor(), outputStructType="entity long, us long", outputMode="Append", timeMode="EventTime")
 
 
 def episode_stream(series: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    _with_rocks(series.sparkSession)
     rows = series.withWatermark("ts", delay).select("entity", "ts", F.unix_micros("ts").alias("us"), "value")
     return rows.groupBy("entity").transformWithStateInPandas(
         EpisodeProcessor(), outputStructType="entity long, episode_id long, start_us long, end_us long, n long",
@@ -218,25 +236,68 @@ def episode_stream(series: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def snapshot_stream(quality: DataFrame) -> DataFrame:
-    _with_rocks(quality.sparkSession)
     return quality.groupBy("entity", "source").transformWithStateInPandas(
         SnapshotProcessor(), outputStructType="entity long, source string, latest_us long, latest_value double, usable_us long, usable_value double",
         outputMode="Update", timeMode="None")
 
 
-def published_pairs(queries: DataFrame, lab: DataFrame, reach_minutes: int = 720, delay: str = "30 minutes") -> DataFrame:
-    """Stream-stream interval join: each query meets the laboratory rows published within its reach.
+class PublishedProcessor(StatefulProcessor):
+    """Meets queries with the latest *measured* laboratory row among those published by then.
 
-    The latest *measured* row per query is then one aggregate over the pairs (``latest_published``).
+    The state keeps that one row and what the watermark has not passed, however long ago the row was published.
     """
-    q = queries.withWatermark("ts", delay).select("entity", "observation_id", F.col("ts").alias("query_at"))
-    e = lab.withWatermark("available_at", delay).select(
-        F.col("entity").alias("_entity"), "available_at", "measured_at", F.col("value").alias("lab_value"))
-    near = (
-        (F.col("entity") == F.col("_entity")) & (F.col("available_at") <= F.col("query_at"))
-        & (F.col("available_at") >= F.col("query_at") - F.make_dt_interval(mins=F.lit(reach_minutes))))
-    return q.join(e, near).drop("_entity")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getListState("open", "us long, asks int, id long, value double")
+        self._best = handle.getValueState("best", "measured long, value double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for chunk in rows:
+            if len(chunk):
+                held = [tuple(r) for r in chunk[["us", "asks", "id", "value"]].itertuples(index=False)]
+                self._open.appendList([(int(u), int(a), int(i), float(v)) for u, a, i, v in held])
+                first = min([int(r[0]) for r in held] + ([] if first is None else [first]))
+        if first is not None:
+            self._handle.registerTimer(first // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        # At one instant, publications come before queries.
+        rows = sorted((tuple(r) for r in self._open.get()), key=lambda r: r[:3])
+        best = tuple(self._best.get()) if self._best.exists() else None
+        answers = []
+        for us, asks, number, value in (r for r in rows if r[0] <= mark):
+            if asks:
+                answers.append((key[0], number, None if best is None else best[1]))
+            elif best is None or number >= best[0]:
+                best = (number, value)
+        if best is not None:
+            self._best.update(best)
+        rest = [r for r in rows if r[0] > mark]
+        if rest:
+            self._open.put(rest)
+            self._handle.registerTimer(rest[0][0] // 1000 + 1)
+        else:
+            self._open.clear()
+        if answers:
+            yield pd.DataFrame(answers, columns=["entity", "observation_id", "last_value"]).astype({"last_value": "Float64"})
+
+    def close(self) -> None: ...
 
 
-def latest_published(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("entity", "observation_id").agg(F.max_by("lab_value", "measured_at").alias("last_value"))
+def published_answers(queries: DataFrame, lab: DataFrame, delay: str = "30 minutes") -> DataFrame:
+    """Each query (entity, observation_id, ts) with ``last_value``, null if nothing was published before it.
+
+    ``lab`` has entity, available_at, measured_at and value.  A query is answered once the watermark has passed it.
+    """
+    asks = queries.select("entity", F.col("ts").alias("at"), F.lit(1).alias("asks"), F.col("observation_id").alias("id"),
+                          F.lit(0.0).alias("value"))
+    known = lab.select("entity", F.col("available_at").alias("at"), F.lit(0).alias("asks"),
+                       F.unix_micros("measured_at").alias("id"), F.col("value").cast("double").alias("value"))
+    rows = asks.unionByName(known).withWatermark("at", delay)
+    return rows.select("entity", "at", F.unix_micros("at").alias("us"), "asks", "id", "value").groupBy("entity").transformWithStateInPandas(
+        PublishedProcessor(), outputStructType="entity long, observation_id long, last_value double",
+        outputMode="Append", timeMode="EventTime")
