@@ -33,7 +33,7 @@ from assaylake.session import materialise
 #: Window starts handled at once.
 PIECE = 1 << 19
 #: Bytes of segments whose suffix order is built at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 MOST_SEGMENTS = 20_000
 #: Up to so many wanted rows, their 64-bit hashes (16 MB) go to all tasks and keep other texts from moving.
 FILTER_ROWS = 1_000_000
@@ -257,7 +257,10 @@ def _wanted(docs: DataFrame, places: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, length: int, keep_first: bool = False, most: int = MOST_SEGMENTS) -> DataFrame:
     """Ranges of starts (file, row, start, n) of windows that are repeated; with ``keep_first`` all but the first of each."""
     runs = materialise(_runs(docs, length), "repeat-runs")
-    often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor")
+    # Written, so that the join has a shuffle of its own on both sides and Spark can split a hot anchor's rows.
+    often = materialise(
+        runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor"), "repeat-often"
+    )
     again = materialise(runs.join(often, "anchor"), "repeat-again")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "row", "start")
     segments = materialise(again.groupBy("anchor", "u1", "u2").agg(
