@@ -296,9 +296,30 @@ def isolated_changes(
 def steps_ahead(
     frame: DataFrame, series: DataFrame, *, keys: Sequence[str], as_of: str, ts: str, steps: Sequence[int]
 ) -> DataFrame:
-    """Long table of the values exactly ``step`` minutes after each decision time (equi-join)."""
-    asks = frame.select(*keys, as_of).select("*", F.explode(F.array(*[F.lit(s) for s in steps])).alias("step"))
-    return asks.withColumn(ts, plus_minutes(as_of, F.col("step"))).join(series, [*keys, ts])
+    """Long table of the values ``step`` minutes after each decision time, exact to ``SAME_INSTANT_US``.
+
+    Of several values near enough the nearest counts, and of equally near ones the earlier.  Both sides meet on whole
+    seconds: a wanted instant looks at its own second and its neighbours.
+    """
+    asks = frame.select(*keys, as_of).distinct().select("*", F.explode(F.array(*[F.lit(s) for s in steps])).alias("step"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    asks = asks.withColumn(ts, plus_minutes(as_of, F.col("step"))).withColumn("_at", micros(ts)).withColumn(
+        "_second", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("_at") / 1e6) + d))
+    )
+    values = [c for c in series.columns if c not in (*keys, ts)]
+    rows = series.select(
+        *keys, micros(ts).alias("_us"), F.floor(micros(ts) / 1e6).alias("_second"), F.struct(*values).alias("_row")
+    )
+    off = F.abs(F.col("_us") - F.col("_at"))
+    return (
+        asks.join(rows, [*keys, "_second"]).filter(off <= SAME_INSTANT_US)
+        .groupBy(*keys, as_of, "step", ts).agg(F.min_by("_row", F.struct(off.alias("off"), F.col("_us"))).alias("_row"))
+        .select(*keys, as_of, "step", ts, "_row.*")
+    )
+
+
+#: Two instants this near are the same.
+SAME_INSTANT_US = 1_000_000
 
 
 def half_split(df: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -53,27 +53,31 @@ def rolling_mean_std(t):
 
 
 @query("quality_rolling", with_views("pak", """
-SELECT q.entity, q.observation_id, round(avg(h.value), 6) AS mean_60m, round(stddev_pop(h.value), 6) AS std_60m
-FROM pak q LEFT JOIN pak h ON h.entity = q.entity AND h.measured_at BETWEEN q.measured_at - INTERVAL 120 MINUTE AND q.measured_at - INTERVAL 60 MINUTE
+SELECT q.entity, q.observation_id, round(avg(h.value) FILTER (h.measured_at >= q.measured_at - INTERVAL 120 MINUTE), 6) AS mean_60m,
+  round(stddev_pop(h.value) FILTER (h.measured_at >= q.measured_at - INTERVAL 120 MINUTE), 6) AS std_60m,
+  round(avg(h.value), 6) AS mean_180m, round(stddev_pop(h.value), 6) AS std_180m
+FROM pak q LEFT JOIN pak h ON h.entity = q.entity AND h.measured_at BETWEEN q.measured_at - INTERVAL 240 MINUTE AND q.measured_at - INTERVAL 60 MINUTE
 GROUP BY 1, 2"""))
 def quality_rolling(t):
     out = s.window_stats(decision_times(t), analyser(t), keys=["entity"], query_id="observation_id",
-                         query_ts="as_of", ts="measured_at", windows=(60,))
-    return out.select("entity", "observation_id", F.round("mean_60m", 6).alias("mean_60m"), F.round("std_60m", 6).alias("std_60m"))
+                         query_ts="as_of", ts="measured_at", windows=(60, 180))
+    return out.select("entity", "observation_id", *[F.round(n, 6).alias(n) for n in ("mean_60m", "std_60m", "mean_180m", "std_180m")])
 
 
 @query("rolling_min_max_range", with_views("frame pakg", """
 SELECT q.entity, q.target_at, min(h.value) FILTER (h.measured_at >= q.as_of - INTERVAL 30 MINUTE) AS min_30m,
-  max(h.value) FILTER (h.measured_at >= q.as_of - INTERVAL 30 MINUTE) AS max_30m, min(h.value) AS min_180m, max(h.value) AS max_180m,
-  round(max(h.value) - min(h.value), 6) AS range_180m
+  max(h.value) FILTER (h.measured_at >= q.as_of - INTERVAL 30 MINUTE) AS max_30m,
+  min(h.value) FILTER (h.measured_at >= q.as_of - INTERVAL 60 MINUTE) AS min_60m,
+  max(h.value) FILTER (h.measured_at >= q.as_of - INTERVAL 60 MINUTE) AS max_60m, min(h.value) AS min_180m, max(h.value) AS max_180m,
+  round(max_30m - min_30m, 6) AS range_30m, round(max_60m - min_60m, 6) AS range_60m, round(max(h.value) - min(h.value), 6) AS range_180m
 FROM frame q LEFT JOIN pakg h ON h.entity = q.entity AND h.measured_at BETWEEN q.as_of - INTERVAL 180 MINUTE AND q.as_of
 GROUP BY 1, 2"""))
 def rolling_min_max_range(t):
     series = analyser_grid(t)
     asks = series.select("entity", F.col("measured_at").alias("target_at"), plus_minutes("measured_at", -60).alias("as_of"))
     out = s.window_stats(asks, series, keys=["entity"], query_id="target_at", query_ts="as_of", ts="measured_at",
-                         windows=(30, 180), stats=("min", "max"))
-    return out.withColumn("range_180m", F.round(F.col("max_180m") - F.col("min_180m"), 6))
+                         windows=(30, 60, 180), stats=("min", "max"))
+    return out.withColumns({f"range_{w}m": F.round(F.col(f"max_{w}m") - F.col(f"min_{w}m"), 6) for w in (30, 60, 180)})
 
 
 @query("slope_acceleration", with_views("frame pakg", """

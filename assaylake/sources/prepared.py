@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from assaylake.session import materialise
+
 
 def manifest_rows(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Row count, time range and an order-free content fingerprint of each table."""
@@ -41,6 +43,8 @@ def write_prepared(root: str, tables: dict[str, tuple[DataFrame, str]], partitio
 
     A finished dataset of the same identity is left as it is; an unfinished one is an error.
     """
+    # Written once, so that manifest and published tables come from the same rows and nothing is evaluated twice.
+    tables = {name: (materialise(df, f"prepared-{name}"), ts) for name, (df, ts) in tables.items()}
     manifest = manifest_rows(tables)
     spark = manifest.sparkSession
     target = f"{root.rstrip('/')}/dataset_id={dataset_identity(manifest)}"

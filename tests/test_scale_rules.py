@@ -47,3 +47,16 @@ def test_cooldown_holds_an_improvement_back(spark):
     late = frame.withColumn("last_recommended_at", F.col("as_of") + F.expr("INTERVAL 1 MINUTE"))
     with pytest.raises(Exception, match="after the decision time"):
         decide(late).collect()
+
+
+def test_steps_ahead_takes_the_nearest_within_a_second(spark):
+    from assaylake.operators.series import steps_ahead
+
+    frame = spark.createDataFrame([(1, datetime(2024, 1, 1))], "entity int, as_of timestamp_ntz")
+    at = lambda *x: datetime(2024, 1, 1, 0, *x)
+    series = spark.createDataFrame(
+        [(1, at(9, 59, 300_000), 1.0), (1, at(10, 0, 600_000), 2.0), (1, at(20, 1, 1), 3.0), (1, at(29, 59, 0), 4.0)],
+        "entity int, ts timestamp_ntz, value double",
+    )
+    found = steps_ahead(frame, series, keys=["entity"], as_of="as_of", ts="ts", steps=(10, 20, 30)).collect()
+    assert {(r.step, r.value, r.ts) for r in found} == {(10, 2.0, at(10)), (30, 4.0, at(30))}
