@@ -6,6 +6,7 @@ ball.  From then on the ball stands for its members in two ways:
 * Index lists (token -> sets that have it in their prefix) hold a ball once, whatever its size, with bounds over its
   members: sizes, and how much of a set follows the token.  Lists are ordered by size and cut into blocks; pairs of
   blocks, and then of entries, whose bounds rule out the threshold by size or position are skipped.
+* Balls that links join already, directly or over others, are one part, and lists skip pairs inside a part.
 * Answers: two balls are compared through their leaders.  Jaccard distance is a metric, so the leaders' distance and the
   members' distances to them bound every distance between members; only members that the bounds leave open are compared
   themselves, and not at all when their balls are in one component already.
@@ -33,11 +34,11 @@ from assaylake.session import materialise
 #: Bands of two minima each; sets that agree in a band are compared with the band's smallest node.
 BANDS = 4
 #: A token is common if found in this share of all sets; there are at most mean set size / share of them.
-COMMON_SHARE = 0.0002
+COMMON_SHARE = 0.0001
 #: Tokens found so often in the texts of one task are counted for the order.
-LOCAL_COUNT = 3
+LOCAL_COUNT = 2
 #: A task that holds more counts than this forgets the tokens found once.
-LOCAL_TOKENS = 6_000_000
+LOCAL_TOKENS = 3_000_000
 #: Entries of a block of an index list.
 BLOCK = 64
 #: Up to so many wanted rows, their 64-bit hashes (16 MB) go to all tasks and keep other texts from moving.
@@ -219,35 +220,39 @@ def _distance():
 
 
 def _postings(members: DataFrame) -> DataFrame:
-    """Index entries (token, ball, least, most, rest) from (ball, n, prefix); a task's entries of a ball are merged."""
+    """Index entries (token, ball, part, least, most, rest) from (ball, part, n, prefix); a task's entries of a ball are merged."""
 
     def run(batches):
-        balls, sizes, prefixes, held = [], [], [], 0
+        owners, prefixes, held = [], [], 0
 
         def flush():
             length = np.array([len(p) // 8 for p in prefixes])
             token = np.frombuffer(b"".join(prefixes), np.int64)
-            ball, n = np.repeat(np.array(balls, np.int64), length), np.repeat(np.array(sizes, np.int64), length)
+            ball, part, n = (np.repeat(np.concatenate(x), length) for x in zip(*owners))
             rest = n - (np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length))
-            return _merge(token, ball, n, n, rest)
+            return _merge(token, ball, part, n, n, rest)
 
         for b in batches:
-            balls += b.column(0).to_pylist()
-            sizes += b.column(1).to_pylist()
-            prefixes += b.column(2).to_pylist()
-            held += b.column(2).nbytes
+            if not b.num_rows:
+                continue
+            owners.append([b.column(i).to_numpy() for i in range(3)])
+            prefixes += b.column(3).to_pylist()
+            held += b.column(3).nbytes
             if held > 1 << 24:
                 yield flush()
-                balls, sizes, prefixes, held = [], [], [], 0
-        if balls:
+                owners, prefixes, held = [], [], 0
+        if prefixes:
             yield flush()
 
-    return members.select("ball", "n", "prefix").mapInArrow(run, "token long, ball long, least long, most long, rest long")
+    return members.select("ball", "part", "n", "prefix").mapInArrow(run, _ENTRY)
+
+
+_ENTRY = "token long, ball long, part long, least long, most long, rest long"
 
 
-def _merge(token, ball, least, most, rest) -> pa.RecordBatch:
+def _merge(token, ball, part, least, most, rest) -> pa.RecordBatch:
     order = np.lexsort((ball, token))
-    token, ball, least, most, rest = (x[order] for x in (token, ball, least, most, rest))
+    token, ball, part, least, most, rest = (x[order] for x in (token, ball, part, least, most, rest))
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (ball[1:] != ball[:-1])
     first = np.flatnonzero(new)
@@ -255,12 +260,13 @@ def _merge(token, ball, least, most, rest) -> pa.RecordBatch:
         least = np.minimum.reduceat(least, first)
         most, rest = np.maximum.reduceat(most, first), np.maximum.reduceat(rest, first)
     return pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in (token[first], ball[first], least, most, rest)], names=["token", "ball", "least", "most", "rest"]
+        [pa.array(x) for x in (token[first], ball[first], part[first], least, most, rest)],
+        names=["token", "ball", "part", "least", "most", "rest"],
     )
 
 
 def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of balls (a < b) that some index list leaves open, each once."""
+    """Pairs of balls (a < b) of different parts that some index list leaves open, each once."""
 
     def lists(batches):
         """Whole lists, many small ones together: batches cut where the token changes."""
@@ -272,22 +278,22 @@ def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
             token = kept[-1][0]
             last = np.searchsorted(token, token[-1])  # sorted within the partition
             if last > 0:
-                whole = [np.concatenate([k[i] for k in kept[:-1]] + [kept[-1][i][:last]]) for i in range(5)]
+                whole = [np.concatenate([k[i] for k in kept[:-1]] + [kept[-1][i][:last]]) for i in range(6)]
                 kept = [[c[last:] for c in kept[-1]]]
                 yield whole
         if kept:
-            yield [np.concatenate([k[i] for k in kept]) for i in range(5)]
+            yield [np.concatenate([k[i] for k in kept]) for i in range(6)]
 
     def run(batches):
         for columns in lists(batches):
             merged = _merge(*columns)
-            token, ball, least, most, rest = (c.to_numpy() for c in merged.columns)
+            token, ball, part, least, most, rest = (c.to_numpy() for c in merged.columns)
             edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
             size = np.diff(edge)
             found = [np.zeros((0, 2), np.int64)]
             for start, n in zip(edge[:-1][size > 1].tolist(), size[size > 1].tolist()):
                 at = slice(start, start + n)
-                found += _open_pairs(ball[at], least[at], most[at], rest[at], rule)
+                found += _open_pairs(ball[at], part[at], least[at], most[at], rest[at], rule)
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
@@ -316,10 +322,12 @@ def _plausible(pairs: DataFrame, leading: DataFrame, rule: Rule) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(ball, least, most, rest, rule: Rule) -> list[np.ndarray]:
-    """Pairs of a list's entries whose bounds allow a link."""
+def _open_pairs(ball, part, least, most, rest, rule: Rule) -> list[np.ndarray]:
+    """Pairs of a list's entries of different parts whose bounds allow a link."""
+    if (part == part[0]).all():
+        return []
     order = np.lexsort((rest, least))
-    ball, least, most, rest = ball[order], least[order], most[order], rest[order]
+    ball, part, least, most, rest = ball[order], part[order], least[order], most[order], rest[order]
     out = []
 
     def allowed(i: slice, j: slice) -> np.ndarray:
@@ -342,7 +350,7 @@ def _open_pairs(ball, least, most, rest, rule: Rule) -> list[np.ndarray]:
             d = cuts[y]
             i, j = np.nonzero(allowed(slice(c, c + BLOCK), slice(d, d + BLOCK)))
             i, j = i + c, j + d
-            one = i < j
+            one = (i < j) & (part[i] != part[j])
             a, b = ball[i[one]], ball[j[one]]
             if len(a):
                 out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
@@ -394,10 +402,13 @@ def groups(docs: DataFrame, rule: Rule = Rule(), carry: list[str] | None = None,
             "node", "n", "file", "row", F.coalesce("ball", "node").alias("ball"), F.coalesce("d", F.lit(0.0)).alias("d")
         ), "members",
     )
-    sure = compared.select("a", "b")
+    sure = materialise(compared.select("a", "b"), "ball-links")
+    # Parts are what these links join so far; inside a part, nothing is left to find.
+    parts = components(sure).select("node", F.col("component").alias("part"))
 
     common = _common(described, n_nodes)
-    prefixes = _prefixes(rows, rule, common).join(members.select("file", "row", "ball", "n"), ["file", "row"])
+    placed = members.join(parts, "node", "left").select("file", "row", "ball", "n", F.coalesce("part", "node").alias("part"))
+    prefixes = _prefixes(rows, rule, common).join(placed, ["file", "row"])
     radius = members.groupBy("ball").agg(F.max("d").alias("r"))
     # A ball is compared through its leader, also where the leader itself is in another ball.
     leading = nodes.select(F.col("node").alias("ball"), "n", "parities").join(radius, "ball")
