@@ -1,7 +1,7 @@
 """Quality rules as weak supervision.
 
 Each rule looks at counts of a text and votes keep (1), reject (-1) or abstains (0).  Nobody labels texts: expectation
-maximisation estimates how often each rule is right on good and on bad texts, and every text gets the posterior
+maximisation estimates how each rule votes on good and on bad texts, and every text gets the posterior
 probability of being good.  A text that breaks one rule but convinces the others stays.
 
 The main path is DataFrame expressions only.  EM sees one row per distinct vote pattern, of which there are at most
@@ -31,30 +31,32 @@ class Rule:
 
     name: str
     reject: str
-    keep: str
+    keep: str = "FALSE"
 
 
+#: Most rules know one fault and abstain without it; two also know what good text looks like.
 RULES = (
-    Rule("symbols", "10 * n_symbols > 3 * n_words", "50 * n_symbols < n_words"),
-    Rule("repeats", "10 * n_repeat_words > 3 * n_words", "10 * n_repeat_words < n_words AND n_words >= 20"),
-    Rule("lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 AND n_lines >= 3"),
+    Rule("symbols", "10 * n_symbols > 3 * n_words"),
+    Rule("repeats", "10 * n_repeat_words > 3 * n_words"),
+    Rule("lines", "10 * n_dup_lines > 3 * n_lines"),
     Rule("word_length", "2 * word_chars < 5 * n_words OR word_chars > 14 * n_words",
          "word_chars >= 3 * n_words AND word_chars <= 10 * n_words AND n_words > 0"),
     Rule("variety", "10 * n_distinct < n_words AND n_words >= 20", "4 * n_distinct > n_words AND n_words >= 20"),
-    Rule("capitals", "2 * n_upper > word_chars", "5 * n_upper < word_chars"),
-    Rule("shouts", "4 * n_shouts > n_words", "50 * n_shouts < n_words"),
+    Rule("capitals", "2 * n_upper > word_chars"),
+    Rule("shouts", "4 * n_shouts > n_words"),
 )
 
 #: A text counts as good from this posterior on.
 KEEP_FROM = 0.5
 ROUNDS = 20
-#: Start of EM: share of good texts; how often a vote on a good text says keep, and one on a bad text says reject.  Most
-#: rules know one fault only, so a bad text still gets many keep votes, while a reject vote on a good text is rare.
-START_GOOD, START_KEEP, START_REJECT = 0.7, 0.99, 0.2
+#: Start of EM: share of good texts, and how often a rule votes keep and reject on good and on bad texts.  A bad text
+#: has one fault as a rule and else looks good, while a reject vote on a good text is rare.
+START_GOOD = 0.7
+START_RATES = {"keep_good": 0.9, "keep_bad": 0.8, "reject_good": 0.01, "reject_bad": 0.2}
 #: Estimates are drawn halfway to the start.  Without it, EM may settle on other classes than good and bad, such as
 #: "repeats itself" and "does not", and call all other faults good.
 PULL = 0.5
-#: Pseudo-votes of a rule.
+#: Pseudo-texts of each class.
 SMOOTH = 2.0
 
 
@@ -142,40 +144,37 @@ def _bound(sql: str, source: str | None) -> str:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """``good``: share of good texts; per rule the chance to vote right on good and on bad texts, if it votes."""
+    """``good``: share of good texts; ``rates``: per rule the chances named in START_RATES."""
 
     good: float
-    right: tuple[tuple[float, float], ...]
+    rates: tuple[dict[str, float], ...]
 
     def weights(self) -> tuple[float, list[tuple[float, float]]]:
-        """Log odds to start from, and what a keep and a reject vote of each rule add."""
-        odds = [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in self.right]
-        return math.log(self.good / (1 - self.good)), odds
+        """Log odds to start from, and what a keep and a reject vote of each rule add; to abstain adds nothing."""
+        return math.log(self.good / (1 - self.good)), [
+            (math.log(r["keep_good"] / r["keep_bad"]), math.log(r["reject_good"] / r["reject_bad"])) for r in self.rates
+        ]
 
 
 def fit(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = ROUNDS) -> LabelModel:
     """EM over (votes, number of texts)."""
-    start_at = (START_KEEP, START_REJECT)
-    model = LabelModel(START_GOOD, (start_at,) * n_rules)
+    drawn = lambda seen, of, at: PULL * at + (1 - PULL) * (seen + SMOOTH * at) / (of + SMOOTH)
+    model = LabelModel(START_GOOD, (START_RATES,) * n_rules)
     for _ in range(rounds):
         start, odds = model.weights()
-        good = total = 0.0
-        # Per rule and class: right votes, votes.
-        sums = [[[SMOOTH * x, SMOOTH] for x in start_at] for _ in range(n_rules)]
+        mass = {"good": 0.0, "bad": 0.0}
+        seen = [dict.fromkeys(START_RATES, 0.0) for _ in range(n_rules)]
         for pattern, n in patterns:
             score = start + sum(o[0] if v > 0 else o[1] if v < 0 else 0.0 for v, o in zip(pattern, odds))
             p = 1 / (1 + math.exp(-score))
-            good, total = good + n * p, total + n
-            for v, (on_good, on_bad) in zip(pattern, sums):
-                if v:
-                    on_good[0] += n * p * (v > 0)
-                    on_good[1] += n * p
-                    on_bad[0] += n * (1 - p) * (v < 0)
-                    on_bad[1] += n * (1 - p)
-        drawn = lambda right, votes, at: PULL * at + (1 - PULL) * right / votes
+            for kind, part in (("good", n * p), ("bad", n * (1 - p))):
+                mass[kind] += part
+                for v, s in zip(pattern, seen):
+                    if v:
+                        s[f"{'keep' if v > 0 else 'reject'}_{kind}"] += part
         model = LabelModel(
-            drawn(good + SMOOTH * START_GOOD, total + SMOOTH, START_GOOD),
-            tuple(tuple(drawn(*c, at) for c, at in zip(s, start_at)) for s in sums),
+            drawn(mass["good"], mass["good"] + mass["bad"], START_GOOD),
+            tuple({k: drawn(s[k], mass[k.split("_")[1]], at) for k, at in START_RATES.items()} for s in seen),
         )
     return model
 

@@ -35,30 +35,32 @@ def register(name: str, sql: str | None = None):
 
 def _quality_sql() -> str:
     names = [r.name for r in quality.RULES]
-    model = ", ".join(f"{quality.START_KEEP}::DOUBLE AS g{i}, {quality.START_REJECT}::DOUBLE AS b{i}" for i in range(len(names)))
+    smooth, pull, start = quality.SMOOTH, quality.PULL, quality.START_RATES
+    first = ", ".join(f"{at}::DOUBLE AS {k}{i}" for i in range(len(names)) for k, at in start.items())
     score = lambda: "ln(good / (1 - good)) + " + " + ".join(
-        f"CASE WHEN {n} > 0 THEN ln(g{i} / (1 - b{i})) WHEN {n} < 0 THEN ln((1 - g{i}) / b{i}) ELSE 0 END"
+        f"CASE WHEN {n} > 0 THEN ln(keep_good{i} / keep_bad{i}) WHEN {n} < 0 THEN ln(reject_good{i} / reject_bad{i}) ELSE 0 END"
         for i, n in enumerate(names)
     )
-    smooth = quality.SMOOTH
-    rounds = [f"m0 AS MATERIALIZED (SELECT {quality.START_GOOD}::DOUBLE AS good, {model})"]
+    rounds = [f"m0 AS MATERIALIZED (SELECT {quality.START_GOOD}::DOUBLE AS good, {first})"]
 
-    def drawn(right: str, votes: str, at: float) -> str:
+    def drawn(seen: str, of: str, at: float) -> str:
         return (
-            f"{quality.PULL * at} + {1 - quality.PULL} * (coalesce(sum({right}), 0) + {smooth * at})"
-            f" / (coalesce(sum({votes}), 0) + {smooth})"
+            f"{pull * at} + {1 - pull} * (coalesce(sum({seen}), 0) + {smooth * at}) / (coalesce(sum({of}), 0) + {smooth})"
         )
 
     for k in range(quality.ROUNDS):
-        step = ", ".join(
-            f"{drawn(f'n * p * ({n} > 0)::INT', f'n * p * ({n} <> 0)::INT', quality.START_KEEP)} AS g{i}, "
-            f"{drawn(f'n * (1 - p) * ({n} < 0)::INT', f'n * (1 - p) * ({n} <> 0)::INT', quality.START_REJECT)} AS b{i}"
-            for i, n in enumerate(names)
-        )
+        step = []
+        for i, n in enumerate(names):
+            for rate, at in start.items():
+                vote, kind = rate.split("_")
+                mass = "n * p" if kind == "good" else "n * (1 - p)"
+                step.append(f"{drawn(f'{mass} * ({n} {">" if vote == "keep" else "<"} 0)::INT', mass, at)} AS {rate}{i}")
         rounds.append(
             f"e{k} AS MATERIALIZED (SELECT {', '.join(names)}, n, 1 / (1 + exp(-({score()}))) AS p FROM patterns, m{k})"
         )
-        rounds.append(f"m{k + 1} AS MATERIALIZED (SELECT {drawn('n * p', 'n', quality.START_GOOD)} AS good, {step} FROM e{k})")
+        rounds.append(
+            f"m{k + 1} AS MATERIALIZED (SELECT {drawn('n * p', 'n', quality.START_GOOD)} AS good, {', '.join(step)} FROM e{k})"
+        )
     votes = ", ".join(f"{quality.vote_sql(x)} AS {x.name}" for x in quality.RULES)
     return rf"""
 WITH base AS MATERIALIZED (

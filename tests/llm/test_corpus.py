@@ -173,7 +173,7 @@ def test_quality_em_finds_the_faults():
         truth[v][start + sum(o[0] if x > 0 else o[1] if x < 0 else 0 for x, o in zip(v, odds)) > 0] for v in patterns
     )
     assert right > 2800 and 0.6 < model.good < 0.9
-    assert all(g > 0.95 for g, _ in model.right)
+    assert all(r["reject_good"] < 0.05 < r["reject_bad"] for r in model.rates)
 
 
 def test_quality_awkward(stored, empty):
