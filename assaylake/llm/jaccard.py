@@ -6,12 +6,13 @@ ball.  From then on the ball stands for its members in two ways:
 * Index lists (token -> sets that have it in their prefix) hold a ball once, whatever its size, with bounds over its
   members: sizes, and how much of a set follows the token.  Lists are ordered by size and cut into blocks; pairs of
   blocks, and then of entries, whose bounds rule out the threshold by size or position are skipped.
-* Balls that links join already, directly or over others, are one part, and lists skip pairs inside a part.
 * Answers: two balls are compared through their leaders.  Jaccard distance is a metric, so the leaders' distance and the
-  members' distances to them bound every distance between members; only members that the bounds leave open are compared
-  themselves, and not at all when their balls are in one component already.
+  members' distances to them bound every distance between members, also of one ball.  Members at one distance from their
+  leader are a class; where the bounds settle two classes, links are counted as the size of the class, and only members
+  that the bounds leave open are compared themselves.
 
-No step lists all pairs of a group of copies or near copies.  A prefix is what is left of a set after the number of tokens
+Copies are one node, so no step lists pairs of them.  Pairs of near copies are listed only where the bounds leave them
+open; that is up to the product of two classes.  A prefix is what is left of a set after the number of tokens
 that a linked set must share, in the order rare tokens first; which tokens are common is a hint from local counts and
 changes no result.
 """
@@ -39,6 +40,8 @@ COMMON_SHARE = 0.0001
 LOCAL_COUNT = 2
 #: A task that holds more counts than this forgets the tokens found once.
 LOCAL_TOKENS = 3_000_000
+#: Distances this near to the threshold are not settled by bounds.
+EPS = 1e-9
 #: Entries of a block of an index list.
 BLOCK = 64
 #: Up to so many wanted rows, their 64-bit hashes (16 MB) go to all tasks and keep other texts from moving.
@@ -220,7 +223,7 @@ def _distance():
 
 
 def _postings(members: DataFrame) -> DataFrame:
-    """Index entries (token, ball, part, least, most, rest) from (ball, part, n, prefix); a task's entries of a ball are merged."""
+    """Index entries (token, ball, least, most, rest) from (ball, n, prefix); a task's entries of a ball are merged."""
 
     def run(batches):
         owners, prefixes, held = [], [], 0
@@ -228,31 +231,31 @@ def _postings(members: DataFrame) -> DataFrame:
         def flush():
             length = np.array([len(p) // 8 for p in prefixes])
             token = np.frombuffer(b"".join(prefixes), np.int64)
-            ball, part, n = (np.repeat(np.concatenate(x), length) for x in zip(*owners))
+            ball, n = (np.repeat(np.concatenate(x), length) for x in zip(*owners))
             rest = n - (np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length))
-            return _merge(token, ball, part, n, n, rest)
+            return _merge(token, ball, n, n, rest)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            owners.append([b.column(i).to_numpy() for i in range(3)])
-            prefixes += b.column(3).to_pylist()
-            held += b.column(3).nbytes
+            owners.append([b.column(i).to_numpy() for i in range(2)])
+            prefixes += b.column(2).to_pylist()
+            held += b.column(2).nbytes
             if held > 1 << 24:
                 yield flush()
                 owners, prefixes, held = [], [], 0
         if prefixes:
             yield flush()
 
-    return members.select("ball", "part", "n", "prefix").mapInArrow(run, _ENTRY)
+    return members.select("ball", "n", "prefix").mapInArrow(run, _ENTRY)
 
 
-_ENTRY = "token long, ball long, part long, least long, most long, rest long"
+_ENTRY = "token long, ball long, least long, most long, rest long"
 
 
-def _merge(token, ball, part, least, most, rest) -> pa.RecordBatch:
+def _merge(token, ball, least, most, rest) -> pa.RecordBatch:
     order = np.lexsort((ball, token))
-    token, ball, part, least, most, rest = (x[order] for x in (token, ball, part, least, most, rest))
+    token, ball, least, most, rest = (x[order] for x in (token, ball, least, most, rest))
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (ball[1:] != ball[:-1])
     first = np.flatnonzero(new)
@@ -260,13 +263,13 @@ def _merge(token, ball, part, least, most, rest) -> pa.RecordBatch:
         least = np.minimum.reduceat(least, first)
         most, rest = np.maximum.reduceat(most, first), np.maximum.reduceat(rest, first)
     return pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in (token[first], ball[first], part[first], least, most, rest)],
-        names=["token", "ball", "part", "least", "most", "rest"],
+        [pa.array(x) for x in (token[first], ball[first], least, most, rest)],
+        names=["token", "ball", "least", "most", "rest"],
     )
 
 
 def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of balls (a < b) of different parts that some index list leaves open, each once."""
+    """Pairs of balls (a < b) that some index list leaves open, each once."""
 
     def lists(batches):
         """Whole lists, many small ones together: batches cut where the token changes."""
@@ -278,22 +281,22 @@ def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
             token = kept[-1][0]
             last = np.searchsorted(token, token[-1])  # sorted within the partition
             if last > 0:
-                whole = [np.concatenate([k[i] for k in kept[:-1]] + [kept[-1][i][:last]]) for i in range(6)]
+                whole = [np.concatenate([k[i] for k in kept[:-1]] + [kept[-1][i][:last]]) for i in range(5)]
                 kept = [[c[last:] for c in kept[-1]]]
                 yield whole
         if kept:
-            yield [np.concatenate([k[i] for k in kept]) for i in range(6)]
+            yield [np.concatenate([k[i] for k in kept]) for i in range(5)]
 
     def run(batches):
         for columns in lists(batches):
             merged = _merge(*columns)
-            token, ball, part, least, most, rest = (c.to_numpy() for c in merged.columns)
+            token, ball, least, most, rest = (c.to_numpy() for c in merged.columns)
             edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
             size = np.diff(edge)
             found = [np.zeros((0, 2), np.int64)]
             for start, n in zip(edge[:-1][size > 1].tolist(), size[size > 1].tolist()):
                 at = slice(start, start + n)
-                found += _open_pairs(ball[at], part[at], least[at], most[at], rest[at], rule)
+                found += _open_pairs(ball[at], least[at], most[at], rest[at], rule)
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
@@ -322,12 +325,10 @@ def _plausible(pairs: DataFrame, leading: DataFrame, rule: Rule) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(ball, part, least, most, rest, rule: Rule) -> list[np.ndarray]:
-    """Pairs of a list's entries of different parts whose bounds allow a link."""
-    if (part == part[0]).all():
-        return []
+def _open_pairs(ball, least, most, rest, rule: Rule) -> list[np.ndarray]:
+    """Pairs of a list's entries whose bounds allow a link."""
     order = np.lexsort((rest, least))
-    ball, part, least, most, rest = ball[order], part[order], least[order], most[order], rest[order]
+    ball, least, most, rest = ball[order], least[order], most[order], rest[order]
     out = []
 
     def allowed(i: slice, j: slice) -> np.ndarray:
@@ -350,7 +351,7 @@ def _open_pairs(ball, part, least, most, rest, rule: Rule) -> list[np.ndarray]:
             d = cuts[y]
             i, j = np.nonzero(allowed(slice(c, c + BLOCK), slice(d, d + BLOCK)))
             i, j = i + c, j + d
-            one = (i < j) & (part[i] != part[j])
+            one = i < j
             a, b = ball[i[one]], ball[j[one]]
             if len(a):
                 out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
@@ -363,8 +364,7 @@ def groups(docs: DataFrame, rule: Rule = Rule(), carry: list[str] | None = None,
     Words are runs without white space, A-Z lower-cased.  A set holds the distinct shingles of ``rule.words`` words; a
     text of fewer words has all of them as its only shingle; a text without words, or null, has the empty set and links
     with nothing.  ``component_id`` is the smallest doc_id that links reach, itself included, null ids last; ``links`` the
-    number of links found from a text's set to other sets, which is enough to reach the component but leaves out links
-    inside a ball; ``kept`` is true for one row of each component, the one with the smallest doc_id (of repeated ids the
+    number of other sets that a text's set links with, copies of a text being one set; ``kept`` is true for one row of each component, the one with the smallest doc_id (of repeated ids the
     first row in the files).  Other columns are not read; ``docs`` may not have one called ``column``.  An empty table
     gives no rows.
     """
@@ -403,12 +403,9 @@ def groups(docs: DataFrame, rule: Rule = Rule(), carry: list[str] | None = None,
         ), "members",
     )
     sure = materialise(compared.select("a", "b"), "ball-links")
-    # Parts are what these links join so far; inside a part, nothing is left to find.
-    parts = components(sure).select("node", F.col("component").alias("part"))
 
     common = _common(described, n_nodes)
-    placed = members.join(parts, "node", "left").select("file", "row", "ball", "n", F.coalesce("part", "node").alias("part"))
-    prefixes = _prefixes(rows, rule, common).join(placed, ["file", "row"])
+    prefixes = _prefixes(rows, rule, common).join(members.select("file", "row", "ball", "n"), ["file", "row"])
     radius = members.groupBy("ball").agg(F.max("d").alias("r"))
     # A ball is compared through its leader, also where the leader itself is in another ball.
     leading = nodes.select(F.col("node").alias("ball"), "n", "parities").join(radius, "ball")
@@ -417,40 +414,64 @@ def groups(docs: DataFrame, rule: Rule = Rule(), carry: list[str] | None = None,
     bounded = answers.withColumn("d", _distance()).join(
         radius.select(F.col("ball").alias("a"), F.col("r").alias("ra")), "a"
     ).join(radius.select(F.col("ball").alias("b"), F.col("r").alias("rb")), "b")
-    slack = 1 - rule.percent / 100 + 1e-9
-    unsure = bounded.where(~_linked(rule) & (F.col("d") <= slack + F.col("ra") + F.col("rb"))).select("a", "b", "d")
-    sure = materialise(sure.unionByName(answers.where(_linked(rule)).select("a", "b")).distinct(), "links")
-    joined = components(sure)
+    slack = 1 - rule.percent / 100
+    near = bounded.where(_linked(rule) | (F.col("d") <= slack + EPS + F.col("ra") + F.col("rb")))
+    # A ball of several members is also near itself.
+    itself = members.groupBy(F.col("ball").alias("a")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(
+        "a", F.col("a").alias("b"), F.lit(0.0).alias("d"), F.lit(True).alias("linked")
+    )
+    near = materialise(near.select("a", "b", "d", _linked(rule).alias("linked")).unionByName(itself), "near-balls")
+    sure = sure.unionByName(answers.where(_linked(rule)).select("a", "b"))
 
-    # Members whose balls are apart so far, and whose bounds leave a link open.
-    apart = _apart(materialise(unsure, "unsure"), joined)
+    open_, degree = _settled(near, members, slack)
     side = lambda x: members.select(
-        F.col("ball").alias(x), F.col("node").alias(f"n{x}"), F.col("d").alias(f"d{x}"), F.col("n").alias(f"s{x}")
+        F.col("ball").alias(x), F.col("d").alias(f"d{x}"), F.col("node").alias(f"n{x}"), F.col("n").alias(f"s{x}")
     )
     pairs = (
-        apart.join(side("a"), "a").join(side("b"), "b")
-        .where((F.col("d") <= slack + F.col("da") + F.col("db"))
-               & (F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * rule.percent)
-               & ((F.col("na") != F.col("a")) | (F.col("nb") != F.col("b"))))
-        .select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).where("a <> b").distinct()
+        open_.join(side("a"), ["a", "da"]).join(side("b"), ["b", "db"])
+        .where((F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * rule.percent)
+               & ((F.col("a") != F.col("b")) | (F.col("da") != F.col("db")) | (F.col("na") < F.col("nb"))))
+        .select(F.col("na").alias("a"), F.col("nb").alias("b"))
     )
-    pairs = materialise(pairs, "member-pairs")
+    alone = nodes.select(F.col("node").alias("ball"), "n", "parities", F.lit(0.0).alias("r"))
+    pairs = materialise(_plausible(pairs, alone, rule), "member-pairs")
     if not pairs.isEmpty():
         more = _compare(pairs, nodes, rows, rule).where(_linked(rule)).select("a", "b")
-        sure = materialise(sure.unionByName(more).distinct(), "links")
-        joined = components(sure)
-    return _result(rows, light, nodes, joined, sure, kept_columns, column)
+        sure = sure.unionByName(more)
+        degree = degree.unionByName(more.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("links")))
+    degree = degree.groupBy("node").agg(F.sum("links").alias("links"))
+    return _result(rows, light, nodes, components(materialise(sure.distinct(), "links")), degree, kept_columns, column)
+
 
+def _settled(near: DataFrame, members: DataFrame, slack: float) -> tuple[DataFrame, DataFrame]:
+    """What the bounds say of ``near`` (balls a, b, distance d of their leaders, linked).
 
-def _apart(unsure: DataFrame, joined: DataFrame) -> DataFrame:
-    label = lambda x: joined.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    return unsure.join(label("a"), "a", "left").join(label("b"), "b", "left").where(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    ).select("a", "b", "d")
+    A class holds the members of a ball at one distance from the leader, 0 being the leader alone.  Gives the pairs of
+    classes (a, da, b, db) left open, those of one ball in one order, and (node, links) of the settled ones.
+    """
+    classes = members.groupBy("ball", "d").agg(F.count(F.lit(1)).alias("m"))
+    side = lambda x: classes.select(F.col("ball").alias(x), F.col("d").alias(f"d{x}"), F.col("m").alias(f"m{x}"))
+    same = F.col("a") == F.col("b")
+    # One ball: both orders fall together.  The leaders' own pair, and members with their leader, have been compared.
+    known = F.when(same, (F.col("da") == 0) | (F.col("db") == 0)).otherwise((F.col("da") == 0) & (F.col("db") == 0))
+    reach = F.col("da") + F.col("db")
+    state = F.when(known, F.when(F.col("linked"), 1).otherwise(-1)).when(F.col("d") + reach <= slack - EPS, 1).when(
+        F.col("d") - reach > slack + EPS, -1).otherwise(0)
+    both = materialise(
+        near.join(side("a"), "a").join(side("b"), "b").where(~same | (F.col("da") <= F.col("db")))
+        .withColumn("state", state).where("state >= 0"), "classes",
+    )
+    open_ = both.where("state = 0").select("a", "da", "b", "db")
+    linked = both.where("state = 1")
+    # A member is no link of its own class; a class with itself is seen from one side only.
+    own = same & (F.col("da") == F.col("db"))
+    gains = linked.select(F.col("a").alias("ball"), F.col("da").alias("d"), (F.col("mb") - own.cast("long")).alias("links")).unionByName(
+        linked.where(~own).select(F.col("b").alias("ball"), F.col("db").alias("d"), F.col("ma").alias("links"))
+    ).groupBy("ball", "d").agg(F.sum("links").alias("links"))
+    return open_, members.select("node", "ball", "d").join(gains, ["ball", "d"]).select("node", "links")
 
 
-def _result(rows, light, nodes, joined, links, kept_columns, column) -> DataFrame:
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+def _result(rows, light, nodes, joined, degree, kept_columns, column) -> DataFrame:
     labelled = nodes.select("node", "k1", "k2", "entry").join(joined, "node", "left").join(degree, "node", "left").select(
         "k1", "k2", "entry", F.coalesce("component", "node").alias("component"),
         F.coalesce("links", F.lit(0)).cast("long").alias("links"),

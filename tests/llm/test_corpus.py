@@ -499,6 +499,29 @@ def test_near_brute_force(spark, words, seed, k, percent, monkeypatch):
     )
 
 
+@pytest.mark.parametrize("k,percent,n", [(1, 60, 40), (2, 80, 30)])
+def test_near_links_brute_force(spark, words, k, percent, n):
+    base = words(77, 60, 300).split()
+    rng = random.Random(n)
+    rows = [*families(words, 4, 6)]
+    for i in range(n):
+        text = list(base)
+        for _ in range(rng.randint(0, 9)):
+            text[rng.randrange(len(text))] = f"w{rng.randrange(40)}"
+        rows += [(1000 + i, " ".join(text))] * rng.choice([1, 1, 2])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingles(text):
+        w = tuple((text or "").encode().lower().split())
+        return frozenset(w[i:i + k] for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([w] if w else [])
+
+    found = {shingles(t) for _, t in rows} - {frozenset()}
+    want = {s: sum(s != o and 100 * len(s & o) >= percent * len(s | o) for o in found) for s in found}
+    assert max(want.values()) >= 10
+    for r in rows_of(jaccard.groups(docs, jaccard.Rule(k, percent))):
+        assert r["near"]["links"] == want.get(shingles(r["text"]), 0), r
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(2)
     for n, m, both in ((10, 9, 8), (500, 480, 430), (3000, 900, 500)):
