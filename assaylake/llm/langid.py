@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from assaylake.llm.common import fresh
 
@@ -142,23 +143,26 @@ def _gradients(net: Network, data: np.ndarray, target: np.ndarray, weight: np.nd
 def sample(labelled: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
     """Up to ``rows`` texts' windows with their label, about as many of each language, chosen by a hash of the text.
 
-    A counting pass gives each language its share; ``rows`` bounds what reaches the driver.
+    A counting pass over distinct texts gives each language its share, which thins frequent ones; of what is left, every
+    language gives its next text in turn, so that one with few texts keeps them all.  ``rows`` bounds what reaches the
+    driver.
     """
-    per_language = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    place = F.xxhash64("text", F.lit("sample"))
+    per_language = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count_distinct(place).alias("n")).collect()}
     if len(per_language) > MAX_LANGUAGES:
         raise ValueError(f"{len(per_language)} labels; the bound is {MAX_LANGUAGES}")
     share = F.lit(0.0)
     for lang, n in per_language.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * rows / len(per_language) / n))).otherwise(share)
-    place = F.xxhash64("text", F.lit("sample"))
     uniform = F.shiftrightunsigned(place, 11) / float(1 << 53)
     room = F.greatest(F.length("text") - WINDOW + 1, F.lit(1))
     cuts = F.array(*[
         F.substring(F.col("text"), (F.pmod(F.xxhash64("text", F.lit(i)), room) + 1).cast("int"), F.lit(WINDOW))
         for i in range(TRAIN_WINDOWS)
     ])
-    chosen = labelled.where(uniform < share).select("lang", place.alias("place"), cuts.alias("cuts"))
-    taken = chosen.orderBy("place", "lang", "cuts").limit(rows).collect()
+    chosen = labelled.where(uniform < share).select("lang", place.alias("place"), cuts.alias("cuts")).distinct()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "cuts"))
+    taken = chosen.withColumn("turn", turn).orderBy("turn", "lang").limit(rows).collect()
     return [(r.lang, cut) for r in taken for cut in r.cuts]
 
 

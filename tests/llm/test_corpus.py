@@ -246,6 +246,14 @@ def test_language(spark, stored, empty):
     assert langid.predict(stored, None).where("language.lang_pred = 'und'").count() == 13
 
 
+def test_language_sample_keeps_rare_languages(spark):
+    data = [(lang, f"{lang} {i}") for lang, n in (("aa", 9000), ("bb", 9000), ("cc", 9000), ("rare", 30)) for i in range(n)]
+    docs = spark.createDataFrame(data + [("cc", "cc again")] * 500, "lang string, text string")
+    found = Counter(lang for lang, _ in langid.sample(docs, rows=200))
+    each = {lang: n / langid.TRAIN_WINDOWS for lang, n in found.items()}
+    assert sum(each.values()) == 200 and each["rare"] == 30 and all(50 <= each[x] <= 60 for x in ("aa", "bb", "cc"))
+
+
 def test_language_windows_cover_the_text_and_tables_agree():
     net = langid.Network.fresh(["a", "b"])
     text = bytes(range(33, 127)) * 20
