@@ -30,7 +30,8 @@ from assaylake.session import materialise
 RIDGE_ALPHAS = (0.1, 1.0, 10.0)
 POSITIVE_WEIGHTS = (1.0, 2.0, 5.0, 10.0, 20.0)
 COMPLEXITY = {"last_value": 0, "ridge": 1, "boosted": 2}
-BOOSTED = ({"maxIter": 10, "maxDepth": 3}, {"maxIter": 20, "maxDepth": 4})
+BOOSTED = ({"maxIter": 100, "maxDepth": 3}, {"maxIter": 200, "maxDepth": 4})
+BOOSTING_ROUNDS = 100
 
 
 def _prepared(names: Sequence[str], scale: bool = True) -> list:
@@ -244,7 +245,7 @@ def fit_classifier(train: DataFrame, names: Sequence[str], label: str, family: s
     rows = train.withColumn("_w", weight).withColumn("_label", F.col(label).cast("double"))
     if family == "boosted":
         model = GBTClassifier(featuresCol="_x", labelCol="_label", weightCol="_w", predictionCol="_p", seed=42,
-                              **{"maxIter": 10, "maxDepth": 3, **setting})
+                              **{"maxIter": BOOSTING_ROUNDS, "maxDepth": 3, **setting})
         stages = [*_prepared(names, scale=False), model]
     else:
         model = LogisticRegression(featuresCol="_x", labelCol="_label", weightCol="_w", predictionCol="_p", maxIter=100)
@@ -350,7 +351,7 @@ def fit_lab_correction(frame: DataFrame, names: Sequence[str]) -> dict:
 def rolling_scores(
     frame: DataFrame, names: Sequence[str], family: str, start: str, end: str, *, step: str, horizons: Sequence[int],
     weight: str | None = "weight", cap: int | None = None, delta: bool = True,
-    rounds: int = 5,
+    rounds: int = BOOSTING_ROUNDS,
 ) -> DataFrame:
     """Out-of-fold probabilities per horizon (and, with ``delta``, the predicted change) over rolling folds.
 

@@ -107,6 +107,8 @@ def lims_correction(t):
     return fit["report"].withColumn("selected", F.lit(fit["selected"])).withColumn("promotion_eligible", F.lit(bool(fit["promotion_eligible"])))
 
 
+#: Boosting rounds of the ablation, where only feature groups are compared.
+ABLATION_ROUNDS = 8
 EPISODE_FEATURES = ("baseline", "min_30m", "max_60m", "range_180m", "slope_30m", "slope_60m", "since_60_minutes", "regime_minutes")
 
 
@@ -191,7 +193,8 @@ def feature_ablation(t):
     out = []
     for name, features in groups.items():
         for family in ("logistic", "boosted"):
-            rows = md.rolling_scores(frame, features, family, *periods(frame)[1:3], step=PERIOD, horizons=(60,), cap=20_000, delta=False)
+            rows = md.rolling_scores(frame, features, family, *periods(frame)[1:3], step=PERIOD, horizons=(60,), cap=20_000, delta=False,
+                                     rounds=ABLATION_ROUNDS)
             threshold = event_threshold(rows, limit=LIMIT)
             f = m.event_metrics(rows, threshold=threshold, limit=LIMIT).first()
             out.append((name, family, len(features), f["event_false_negative_rate"], f["event_false_positive_rate"], f["row_false_positive_rate"], f["brier"]))

@@ -1,5 +1,7 @@
 """Metric and threshold goldens."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,20 @@ def test_bootstrap_interval(spark):
     df = spark.createDataFrame([(40, 30)], "event_count long, detected_events long")
     r = m.bootstrap_event_fnr(df).first()
     assert 0.08 < r["lower"] < 0.25 < r["upper"] < 0.42 and r["samples"] == 1000
+
+
+def test_boosting_rounds(spark, monkeypatch):
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def fake(**setting):
+        asked.append(setting["maxIter"])
+        raise Asked
+
+    monkeypatch.setattr(md, "GBTClassifier", fake)
+    with pytest.raises(Asked):
+        md.fit_classifier(spark.createDataFrame([(1.0, True)], "x double, y boolean"), ["x"], "y", "boosted", F.lit(1.0))
+    assert asked == [100] and [s["maxIter"] for s in md.BOOSTED] == [100, 200]
+    assert inspect.signature(md.rolling_scores).parameters["rounds"].default == 100
