@@ -34,8 +34,9 @@ from assaylake.session import materialise
 
 #: Bands of two minima each; sets that agree in a band are compared with the band's smallest node.
 BANDS = 4
-#: A token is common if found in this share of all sets; there are at most mean set size / share of them.
+#: A token is common if found in this share of all sets, copies counted each; the most frequent MOST_COMMON are kept.
 COMMON_SHARE = 0.0001
+MOST_COMMON = 500_000
 #: Tokens found so often in the texts of one task are counted for the order.
 LOCAL_COUNT = 2
 #: A task that holds more counts than this forgets the tokens found once.
@@ -151,10 +152,11 @@ def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _common(described: DataFrame, n_sets: int) -> np.ndarray:
-    """Common tokens, the most frequent last."""
+    """Common tokens, the most frequent last; the order is a hint, so those cut at MOST_COMMON change no result."""
     seen = described.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
-    rows = seen.where(F.col("seen") >= max(10.0, COMMON_SHARE * n_sets)).orderBy("seen", "token").collect()
-    return np.array([r.token for r in rows], np.int64).view(np.uint64)
+    often = seen.where(F.col("seen") >= max(10.0, COMMON_SHARE * n_sets))
+    rows = often.orderBy(F.desc("seen"), F.desc("token")).limit(MOST_COMMON).select("token").toArrow()
+    return rows.column("token").to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def _prefixes(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:

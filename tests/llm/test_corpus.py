@@ -538,6 +538,14 @@ def test_parities_bound_the_difference():
         assert jaccard._least_difference(jaccard._parities(a), jaccard._parities(b)) <= n + m - 2 * both
 
 
+def test_common_tokens_are_bounded(spark, monkeypatch):
+    described = spark.createDataFrame([(t, 10 + t) for t in range(50)] + [(49, 5), (None, None)], "token long, seen long")
+    assert jaccard._common(described, 1).tolist() == list(range(50))
+    monkeypatch.setattr(jaccard, "MOST_COMMON", 3)
+    assert jaccard._common(described, 1).tolist() == [47, 48, 49]
+    assert len(jaccard._common(described.limit(0), 1)) == 0
+
+
 def test_near_awkward(stored, empty):
     found = rows_of(jaccard.groups(stored))
     ids = {r["doc_id"]: r["near"]["component_id"] for r in found}
