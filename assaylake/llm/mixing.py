@@ -124,6 +124,14 @@ def _best_fold(items: str, seed: int, level: int, tries: int) -> Column:
     return F.array_min(scored)["f"]
 
 
+def _own_keys(sized: DataFrame) -> DataFrame:
+    """``sized`` where rows of a repeated ``key`` have the row number ``at`` in it, so that they spread over blocks."""
+    again = sized.groupBy(F.col("key").alias("again")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("again")
+    own = F.when(F.col("again").isNotNull(), F.concat_ws(" row ", "key", F.col("at").cast("string"))).otherwise(F.col("key"))
+    joined = sized.join(again, F.col("key") == F.col("again"), "left")
+    return joined.select(*[own.alias("key") if c == "key" else F.col(c) for c in sized.columns])
+
+
 def copies(docs: DataFrame, seed: int = 0, column: str = "copies", carry: list[str] | None = None,
            weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """``docs`` (``doc_id``, ``text``, ``source``) with a struct ``column``: size, source_size, target, copies.
@@ -137,14 +145,15 @@ def copies(docs: DataFrame, seed: int = 0, column: str = "copies", carry: list[s
     if column.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has a column {column}; name another")
     kept = docs.columns if carry is None else carry
-    # Draws hang on doc_id, so they are the same however the files are split; rows without one go by row number.
+    # Draws hang on doc_id, so they are the same however the files are split; rows without one, or with one that other
+    # rows have too, go by row number.
     number = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
     sized = docs.select(
         F.struct(*kept).alias("doc"), F.col("source").alias("from"), F.size(words_of(F.col("text"))).cast("long").alias("words"),
         F.coalesce(F.col("doc_id").cast("string"), number).alias("key"), F.monotonically_increasing_id().alias("at"),
     )
     # Written once: the row numbers then stay when a lost task runs again.
-    sized = materialise(sized, "mix-sizes")
+    sized = _own_keys(materialise(sized, "mix-sizes"))
     per_source = sized.groupBy(F.col("from").alias("source")).agg(
         F.sum("words").alias("source_size"), F.count(F.lit(1)).alias("n")
     )

@@ -416,6 +416,17 @@ def test_mix(spark, words):
     assert any(abs(want[s] - 3 * sizes[s]) < 1e-6 for s in sizes)
 
 
+def test_mix_spreads_a_repeated_id(spark):
+    docs = spark.createDataFrame([(7, "one two", "a")] * 40 + [(8, "one", "a")], "doc_id long, text string, source string")
+    seen = docs.select(F.col("doc_id").cast("string").alias("key"), F.monotonically_increasing_id().alias("at"))
+    keys = Counter(r["key"] for r in mixing._own_keys(seen).collect())
+    assert len(keys) == 41 and "8" in keys
+    found = rows_of(mixing.copies(docs, block=4))
+    assert len(found) == 41
+    taken = sum(r["copies"]["size"] * r["copies"]["copies"] for r in found)
+    assert abs(taken - found[0]["copies"]["target"]) <= 2
+
+
 def test_mix_awkward(stored, empty):
     found = rows_of(mixing.copies(stored))
     assert len(found) == 13 and found[0]["target"] == 2.0
