@@ -1,8 +1,8 @@
-"""Repeated passages by suffix order and longest previous factors, over a corpus of any size.
+"""Repeated passages by equal windows, over a corpus of any size.
 
-A window is a run of ``L`` bytes.  It is repeated if the same bytes start anywhere else.  In the order of all suffixes, equal
-windows stand together; the longest previous factor of a position, found at its previous and next smaller position in
-that order, reaches ``L`` for all but the first of them.
+A window is a run of ``L`` bytes.  It is repeated if the same bytes start anywhere else.  In the order of all suffixes, cut
+after L bytes, equal windows stand together, so a neighbour of the same rank tells; lengths of common prefixes and of
+previous factors are not computed.
 
 To sort little, and never all of a corpus in one place, windows are first told apart by what they contain:
 
@@ -12,7 +12,7 @@ To sort little, and never all of a corpus in one place, windows are first told a
 2. Runs with the same anchor and the same bytes are copies of each other as a whole, and are one *segment* with a number of
    copies.  Counting finds them, so a passage in a third of all texts never comes together in one task.
 3. Only the different segments of one anchor are left.  They meet in a task, which builds the suffix order of their
-   windows by prefix doubling up to L bytes, ties in corpus order, and takes longest previous factors from it.
+   windows by prefix doubling up to L bytes, ties in corpus order, and compares neighbours in it.
 
 Should one anchor have over ``MOST_SEGMENTS`` different segments, their windows are counted by hash over all tasks instead,
 as no task may hold a group without a bound.
