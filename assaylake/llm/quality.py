@@ -2,7 +2,8 @@
 
 Each rule looks at counts of a text and votes keep (1), reject (-1) or abstains (0).  Nobody labels texts: expectation
 maximisation estimates how each rule votes on good and on bad texts, and every text gets the posterior
-probability of being good.  A text that breaks one rule but convinces the others stays.
+probability of being good.  With the start values and the pull below, one reject vote
+usually decides (see README, open).
 
 The main path is DataFrame expressions only.  EM sees one row per distinct vote pattern, of which there are at most
 3 ** rules whatever the input, so these counts may go to the driver.
