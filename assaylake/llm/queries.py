@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import dedup, jaccard, langid, mixing, pieces, quality, repeats, sharding, tokenfile, urlfilter
+from assaylake.llm import caps, dedup, jaccard, langid, mixing, pieces, quality, repeats, sharding, tokenfile, urlfilter
 from assaylake.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -269,3 +269,12 @@ def op2_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "repeats.n_bytes", "repeats.n_removed", F.size("repeats.spans").cast("long").alias("n_spans"),
         F.sha2("repeats.kept", 256).alias("kept_sha256"),
     )
+
+
+# ---------------------------------------------------------------------------------------------- 11: near vectors
+
+
+@register("op11_spherical_caps")
+def op11_spherical_caps(spark: SparkSession, folder: str) -> DataFrame:
+    found = caps.groups(table(spark, folder, "embeddings"), cosine=0.9, carry=["vec_id"])
+    return found.select("vec_id", "caps.n_links", "caps.component_id", "caps.kept")
