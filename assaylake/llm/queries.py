@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import caps, dedup, jaccard, langid, mixing, pieces, quality, repeats, sharding, tokenfile, urlfilter
+from assaylake.llm import align, caps, dedup, jaccard, langid, mixing, pieces, quality, repeats, sharding, tokenfile, urlfilter
 from assaylake.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,3 +278,16 @@ def op2_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
 def op11_spherical_caps(spark: SparkSession, folder: str) -> DataFrame:
     found = caps.groups(table(spark, folder, "embeddings"), cosine=0.9, carry=["vec_id"])
     return found.select("vec_id", "caps.n_links", "caps.component_id", "caps.kept")
+
+
+# ---------------------------------------------------------------------------------------------- 13: two tokenizers
+
+
+@register("op13_merge_path_alignment")
+def op13_merge_path_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = align.align(
+        table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"),
+        carry=["doc_id"], with_groups=False,
+    )
+    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return found.select("doc_id", *[f"aligned.{c}" for c in names])
