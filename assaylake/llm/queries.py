@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import align, caps, dedup, jaccard, langid, mixing, pieces, quality, repeats, sharding, tokenfile, urlfilter
-from assaylake.session import shared_dir
+from assaylake.llm import align, caps, dedup, jaccard, langid, mixing, pieces, quality, repeats, sharding, tokenfile, trie, urlfilter
+from assaylake.session import materialise, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -291,3 +291,70 @@ def op13_merge_path_alignment(spark: SparkSession, folder: str) -> DataFrame:
     )
     names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     return found.select("doc_id", *[f"aligned.{c}" for c in names])
+
+
+# ---------------------------------------------------------------------------------------------- 12: prefix trie
+
+#: Families of five conversations share up to eight first turns.
+FAMILY, FIRST_TURNS = 5, 9
+
+
+def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and ids of conversations that start with turns of the first one of their family of five.
+
+    Conversation c has the first h turns of c - c % 5, h being the CRC of its decimal id modulo 9, then its own turns after
+    the h-th; as ``trie.nodes`` takes them.
+    """
+    own = materialise(trie.numbered(conversations), "trie-numbered")
+    ids = conversations.where(F.col("conv_id").isNotNull()).select("conv_id").distinct()
+    first = own.where(F.col("place") < FIRST_TURNS).withColumnRenamed("conv_id", "base")
+    there = first.groupBy("base").agg(F.count(F.lit(1)).alias("there"))
+    plan = ids.select(
+        "conv_id", (F.col("conv_id") - F.col("conv_id") % FAMILY).alias("base"),
+        (F.crc32(F.col("conv_id").cast("string").cast("binary")) % FIRST_TURNS).alias("h"),
+    ).join(there, "base", "left").withColumn("taken", F.least("h", F.coalesce("there", F.lit(0))))
+    shared = first.join(plan, "base").where(F.col("place") <= F.col("h")).select("conv_id", "place", "digest", "n_bytes")
+    rest = own.join(plan, "conv_id").where(F.col("place") > F.col("h")).select(
+        "conv_id", (F.col("place") - F.col("h") + F.col("taken")).alias("place"), "digest", "n_bytes"
+    )
+    return shared.unionByName(rest), ids
+
+
+@register("op12_prefix_contraction", f"""
+WITH RECURSIVE {_CRC_SQL},
+conv AS MATERIALIZED (
+  SELECT c, c - c % {FAMILY} AS b,
+    xor(4294967295, list_reduce([('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode(c::VARCHAR)), '..')],
+      lambda a, b : xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295::BIGINT)) % {FIRST_TURNS} AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), tab),
+t AS MATERIALIZED (
+  SELECT conv_id, md5(length(role)::VARCHAR || ':' || role || text) AS digest, strlen(text) AS bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, {trie.TIE_CHARACTERS}),
+      md5(length(role)::VARCHAR || ':' || role || text)) AS place
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)),
+there AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1),
+turns AS MATERIALIZED (
+  SELECT c, place, digest, bytes FROM conv JOIN t ON conv_id = b WHERE place <= h
+  UNION ALL
+  SELECT c, place - h + least(h, coalesce(n, 0)), digest, bytes
+  FROM conv JOIN t ON t.conv_id = c LEFT JOIN there ON there.conv_id = b WHERE place > h),
+prefix AS MATERIALIZED (
+  SELECT c, place AS d, md5(array_to_string(list(digest) OVER (PARTITION BY c ORDER BY place), ',')) AS k, bytes FROM turns
+  UNION ALL SELECT c, 0, '', 0 FROM conv),
+node AS MATERIALIZED (SELECT d, k, min(c) AS m, count(*) AS n, any_value(bytes) AS bytes FROM prefix GROUP BY d, k),
+up AS MATERIALIZED (
+  SELECT node.d, node.k, above.m AS parent, above.d AS pd, above.k AS pk
+  FROM node JOIN prefix p ON p.c = node.m AND p.d = node.d - 1 JOIN node above ON above.d = p.d AND above.k = p.k),
+kids AS MATERIALIZED (SELECT pd AS d, pk AS k, count(*) AS n_children FROM up GROUP BY ALL),
+sums AS (
+  SELECT p.d, p.k, sum((n_children IS NULL)::INT) AS n_leaves, sum((node.n - 1) * node.bytes) AS saved
+  FROM node LEFT JOIN kids USING (d, k) JOIN prefix p ON p.c = node.m AND p.d <= node.d GROUP BY ALL),
+ends AS (
+  SELECT d, k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids
+  FROM prefix JOIN (SELECT c, max(d) AS d FROM prefix GROUP BY c) USING (c, d) GROUP BY d, k)
+SELECT m::BIGINT AS conv_id, d::BIGINT AS depth, parent::BIGINT AS parent_conv_id, n::BIGINT AS n_convs,
+  coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM node LEFT JOIN up USING (d, k) LEFT JOIN kids USING (d, k) JOIN sums USING (d, k) LEFT JOIN ends USING (d, k)""")
+def op12_prefix_contraction(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.nodes(*rebuilt(table(spark, folder, "conversations")))
