@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assaylake.functions.scalars import logit
 from assaylake.operators import metrics as m
+from assaylake.operators.quantile_trees import ROUNDS, QuantileTrees, fit_quantile_trees
 from assaylake.operators.quantiles import exact_quantiles
 from assaylake.operators.series import half_split
 from assaylake.operators.splits import expanding_folds, rolling_folds
@@ -61,12 +62,14 @@ def fit_regression(train: DataFrame, names: Sequence[str], label: str, family: s
     if family == "boosted":
         model = GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="_p", seed=42, **setting)
         return Pipeline(stages=[*_prepared(names, scale=False), model]).fit(rows)
-    # A penalty on the sum of squares becomes alpha / n on the mean.
-    n = rows.count()
+    # A penalty on the sum of squares becomes alpha / n on the mean.  For squared errors MLlib divides it by the label's
+    # deviation, which is put back here.
     loss = setting.get("loss", "squaredError")
+    size = rows.agg(F.count("*").alias("n"), F.stddev_pop(label).alias("spread")).first()
+    scale = size["spread"] or 1.0 if loss == "squaredError" else 1.0
     model = LinearRegression(
         featuresCol="_x", labelCol=label, predictionCol="_p", elasticNetParam=0.0, loss=loss,
-        regParam=setting.get("alpha", 1.0) / max(n, 1), maxIter=setting.get("maxIter", 100), standardization=False,
+        regParam=setting.get("alpha", 1.0) * scale / max(size["n"], 1), maxIter=setting.get("maxIter", 100), standardization=False,
     )
     return Pipeline(stages=[*_prepared(names), model]).fit(rows)
 
@@ -179,28 +182,41 @@ def conformal_shift(rows: DataFrame, raw: str, level: float = 0.95) -> float:
 
 @dataclass
 class UpperHead:
+    """An upper estimate, never below the point: a quantile model, or without one the point itself, plus a shift."""
+
     model_id: str
-    raw: Column
+    trees: QuantileTrees | None
     shift: float
+    level: float = 0.95
 
     def score(self, rows: DataFrame, point: str = "point", out: str = "upper") -> DataFrame:
-        return rows.withColumn(out, F.greatest(F.col(point), self.raw + F.lit(self.shift)))
+        if self.trees is None:
+            return rows.withColumn(out, F.col(point) + F.lit(self.shift))
+        raw = self.trees.score(rows, "_raw_upper")
+        return raw.withColumn(out, F.greatest(F.col(point), F.col("_raw_upper") + F.lit(self.shift))).drop("_raw_upper")
 
 
-def fit_upper_head(frame: DataFrame, *, level: float = 0.95, sizes: Sequence[int] = (8, 16)) -> UpperHead:
-    """Choose on the first validation half by pinball loss, shift on the second.
+def fit_upper_head(
+    frame: DataFrame, names: Sequence[str], *, level: float = 0.95, leaves: Sequence[int] = (15, 31), rounds: int = ROUNDS,
+    label: str = "y",
+) -> UpperHead:
+    """Quantile models on train, chosen on the first validation half by pinball loss, shifted on the second.
 
-    ``frame`` has split, as_of, observation_id, y and point.
+    ``frame`` has split, as_of, observation_id, the label and the features.  Test rows are not read.
     """
-    rows = materialise(frame.filter(F.col("y").isNotNull() & F.col("point").isNotNull()), "upper-rows")
+    rows = materialise(frame.filter(F.col(label).isNotNull() & F.col("split").isin("train", "validation")), "upper-rows")
     train = rows.filter("split = 'train'")
-    raws = {f"bucket_quantile_{n}": bucket_upper(train, n, level) for n in sizes}
-    halves = half_split(rows.filter("split = 'validation'"), ["as_of", "observation_id"])
-    scored = halves.select("half", "y", *[c.alias(k) for k, c in raws.items()])
-    scored = materialise(scored, "upper-halves")
-    losses = scored.filter("half = 1").agg(*[m.pinball(F.col("y"), F.col(k), level).alias(k) for k in raws]).first()
-    best = min(raws, key=lambda k: (losses[k], k))
-    return UpperHead(best, raws[best], conformal_shift(scored.filter("half = 2"), best, level))
+    kept = usable_features(train, names)
+    fitted = {f"quantile_trees_{n}": fit_quantile_trees(train, kept, label, level=level, leaves=n, rounds=rounds) for n in leaves}
+    scored = half_split(rows.filter("split = 'validation'"), ["as_of", "observation_id"])
+    for name, trees in fitted.items():
+        scored = trees.score(scored, name)
+    scored = materialise(scored.select("half", F.col(label).alias("y"), *fitted), "upper-halves")
+    losses = scored.filter("half = 1").agg(*[m.pinball(F.col("y"), F.col(k), level).alias(k) for k in fitted]).first()
+    if any(losses[k] is None for k in fitted):
+        raise ValueError("validation has too few rows to choose an upper model")
+    best = min(fitted, key=lambda k: (losses[k], k))
+    return UpperHead(best, fitted[best], conformal_shift(scored.filter("half = 2"), best, level), level)
 
 
 @dataclass
@@ -323,10 +339,10 @@ def fit_risk_model(
     return RiskModel(pick["family"], pick["weight"], kept, model, calibration, 1.0 if threshold is None else threshold, found)
 
 
-def fit_lab_correction(frame: DataFrame, names: Sequence[str]) -> dict:
+def fit_lab_correction(frame: DataFrame, names: Sequence[str], rounds: int = ROUNDS) -> dict:
     """Residual of laboratory targets over the analyser forecast: ridge or huber, with an upper bound.
 
-    ``frame`` has split, y, pak_point and the features; promotion looks at validation only.
+    ``frame`` has split, as_of, observation_id, y, pak_point (the fitted analyser model's forecast) and the features; promotion looks at validation only.
     """
     rows = materialise(frame.withColumn("residual", F.col("y") - F.col("pak_point")), "lab-rows")
     train, validation = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
@@ -337,12 +353,16 @@ def fit_lab_correction(frame: DataFrame, names: Sequence[str]) -> dict:
         errors[name] = predict(models[name], validation, kept, "_s").agg(
             F.avg(F.abs(F.col("residual") - F.col("_s"))).alias("e")).first()["e"]
     best = min(errors, key=lambda k: (errors[k], k))
-    corrected = materialise(predict(models[best], rows, kept, "_s").withColumn("point", F.col("pak_point") + F.col("_s")), "lab-scored")
-    raw = bucket_upper(corrected.filter("split = 'train'"), 4)
-    judged = corrected.withColumn("upper", F.greatest(F.col("point"), raw)).groupBy("split").agg(
+    corrected = predict(models[best], rows, kept, "_s").withColumn("point", F.col("pak_point") + F.col("_s")).drop("_s")
+    head = fit_upper_head(rows, kept, leaves=(15,), rounds=rounds, label="residual")
+    # The head bounds the residual, so it is compared on that scale and moved to the laboratory's.
+    bounded = head.score(corrected.withColumn("_delta", F.col("point") - F.col("pak_point")), "_delta", "_over")
+    judged = bounded.withColumn("upper", F.col("pak_point") + F.col("_over")).groupBy("split").agg(
         F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("pak_point"))).alias("pak_point_mae"),
         F.avg(F.abs(F.col("y") - F.col("point"))).alias("corrected_mae"),
-        F.avg((F.col("y") <= F.col("upper")).cast("double")).alias("upper_coverage"))
+        F.avg((F.col("y") <= F.col("upper")).cast("double")).alias("upper_coverage"),
+        F.avg(F.col("upper") - F.col("point")).alias("upper_width"))
+    judged = materialise(judged, "lab-judged")
     v = judged.filter("split = 'validation'").first()
     promoted = v["corrected_mae"] <= 0.95 * v["pak_point_mae"] and v["upper_coverage"] >= 0.95
     return {"selected": best, "errors": errors, "report": judged, "promotion_eligible": promoted}
@@ -351,9 +371,11 @@ def fit_lab_correction(frame: DataFrame, names: Sequence[str]) -> dict:
 def rolling_scores(
     frame: DataFrame, names: Sequence[str], family: str, start: str, end: str, *, step: str, horizons: Sequence[int],
     weight: str | None = "weight", cap: int | None = None, delta: bool = True,
-    rounds: int = BOOSTING_ROUNDS,
+    rounds: int = BOOSTING_ROUNDS, upper: bool = False,
 ) -> DataFrame:
-    """Out-of-fold probabilities per horizon (and, with ``delta``, the predicted change) over rolling folds.
+    """Out-of-fold probabilities per horizon over rolling folds.
+
+    With ``delta`` also the predicted change, with ``upper`` its upper estimate, both of the folds' own models.
 
     ``cap`` bounds the rows a *classifier* is fitted on, all positives first; the regression of the change sees all rows.
     ``rounds`` are the boosting rounds of the boosted family.
@@ -380,6 +402,8 @@ def rolling_scores(
             reg = fit_regression(train, names, "delta_60m", "boosted" if family == "boosted" else "ridge",
                                  **({"maxIter": rounds, "maxDepth": 3} if family == "boosted" else {}))
             score = predict(reg, score, names, "predicted_delta")
+        if upper:
+            score = fit_quantile_trees(train, names, "delta_60m").score(score, "upper_delta")
         parts.append(score.drop("fold_start", "role"))
     if not parts:
         raise ValueError("rolling backtest produced no folds")

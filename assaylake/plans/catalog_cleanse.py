@@ -418,7 +418,11 @@ def collapse_duplicates(t):
 
 
 def hourly_quality(t):
-    q = quality(t)
+    return hourly(quality(t))
+
+
+def hourly(q):
+    """Times cut to the hour and values made coarse, so that copies and conflicts occur."""
     return q.withColumn("measured_at", floor_minutes("measured_at", 60)).withColumn(
         "available_at", floor_minutes("available_at", 60)
     ).withColumn("value", F.floor(F.col("value") / 40))

@@ -18,7 +18,7 @@ from assaylake.plans.catalog_windows import episodes
 from assaylake.plans.frames import alarm_score, persistence, scored
 from assaylake.plans.registry import query
 from assaylake.plans.replay import summary
-from assaylake.sources.adapters import LIMIT, TRAIN_END, VALIDATION_END, analyser, hour_grid, late_lab, quality, with_views
+from assaylake.sources.adapters import LIMIT, SIGNALS, TRAIN_END, VALIDATION_END, analyser, hour_grid, quality, telemetry, with_views
 from assaylake.session import materialise
 
 FEATURES = ("click__lag_0m", "view__mean_180m", "signup__lag_0m", "target__last", "target__age_minutes", "target__lag_60m",
@@ -68,8 +68,10 @@ def upper_shift(t):
 
 @query("upper_quantile_head")
 def upper_quantile_head(t):
-    frame = scored(t).drop("upper")
-    head = md.fit_upper_head(frame)
+    frame = training_frame(t).filter("baseline IS NOT NULL")
+    point = md.fit_regression(frame.filter("split = 'train'"), FEATURES, "y", "ridge", alpha=1.0)
+    frame = materialise(md.predict(point, frame, FEATURES, "point"), "upper-frame")
+    head = md.fit_upper_head(frame, FEATURES)
     judged = head.score(frame.filter(F.col("split").isNotNull())).groupBy("split").agg(
         *m.upper_columns(F.col("y"), F.col("point"), F.col("upper")))
     return judged.withColumn("model_id", F.lit(head.model_id)).withColumn("shift", F.lit(head.shift))
@@ -95,15 +97,18 @@ def risk_classifier(t):
 
 @query("lims_correction")
 def lims_correction(t):
-    lab = eligible(quality(t), "lims")
-    asks = lab.select("entity", "observation_id", F.col("measured_at").alias("target_at"), F.col("available_at").alias("target_available_at"),
-                      F.col("value").alias("y"), (F.col("measured_at") - F.expr("INTERVAL 60 MINUTES")).alias("as_of"))
-    from assaylake.operators.asof import asof_published
+    """Laboratory targets over the forecast of the model fitted on analyser targets."""
+    from assaylake.operators.asof import published_depth
+    from assaylake.operators.features import supervised
 
-    known = asof_published(asks, analyser(t), keys=["entity"], query_ts="as_of").withColumnRenamed("last_value", "baseline")
-    lagged = published_depth(known, lab, keys=["entity"], query_ts="as_of").filter(F.col("baseline").isNotNull())
-    frame = lagged.withColumn("pak_point", F.col("baseline") * 0.5 + 20.0).withColumn("split", sp.outer_split(TRAIN_END, VALIDATION_END)).filter("split IS NOT NULL")
-    fit = md.fit_lab_correction(frame, ["pak_point", "baseline", "age_minutes", *[f"lims_published_lag_{k}" for k in range(3)], "lims_age_minutes_0"])
+    lab = eligible(quality(t), "lims")
+    analysed = training_frame(t).filter("split = 'train' AND baseline IS NOT NULL")
+    model = md.fit_regression(analysed, FEATURES, "y", "ridge", alpha=1.0)
+    asks = supervised(lab, telemetry(t), analyser(t), signals=SIGNALS).filter("baseline IS NOT NULL")
+    known = md.predict(model, asks, FEATURES, "pak_point")
+    lagged = published_depth(known, lab, keys=["entity"], query_ts="as_of")
+    frame = lagged.withColumn("split", sp.outer_split(TRAIN_END, VALIDATION_END)).filter("split IS NOT NULL")
+    fit = md.fit_lab_correction(frame, ["pak_point", "baseline", "target__age_minutes", *[f"lims_published_lag_{k}" for k in range(3)], "lims_age_minutes_0"])
     return fit["report"].withColumn("selected", F.lit(fit["selected"])).withColumn("promotion_eligible", F.lit(bool(fit["promotion_eligible"])))
 
 
@@ -153,16 +158,29 @@ def episode_forecaster(t):
         picks.append((0 if ok else 1, 1.0 if fnr is None else fnr, figures["brier"], mae, order, family))
         reports.append(("selection", family, threshold, figures["event_count"], fnr, figures["event_false_positive_rate"]))
     family = min(picks)[-1]
-    tuned = md.rolling_scores(frame, EPISODE_FEATURES, family, second, third, step=PERIOD, horizons=HORIZONS_AHEAD, delta=False)
+    tuned = md.rolling_scores(frame, EPISODE_FEATURES, family, second, third, step=PERIOD, horizons=HORIZONS_AHEAD, upper=True)
     calibration = md.fit_platt(tuned, "p", "crossing_60m")
     policy = materialise(tuned.withColumn("p", md.platt(F.col("p"), calibration)), "policy")
     threshold = event_threshold(policy, limit=LIMIT)
-    audit = md.rolling_scores(frame, EPISODE_FEATURES, family, third, end, step=PERIOD, horizons=HORIZONS_AHEAD, delta=False)
+    # The upper head is shifted, and the domain drawn, before the period that is audited.
+    change = lambda rows: rows.withColumn("y", F.col("y_60m") - F.col("baseline")).filter("y IS NOT NULL")
+    shift = md.conformal_shift(change(policy), "upper_delta")
+    domain = md.fit_joint_applicability(frame.filter(F.col("as_of") < F.lit(third).cast("timestamp_ntz")), EPISODE_FEATURES, ["baseline"])
+    audit = md.rolling_scores(frame, EPISODE_FEATURES, family, third, end, step=PERIOD, horizons=HORIZONS_AHEAD, upper=True)
     audit = audit.withColumn("p", md.platt(F.col("p"), calibration))
     for stage, rows in (("threshold", policy), ("audit", audit)):
         f = m.event_metrics(rows, threshold=threshold, limit=LIMIT).first()
-        reports.append((stage, family, threshold, f["event_count"], f["event_false_negative_rate"], f["event_false_positive_rate"]))
-    return t.spark.createDataFrame(reports, "stage string, family string, threshold double, event_count long, event_fnr double, event_fpr double")
+        raised = F.greatest(F.col("predicted_delta"), F.col("upper_delta") + F.lit(shift))
+        u = change(domain.score(rows)).agg(
+            F.avg((F.col("y") <= raised).cast("double")).alias("coverage"), F.avg(raised - F.col("predicted_delta")).alias("width"),
+            F.avg(F.col("applicability_code").isNull().cast("double")).alias("applicable"),
+            F.avg(F.when(F.col("applicability_code").isNull(), (F.col("y") <= raised).cast("double"))).alias("inside")).first()
+        reports.append((stage, family, threshold, f["event_count"], f["event_false_negative_rate"], f["event_false_positive_rate"],
+                        u["coverage"], u["width"], u["applicable"], u["inside"]))
+    return t.spark.createDataFrame(
+        [r if len(r) == 10 else (*r, None, None, None, None) for r in reports],
+        "stage string, family string, threshold double, event_count long, event_fnr double, event_fpr double, upper_coverage double, "
+        "upper_width double, applicable_rate double, coverage_in_domain double")
 
 
 @query("episode_scoring")
@@ -289,34 +307,82 @@ def temporal_residualization(t):
     return t.spark.createDataFrame(out, "control_id string, fold int, effect double, rows long")
 
 
+#: Penalty of the replayed point model, and the quantiles that bound its domain.
+REPLAY_ALPHA = 1.0
+DOMAIN = (0.001, 0.999)
+
+
+def replay_model(t):
+    """The point model and shift fitted on the persistence frame, stored and read back as a replay would find them."""
+    from assaylake.operators.quantiles import exact_quantiles
+    from assaylake.operators.series import half_split
+    from assaylake.session import shared_dir
+    from assaylake.sources.model_store import ForecastModel, Manifest, load_model, save_model
+
+    frame = materialise(scored(t).select("as_of", "observation_id", "split", "y", "baseline"), "replay-train")
+    train = frame.filter("split = 'train'")
+    point = md.PointModel("ridge", ["baseline"], md.fit_regression(train, ["baseline"], "y", "ridge", alpha=REPLAY_ALPHA), [])
+    halves = half_split(frame.filter("split = 'validation'"), ["as_of", "observation_id"])
+    shift = md.conformal_shift(point.score(halves.filter("half = 2")), "point")
+    edges = exact_quantiles(train, [], F.col("baseline"), {"low": DOMAIN[0], "high": DOMAIN[1]}).first()
+    boundaries = {"train_end": TRAIN_END, "validation_end": VALIDATION_END}
+    manifest = Manifest("replay", ["baseline"], "baseline", 60, LIMIT, "tables", boundaries, {"baseline": (edges["low"], edges["high"])})
+    root = shared_dir(t.spark, "models")
+    save_model(root, ForecastModel(manifest, point, md.UpperHead("shifted_point", None, shift)), t.spark)
+    return load_model(t.spark, root, "replay", features=["baseline"], dataset_id="tables", boundaries=boundaries)
+
+
 def replayed(t):
-    """Every hour of the period: what was known, the forecast, its assessment and the decision."""
+    """Every hour of the period: what was known, the stored model's forecast, its assessment and the decision.
+
+    Without a model of actions a forecast recommends nothing, which the model's manifest says.
+    """
     from assaylake.operators.asof import asof_published
     from assaylake.operators.decisions import forecast_quality
 
+    model = replay_model(t)
     known = asof_published(hour_grid(t), analyser(t), keys=["entity"], query_ts="as_of").withColumnRenamed("last_value", "baseline")
-    b = F.col("baseline")
-    rows = known.withColumn("point", b * 0.5 + 20.0).withColumn("upper", b * 0.9 + 35.0).withColumn("alarm", F.coalesce((b > LIMIT) | (alarm_score(b) >= 0.3), F.lit(False)))
-    rows = rows.withColumn("applicability_code", F.when(b.isNull(), "FEATURES_UNAVAILABLE"))
+    limit = model.manifest.limit
+    rows = model.score(known).withColumn("alarm", F.coalesce((F.col("baseline") > limit) | (F.col("upper") > limit), F.lit(False)))
     judged = forecast_quality(rows)
-    return judged.select("entity", "as_of", "point", "upper", F.lit("abstain").alias("status"),
-                         F.array_append("quality_codes", F.lit("ACTION_MODEL_UNAVAILABLE")).alias("reason_codes"))
-
-
-@query("interval_replay", with_views("hours pak", """
-SELECT h.entity, h.as_of, q.value * 0.5 + 20.0 AS point, q.value * 0.9 + 35.0 AS upper, 'abstain' AS status,
-  concat_ws(',', CASE WHEN q.value IS NULL THEN 'FEATURES_UNAVAILABLE' END, CASE WHEN q.value > 60 OR round(1.0 / (1.0 + exp(-(q.value - 60.0) / 20.0)), 2) >= 0.3 THEN 'SULFUR_EXCEEDANCE_RISK' END, 'ACTION_MODEL_UNAVAILABLE') AS reasons
-FROM hours h ASOF LEFT JOIN pak q ON q.entity = h.entity AND h.as_of >= q.measured_at"""))
+    codes = F.col("quality_codes")
+    if not model.manifest.supports_actions:
+        codes = F.array_append(codes, F.lit("ACTION_MODEL_UNAVAILABLE"))
+    status = F.when(F.array_contains(codes, "ACTION_MODEL_UNAVAILABLE") | (F.col("quality_status") == "unavailable"), "abstain").otherwise("hold")
+    return judged.select("entity", "as_of", "point", "upper", status.alias("status"), codes.alias("reason_codes"))
+
+
+REPLAY_SQL = f"""
+tr AS (SELECT count(*) AS n, avg(baseline) AS mx, stddev_samp(baseline) AS sx, avg(y) AS my, covar_samp(baseline, y) AS c,
+  quantile_cont(baseline, {DOMAIN[0]}) AS low, quantile_cont(baseline, {DOMAIN[1]}) AS high FROM scored WHERE split = 'train'),
+line AS (SELECT c * (n - 1) / (sx * sx * (n - 1 + {REPLAY_ALPHA})) AS slope, mx, my, low, high FROM tr),
+half AS (SELECT y, my + slope * (baseline - mx) AS point, row_number() OVER (ORDER BY as_of, observation_id) AS pos, count(*) OVER () AS n
+  FROM scored, line WHERE split = 'validation'),
+shift AS (SELECT greatest(0, quantile_cont(y - point, 0.95)) AS shift FROM half WHERE pos > n // 2),
+replay AS (SELECT h.entity, h.as_of, q.value AS baseline,
+  CASE WHEN q.value IS NULL THEN 'FEATURES_UNAVAILABLE' WHEN q.value < low OR q.value > high THEN 'OUT_OF_DOMAIN' END AS code,
+  my + slope * (q.value - mx) AS point, my + slope * (q.value - mx) + shift AS upper
+  FROM hours h ASOF LEFT JOIN pak q ON q.entity = h.entity AND h.as_of >= q.measured_at, line, shift)"""
+
+
+@query("interval_replay", with_views("hours pak scored", f"""
+WITH {REPLAY_SQL}
+SELECT entity, as_of, round(CASE WHEN code IS NULL THEN point END, 6) AS point, round(CASE WHEN code IS NULL THEN upper END, 6) AS upper,
+  'abstain' AS status, concat_ws(',', code, CASE WHEN code IS NULL AND (baseline > {LIMIT} OR upper > {LIMIT}) THEN 'SULFUR_EXCEEDANCE_RISK' END,
+  'ACTION_MODEL_UNAVAILABLE') AS reasons FROM replay"""))
 def interval_replay(t):
-    return replayed(t).select("entity", "as_of", "point", "upper", "status", F.array_join("reason_codes", ",").alias("reasons"))
+    out = replayed(t).select("entity", "as_of", "point", "upper", "status", F.array_join("reason_codes", ",").alias("reasons"))
+    return rounded(out, ("point", "upper"))
 
 
-@query("interval_result_table", with_views("hours pak", """
-SELECT h.entity, h.as_of + INTERVAL 60 MINUTE AS target_at, q.value * 0.5 + 20.0 AS point, q.value * 0.9 + 35.0 AS upper
-FROM hours h ASOF LEFT JOIN pak q ON q.entity = h.entity AND h.as_of >= q.measured_at"""))
+@query("interval_result_table", with_views("hours pak scored", f"""
+WITH {REPLAY_SQL}
+SELECT entity, as_of + INTERVAL 60 MINUTE AS target_at, round(CASE WHEN code IS NULL THEN point END, 6) AS point,
+  round(CASE WHEN code IS NULL THEN upper END, 6) AS upper FROM replay"""))
 def interval_result_table(t):
     """Chart rows of a replay: shifted by the horizon, missing values stay NULL, time order."""
     from assaylake.operators.cleanse import finite
 
-    return replayed(t).select("entity", (F.col("as_of") + F.expr("INTERVAL 60 MINUTES")).alias("target_at"),
-                              finite(F.col("point")).alias("point"), finite(F.col("upper")).alias("upper")).orderBy("target_at", "entity")
+    rows = rounded(replayed(t), ("point", "upper"))
+    return rows.select("entity", (F.col("as_of") + F.expr("INTERVAL 60 MINUTES")).alias("target_at"),
+                       finite(F.col("point")).alias("point"), finite(F.col("upper")).alias("upper")).orderBy("target_at", "entity")

@@ -131,8 +131,13 @@ def plant_of(user: str = "user_id"):
 
 
 def quality(t) -> DataFrame:
+    return quality_of(t.events)
+
+
+def quality_of(events: DataFrame) -> DataFrame:
+    """Analyser and laboratory observations among ``events``, a table or a stream."""
     pak = F.col("event_type") == "purchase"
-    return t.events.filter(F.col("event_type").isin("purchase", "error")).select(
+    return events.filter(F.col("event_type").isin("purchase", "error")).select(
         plant_of(),
         F.col("event_id").cast("string").alias("observation_id"),
         F.lit("ht:sulfur").alias("signal_id"),

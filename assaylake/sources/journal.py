@@ -2,15 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DOCUMENTS = ("input", "features", "candidates", "trace", "explanation", "result")
 TERMINAL = ("completed", "failed", "interrupted")
 
 
-def append(journal: str, decisions: DataFrame) -> None:
-    """Append decisions, partitioned by day, nested columns kept."""
-    decisions.withColumn("day", F.to_date("as_of")).write.mode("append").partitionBy("day").parquet(journal)
+def append(journal: str, decisions: DataFrame, run_id: str) -> None:
+    """Write the decisions (``as_of``) of one run, partitioned by run and day, nested columns kept.
+
+    The run enters the list of commits last.  Written again after a failure or for a repeated micro-batch, it replaces what
+    it had left; a run that is committed already is left as it is, so nothing is there twice.
+    """
+    if run_id in committed(decisions.sparkSession, journal):
+        return
+    rows = decisions.withColumn("day", F.to_date("as_of"))
+    rows.write.mode("overwrite").partitionBy("day").parquet(f"{journal}/rows/run={run_id}")
+    done = decisions.sparkSession.createDataFrame([(run_id,)], "run_id string")
+    done.coalesce(1).write.mode("overwrite").parquet(f"{journal}/commits/commit={run_id}")
+
+
+def committed(spark: SparkSession, journal: str) -> set[str]:
+    """Ids of committed runs."""
+    try:
+        return {r["run_id"] for r in spark.read.parquet(f"{journal}/commits").select("run_id").collect()}
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()
+
+
+def read(spark: SparkSession, journal: str) -> DataFrame:
+    """Rows of committed runs, with ``run`` and ``day``; what an unfinished run left is not seen."""
+    rows = spark.read.parquet(f"{journal}/rows").withColumn("run", F.col("run").cast("string"))
+    commits = spark.read.parquet(f"{journal}/commits").select(F.col("run_id").alias("run"))
+    return rows.join(commits, "run", "left_semi")
 
 
 def completed_runs(statuses: DataFrame) -> DataFrame:
