@@ -158,7 +158,7 @@ def episode_forecaster(t):
         picks.append((0 if ok else 1, 1.0 if fnr is None else fnr, figures["brier"], mae, order, family))
         reports.append(("selection", family, threshold, figures["event_count"], fnr, figures["event_false_positive_rate"]))
     family = min(picks)[-1]
-    tuned = md.rolling_scores(frame, EPISODE_FEATURES, family, second, third, step=PERIOD, horizons=HORIZONS_AHEAD, upper=True)
+    tuned = md.rolling_scores(frame, EPISODE_FEATURES, family, second, third, step=PERIOD, horizons=HORIZONS_AHEAD, delta=False, upper=True)
     calibration = md.fit_platt(tuned, "p", "crossing_60m")
     policy = materialise(tuned.withColumn("p", md.platt(F.col("p"), calibration)), "policy")
     threshold = event_threshold(policy, limit=LIMIT)
@@ -170,9 +170,13 @@ def episode_forecaster(t):
     audit = audit.withColumn("p", md.platt(F.col("p"), calibration))
     for stage, rows in (("threshold", policy), ("audit", audit)):
         f = m.event_metrics(rows, threshold=threshold, limit=LIMIT).first()
-        raised = F.greatest(F.col("predicted_delta"), F.col("upper_delta") + F.lit(shift))
+        raised = F.col("upper_delta") + F.lit(shift)
+        point = F.lit(None).cast("double")
+        if "predicted_delta" in rows.columns:
+            point = F.col("predicted_delta")
+            raised = F.greatest(point, raised)
         u = change(domain.score(rows)).agg(
-            F.avg((F.col("y") <= raised).cast("double")).alias("coverage"), F.avg(raised - F.col("predicted_delta")).alias("width"),
+            F.avg((F.col("y") <= raised).cast("double")).alias("coverage"), F.avg(raised - point).alias("width"),
             F.avg(F.col("applicability_code").isNull().cast("double")).alias("applicable"),
             F.avg(F.when(F.col("applicability_code").isNull(), (F.col("y") <= raised).cast("double"))).alias("inside")).first()
         reports.append((stage, family, threshold, f["event_count"], f["event_false_negative_rate"], f["event_false_positive_rate"],
