@@ -267,7 +267,7 @@ def op2_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.remove(table(spark, folder, "documents"), length=400, carry=["doc_id"])
     return found.select(
         "doc_id", "repeats.n_bytes", "repeats.n_removed", F.size("repeats.spans").cast("long").alias("n_spans"),
-        F.sha2("repeats.kept", 256).alias("kept_sha256"),
+        F.sha2("repeats.kept", 256).alias("kept_sha256"), (F.col("repeats.n_removed") > 0).alias("repeated"),
     )
 
 
