@@ -2,8 +2,10 @@
 
 Each rule looks at counts of a text and votes keep (1), reject (-1) or abstains (0).  Nobody labels texts: expectation
 maximisation estimates how each rule votes on good and on bad texts, and every text gets the posterior
-probability of being good.  With the start values and the pull below, one reject vote
-usually decides (see README, open).
+probability of being good.  A text that breaks one rule but convinces the others stays.
+
+Texts that fail the base are decided already and are no part of the estimate, so that the two classes found are those of
+the texts in question.
 
 The main path is DataFrame expressions only.  EM sees one row per distinct vote pattern, of which there are at most
 3 ** rules whatever the input, so these counts may go to the driver.
@@ -12,6 +14,7 @@ The main path is DataFrame expressions only.  EM sees one row per distinct vote
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -35,30 +38,42 @@ class Rule:
     keep: str = "FALSE"
 
 
-#: Most rules know one fault and abstain without it; two also know what good text looks like.
+#: Several rules look at one fault from different sides, by which estimates can tell a fault from a chance reject; some
+#: know only what is bad and abstain without it.
 RULES = (
-    Rule("symbols", "10 * n_symbols > 3 * n_words"),
+    Rule("symbols", "10 * n_symbols > 3 * n_words", "50 * n_symbols <= n_words"),
+    Rule("marks", "100 * n_symbols > 4 * word_chars", "200 * n_symbols <= word_chars"),
     Rule("repeats", "10 * n_repeat_words > 3 * n_words"),
     Rule("lines", "10 * n_dup_lines > 3 * n_lines"),
-    Rule("word_length", "2 * word_chars < 5 * n_words OR word_chars > 14 * n_words",
-         "word_chars >= 3 * n_words AND word_chars <= 10 * n_words AND n_words > 0"),
-    Rule("variety", "10 * n_distinct < n_words AND n_words >= 20", "4 * n_distinct > n_words AND n_words >= 20"),
+    Rule("word_length", "n_words > 0 AND (2 * word_chars < 5 * n_words OR word_chars > 7 * n_words)",
+         "n_words > 0 AND word_chars >= 4 * n_words AND 2 * word_chars <= 13 * n_words"),
+    Rule("variety", "10 * n_distinct < 3 * n_words AND n_words >= 20", "10 * n_distinct > 6 * n_words AND n_words >= 20"),
     Rule("capitals", "2 * n_upper > word_chars"),
     Rule("shouts", "4 * n_shouts > n_words"),
 )
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 #: A text counts as good from this posterior on.
 KEEP_FROM = 0.5
 ROUNDS = 20
-#: Start of EM: share of good texts, and how often a rule votes keep and reject on good and on bad texts.  A bad text
-#: has one fault as a rule and else looks good, while a reject vote on a good text is rare.
-START_GOOD = 0.7
-START_RATES = {"keep_good": 0.9, "keep_bad": 0.8, "reject_good": 0.01, "reject_bad": 0.2}
-#: Estimates are drawn halfway to the start.  Without it, EM may settle on other classes than good and bad, such as
-#: "repeats itself" and "does not", and call all other faults good.
-PULL = 0.5
-#: Pseudo-texts of each class.
-SMOOTH = 2.0
+@dataclass(frozen=True)
+class Prior:
+    """Where EM starts, and that counts in every estimate as ``texts`` texts of each class.
+
+    ``good`` is the share of good texts; a rule votes keep and reject on good and on bad texts as often as ``rates`` says.
+    A few texts only keep rates off 0 and 1.  Where every fault is seen by one rule alone, votes cannot tell faults from
+    chance rejects, and what is known of the rules has to come in here, with more texts.
+    """
+
+    good: float
+    rates: tuple[tuple[str, float], ...]
+    texts: float
+
+    def of(self, rate: str) -> float:
+        return dict(self.rates)[rate]
+
+
+PRIOR = Prior(0.8, (("keep_good", 0.9), ("keep_bad", 0.6), ("reject_good", 0.02), ("reject_bad", 0.3)), 20.0)
 
 
 def counts(text: Column) -> Column:
@@ -138,14 +153,12 @@ def vote_sql(rule: Rule) -> str:
 def _bound(sql: str, source: str | None) -> str:
     if source is None:
         return sql
-    for name in sorted(COUNTS, key=len, reverse=True):
-        sql = sql.replace(name, f"`{source}`.{name}")
-    return sql
+    return re.sub(rf"\b({'|'.join(COUNTS)})\b", lambda name: f"`{source}`.{name[0]}", sql)
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """``good``: share of good texts; ``rates``: per rule the chances named in START_RATES."""
+    """``good``: share of good texts; ``rates``: per rule the chances named in ``Prior.rates``."""
 
     good: float
     rates: tuple[dict[str, float], ...]
@@ -157,14 +170,15 @@ class LabelModel:
         ]
 
 
-def fit(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = ROUNDS) -> LabelModel:
+def fit(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = ROUNDS, prior: Prior = PRIOR) -> LabelModel:
     """EM over (votes, number of texts)."""
-    drawn = lambda seen, of, at: PULL * at + (1 - PULL) * (seen + SMOOTH * at) / (of + SMOOTH)
-    model = LabelModel(START_GOOD, (START_RATES,) * n_rules)
+    drawn = lambda seen, of, at: (seen + prior.texts * at) / (of + prior.texts)
+    rates = dict(prior.rates)
+    model = LabelModel(prior.good, (rates,) * n_rules)
     for _ in range(rounds):
         start, odds = model.weights()
         mass = {"good": 0.0, "bad": 0.0}
-        seen = [dict.fromkeys(START_RATES, 0.0) for _ in range(n_rules)]
+        seen = [dict.fromkeys(rates, 0.0) for _ in range(n_rules)]
         for pattern, n in patterns:
             score = start + sum(o[0] if v > 0 else o[1] if v < 0 else 0.0 for v, o in zip(pattern, odds))
             p = 1 / (1 + math.exp(-score))
@@ -174,8 +188,8 @@ def fit(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: i
                     if v:
                         s[f"{'keep' if v > 0 else 'reject'}_{kind}"] += part
         model = LabelModel(
-            drawn(mass["good"], mass["good"] + mass["bad"], START_GOOD),
-            tuple({k: drawn(s[k], mass[k.split("_")[1]], at) for k, at in START_RATES.items()} for s in seen),
+            drawn(mass["good"], mass["good"] + mass["bad"], prior.good),
+            tuple({k: drawn(s[k], mass[k.split("_")[1]], at) for k, at in rates.items()} for s in seen),
         )
     return model
 
@@ -195,8 +209,8 @@ def judge(
     """``docs`` with a struct ``column``: COUNTS, ``base_failed``, ``p_good`` and ``kept``.
 
     ``kept`` is false where the base fails (under 50 words, or over half of the words in windows said twice), else
-    ``p_good >= KEEP_FROM``.  A null text counts as empty and so fails.  Repeated rows are judged each, and count each in
-    EM.  If ``docs`` has a column of that name, give another.  An empty table gives no rows.
+    ``p_good >= KEEP_FROM``.  A null text counts as empty and so fails.  Repeated rows are judged each, and those that pass
+    the base count each in EM.  If ``docs`` has a column of that name, give another.  An empty table gives no rows.
 
     Counts are taken once and written, as EM and the verdict both read them; with ``carry`` only those columns of
     ``docs`` are written with them and returned.
@@ -205,9 +219,9 @@ def judge(
         raise ValueError(f"docs has a column {column}; name another")
     counted = with_counts(docs, column)
     seen = materialise(counted if carry is None else counted.select(*carry, column), "quality")
-    patterns = seen.select(*votes(rules, column)).groupBy(*[r.name for r in rules]).count().collect()
+    failed = F.expr(_bound(BASE_FAILED, column))
+    patterns = seen.where(~failed).select(*votes(rules, column)).groupBy(*[r.name for r in rules]).count().collect()
     model = fit(sorted((tuple(row[:-1]), row[-1]) for row in patterns), len(rules))
-    failed = F.expr(_bound("n_words < 50 OR 100 * n_repeat_words > 50 * n_words", column))
     p_good = posterior(model, rules, column)
     return seen.withColumn(column, F.struct(
         f"{column}.*", failed.alias("base_failed"), p_good.alias("p_good"),

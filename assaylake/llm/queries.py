@@ -35,18 +35,16 @@ def register(name: str, sql: str | None = None):
 
 def _quality_sql() -> str:
     names = [r.name for r in quality.RULES]
-    smooth, pull, start = quality.SMOOTH, quality.PULL, quality.START_RATES
+    prior, start, good = quality.PRIOR.texts, dict(quality.PRIOR.rates), quality.PRIOR.good
     first = ", ".join(f"{at}::DOUBLE AS {k}{i}" for i in range(len(names)) for k, at in start.items())
     score = lambda: "ln(good / (1 - good)) + " + " + ".join(
         f"CASE WHEN {n} > 0 THEN ln(keep_good{i} / keep_bad{i}) WHEN {n} < 0 THEN ln(reject_good{i} / reject_bad{i}) ELSE 0 END"
         for i, n in enumerate(names)
     )
-    rounds = [f"m0 AS MATERIALIZED (SELECT {quality.START_GOOD}::DOUBLE AS good, {first})"]
+    rounds = [f"m0 AS MATERIALIZED (SELECT {good}::DOUBLE AS good, {first})"]
 
     def drawn(seen: str, of: str, at: float) -> str:
-        return (
-            f"{pull * at} + {1 - pull} * (coalesce(sum({seen}), 0) + {smooth * at}) / (coalesce(sum({of}), 0) + {smooth})"
-        )
+        return f"(coalesce(sum({seen}), 0) + {prior * at}) / (coalesce(sum({of}), 0) + {prior})"
 
     for k in range(quality.ROUNDS):
         step = []
@@ -59,7 +57,7 @@ def _quality_sql() -> str:
             f"e{k} AS MATERIALIZED (SELECT {', '.join(names)}, n, 1 / (1 + exp(-({score()}))) AS p FROM patterns, m{k})"
         )
         rounds.append(
-            f"m{k + 1} AS MATERIALIZED (SELECT {drawn('n * p', 'n', quality.START_GOOD)} AS good, {', '.join(step)} FROM e{k})"
+            f"m{k + 1} AS MATERIALIZED (SELECT {drawn('n * p', 'n', good)} AS good, {', '.join(step)} FROM e{k})"
         )
     votes = ", ".join(f"{quality.vote_sql(x)} AS {x.name}" for x in quality.RULES)
     return rf"""
@@ -83,11 +81,11 @@ counts AS MATERIALIZED (
     (length(text) - length(replace(text, '!', '')))::BIGINT AS n_shouts
   FROM base LEFT JOIN covered USING (doc_id)),
 voted AS MATERIALIZED (SELECT *, {votes} FROM counts),
-patterns AS MATERIALIZED (SELECT {', '.join(names)}, count(*) AS n FROM voted GROUP BY ALL),
+patterns AS MATERIALIZED (SELECT {', '.join(names)}, count(*) AS n FROM voted WHERE NOT ({quality.BASE_FAILED}) GROUP BY ALL),
 {", ".join(rounds)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 1 / (1 + exp(-({score()}))) >= {quality.KEEP_FROM} AS kept
+  ({quality.BASE_FAILED}) AS base_failed,
+  NOT ({quality.BASE_FAILED}) AND 1 / (1 + exp(-({score()}))) >= {quality.KEEP_FROM} AS kept
 FROM voted, m{quality.ROUNDS}"""
 
 
