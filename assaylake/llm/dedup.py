@@ -20,6 +20,9 @@ from assaylake.session import materialise, shared_dir
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What one micro-batch reads of the feed of digests, about 100 bytes a document.
 BYTES_A_BATCH = 8 << 30
+#: Rows of the feed for each partition of the state, and the memory that a store may fill before it writes to disk.
+ROWS_A_STORE = 32_000
+STORE_BUFFER_MB = 8
 #: Up to so many digests that were hit again, their 64-bit hashes (16 MB) go to all tasks and keep other texts from moving.
 #: With more of them, the join moves all texts.
 FILTER_DIGESTS = 1_000_000
@@ -34,17 +37,20 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def state_session(spark: SparkSession) -> SparkSession:
+def state_session(spark: SparkSession, partitions: int) -> SparkSession:
     """A session of its own for the stream, so that the caller's settings stay as they are."""
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", "UTC")
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.shuffle.partitions", str(partitions))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     # Else every store sets 4 MB aside for its log of files.
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", str(STORE_BUFFER_MB))
+    # Stores of streams that have ended are closed by maintenance.
+    own.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "10s")
     return own
 
 
@@ -52,10 +58,13 @@ def run_state(spark: SparkSession, feed: str, checkpoint: str, out: str, bytes_a
     """Bring the state at ``checkpoint`` up to date with the Parquet files below ``feed``.
 
     Each batch writes the digests it changed to its own folder below ``out``, overwriting what an interrupted try left.
-    A later call reads only files that are new since, and goes on from the stored state.
+    A later call reads only files that are new since, and goes on from the stored state, whose partitions stay as many as
+    the first call found fit for the feed, at most the session's own.
     """
-    own = state_session(spark)
-    schema = own.read.parquet(feed).schema
+    stored = spark.read.parquet(feed)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = state_session(spark, max(1, min(most, -(-stored.count() // ROWS_A_STORE))))
+    schema = stored.schema
     grouped = (
         own.readStream.schema(schema).option("maxBytesPerTrigger", bytes_a_batch).parquet(feed)
         .groupBy("digest").agg(F.min("entry").alias("kept"), F.count(F.lit(1)).alias("seen"))
