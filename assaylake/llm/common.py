@@ -31,11 +31,31 @@ def words_of(text: Column) -> Column:
 def located(docs: DataFrame, purpose: str) -> DataFrame:
     """``docs`` with ``_llm_file`` and ``_llm_row`` (longs), which tell every row apart, also repeated ones.
 
-    A frame read straight from files has its place there.  Any other frame is written once to the shared
-    folder, because a number given on the fly would change when a lost task runs again.
+    Columns of a Parquet table read as it is have their places there.  Any other frame is written once to the shared folder:
+    a number given on the fly would change when a lost task runs again, and after an explode or a join several rows would
+    have one place.
     """
-    place = (F.xxhash64("_metadata.file_path").alias("_llm_file"), F.col("_metadata.row_index").alias("_llm_row"))
+    stored = docs if _is_table(docs) else materialise(docs, purpose)
+    return stored.select("*", F.xxhash64("_metadata.file_path").alias("_llm_file"), F.col("_metadata.row_index").alias("_llm_row"))
+
+
+def _is_table(docs: DataFrame) -> bool:
+    """Whether ``docs`` is nothing but columns of one folder or file of Parquet, each row once."""
     try:
-        return docs.select("*", *place)
+        files = docs.inputFiles()
     except AnalysisException:
-        return materialise(docs, purpose).select("*", *place)
+        return False
+    # The folder of a written table, or the only file of one.
+    folders = {f.rsplit("/", 1)[0] for f in files}
+    paths = [*(folders if len(folders) == 1 else ()), *(files if len(files) == 1 else ())]
+    # A local path is listed with its scheme, whether it was given so or not.
+    for path in [*paths, *(p.removeprefix("file://") for p in paths if p.startswith("file://"))]:
+        try:
+            table = docs.sparkSession.read.parquet(path)
+        except AnalysisException:
+            continue
+        if set(docs.columns) <= set(table.columns) and any(
+            docs.sameSemantics(same) for same in (table, table.select(*docs.columns))
+        ):
+            return True
+    return False
