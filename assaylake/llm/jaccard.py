@@ -20,6 +20,7 @@ changes no result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,9 +41,13 @@ MOST_COMMON = 500_000
 #: Tokens found so often in the texts of one task are counted for the order.
 LOCAL_COUNT = 2
 #: A task that holds more counts than this forgets the tokens found once.
-LOCAL_TOKENS = 3_000_000
+LOCAL_TOKENS = 1_000_000
 #: Distances this near to the threshold are not settled by bounds.
 EPS = 1e-9
+#: Characters of texts hashed together, bytes of prefixes indexed together, and pairs that a list passes on at once.
+CHARACTERS_AT_ONCE = 1 << 20
+PREFIX_BYTES = 1 << 22
+PAIRS_AT_ONCE = 100_000
 #: Entries of a block of an index list.
 BLOCK = 64
 #: Up to so many wanted rows, their 64-bit hashes (16 MB) go to all tasks and keep other texts from moving.
@@ -128,7 +133,7 @@ def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
         counts = _Counts()
         for b in batches:
             files, rows, texts = (b.column(i).to_pylist() for i in range(3))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, CHARACTERS_AT_ONCE):
                 found = sets(texts[lo:hi], rule.words)
                 counts.add(found)
                 keys = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist() for s in found]
@@ -168,7 +173,7 @@ def _prefixes(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
         known, rank = shared.value
         for b in batches:
             files, rows, texts = (b.column(i).to_pylist() for i in range(3))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, CHARACTERS_AT_ONCE):
                 out = []
                 for s in sets(texts[lo:hi], rule.words):
                     place = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
@@ -201,7 +206,7 @@ def _compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
         for batch in batches:
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             both = [(x or "") + (y or "") for x, y in zip(ta, tb)]
-            for lo, hi in slices(both):
+            for lo, hi in slices(both, CHARACTERS_AT_ONCE):
                 distinct = dict(zip(a[lo:hi] + b[lo:hi], ta[lo:hi] + tb[lo:hi]))
                 found = dict(zip(distinct, sets(list(distinct.values()), rule.words)))
                 shared = [
@@ -243,7 +248,7 @@ def _postings(members: DataFrame) -> DataFrame:
             owners.append([b.column(i).to_numpy() for i in range(2)])
             prefixes += b.column(2).to_pylist()
             held += b.column(2).nbytes
-            if held > 1 << 24:
+            if held > PREFIX_BYTES:
                 yield flush()
                 owners, prefixes, held = [], [], 0
         if prefixes:
@@ -289,18 +294,27 @@ def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
         if kept:
             yield [np.concatenate([k[i] for k in kept]) for i in range(5)]
 
+    def passed(found) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
     def run(batches):
         for columns in lists(batches):
             merged = _merge(*columns)
             token, ball, least, most, rest = (c.to_numpy() for c in merged.columns)
             edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
             size = np.diff(edge)
-            found = [np.zeros((0, 2), np.int64)]
+            found, held = [], 0
             for start, n in zip(edge[:-1][size > 1].tolist(), size[size > 1].tolist()):
                 at = slice(start, start + n)
-                found += _open_pairs(ball[at], least[at], most[at], rest[at], rule)
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+                for pairs in _open_pairs(ball[at], least[at], most[at], rest[at], rule):
+                    found.append(pairs)
+                    held += len(pairs)
+                    if held > PAIRS_AT_ONCE:
+                        yield passed(found)
+                        found, held = [], 0
+            if found:
+                yield passed(found)
 
     parted = postings.repartition("token").sortWithinPartitions("token")
     return parted.mapInArrow(run, "a long, b long").distinct()
@@ -327,11 +341,10 @@ def _plausible(pairs: DataFrame, leading: DataFrame, rule: Rule) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(ball, least, most, rest, rule: Rule) -> list[np.ndarray]:
-    """Pairs of a list's entries whose bounds allow a link."""
+def _open_pairs(ball, least, most, rest, rule: Rule) -> Iterator[np.ndarray]:
+    """Pairs of a list's entries whose bounds allow a link, block by block."""
     order = np.lexsort((rest, least))
     ball, least, most, rest = ball[order], least[order], most[order], rest[order]
-    out = []
 
     def allowed(i: slice, j: slice) -> np.ndarray:
         p = rule.percent
@@ -356,8 +369,7 @@ def _open_pairs(ball, least, most, rest, rule: Rule) -> list[np.ndarray]:
             one = i < j
             a, b = ball[i[one]], ball[j[one]]
             if len(a):
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-    return out
+                yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
 def groups(docs: DataFrame, rule: Rule = Rule(), carry: list[str] | None = None, column: str = "near") -> DataFrame:
