@@ -205,7 +205,7 @@ def severity_index(snapshot: DataFrame, factors: DataFrame) -> DataFrame:
         .when(F.size("issues") > 0, "degraded").otherwise("ok"))
 
 
-def history_quality(snapshot: DataFrame, unit: str) -> DataFrame:
+def history_quality(snapshot: DataFrame, unit: str | Column, carry: Sequence[str] = ()) -> DataFrame:
     """Measured quality as an assessment: available, degraded by age, or unavailable with a code."""
     code = (
         F.when(F.col("selected").isNull(), "MISSING_REQUIRED_SIGNAL")
@@ -214,7 +214,7 @@ def history_quality(snapshot: DataFrame, unit: str) -> DataFrame:
     )
     status = F.when(code.isNull(), "ok").when(code == "STALE_REQUIRED_SIGNAL", "degraded").otherwise("unavailable")
     return snapshot.select(
-        "entity", "as_of", status.alias("status"), code.alias("code"),
+        "entity", "as_of", *carry, status.alias("status"), code.alias("code"),
         F.when(status != "unavailable", F.col("selected.value")).alias("value"),
     )
 

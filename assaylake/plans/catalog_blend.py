@@ -363,10 +363,11 @@ def severity_index(t):
 
 @query("quality_assessment", with_views("hours quality tele", f"""
 WITH {STATE_SQL}, {SELECTED_SQL.format(stale="(age > fresh_minutes)::INT,")}
-SELECT entity, as_of, CASE WHEN value IS NULL THEN 'unavailable' WHEN NOT fresh THEN 'degraded' ELSE 'ok' END AS status,
-  CASE WHEN value IS NULL THEN 'MISSING_REQUIRED_SIGNAL' WHEN NOT fresh THEN 'STALE_REQUIRED_SIGNAL' END AS code, value FROM sel WHERE signal_id = 'click'"""))
+SELECT entity, as_of, signal_id, CASE WHEN value IS NULL THEN 'unavailable' WHEN NOT fresh THEN 'degraded' ELSE 'ok' END AS status,
+  CASE WHEN value IS NULL THEN 'MISSING_REQUIRED_SIGNAL' WHEN NOT fresh THEN 'STALE_REQUIRED_SIGNAL' END AS code, value FROM sel"""))
 def quality_assessment(t):
-    return de.history_quality(snapshot(t).filter(F.col("signal_id") == "click"), "unknown")
+    """Every signal's reading as an assessment, each in its own unit."""
+    return de.history_quality(snapshot(t), F.col("selected.unit"), carry=["signal_id"])
 
 
 @query("composite_alarm", with_views("scored", """

@@ -18,6 +18,7 @@ from assaylake.plans.catalog_joins import NEAREST, STATE_SQL, snapshot
 from assaylake.plans.catalog_windows import CHANGES_SQL, CONTROLS, SELECTED_SQL
 from assaylake.plans.frames import persistence, scored, scored_episodes
 from assaylake.plans.registry import query
+from assaylake.session import materialise
 from assaylake.sources.adapters import (
     LIMIT, NEAR_LOWER, NEAR_UPPER, SIGNALS, analyser, plant_hours, quality, telemetry, with_views,
 )
@@ -51,17 +52,52 @@ AGE_SQL = """CASE WHEN age_minutes <= 30 THEN '<=30m' WHEN age_minutes <= 120 TH
   WHEN age_minutes <= 1440 THEN '6-24h' ELSE '>24h' END"""
 
 
-@query("slice_metrics", with_views("scored", f"""
-WITH r AS (SELECT *, strftime(target_at, '%Y-%m') AS month, split AS part, CAST(y BETWEEN 48 AND 72 AS VARCHAR) AS near, {AGE_SQL} AS age FROM scored)
+#: The model's features in SQL, for every target.
+FEATURE_SQL = """
+lagged AS (SELECT s.observation_id, g.signal_id, CASE WHEN e.ts >= s.as_of - INTERVAL 20 MINUTE THEN e.value END AS v
+  FROM (SELECT * FROM sup, (SELECT unnest(['click', 'signup']) AS signal_id)) s JOIN (SELECT unnest(['click', 'signup']) AS signal_id) g USING (signal_id)
+  ASOF LEFT JOIN tele e ON e.entity = s.entity AND e.signal_id = s.signal_id AND s.as_of >= e.ts),
+hour_ago AS (SELECT s.observation_id, e.value AS v FROM sup s ASOF LEFT JOIN pak e ON e.entity = s.entity AND s.as_of - INTERVAL 60 MINUTE >= e.measured_at),
+views AS (SELECT s.observation_id, avg(e.value) AS v FROM sup s LEFT JOIN tele e ON e.entity = s.entity AND e.signal_id = 'view'
+  AND e.ts BETWEEN s.as_of - INTERVAL 180 MINUTE AND s.as_of GROUP BY 1),
+past AS (SELECT s.observation_id, avg(e.value) AS m, stddev_pop(e.value) AS sd FROM sup s LEFT JOIN pak e ON e.entity = s.entity
+  AND e.measured_at BETWEEN s.as_of - INTERVAL 180 MINUTE AND s.as_of GROUP BY 1),
+feat AS MATERIALIZED (SELECT s.observation_id, s.as_of, s.target_at, s.y, s.baseline, s.age_minutes, sc.split,
+    round(c.v, 6) AS click__lag_0m, round(w.v, 6) AS view__mean_180m, round(u.v, 6) AS signup__lag_0m, round(s.baseline, 6) AS target__last,
+    round(s.age_minutes, 6) AS target__age_minutes, round(h.v, 6) AS target__lag_60m, round(p.m, 6) AS target__mean_180m, round(p.sd, 6) AS target__std_180m
+  FROM sup s JOIN lagged c ON c.observation_id = s.observation_id AND c.signal_id = 'click' JOIN lagged u ON u.observation_id = s.observation_id AND u.signal_id = 'signup'
+  JOIN hour_ago h ON h.observation_id = s.observation_id JOIN views w ON w.observation_id = s.observation_id JOIN past p ON p.observation_id = s.observation_id
+  LEFT JOIN scored sc ON sc.observation_id = s.observation_id)"""
+FEATURE_NAMES = ("click__lag_0m", "view__mean_180m", "signup__lag_0m", "target__last", "target__age_minutes", "target__lag_60m",
+                 "target__mean_180m", "target__std_180m")
+FEATURE_LIST = ", ".join(FEATURE_NAMES)
+
+
+def model_rows(t):
+    """Every target with the model's features, rounded as in SQL; the split of those with a baseline."""
+    from assaylake.plans.catalog_features import supervised_frame
+    from assaylake.sources.adapters import TRAIN_END, VALIDATION_END
+
+    split = F.when(F.col("baseline").isNotNull(), sp.outer_split(TRAIN_END, VALIDATION_END))
+    return materialise(sc.rounded(supervised_frame(t), FEATURE_NAMES).withColumn("split", split), "model-rows")
+
+
+@query("slice_metrics", with_views("scored sup tele", f"""
+WITH {FEATURE_SQL},
+r AS (SELECT *, strftime(target_at, '%Y-%m') AS month, split AS part, CAST(y BETWEEN 48 AND 72 AS VARCHAR) AS near, {AGE_SQL} AS age,
+  CAST({" + ".join(f"({n} IS NULL)::INT" for n in FEATURE_NAMES)} AS VARCHAR) AS missing FROM feat WHERE baseline IS NOT NULL)
 SELECT 'month' AS slice, month AS value, {REG.format(p='baseline')} FROM r GROUP BY month
 UNION ALL SELECT 'split', part, {REG.format(p='baseline')} FROM r GROUP BY part
 UNION ALL SELECT 'near', near, {REG.format(p='baseline')} FROM r GROUP BY near
-UNION ALL SELECT 'age', age, {REG.format(p='baseline')} FROM r GROUP BY age"""))
+UNION ALL SELECT 'age', age, {REG.format(p='baseline')} FROM r GROUP BY age
+UNION ALL SELECT 'missing', missing, {REG.format(p='baseline')} FROM r GROUP BY missing
+UNION ALL SELECT 'source', 'pak', {REG.format(p='baseline')} FROM r"""))
 def slice_metrics(t):
-    rows = scored(t).select(
-        "y", "baseline", "split", month_key("target_at").alias("month"),
-        F.col("y").between(*NEAR).alias("near"), sc.age_bucket(F.col("age_minutes")).alias("age"))
-    out = m.slice_metrics(rows, ["month", "split", "near", "age"], F.col("y"), F.col("baseline"), limit=LIMIT, near=NEAR)
+    gaps = sum(F.col(n).isNull().cast("int") for n in FEATURE_NAMES)
+    rows = model_rows(t).filter("baseline IS NOT NULL").select(
+        "y", "baseline", "split", month_key("target_at").alias("month"), F.col("y").between(*NEAR).alias("near"),
+        sc.age_bucket(F.col("target__age_minutes")).alias("age"), gaps.cast("string").alias("missing"), F.col("target_source").alias("source"))
+    out = m.slice_metrics(rows, ["month", "split", "near", "age", "missing", "source"], F.col("y"), F.col("baseline"), limit=LIMIT, near=NEAR)
     return r6(out, "mae", "near_mae", "missed_rate", "false_alarm_rate")
 
 
@@ -323,20 +359,21 @@ def signal_residual_screen(t):
 
 
 def feature_tall(t):
-    rows = scored(t).select("split", (F.col("y") - F.col("baseline")).alias("res"), "baseline", "age_minutes", "p")
-    return rows.unpivot(["split", "res"], ["baseline", "age_minutes", "p"], "feature", "value")
+    rows = model_rows(t).filter("baseline IS NOT NULL").select("split", (F.col("y") - F.col("baseline")).alias("res"), *FEATURE_NAMES)
+    return rows.unpivot(["split", "res"], list(FEATURE_NAMES), "feature", "value")
 
 
-@query("feature_residual_screen", with_views("scored", f"""
-WITH tall AS (SELECT split, y - baseline AS res, f.feature, CASE f.feature WHEN 'baseline' THEN baseline WHEN 'age_minutes' THEN age_minutes ELSE p END AS x
-  FROM scored, (SELECT unnest(['baseline', 'age_minutes', 'p']) AS feature) f) {SCREEN_SQL.format(name='feature', top=20)}"""))
+FEATURE_TALL_SQL = f"""{FEATURE_SQL},
+tall AS (SELECT split, res, feature, x FROM (UNPIVOT (SELECT split, y - baseline AS res, {FEATURE_LIST} FROM feat WHERE baseline IS NOT NULL)
+  ON {FEATURE_LIST} INTO NAME feature VALUE x))"""
+
+
+@query("feature_residual_screen", with_views("scored sup tele", f"WITH {FEATURE_TALL_SQL} {SCREEN_SQL.format(name='feature', top=20)}"))
 def feature_residual_screen(t):
     return r6(m.residual_screen(feature_tall(t), name="feature", value="value", residual="res", top_n=20), *SCREEN_NUM)
 
 
-@query("topn_abs_correlation", with_views("scored", f"""
-WITH tall AS (SELECT split, y - baseline AS res, f.feature, CASE f.feature WHEN 'baseline' THEN baseline WHEN 'age_minutes' THEN age_minutes ELSE p END AS x
-  FROM scored, (SELECT unnest(['baseline', 'age_minutes', 'p']) AS feature) f) {SCREEN_SQL.format(name='feature', top=2)}"""))
+@query("topn_abs_correlation", with_views("scored sup tele", f"WITH {FEATURE_TALL_SQL} {SCREEN_SQL.format(name='feature', top=2)}"))
 def topn_abs_correlation(t):
     return r6(m.residual_screen(feature_tall(t), name="feature", value="value", residual="res", top_n=2), *SCREEN_NUM)
 
@@ -423,25 +460,31 @@ def robust_domain_stats(t):
         F.round(F.lit(d.covariance[0][1]), 6).alias("covariance"), F.round(F.lit(d.max_distance_squared), 5).alias("max_distance_squared"))
 
 
-@query("feature_bounds", with_views("scored", """
-SELECT 'baseline' AS feature, round(quantile_cont(baseline, 0.001), 6) AS lower, round(quantile_cont(baseline, 0.999), 6) AS upper FROM scored WHERE split = 'train'
-UNION ALL SELECT 'age_minutes', round(quantile_cont(age_minutes, 0.001), 6), round(quantile_cont(age_minutes, 0.999), 6) FROM scored WHERE split = 'train'"""))
+BOUNDS_SQL = f"""{FEATURE_SQL},
+tall AS (SELECT observation_id, split, feature, x FROM (SELECT observation_id, split, {FEATURE_LIST} FROM feat)
+  UNPIVOT INCLUDE NULLS (x FOR feature IN ({FEATURE_LIST}))),
+bounds AS (SELECT feature, quantile_cont(x, 0.001) AS low, quantile_cont(x, 0.999) AS high FROM tall WHERE split = 'train' AND x IS NOT NULL GROUP BY 1)"""
+
+
+@query("feature_bounds", with_views("scored sup tele", f"""
+WITH {BOUNDS_SQL} SELECT feature, round(low, 6) AS lower, round(high, 6) AS upper FROM bounds"""))
 def feature_bounds(t):
     from assaylake.operators.applicability import feature_bounds as bounds
 
-    return r6(bounds(scored(t).filter(F.col("split") == "train"), ["baseline", "age_minutes"]), "lower", "upper")
+    return r6(bounds(model_rows(t).filter("split = 'train'"), FEATURE_NAMES), "lower", "upper")
 
 
-@query("applicability_bounds", with_views("scored", """
-WITH b AS (SELECT quantile_cont(baseline, 0.001) AS bl, quantile_cont(baseline, 0.999) AS bu, quantile_cont(age_minutes, 0.001) AS al, quantile_cont(age_minutes, 0.999) AS au FROM scored WHERE split = 'train')
-SELECT observation_id, CASE WHEN baseline IS NULL THEN 'FEATURES_UNAVAILABLE' WHEN baseline < bl OR baseline > bu OR age_minutes < al OR age_minutes > au THEN 'OUT_OF_DOMAIN' END AS reason_code,
-  CASE WHEN baseline IS NULL THEN 'age_minutes,baseline' ELSE concat_ws(',', CASE WHEN age_minutes < al OR age_minutes > au THEN 'age_minutes' END, CASE WHEN baseline < bl OR baseline > bu THEN 'baseline' END) END AS names
-FROM sup, b"""))
+@query("applicability_bounds", with_views("scored sup tele", f"""
+WITH {BOUNDS_SQL}
+SELECT observation_id, CASE WHEN count(*) FILTER (x IS NULL) > 0 THEN 'FEATURES_UNAVAILABLE' WHEN count(*) FILTER (x < low OR x > high) > 0 THEN 'OUT_OF_DOMAIN' END AS reason_code,
+  coalesce(CASE WHEN count(*) FILTER (x IS NULL) > 0 THEN string_agg(feature, ',' ORDER BY feature) FILTER (x IS NULL)
+    ELSE string_agg(feature, ',' ORDER BY feature) FILTER (x < low OR x > high) END, '') AS names
+FROM tall JOIN bounds USING (feature) GROUP BY observation_id"""))
 def applicability_bounds(t):
     from assaylake.operators.applicability import check_bounds, feature_bounds as bounds
 
-    fitted = bounds(scored(t).filter(F.col("split") == "train"), ["baseline", "age_minutes"])
-    out = check_bounds(persistence(t), fitted)
+    rows = model_rows(t)
+    out = check_bounds(rows, bounds(rows.filter("split = 'train'"), FEATURE_NAMES))
     return out.select("observation_id", "reason_code", F.array_join("violations", ",").alias("names"))
 
 
