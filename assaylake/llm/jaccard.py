@@ -25,12 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.llm.common import fresh, located
 from assaylake.llm.components import components
-from assaylake.llm.shingles import mix, sets, slices
+from assaylake.llm.shingles import mix, sets
 from assaylake.session import materialise
 
 #: Bands of two minima each; sets that agree in a band are compared with the band's smallest node.
@@ -73,6 +74,19 @@ def _minima(tokens: np.ndarray) -> list[int]:
     return mix(least[:, 0] * np.uint64(3) + least[:, 1]).view(np.int64).tolist()
 
 
+def _parts(*texts) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts, of all columns, have about ``CHARACTERS_AT_ONCE`` bytes; only these become Python's."""
+    sizes = sum(np.asarray(pc.binary_length(t).fill_null(0)).astype(np.int64) for t in texts)
+    first = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and held + n > CHARACTERS_AT_ONCE:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 class _Counts:
     """Tokens of a task with the number of sets that have them."""
 
@@ -132,9 +146,9 @@ def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
     def run(batches):
         counts = _Counts()
         for b in batches:
-            files, rows, texts = (b.column(i).to_pylist() for i in range(3))
-            for lo, hi in slices(texts, CHARACTERS_AT_ONCE):
-                found = sets(texts[lo:hi], rule.words)
+            files, rows = (b.column(i).to_pylist() for i in range(2))
+            for lo, hi in _parts(b.column(2)):
+                found = sets(b.column(2).slice(lo, hi - lo).to_pylist(), rule.words)
                 counts.add(found)
                 keys = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist() for s in found]
                 none = pa.nulls(hi - lo, pa.int64())
@@ -172,10 +186,10 @@ def _prefixes(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
     def run(batches):
         known, rank = shared.value
         for b in batches:
-            files, rows, texts = (b.column(i).to_pylist() for i in range(3))
-            for lo, hi in slices(texts, CHARACTERS_AT_ONCE):
+            files, rows = (b.column(i).to_pylist() for i in range(2))
+            for lo, hi in _parts(b.column(2)):
                 out = []
-                for s in sets(texts[lo:hi], rule.words):
+                for s in sets(b.column(2).slice(lo, hi - lo).to_pylist(), rule.words):
                     place = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
                     often = known[place] == s if len(known) else np.zeros(len(s), bool)
                     last = s[often][np.argsort(rank[place[often]])] if often.any() else s[:0]
@@ -204,10 +218,10 @@ def _compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
 
     def run(batches):
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            both = [(x or "") + (y or "") for x, y in zip(ta, tb)]
-            for lo, hi in slices(both, CHARACTERS_AT_ONCE):
-                distinct = dict(zip(a[lo:hi] + b[lo:hi], ta[lo:hi] + tb[lo:hi]))
+            a, b = (batch.column(i).to_pylist() for i in range(2))
+            for lo, hi in _parts(batch.column(2), batch.column(3)):
+                ta, tb = (batch.column(i).slice(lo, hi - lo).to_pylist() for i in (2, 3))
+                distinct = dict(zip(a[lo:hi] + b[lo:hi], ta + tb))
                 found = dict(zip(distinct, sets(list(distinct.values()), rule.words)))
                 shared = [
                     len(np.intersect1d(found[x], found[y], assume_unique=True)) for x, y in zip(a[lo:hi], b[lo:hi])
