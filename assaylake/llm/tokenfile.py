@@ -25,10 +25,10 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +40,8 @@ WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 OFFSET_EVERY = 64
 #: A block is closed at so many ids.  A longer document is a block of its own.
 BLOCK_IDS = 1 << 16
-TEXTS_AT_ONCE = 256
+#: Texts of about so many bytes are encoded together, so that a unit is looked up once for all of them.
+BYTES_AT_ONCE = 1 << 23
 
 BLOCK_SCHEMA = (
     "part int, block int, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, words binary, escapes binary, "
@@ -150,7 +151,7 @@ def blocks_of(part: int, documents: Iterator[tuple[int | None, bytes]], block_id
 def write(docs: DataFrame, path: str, encode, parts: int | None = None, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of ``docs`` (``doc_id``, ``text``) below ``path``, documents in ascending doc_id.
 
-    ``encode()`` is called once per task and returns a function from a list of texts to their ids in order, each the
+    ``encode()`` is called once per task and returns a function from an Arrow array of texts to their ids in order, each the
     little-endian uint32 bytes of a document.  A null text counts as empty.  A null doc_id comes first; repeated ids follow
     their texts' order.  Other columns are not read.  An empty table writes a table without blocks.
 
@@ -168,7 +169,7 @@ def write(docs: DataFrame, path: str, encode, parts: int | None = None, block_id
             for b in batches:
                 if b.num_rows:
                     part = b.column(2)[0].as_py()
-                    yield from zip(b.column(0).to_pylist(), run(b.column(1).to_pylist()))
+                    yield from zip(b.column(0).to_pylist(), run(b.column(1)))
 
         schema = pa.schema([
             ("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
@@ -239,10 +240,11 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-#: Latin letters, digits and ASCII marks, on which lower-casing and normal form are plain; the added tokens' "<|" is out.
-_PLAIN = re.compile(r"(?:(?!<\|)[\x21-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF])*")
-#: The model's word pattern over those characters (fixed by the model).
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^\sa-z0-9\xDF-\xF6\xF8-\xFF]+")
+#: What is not Latin letters, digits and ASCII marks, on which lower-casing and normal form are plain; "<|" opens added tokens.
+_ODD = "<[|]|[^!-~\xC0-\xD6\xD8-\xF6\xF8-\xFF]"
+#: The model's word pattern over plain characters (fixed by the model), and the border between units.
+_WORD = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^\sa-z0-9\xDF-\xF6\xF8-\xFF]+")
+_PIECES_AT_ONCE = 4096
 
 
 def _byte_letters() -> list[str]:
@@ -253,54 +255,118 @@ def _byte_letters() -> list[str]:
 
 
 @lru_cache(maxsize=4)
-def _known_words(model_path: str, cache: int) -> UnitCache:
-    """One cache per Python worker, which outlives a task."""
+def _known_words(model_path: str, cache: int) -> tuple[UnitCache, UnitCache]:
+    """What a Python worker keeps beyond a task: ids of pieces of plain units, and of other units."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
 
     tokenizer = Tokenizer.from_file(model_path)
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = WhitespaceSplit()
+    alphabet = _byte_letters()
 
-    packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
-    model = tokenizer.model
-
-    def pieces(new: list[str]):
-        # What the model's earlier steps would make of a piece: its bytes as characters.
+    def pieces(new: list[str]) -> Iterator[bytes]:
+        # What the model's earlier steps would make of a piece: its bytes as characters, none of them white space.
         letters = [p if p.isascii() else "".join([alphabet[b] for b in p.encode()]) for p in new]
-        return [packed([t.id for t in model.tokenize(p)]) for p in letters]
-
-    alphabet = _byte_letters()
-    known = UnitCache(pieces, cache)
+        for at in range(0, len(letters), _PIECES_AT_ONCE):
+            part = letters[at:at + _PIECES_AT_ONCE]
+            found = bare.encode(" ".join(part), add_special_tokens=False)
+            data = np.array(found.ids, "<u4").tobytes()
+            edges = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1))).tolist()
+            yield from (data[a:b] for a, b in zip(edges, edges[1:]))
 
-    def units(new: list[bytes]):
-        texts = [u.decode() for u in new]
-        # Inside plain units the model's own word pattern splits further, and its pieces repeat more.
-        plain = [_WORD.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in texts]
-        values = iter(known.of([p for own in plain if own for p in own]))
-        others = iter(tokenizer.encode_batch([t for t, own in zip(texts, plain) if own is None], add_special_tokens=False))
-        return [packed(next(others).ids) if own is None else b"".join(islice(values, len(own))) for own in plain]
+    def others(new: list[str]) -> Iterator[bytes]:
+        for found in tokenizer.encode_batch(new, add_special_tokens=False):
+            yield np.array(found.ids, "<u4").tobytes()
 
-    return UnitCache(units, cache * 3 // 4)
+    return UnitCache(pieces, cache), UnitCache(others, cache // 2)
 
 
 def word_encoder(model_path: str, end_id: int, cache: int = 1_200_000):
     """An ``encode`` for ``write``: the tokenizers library's ids without special tokens, then ``end_id``.
 
     The model drops white space and never merges across it, and neither its normaliser nor its added tokens look across
-    white space; so a text's ids are those of its parts between white space, which repeat and are kept.
+    white space; so a text's ids are those of its units between white space.  A plain unit's are those of its pieces by the
+    model's word pattern.  Units and pieces repeat: each is looked up once for all its places in a slice of texts.
     """
-    end = np.array([end_id], "<u4").tobytes()
 
     def make():
         known = _known_words(model_path, cache)
 
-        def run(texts: list[str]) -> Iterator[bytes]:
-            # Texts by the hundred, so that what is new in them is encoded together.
-            for at in range(0, len(texts), TEXTS_AT_ONCE):
-                parts = [t.encode().split() for t in texts[at:at + TEXTS_AT_ONCE]]
-                values = iter(known.of([u for own in parts for u in own]))
-                for own in parts:
-                    yield b"".join(islice(values, len(own))) + end
+        def run(texts) -> Iterator[bytes]:
+            texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
+            for part in _slices(texts):
+                yield from _ids_of(part, *known, end_id)
 
         return run
 
     return make
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in runs of about ``BYTES_AT_ONCE``; a longer text is a run of its own."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + BYTES_AT_ONCE, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+class _Runs:
+    """Runs of ids, one after the other in ``flat``."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.flat, self.size, self.first = flat, size, np.cumsum(size) - size
+
+    @staticmethod
+    def of(values: list[bytes]) -> _Runs:
+        return _Runs(np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4)
+
+    def at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the runs at ``places`` in a row, and how many of them lie before each place and the end."""
+        n = self.size[places]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self.flat[np.repeat(self.first[places] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
+def _ids_of(texts: pa.Array, pieces: UnitCache, others: UnitCache, end_id: int) -> Iterator[bytes]:
+    """The ids of each text and ``end_id``."""
+    parts = pc.ascii_split_whitespace(texts)
+    units = parts.flatten().dictionary_encode()
+    odd = pc.match_substring_regex(units.dictionary, _ODD)
+    plain = _plain_runs(units.dictionary.filter(pc.invert(odd)), pieces)
+    other = _Runs.of(others.of(units.dictionary.filter(odd).to_pylist()))
+    both = _Runs(np.concatenate([plain.flat, other.flat]), np.concatenate([plain.size, other.size]))
+    # Plain units first, others behind them, each in the dictionary's order.
+    odd = odd.to_numpy(zero_copy_only=False).astype(bool)
+    place = np.where(odd, len(plain.size) + np.cumsum(odd) - 1, np.cumsum(~odd) - 1)
+    ids, ends = both.at(place[units.indices.to_numpy()])
+    edges = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))])].tolist()
+    end = struct.pack("<I", end_id)
+    for a, b in zip(edges, edges[1:]):
+        yield ids[a:b].tobytes() + end
+
+
+def _joined(texts: pa.Array) -> str:
+    """Texts with a line feed between two, as one string: far cheaper than a Python string for each."""
+    rows = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
+    return pc.binary_join(rows, pa.scalar("\n", texts.type))[0].as_py()
+
+
+def _plain_runs(units: pa.Array, known: UnitCache) -> _Runs:
+    """The ids of plain units; an empty one, as white space at a text's borders leaves it, has none."""
+    if not len(units):
+        return _Runs.of([])
+    found = pa.array(_WORD.findall(_joined(units).lower()), pa.string()).dictionary_encode()
+    border = pc.index(found.dictionary, "\n").as_py()
+    names = found.dictionary.filter(pc.not_equal(found.dictionary, "\n"))
+    values = known.of(_joined(names).split("\n") if len(names) else [])
+    if border >= 0:
+        values.insert(border, b"")
+    runs, codes = _Runs.of(values), found.indices.to_numpy()
+    flat, _ = runs.at(codes)
+    unit = np.cumsum(codes == border)
+    return _Runs(flat, np.bincount(unit, runs.size[codes], len(units)).astype(np.int64))
