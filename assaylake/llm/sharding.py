@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.session import materialise
+
 #: Draws use the first 12 hex digits of an MD5, 48 bits, which a double holds exactly.
 DRAW_RANGE = float(1 << 48)
 
@@ -88,15 +90,17 @@ def _uniform(text: Column, path: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(DRAW_RANGE)
 
 
-def shard(docs: DataFrame, tree: Node, grown_tree: Node | None = None, chunk: int = 8192) -> DataFrame:
-    """Place every row of ``docs`` (``doc_id``, ``text``) and number the rows of a shard without gaps.
+def shard(docs: DataFrame, tree: Node, grown_tree: Node | None = None) -> DataFrame:
+    """Place every row of ``docs`` (``doc_id`` of any type with an order, ``text``) and number a shard's rows without gaps.
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, shard, slot, grown_shard.  Slots follow doc_id, null first;
-    repeated ids take consecutive slots in order of checksum and size.  A null text counts as empty.  Other columns of
-    ``docs`` are not read.  An empty table gives no rows.
+    repeated ids take consecutive slots in order of checksum and size.  A null text counts as empty, a very long one is read
+    by its task alone.  Other columns of ``docs`` are not read.  An empty table gives no rows.
 
-    A shard is never one task: slots are counted per (shard, run of ``chunk`` ids), the counts summed up over the small
-    table of runs, and rows ranked inside their run.
+    A shard is never one task, nor is a repeated id: one range shuffle sorts rows by shard and id (rows alike are told apart
+    by a number, so that they can be cut), and its partitions are written with each row's place.  A slot is that place,
+    less where the shard begins in the partition, plus what earlier partitions hold of the shard.  Only that table of begins,
+    one row per partition and shard met in it, goes through windows and the broadcast.
     """
     key = F.col("doc_id")
     body = F.coalesce(F.col("text"), F.lit(""))
@@ -104,15 +108,17 @@ def shard(docs: DataFrame, tree: Node, grown_tree: Node | None = None, chunk: in
         key, (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
         shard_of(key, tree).alias("shard"),
         (shard_of(key, grown_tree) if grown_tree else F.lit(None).cast("int")).alias("grown_shard"),
-        F.coalesce(F.floor(key / F.lit(chunk)), F.lit(-(1 << 62))).cast("long").alias("run"),
+        F.monotonically_increasing_id().alias("tie"),
     )
-    before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("n"))
-        .select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    order = ["shard", "doc_id", "text_crc32", "size", "tie"]
+    ranges = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+    # The number holds the partition in its upper bits and the place below.
+    number = ranges.withColumn("at", F.monotonically_increasing_id())
+    rows = materialise(number.withColumn("part", F.shiftright("at", 33)), "shards")
+    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).select(
+        "shard", "part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift")
     )
-    inside = Window.partitionBy("shard", "run").orderBy("doc_id", "text_crc32", "size")
-    return placed.join(offsets, ["shard", "run"]).select(
-        "doc_id", "size", "text_crc32", "shard",
-        (F.col("offset") + F.row_number().over(inside) - 1).alias("slot"), "grown_shard",
+    return rows.join(F.broadcast(begins), ["shard", "part"]).select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("at") + F.col("shift")).alias("slot"), "grown_shard"
     )

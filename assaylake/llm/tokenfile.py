@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from assaylake.llm.wordcache import UnitCache
 
@@ -44,7 +45,7 @@ BLOCK_IDS = 1 << 16
 BYTES_AT_ONCE = 1 << 23
 
 BLOCK_SCHEMA = (
-    "part int, block int, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, words binary, escapes binary, "
+    "part int, block int, doc_ids array<{id}>, lengths array<bigint>, n_ids bigint, words binary, escapes binary, "
     "offsets array<bigint>"
 )
 
@@ -152,8 +153,8 @@ def write(docs: DataFrame, path: str, encode, parts: int | None = None, block_id
     """Write the ids of ``docs`` (``doc_id``, ``text``) below ``path``, documents in ascending doc_id.
 
     ``encode()`` is called once per task and returns a function from an Arrow array of texts to their ids in order, each the
-    little-endian uint32 bytes of a document.  A null text counts as empty.  A null doc_id comes first; repeated ids follow
-    their texts' order.  Other columns are not read.  An empty table writes a table without blocks.
+    little-endian uint32 bytes of a document.  A null text counts as empty.  ``doc_id`` is a number or a text; null comes first,
+    repeated ids follow their texts' order.  Other columns are not read.  An empty table writes a table without blocks.
 
     One range shuffle orders the documents; each task writes its blocks as it goes.
     """
@@ -161,6 +162,9 @@ def write(docs: DataFrame, path: str, encode, parts: int | None = None, block_id
     ordered = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).repartitionByRange(n, "doc_id")
     ordered = ordered.sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
+    id_type = docs.schema["doc_id"].dataType
+    arrow_id = to_arrow_type(id_type)
+
     def encoded(batches):
         run, part = encode(), 0
 
@@ -172,30 +176,34 @@ def write(docs: DataFrame, path: str, encode, parts: int | None = None, block_id
                     yield from zip(b.column(0).to_pylist(), run(b.column(1)))
 
         schema = pa.schema([
-            ("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
+            ("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(arrow_id)),
             ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("words", pa.binary()), ("escapes", pa.binary()),
             ("offsets", pa.list_(pa.int64())),
         ])
         for block in blocks_of(0, documents(), block_ids):
             yield pa.RecordBatch.from_pylist([block | {"part": part}], schema)
 
-    ordered.mapInArrow(encoded, BLOCK_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(encoded, BLOCK_SCHEMA.format(id=id_type.simpleString())).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Documents of the files below ``path``: doc_id, part, block, place, ids (array of longs).  Order as written."""
 
+    stored = spark.read.parquet(path)
+    id_type = stored.schema["doc_ids"].dataType.elementType
+    arrow_id = to_arrow_type(id_type)
+
     def decoded(batches):
         for block, rows, ids in _documents(batches):
             ends = np.cumsum(rows["lengths"])
             arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int64)))
             n = len(rows["doc_ids"])
             yield pa.RecordBatch.from_arrays([
-                pa.array(rows["doc_ids"], pa.int64()), pa.array([rows["part"]] * n, pa.int32()),
+                pa.array(rows["doc_ids"], arrow_id), pa.array([rows["part"]] * n, pa.int32()),
                 pa.array([rows["block"]] * n, pa.int32()), pa.array(range(n), pa.int32()), arrays,
             ], names=["doc_id", "part", "block", "place", "ids"])
 
-    return spark.read.parquet(path).mapInArrow(decoded, "doc_id long, part int, block int, place int, ids array<bigint>")
+    return stored.mapInArrow(decoded, f"doc_id {id_type.simpleString()}, part int, block int, place int, ids array<bigint>")
 
 
 def _documents(batches):
@@ -214,6 +222,8 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     number of ids of each block, summed up inside a part and over the parts: two small tables.
     """
     stored = spark.read.parquet(path)
+    id_type = stored.schema["doc_ids"].dataType.elementType
+    arrow_id = to_arrow_type(id_type)
     sizes = stored.select("part", "block", "n_ids")
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     per_part = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
@@ -230,11 +240,11 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             data = memoryview(ids.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([
                 pa.array([rows["part"]] * len(lengths), pa.int32()), pa.array([rows["block"]] * len(lengths), pa.int32()),
-                pa.array(rows["doc_ids"], pa.int64()), pa.array(ends - lengths), pa.array(lengths),
+                pa.array(rows["doc_ids"], arrow_id), pa.array(ends - lengths), pa.array(lengths),
                 pa.array([zlib.crc32(data[4 * (e - n):4 * e]) for n, e in zip(lengths.tolist(), ends.tolist())], pa.int64()),
             ], names=["part", "block", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    found = stored.mapInArrow(summed, "part int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    found = stored.mapInArrow(summed, f"part int, block int, doc_id {id_type.simpleString()}, inside long, n_tokens long, ids_crc32 long")
     return found.join(starts, ["part", "block"]).select(
         "doc_id", (F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -371,6 +371,15 @@ def test_token_files(spark, stored, empty, words, tmp_path):
         start += len(ids)
     tokenfile.write(empty, str(tmp_path / "none"), encode)
     assert tokenfile.digests(spark, str(tmp_path / "none")).count() == 0
+    named = docs.withColumn("doc_id", F.concat(F.lit("id "), F.col("doc_id").cast("string")))
+    tokenfile.write(named, str(tmp_path / "named"), encode, parts=3)
+    key = lambda r: (r.doc_id is not None, r.doc_id or "", r.n_tokens, r.ids_crc32)
+    found = tokenfile.digests(spark, str(tmp_path / "named")).collect()
+    assert sorted(map(key, found)) == sorted(
+        (i, i and f"id {k}" or "", len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        for (i, k, _), ids in want
+    )
+    assert {r.doc_id for r in tokenfile.read(spark, str(tmp_path / "named")).collect()} == {r.doc_id for r in found}
 
 
 # ---------------------------------------------------------------- 8
@@ -441,7 +450,7 @@ def test_mix_awkward(stored, empty):
 def test_shards(spark, stored, empty):
     tree = sharding.uniform_tree(2, 2, 4)
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
-    found = sharding.shard(docs, tree, sharding.grown(tree), chunk=1000).toPandas()
+    found = sharding.shard(docs, tree, sharding.grown(tree)).toPandas()
     assert set(found["shard"]) == set(range(16))
     moved = found[found["shard"] != found["grown_shard"]]
     assert set(moved["grown_shard"]) == {16} and 900 < len(moved) < 1450
@@ -452,6 +461,23 @@ def test_shards(spark, stored, empty):
     assert sharding.shard(empty, tree).count() == 0
 
 
+def test_shard_slots_of_any_ids(spark):
+    """Ids far apart, ids as texts, and one id on a third of all rows: slots are gapless and in order."""
+    tree = sharding.uniform_tree(2, 2, 4)
+    base = spark.range(3000).select(F.xxhash64("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"))
+    hot = spark.range(1500).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 2).alias("text"))
+    nulls = spark.range(3).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    numbers = base.unionByName(hot).unionByName(nulls)
+    for docs in (numbers, numbers.withColumn("doc_id", F.concat(F.lit("id-"), F.col("doc_id").cast("string")))):
+        found = sharding.shard(docs, tree).collect()
+        assert len(found) == 4503
+        rank = lambda r: (r.doc_id is not None, r.doc_id or 0 if r.doc_id is None else r.doc_id, r.text_crc32, r.size)
+        for number in range(16):
+            rows = sorted((r for r in found if r.shard == number), key=lambda r: r.slot)
+            assert [r.slot for r in rows] == list(range(len(rows)))
+            assert [rank(r) for r in rows] == sorted(rank(r) for r in rows)
+
+
 def test_weights_move_rows_only_into_their_subtree(spark):
     """A heavier rack takes rows from elsewhere and gives none away."""
     leaf = lambda n, w=1.0: sharding.Node(f"s{n}", shard=n, leaf_weight=w)
