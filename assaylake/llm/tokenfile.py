@@ -42,7 +42,7 @@ OFFSET_EVERY = 64
 #: A block is closed at so many ids.  A longer document is a block of its own.
 BLOCK_IDS = 1 << 16
 #: Texts of about so many bytes are encoded together, so that a unit is looked up once for all of them.
-BYTES_AT_ONCE = 1 << 23
+BYTES_AT_ONCE = 1 << 22
 
 BLOCK_SCHEMA = (
     "part int, block int, doc_ids array<{id}>, lengths array<bigint>, n_ids bigint, words binary, escapes binary, "
@@ -293,7 +293,7 @@ def _known_words(model_path: str, cache: int) -> tuple[UnitCache, UnitCache]:
     return UnitCache(pieces, cache), UnitCache(others, cache // 2)
 
 
-def word_encoder(model_path: str, end_id: int, cache: int = 1_200_000):
+def word_encoder(model_path: str, end_id: int, cache: int = 800_000):
     """An ``encode`` for ``write``: the tokenizers library's ids without special tokens, then ``end_id``.
 
     The model drops white space and never merges across it, and neither its normaliser nor its added tokens look across
