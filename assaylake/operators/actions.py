@@ -1,7 +1,11 @@
-"""Historical control actions: matching, pairs and evidence gates."""
+"""Historical control actions: matching, pairs, effect model, estimates and evidence gates."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -95,6 +99,116 @@ def observed_bounds(pairs: DataFrame, controls) -> DataFrame:
         F.min("d").alias("lower"), F.max("d").alias("upper"), F.count("*").alias("n"))
 
 
+@dataclass
+class EffectModel:
+    """What was learned from the pairs: per horizon a point and an upper head, the domain of states, and the evidence."""
+
+    controls: list[str]
+    state: list[str]
+    points: dict
+    uppers: dict
+    domain: object
+    bounds: dict[str, tuple[float, float]]
+    gates: dict[str, bool]
+
+    @property
+    def validated(self) -> bool:
+        return all(self.gates.values())
+
+
+def fit_effect_model(
+    pairs: DataFrame, *, controls: Sequence[str], state: Sequence[str], horizons: Sequence[int], alpha: float = 10.0,
+    rounds: int | None = None, min_pairs: int = 100, better: float = 0.9, coverage: float = 0.95,
+    confirmed: dict[str, bool] | None = None,
+) -> EffectModel:
+    """Fit outcomes on state and changes, and measure whether the evidence carries an estimate.
+
+    ``pairs`` are those of ``action_pairs`` with ``split`` (train, validation, audit).  The upper head is chosen and shifted on
+    validation rows, the gates compare point and upper with validation and audit outcomes.  ``confirmed`` adds gates that
+    data cannot decide (limits, pilots).  An empty period fails its gates; an unmoved control has no bounds.
+    """
+    from assaylake.operators import models as md
+
+    controls, state = list(controls), list(state)
+    names = [*state, *[f"delta_{c}" for c in controls]]
+    rows = pairs.withColumn("as_of", F.col("ts")).withColumn(
+        "observation_id", F.concat_ws("|", "pair_id", F.col("is_action_episode").cast("string")))
+    points, uppers, figures = {}, {}, {}
+    setting = {} if rounds is None else {"rounds": rounds}
+    for h in horizons:
+        y = f"sulfur_{h}m"
+        points[h] = md.fit_regression(rows.filter("split = 'train'"), names, y, "ridge", alpha=alpha)
+        uppers[h] = md.fit_upper_head(rows.drop("y").withColumnRenamed(y, "y"), names, **setting)
+        held = uppers[h].score(md.predict(points[h], rows.filter("split <> 'train'"), names, "point"))
+        per = held.groupBy("split").agg(
+            F.avg(F.abs(F.col(y) - F.col("point"))).alias("mae"), F.avg(F.abs(F.col(y) - F.col("baseline_sulfur"))).alias("hold_mae"),
+            F.avg((F.col(y) <= F.col("upper")).cast("double")).alias("coverage"))
+        # One row per period.
+        figures[h] = {r["split"]: r for r in per.collect()}
+
+    def every(split: str, test) -> bool:
+        return all(split in f and test(f[split]) for f in figures.values())
+
+    moved = pairs.filter("is_action_episode").groupBy("control_id").count()
+    counts = {r["control_id"]: r["count"] for r in moved.filter(F.col("control_id").isin(controls)).collect()}
+    gates = {
+        "pairs_per_control": all(counts.get(c, 0) >= min_pairs for c in controls),
+        "better_than_hold": every("validation", lambda f: f["mae"] <= better * f["hold_mae"]),
+        "upper_coverage": every("validation", lambda f: f["coverage"] >= coverage),
+        "audit_upper_coverage": every("audit", lambda f: f["coverage"] >= coverage),
+        **(confirmed or {}),
+    }
+    bounds = {r["control_id"]: (r["lower"], r["upper"]) for r in observed_bounds(pairs, controls).collect()}
+    domain = md.fit_joint_applicability(rows.filter("split = 'train'"), state, state)
+    return EffectModel(controls, state, points, uppers, domain, bounds, gates)
+
+
+def estimate_effects(asked: DataFrame, model: EffectModel, *, limit: float, keys=("entity", "ts")) -> DataFrame:
+    """What the model expects of each proposed change against leaving the controls alone.
+
+    ``asked`` has the keys, the state, ``control_id`` and ``proposed_delta``; NULL or unknown controls and changes that are
+    NULL or not finite are refused with a reason, not scored.  Per horizon: ``sulfur``, ``sulfur_upper`` (never below the point)
+    and ``effect`` (the difference of two scores of one row).  A row is applicable if no reason speaks against it.
+    """
+    from assaylake.operators import models as md
+
+    names = [*model.state, *[f"delta_{c}" for c in model.controls]]
+    change = F.col("proposed_delta")
+    known = F.coalesce(F.col("control_id").isin(model.controls), F.lit(False))
+    finite = change.isNotNull() & ~F.isnan(change) & (F.abs(change) < float("inf"))
+    ok = F.coalesce(known & finite, F.lit(False))
+    moved = {c: F.when(ok & (F.col("control_id") == c), change).otherwise(0.0) for c in model.controls}
+    out = asked.withColumn("_ok", ok).withColumns({f"delta_{c}": v for c, v in moved.items()})
+    out = model.domain.score(out).withColumnRenamed("applicability_code", "_domain")
+    scored = []
+    for h in model.points:
+        out = model.uppers[h].score(md.predict(model.points[h], out, names, "_point"), "_point", "_upper")
+        # The same row without the change; the changes come back afterwards.
+        kept = {f"_kept_{c}": F.col(f"delta_{c}") for c in model.controls}
+        out = out.withColumns(kept).withColumns({f"delta_{c}": F.lit(0.0) for c in model.controls})
+        out = md.predict(model.points[h], out, names, "_hold").withColumns({f"delta_{c}": F.col(f"_kept_{c}") for c in model.controls})
+        out = out.withColumns({
+            f"sulfur_{h}m": F.when(F.col("_ok"), F.col("_point")), f"sulfur_upper_{h}m": F.when(F.col("_ok"), F.col("_upper")),
+            f"effect_{h}m": F.when(F.col("_ok"), F.col("_point") - F.col("_hold")),
+        }).drop("_point", "_upper", "_hold", *kept)
+        scored += [f"sulfur_{h}m", f"sulfur_upper_{h}m", f"effect_{h}m"]
+    inside = F.lit(False)
+    for c, (low, high) in model.bounds.items():
+        inside = inside | ((F.col("control_id") == c) & change.between(F.lit(low), F.lit(high)))
+    inside = F.coalesce(inside, F.lit(False))
+    over = {h: F.col(f"sulfur_upper_{h}m") > limit for h in model.points}
+    reasons = F.array_compact(F.array(
+        F.when(~known, F.lit("CONTROL_UNKNOWN")), F.when(known & ~F.col("_ok"), F.lit("ACTION_DELTA_INVALID")),
+        F.lit(None if model.validated else "ACTION_EFFECT_VALIDATION_FAILED").cast("string"),
+        F.when(F.col("_ok") & ~inside, F.lit("ACTION_DELTA_OUT_OF_OBSERVED_RANGE")),
+        F.col("_domain"), *[F.when(test, F.lit(f"SULFUR_UPPER_LIMIT_{h}M")) for h, test in over.items()]))
+    safe = F.col("_ok") & reduce(lambda a, b: a & b, [F.coalesce(~test, F.lit(False)) for test in over.values()])
+    return out.select(
+        *keys, "control_id", "proposed_delta", *scored, (inside & F.col("_domain").isNull()).alias("within_observed_domain"),
+        F.lit(model.validated).alias("model_validated"), safe.alias("safety_passes"), reasons.alias("reason_codes"),
+    ).withColumn("applicable", F.size("reason_codes") == 0)
+
+
 def setpoint_grid(rows: DataFrame, specs: dict[str, dict], domain=None, max_combinations: int = 125) -> DataFrame:
     """Hold and every combination of +-1 and +-2 steps within limits and the joint domain.
 

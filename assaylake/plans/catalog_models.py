@@ -261,22 +261,23 @@ def action_effect_model(t):
     return out
 
 
+#: Proposed changes of every control; the outer ones lie beyond what most plants have seen.
+PROPOSED = (-10.0, -5.0, 5.0, 10.0)
+
+
 @query("action_estimate")
 def action_estimate(t):
-    """Effect of a proposed change against hold at every known state: two scores, one subtraction."""
-    rows = action_rows(t)
-    model = md.fit_regression(rows.filter("split = 'train'"), ACTION_FEATURES, "sulfur_60m", "ridge", alpha=10.0)
-    lo_hi = rows.filter("is_action_episode AND delta_click <> 0").agg(F.min("delta_click").alias("lo"), F.max("delta_click").alias("hi")).first()
+    """Effects of proposed changes of every control, over all horizons, at every known state."""
+    from assaylake.operators import actions as ac
+
+    model = ac.fit_effect_model(
+        action_rows(t), controls=CONTROLS, state=STATE, horizons=HORIZONS,
+        confirmed={"sign_stability": False, "engineering_bounds": False, "shadow_replay": False, "pilot": False})
     asked = timeline(t).filter(" AND ".join(f"{c} IS NOT NULL" for c in STATE)).select("entity", "ts", *STATE)
-    both = asked.select("*", F.explode(F.array(F.lit(5.0), F.lit(0.0))).alias("delta_click"), F.lit(0.0).alias("delta_signup"))
-    out = md.predict(model, both, ACTION_FEATURES, "sulfur")
-    pair = out.groupBy("entity", "ts").agg(
-        F.max(F.when(F.col("delta_click") != 0, F.col("sulfur"))).alias("sulfur_60m"), F.max(F.when(F.col("delta_click") == 0, F.col("sulfur"))).alias("hold_60m"))
-    in_range = F.lit(lo_hi["lo"] is not None and lo_hi["lo"] <= 5.0 <= lo_hi["hi"])
-    reasons = F.array_compact(F.array(
-        F.lit("ACTION_EFFECT_VALIDATION_FAILED"), F.when(~in_range, F.lit("ACTION_DELTA_OUT_OF_OBSERVED_RANGE")),
-        F.when(F.col("sulfur_60m") > LIMIT, F.lit("SULFUR_UPPER_LIMIT_60M"))))
-    return pair.select("entity", "ts", "sulfur_60m", (F.col("sulfur_60m") - F.col("hold_60m")).alias("effect_60m"), F.array_join(reasons, ",").alias("reasons"))
+    asked = asked.withColumn("control_id", F.explode(F.array(*[F.lit(c) for c in CONTROLS]))).withColumn(
+        "proposed_delta", F.explode(F.array(*[F.lit(d) for d in PROPOSED])))
+    out = ac.estimate_effects(asked, model, limit=LIMIT)
+    return out.withColumn("reasons", F.array_join("reason_codes", ",")).drop("reason_codes")
 
 
 @query("temporal_residualization")
