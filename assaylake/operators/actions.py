@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -125,7 +126,7 @@ def fit_effect_model(
 
     ``pairs`` are those of ``action_pairs`` with ``split`` (train, validation, audit).  The upper head is chosen and shifted on
     validation rows, the gates compare point and upper with validation and audit outcomes.  ``confirmed`` adds gates that
-    data cannot decide (limits, pilots).  An empty period fails its gates; an unmoved control has no bounds.
+    data cannot decide (limits, pilots).  No training pairs are an error, another empty period fails its gates; an unmoved control has no bounds.
     """
     from assaylake.operators import models as md
 
@@ -133,18 +134,25 @@ def fit_effect_model(
     names = [*state, *[f"delta_{c}" for c in controls]]
     rows = pairs.withColumn("as_of", F.col("ts")).withColumn(
         "observation_id", F.concat_ws("|", "pair_id", F.col("is_action_episode").cast("string")))
-    points, uppers, figures = {}, {}, {}
+    if rows.filter("split = 'train'").isEmpty():
+        raise ValueError("no pairs in the training period")
     setting = {} if rounds is None else {"rounds": rounds}
-    for h in horizons:
+
+    def fitted(h: int):
         y = f"sulfur_{h}m"
-        points[h] = md.fit_regression(rows.filter("split = 'train'"), names, y, "ridge", alpha=alpha)
-        uppers[h] = md.fit_upper_head(rows.drop("y").withColumnRenamed(y, "y"), names, **setting)
-        held = uppers[h].score(md.predict(points[h], rows.filter("split <> 'train'"), names, "point"))
+        point = md.fit_regression(rows.filter("split = 'train'"), names, y, "ridge", alpha=alpha)
+        upper = md.fit_upper_head(rows.drop("y").withColumnRenamed(y, "y"), names, **setting)
+        held = upper.score(md.predict(point, rows.filter("split <> 'train'"), names, "point"))
         per = held.groupBy("split").agg(
             F.avg(F.abs(F.col(y) - F.col("point"))).alias("mae"), F.avg(F.abs(F.col(y) - F.col("baseline_sulfur"))).alias("hold_mae"),
             F.avg((F.col(y) <= F.col("upper")).cast("double")).alias("coverage"))
         # One row per period.
-        figures[h] = {r["split"]: r for r in per.collect()}
+        return point, upper, {r["split"]: r for r in per.collect()}
+
+    # Horizons do not depend on each other, and each is a chain of jobs.
+    with ThreadPoolExecutor(len(horizons)) as pool:
+        found = dict(zip(horizons, pool.map(fitted, horizons)))
+    points, uppers, figures = ({h: f[i] for h, f in found.items()} for i in range(3))
 
     def every(split: str, test) -> bool:
         return all(split in f and test(f[split]) for f in figures.values())

@@ -20,6 +20,18 @@ CHUNK_VALUES = 500_000
 LEAST_CUTS = 128
 
 
+def _cuts_below(cuts: Column, x: Column, most: int) -> Column:
+    """How many of the ascending ``cuts`` (``most`` at most) lie below ``x``, by halving.
+
+    Steps shrink from the largest power of two: a step is taken if the cut that it leads to is still below.
+    """
+    steps = [1 << i for i in reversed(range(max(most, 1).bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(n) for n in steps]), F.lit(0),
+        lambda at, step: F.when(F.coalesce(F.try_element_at(cuts, at + step) < x, F.lit(False)), at + step).otherwise(at),
+    ).cast("long")
+
+
 def _ranked(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """Distinct values ``_x`` with their number ``_n``, the number up to them ``_upto``, and the group's ``_total``.
 
@@ -39,7 +51,7 @@ def _ranked(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
         row = counts.agg(F.sum("_n").alias("total"), cuts.alias("cuts")).first()
         placed = counts.withColumn("_total", F.lit(row["total"]).cast("long")).withColumn(
             "_cuts", F.array(*[F.lit(c) for c in row["cuts"] or []]).cast(f"array<{counts.schema['_x'].dataType.simpleString()}>"))
-    placed = placed.withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).cast("long")).drop("_cuts")
+    placed = placed.withColumn("_chunk", _cuts_below(F.col("_cuts"), F.col("_x"), n_cuts)).drop("_cuts")
     held = keys or ["_all"]
     placed = placed if keys else placed.withColumn("_all", F.lit(0))
     return carry_forward(placed, held, "_x", [], {"_upto": ("sum", F.col("_n"))})

@@ -134,3 +134,14 @@ def test_cooldown_chain(spark, minutes):
     df = spark.createDataFrame([(0, minutes(m)) for m in times], "entity int, ts timestamp_ntz")
     got = sorted(r["ts"] for r in cooldown(df, keys=["entity"], ts="ts", minutes=60, chunking=GRID).collect())
     assert got == [minutes(m) for m in (0, 60, 125, 500, 561)]
+
+
+def test_cuts_below_by_halving(spark):
+    from pyspark.sql import functions as F
+
+    from assaylake.operators.quantiles import _cuts_below
+
+    for cuts in ([], [1.0], [1.0, 1.0, 2.0], [float(i // 3) for i in range(127)], [float(i) for i in range(128)]):
+        array = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+        rows = spark.range(-4, 270).select((F.col("id") / 2).alias("x")).select("x", _cuts_below(array, F.col("x"), 128).alias("n")).collect()
+        assert all(r.n == sum(c < r.x for c in cuts) for r in rows)
