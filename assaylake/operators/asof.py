@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assaylake.functions.timecols import micros
 from assaylake.operators.chunks import DEFAULT, Chunking, carry_forward, over_rows
+from assaylake.operators.spans import figure, span_stats
 
 
 def _stream(
@@ -191,36 +192,23 @@ def window_published(
     query_id: str,
     query_ts: str,
     minutes: int,
+    chunking: Chunking = DEFAULT,
 ) -> DataFrame:
     """Mean and population deviation over ``[q - w, q]`` of values already published at ``q``.
 
-    Interval join on an hour key.  A value is only sent to the hours in which it can be both
-    published and inside the window, so a value published after its window closed is never joined.
+    A value counts from the later of its measuring and publication until its window closes, or never if it was published
+    after that.  ``spans`` finds what counts without pairing a query with each value.
     """
-    hour = F.lit(3_600_000_000)
     seen_from = F.greatest(micros("measured_at"), micros("available_at"))
     seen_to = micros("measured_at") + F.lit(minutes * 60_000_000)
-    events = (
-        observations.filter(F.col("value").isNotNull() & (seen_from <= seen_to))
-        .select(
-            *keys,
-            "value",
-            seen_from.alias("_from"),
-            seen_to.alias("_to"),
-            F.explode(F.sequence(F.floor(seen_from / hour), F.floor(seen_to / hour))).alias("_hour"),
-        )
+    spans = observations.filter(F.col("value").isNotNull() & (seen_from <= seen_to)).select(
+        *keys, F.lit(minutes).alias("_span"), seen_from.alias("_from"), seen_to.alias("_to"),
+        F.col("value").cast("double").alias("value"),
     )
-    asks = queries.select(
-        *keys, query_id, micros(query_ts).alias("_q"), F.floor(micros(query_ts) / hour).alias("_hour")
-    )
-    stats = (
-        asks.join(events, [*keys, "_hour"])
-        .filter((F.col("_q") >= F.col("_from")) & (F.col("_q") <= F.col("_to")))
-        .groupBy(query_id)
-        .agg(
-            F.avg("value").alias(f"mean_{minutes}m"),
-            F.stddev_pop("value").alias(f"std_{minutes}m"),
-            F.count("value").alias(f"n_{minutes}m"),
-        )
+    asks = queries.select(*keys, query_id, micros(query_ts).alias("_q"))
+    found = span_stats(asks, spans, keys=keys, ids=[query_id], lengths=[minutes], chunking=chunking)
+    moments = F.col(f"_m_{minutes}")
+    stats = found.filter(moments["n"] > 0).select(
+        query_id, *[figure(moments, s).alias(f"{s}_{minutes}m") for s in ("mean", "std", "n")]
     )
     return queries.join(stats, query_id, "left")

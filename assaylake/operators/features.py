@@ -54,7 +54,7 @@ def feature_frame(
     asks = queries.select("entity", query_id, query_ts, F.explode(
         F.array(*[F.lit(s) for s in signals])).alias("signal_id"))
     windows = window_stats(
-        asks, telemetry, keys=["entity", "signal_id"], query_id=query_id, query_ts=query_ts, ts="ts"
+        asks, telemetry, keys=["entity", "signal_id"], query_id=query_id, query_ts=query_ts, ts="ts", chunking=chunking
     )
     tall = lags.select(
         *key, "signal_id", F.concat(F.lit("lag_"), F.col("lag").cast("string"), F.lit("m")).alias("name"), "value"
@@ -75,13 +75,13 @@ def feature_frame(
     past = published_lags(queries, history, query_id=query_id, query_ts=query_ts, chunking=chunking)
     if published_at_once:
         recent = window_stats(
-            queries, history, keys=["entity"], query_id=query_id, query_ts=query_ts, ts="measured_at"
+            queries, history, keys=["entity"], query_id=query_id, query_ts=query_ts, ts="measured_at", chunking=chunking
         )
     else:
         recent = queries.select(*key, query_ts)
         for w in WINDOWS:
             recent = window_published(
-                recent, history, keys=["entity"], query_id=query_id, query_ts=query_ts, minutes=w
+                recent, history, keys=["entity"], query_id=query_id, query_ts=query_ts, minutes=w, chunking=chunking
             ).drop(f"n_{w}m")
         recent = recent.drop(query_ts)
     joined = queries.join(wide, key, "left").join(past, key, "left").join(recent, key, "left")
@@ -172,7 +172,7 @@ def episode_frame(
     )
     extremes = window_stats(
         with_now, series, keys=keys, query_id="target_at", query_ts="as_of", ts=ts, windows=(30, 60, 180),
-        stats=("min", "max"),
+        stats=("min", "max"), chunking=chunking,
     )
     lagged = lag_table(with_now, series, keys=keys, query_ts="as_of", ts=ts, lags=(30, 60, 180), chunking=chunking)
     joined = ages.join(extremes, [*keys, "target_at"], "left").join(lagged, [*keys, "target_at"], "left")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assaylake.functions.timecols import micros, minutes_between, plus_minutes
 from assaylake.operators.asof import asof, asof_published
-from assaylake.operators.chunks import DEFAULT, Chunking, carry_forward, over_range, over_rows
+from assaylake.operators.chunks import DEFAULT, Chunking, carry_forward, over_rows
+from assaylake.operators.spans import figure, span_stats
 from assaylake.session import materialise
 
 LAGS = (0, 10, 30, 60, 180)
@@ -57,22 +58,24 @@ def window_stats(
     ts: str,
     windows: Sequence[int] = WINDOWS,
     stats: Sequence[str] = ("mean", "std"),
+    chunking: Chunking = DEFAULT,
 ) -> DataFrame:
-    """Rolling statistics ending exactly at the query time, both ends closed.
+    """Rolling statistics ending exactly at the query time, both ends closed; one row per key, id and time.
 
-    ``series`` holds one row per key and instant (see ``collapse_duplicates``).
+    ``series`` holds one row per key and instant (see ``collapse_duplicates``).  A value counts from its own time to
+    the window's length later (see ``spans``); no frame is aggregated again for each row.
     """
-    values = series.filter(F.col("value").isNotNull()).select(*keys, F.col(ts).alias("_t"), "value")
-    asks = queries.select(*keys, F.col(query_ts).alias("_t"), F.col(query_id))
-    rows = values.unionByName(asks, allowMissingColumns=True)
-    functions = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
-
-    def build(frame):
-        return {f"{s}_{m}m": functions[s]("value").over(frame(m)) for m in windows for s in stats}
-
-    out = over_range(rows, keys, "_t", build, before_minutes=max(windows))
-    names = [f"{s}_{m}m" for m in windows for s in stats]
-    return out.filter(F.col(query_id).isNotNull()).select(*keys, query_id, *names)
+    spans = (
+        series.filter(F.col("value").isNotNull() & F.col(ts).isNotNull())
+        .select(*keys, micros(ts).alias("_from"), F.col("value").cast("double").alias("value"),
+                F.explode(F.array(*[F.lit(m) for m in windows])).alias("_span"))
+        .withColumn("_to", F.col("_from") + F.col("_span").cast("long") * F.lit(60_000_000))
+    )
+    asks = queries.filter(F.col(query_id).isNotNull()).select(*keys, query_id, micros(query_ts).alias("_q"))
+    found = span_stats(asks, spans, keys=keys, ids=[query_id], lengths=windows, inner=False, chunking=chunking)
+    return found.select(
+        *keys, query_id, *[figure(F.col(f"_m_{m}"), s).alias(f"{s}_{m}m") for m in windows for s in stats]
+    )
 
 
 def published_lags(
