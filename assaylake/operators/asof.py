@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assaylake.functions.timecols import micros
 from assaylake.operators.chunks import DEFAULT, Chunking, carry_forward, over_rows
-from assaylake.operators.spans import figure, span_stats
+from assaylake.operators.spans import span_stats
 
 
 def _stream(
@@ -206,9 +206,8 @@ def window_published(
         F.col("value").cast("double").alias("value"),
     )
     asks = queries.select(*keys, query_id, micros(query_ts).alias("_q"))
-    found = span_stats(asks, spans, keys=keys, ids=[query_id], lengths=[minutes], chunking=chunking)
-    moments = F.col(f"_m_{minutes}")
-    stats = found.filter(moments["n"] > 0).select(
-        query_id, *[figure(moments, s).alias(f"{s}_{minutes}m") for s in ("mean", "std", "n")]
+    found = span_stats(
+        asks, spans, keys=keys, ids=[query_id], lengths=[minutes], stats=("mean", "std", "n"), chunking=chunking
     )
+    stats = found.drop(*keys).filter(F.col(f"n_{minutes}m") > 0)
     return queries.join(stats, query_id, "left")

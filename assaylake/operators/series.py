@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assaylake.functions.timecols import micros, minutes_between, plus_minutes
 from assaylake.operators.asof import asof, asof_published
 from assaylake.operators.chunks import DEFAULT, Chunking, carry_forward, over_rows
-from assaylake.operators.spans import figure, span_stats
+from assaylake.operators.spans import span_stats
 from assaylake.session import materialise
 
 LAGS = (0, 10, 30, 60, 180)
@@ -72,9 +72,8 @@ def window_stats(
         .withColumn("_to", F.col("_from") + F.col("_span").cast("long") * F.lit(60_000_000))
     )
     asks = queries.filter(F.col(query_id).isNotNull()).select(*keys, query_id, micros(query_ts).alias("_q"))
-    found = span_stats(asks, spans, keys=keys, ids=[query_id], lengths=windows, inner=False, chunking=chunking)
-    return found.select(
-        *keys, query_id, *[figure(F.col(f"_m_{m}"), s).alias(f"{s}_{m}m") for m in windows for s in stats]
+    return span_stats(
+        asks, spans, keys=keys, ids=[query_id], lengths=windows, stats=stats, inner=False, chunking=chunking
     )
 
 

@@ -24,37 +24,64 @@ from assaylake.operators.chunks import DEFAULT, Chunking, assign_chunks
 
 _ENTER, _ASK, _LEAVE = 0, 1, 2
 _NODE = ("_span", "_block", "_level", "_half")
-_PART = "struct<n:bigint,s:double,m2:double,lo:double,hi:double>"
+#: What a statistic is made of; deviations are kept as squares about the mean, so that parts can be merged.
+_NEEDS = {"n": "n", "mean": "n s", "std": "n s m2", "min": "n lo", "max": "n hi"}
 
 
-def _moments(value: Column, window=None) -> Column:
-    """Count, sum, squared deviations, least and largest value as one struct, running where a window is given."""
-    over = (lambda c: c.over(window)) if window is not None else (lambda c: c)
-    n = over(F.count(value))
-    return F.struct(
-        n.alias("n"), over(F.sum(value)).alias("s"), (over(F.var_pop(value)) * n).alias("m2"),
-        over(F.min(value)).alias("lo"), over(F.max(value)).alias("hi"),
-    )
-
+def _fields(stats: Sequence[str]) -> list[str]:
+    wanted = {f for s in stats for f in _NEEDS[s].split()}
+    return [f for f in ("n", "s", "m2", "lo", "hi") if f in wanted]
 
-def _merged(parts: Column) -> Column:
-    """One struct of moments out of an array of them; parts without values are left out."""
 
-    def add(a: Column, b: Column) -> Column:
-        n = a["n"] + b["n"]
+def _moments(value: Column, fields: Sequence[str], prefix: str, window=None) -> list[Column]:
+    """Count, sum, squared deviations, least and largest value, running where a window is given."""
+    over = (lambda c: c.over(window)) if window is not None else (lambda c: c)
+    made = {
+        "n": lambda: over(F.count(value)), "s": lambda: over(F.sum(value)),
+        "m2": lambda: over(F.var_pop(value)) * over(F.count(value)),
+        "lo": lambda: over(F.min(value)), "hi": lambda: over(F.max(value)),
+    }
+    return [made[f]().alias(prefix + f) for f in fields]
+
+
+def _both(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """Moments of two parts together; a part without values has a count of 0."""
+    n = a["n"] + b["n"]
+    out = {"n": n}
+    if "s" in a:
+        out["s"] = F.when(a["n"] == 0, b["s"]).when(b["n"] == 0, a["s"]).otherwise(a["s"] + b["s"])
+    if "m2" in a:
         apart = b["s"] / b["n"] - a["s"] / a["n"]
-        both = F.struct(
-            n.alias("n"), (a["s"] + b["s"]).alias("s"),
-            (a["m2"] + b["m2"] + apart * apart * a["n"] * b["n"] / n).alias("m2"),
-            F.least(a["lo"], b["lo"]).alias("lo"), F.greatest(a["hi"], b["hi"]).alias("hi"),
+        out["m2"] = F.when(a["n"] == 0, b["m2"]).when(b["n"] == 0, a["m2"]).otherwise(
+            a["m2"] + b["m2"] + apart * apart * a["n"] * b["n"] / n
         )
-        return F.when(a["n"] == 0, b).otherwise(both)
+    if "lo" in a:
+        out["lo"] = F.least(a["lo"], b["lo"])
+    if "hi" in a:
+        out["hi"] = F.greatest(a["hi"], b["hi"])
+    return out
+
+
+def _struct(moments: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(f) for f, c in moments.items()])
+
+
+def _of(struct: Column, fields: Sequence[str]) -> dict[str, Column]:
+    return {f: struct[f] for f in fields}
 
-    none = F.struct(
-        F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("double").alias(c) for c in ("s", "m2", "lo", "hi")]
-    )
-    filled = F.filter(parts, lambda p: p["n"] > 0)
-    return F.aggregate(filled, none.cast(_PART), lambda a, b: add(a, b).cast(_PART))
+
+def _merged(parts: Column, fields: Sequence[str]) -> Column:
+    """One struct of moments out of a list of them."""
+    kind = "struct<" + ",".join(f"{f}:{'bigint' if f == 'n' else 'double'}" for f in fields) + ">"
+    none = F.struct(*[F.lit(0 if f == "n" else None).alias(f) for f in fields]).cast(kind)
+    return F.aggregate(parts, none, lambda x, y: _struct(_both(_of(x, fields), _of(y, fields))).cast(kind))
+
+
+def _crowded(asks: DataFrame, spans: DataFrame, keys: Sequence[str], width: Column, most: int) -> bool:
+    """Whether any block could have more rows than ``most``: its values, each in two nodes at most, and its queries."""
+    block = lambda c: F.floor(F.col(c) / width).cast("long").alias("_block")
+    rows = spans.select(*keys, block("_from")).unionByName(asks.select(*keys, block("_q")))
+    return not rows.groupBy(*keys, "_block").count().filter(F.col("count") * 2 > most).isEmpty()
 
 
 def _half(offset: Column, level: Column) -> Column:
@@ -92,15 +119,18 @@ def span_stats(
     keys: Sequence[str],
     ids: Sequence[str],
     lengths: Sequence[int],
+    stats: Sequence[str],
     inner: bool = True,
     chunking: Chunking = DEFAULT,
 ) -> DataFrame:
-    """For each ask (``keys``, ``ids``, ``_q``) and each of ``lengths`` the moments ``_m_<length>`` of the values whose span holds ``_q``.
+    """For each ask (``keys``, ``ids``, ``_q``) ``<stat>_<length>m`` of the values whose span holds ``_q``.
 
     ``spans`` has ``keys``, ``_span`` (one of ``lengths``, in minutes; no span is longer), ``_from``, ``_to`` and ``value``; times are
     microseconds.  Missing values and spans that end before they start must have been left out.  Rows equal in keys,
-    ids and time give one row.  ``inner=False`` promises that every span is as long as its length says.
+    ids and time give one row.  ``inner=False`` promises that every span is as long as its length says.  ``stats`` are
+    of mean, population std, min, max (NULL without values) and n.
     """
+    fields = _fields(stats)
     width = F.col("_span").cast("long") * F.lit(60_000_000)
     pieces = _nodes_of_spans(spans, keys, width)
     levels = [0]
@@ -120,42 +150,57 @@ def span_stats(
     node = [*keys, *_NODE]
     enters = F.when(F.col("_kind") == _ENTER, F.col("value"))
     leaves = F.when(F.col("_kind") == _LEAVE, F.col("value"))
-    if chunking.hot_rows is None:
-        rows = rows.withColumn("_chunk", F.lit(0))
-    else:
+    longest = F.lit(max(lengths) * 60_000_000)
+    single = spans.filter(F.col("_span") == max(lengths))
+    cut = chunking.hot_rows is not None and _crowded(asks, single, keys, longest, chunking.hot_rows)
+    if cut:
         timed = rows.withColumn("_time", F.timestamp_micros("_at"))
         rows = assign_chunks(timed, node, "_time", chunking).drop("_time")
-        totals = rows.groupBy(*node, "_chunk").agg(_moments(enters).alias("_in"), _moments(leaves).alias("_out"))
+        totals = rows.groupBy(*node, "_chunk").agg(
+            F.struct(*_moments(enters, fields, "")).alias("_in"), F.struct(*_moments(leaves, fields, "")).alias("_out")
+        )
         near = Window.partitionBy(*node).orderBy("_chunk")
         others = totals.select(
             *node, "_chunk", F.lit(-1).alias("_kind"),
-            _merged(F.collect_list("_in").over(near.rowsBetween(Window.unboundedPreceding, -1))).alias("_before"),
-            _merged(F.collect_list("_out").over(near.rowsBetween(1, Window.unboundedFollowing))).alias("_after"),
+            _merged(F.collect_list("_in").over(near.rowsBetween(Window.unboundedPreceding, -1)), fields).alias("_before"),
+            _merged(F.collect_list("_out").over(near.rowsBetween(1, Window.unboundedFollowing)), fields).alias("_after"),
         )
         rows = rows.unionByName(others, allowMissingColumns=True)
-    part = Window.partitionBy(*node, "_chunk")
+    part = Window.partitionBy(*node, *(["_chunk"] if cut else []))
     sofar = (Window.unboundedPreceding, Window.currentRow)
     # The row of the other parts comes first; of one instant, values enter before an ask and leave after it.
     ahead = part.orderBy(F.col("_at").asc_nulls_first(), "_kind").rowsBetween(*sofar)
     back = part.orderBy(F.col("_at").desc_nulls_last(), F.col("_kind").desc()).rowsBetween(*sofar)
-    found = [_moments(enters, ahead), _moments(leaves, back)]
-    if chunking.hot_rows is not None:
-        found += [F.first(c, ignorenulls=True).over(ahead) for c in ("_before", "_after")]
-    here = rows.select("*", F.array(*[c.cast(_PART) for c in found]).alias("_parts")).filter(F.col("_kind") == _ASK)
-    # One list per ask and length, as long as there are levels; repeated asks have the same parts.
-    lists = here.groupBy(*keys, *ids, "_q").agg(*[
-        F.collect_set(F.when(F.col("_span") == m, F.struct("_level", "_parts"))).alias(f"_m_{m}") for m in lengths
-    ])
-    merged = [_merged(F.flatten(F.transform(F.array_sort(f"_m_{m}"), lambda p: p["_parts"]))).alias(f"_m_{m}") for m in lengths]
-    return lists.select(*keys, *ids, "_q", *merged)
-
-
-def figure(moments: Column, stat: str) -> Column:
-    """``mean``, population ``std``, ``min``, ``max`` or ``n`` of a struct of moments; NULL (n: 0) without values."""
+    carried = [F.first(c, ignorenulls=True).over(ahead).alias(f"_c{c}") for c in ("_before", "_after")] if cut else []
+    here = rows.select(
+        *keys, *ids, "_q", "_span", "_level", "_kind",
+        *_moments(enters, fields, "_e_", ahead), *_moments(leaves, fields, "_l_", back), *carried,
+    ).filter(F.col("_kind") == _ASK)
+    own = _both({f: F.col(f"_e_{f}") for f in fields}, {f: F.col(f"_l_{f}") for f in fields})
+    here = here.withColumns({f"_m_{f}": c for f, c in own.items()})
+    for c in ("_before", "_after") if cut else ():
+        more = _both({f: F.col(f"_m_{f}") for f in fields}, _of(F.col(f"_c{c}"), fields))
+        here = here.withColumns({f"_m_{f}": x for f, x in more.items()})
+    here = here.select(*keys, *ids, "_q", "_span", "_level", *[F.col(f"_m_{f}").alias(f) for f in fields])
+    mine = lambda m, c: F.when(F.col("_span") == m, c)
+    if len(levels) == 1:
+        # One node for each length; repeated asks have equal moments.
+        found = here.groupBy(*keys, *ids, "_q").agg(*[F.max(mine(m, F.col(f))).alias(f"_{f}_{m}") for m in lengths for f in fields])
+        of = lambda m: {f: F.col(f"_{f}_{m}") for f in fields}
+    else:
+        # One list per ask and length, no longer than there are levels.
+        found = here.filter("n > 0 OR _level = 0").groupBy(*keys, *ids, "_q").agg(*[
+            F.collect_set(mine(m, F.struct("_level", *fields))).alias(f"_p_{m}") for m in lengths
+        ]).withColumns({f"_m_{m}": _merged(F.array_sort(f"_p_{m}"), fields) for m in lengths})
+        of = lambda m: _of(F.col(f"_m_{m}"), fields)
+    return found.select(*keys, *ids, *[_figure(of(m), s).alias(f"{s}_{m}m") for m in lengths for s in stats])
+
+
+def _figure(moments: dict[str, Column], stat: str) -> Column:
     return {
         "n": lambda: moments["n"],
-        "mean": lambda: moments["s"] / moments["n"],
-        "std": lambda: F.sqrt(moments["m2"] / moments["n"]),
+        "mean": lambda: moments["s"] / F.nullif(moments["n"], F.lit(0)),
+        "std": lambda: F.sqrt(moments["m2"] / F.nullif(moments["n"], F.lit(0))),
         "min": lambda: moments["lo"],
         "max": lambda: moments["hi"],
     }[stat]()
