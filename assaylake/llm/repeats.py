@@ -1,8 +1,10 @@
-"""Repeated passages by equal windows, over a corpus of any size.
+"""Repeated passages by longest previous factors, over a corpus of any size.
 
-A window is a run of ``L`` bytes.  It is repeated if the same bytes start anywhere else.  In the order of all suffixes, cut
-after L bytes, equal windows stand together, so a neighbour of the same rank tells; lengths of common prefixes and of
-previous factors are not computed.
+A window is a run of ``L`` bytes.  It is repeated if the same bytes start anywhere else.  In the order of all suffixes, the
+longest match of a place with any earlier place is with one of two neighbours: the nearest place before it in that order, or
+after it, that is smaller (Crochemore and Ilie).  The larger of the two common prefixes is the place's *longest previous
+factor*; from L bytes on, its window is a later copy.  The mirror image, with nearest larger places, gives later matches.
+As no more than L bytes matter, suffixes are ordered, and factors measured, up to L bytes; ties stand in corpus order.
 
 To sort little, and never all of a corpus in one place, windows are first told apart by what they contain:
 
@@ -11,8 +13,8 @@ To sort little, and never all of a corpus in one place, windows are first told a
    places, and an anchor found once in the corpus rules out all its windows: one count by anchor drops most of the text.
 2. Runs with the same anchor and the same bytes are copies of each other as a whole, and are one *segment* with a number of
    copies.  Counting finds them, so a passage in a third of all texts never comes together in one task.
-3. Only the different segments of one anchor are left.  They meet in a task, which builds the suffix order of their
-   windows by prefix doubling up to L bytes, ties in corpus order, and compares neighbours in it.
+3. Only the different segments of one anchor are left.  They meet in a task, which builds the suffix array of their
+   windows by prefix doubling, and the factors of all of them.
 
 Should one anchor have over ``MOST_SEGMENTS`` different segments, their windows are counted by hash over all tasks instead,
 as no task may hold a group without a bound.
@@ -34,7 +36,7 @@ from assaylake.session import materialise
 PIECE = 1 << 19
 #: Bytes of segments whose suffix order is built at once.
 CHUNK = 1 << 20
-MOST_SEGMENTS = 20_000
+MOST_SEGMENTS = 4_000
 #: Up to so many wanted rows, their 64-bit hashes (16 MB) go to all tasks and keep other texts from moving.
 FILTER_ROWS = 1_000_000
 _U = np.uint64
@@ -109,8 +111,8 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
     )
 
 
-def suffix_classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each start the rank of its ``length`` bytes among those of all starts, in byte order; equal bytes, equal rank."""
+def prefix_ranks(data: np.ndarray, length: int) -> dict[int, np.ndarray]:
+    """Prefix doubling: for 8, 16, ... up to ``length`` bytes the rank of each place's next bytes among those of all places."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     n = len(data)
     word = np.zeros(n, np.uint64)
@@ -122,8 +124,13 @@ def suffix_classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
         r = ranks[size]
         later = np.zeros(n, np.int64)
         later[:max(n - size, 0)] = r[size:]
-        ranks[size * 2] = _dense(r * (n + 1) + later)
+        ranks[size * 2] = _dense(r.astype(np.int64) * (n + 1) + later)
         size *= 2
+    return ranks
+
+
+def suffix_classes(ranks: dict[int, np.ndarray], starts: np.ndarray, length: int) -> np.ndarray:
+    """For each start the rank of its ``length`` bytes among those of all starts, in byte order; equal bytes, equal rank."""
     # What is left of the length is read by ranks that may overlap what was read before.
     keys, at = [], 0
     for size in sorted(ranks, reverse=True):
@@ -141,26 +148,74 @@ def suffix_classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
     return out
 
 
+def common_prefixes(ranks: dict[int, np.ndarray], data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that the windows at ``a`` and ``b`` have in common from their start, at most ``length``."""
+    at = np.zeros(len(a), np.int64)
+    last = len(data) - 1
+    # Each size is needed once at most, as twice the largest is above the length.
+    for size in sorted(ranks, reverse=True):
+        r = ranks[size]
+        same = r[np.minimum(a + at, last)] == r[np.minimum(b + at, last)]
+        at[same & (at + size <= length)] += size
+    going = np.flatnonzero(at < length)
+    for _ in range(7):
+        going = going[data[a[going] + at[going]] == data[b[going] + at[going]]]
+        at[going] += 1
+        going = going[at[going] < length]
+    return at
+
+
+def nearest_smaller(x: np.ndarray) -> np.ndarray:
+    """For each element the index of the nearest smaller one before it, or -1: up and down a tree of block minima."""
+    n = len(x)
+    levels = [x]
+    while len(levels[-1]) > 1:
+        low = levels[-1]
+        if len(low) % 2:
+            low = np.append(low, np.iinfo(x.dtype).max)
+        levels.append(np.minimum(low[::2], low[1::2]))
+    out = np.full(n, -1, np.int64)
+    open_ones, node = np.arange(n), np.arange(n)
+    found = []
+    for k, level in enumerate(levels):
+        hit = (node & 1 == 1) & (level[node - 1] < x[open_ones])
+        found.append((open_ones[hit], node[hit] - 1))
+        open_ones, node = open_ones[~hit], node[~hit] >> 1
+    who, node = np.empty(0, np.int64), np.empty(0, np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        who, node = np.concatenate([who, found[k][0]]), np.concatenate([node, found[k][1]])
+        if k:
+            below = levels[k - 1]
+            right = np.minimum(2 * node + 1, len(below) - 1)
+            node = np.where(below[right] < x[who], right, 2 * node)
+    out[who] = node
+    return out
+
+
 def _dense(x: np.ndarray) -> np.ndarray:
     order = np.argsort(x, kind="stable")
-    ranks = np.empty(len(x), np.int64)
+    ranks = np.empty(len(x), np.int32)
     ranks[order] = np.cumsum(np.concatenate([[0], x[order][1:] != x[order][:-1]]))
     return ranks
 
 
-def previous_factors(classes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window: does an earlier, and does a later place have the same bytes.
+def longest_factors(
+    ranks: dict[int, np.ndarray], data: np.ndarray, starts: np.ndarray, order: np.ndarray, places: np.ndarray, length: int
+) -> np.ndarray:
+    """Longest match, up to ``length`` bytes, of each start with one of a smaller place; ``order`` is the suffix array of the starts.
 
-    Suffix order is class by class and, in a class, by place.  The previous smaller place of a window then is its left
-    neighbour, if that is of its class, and its next smaller one lies in another class, where factors are shorter than L;
-    the mirror image gives later matches.
+    With negated places: with one of a larger place.
     """
-    order = np.lexsort((places, classes))
-    same = np.concatenate([[False], classes[order][1:] == classes[order][:-1]])
-    earlier, later = np.empty(len(order), bool), np.empty(len(order), bool)
-    earlier[order] = same
-    later[order] = np.append(same[1:], False)
-    return earlier, later
+    n = len(order)
+    x = places[order]
+    out = np.zeros(n, np.int64)
+    before = nearest_smaller(x)
+    after = n - 1 - nearest_smaller(x[::-1])[::-1]
+    for near in (before, after):
+        at = np.flatnonzero((near >= 0) & (near < n))
+        one, other = order[at], order[near[at]]
+        out[one] = np.maximum(out[one], common_prefixes(ranks, data, starts[one], starts[other], length))
+    return out
 
 
 _FOUND = "file long, row long, start long, n long"
@@ -196,9 +251,12 @@ def _match(segments: DataFrame, length: int, keep_first: bool) -> DataFrame:
             ))
             rank = np.empty(len(rows), np.int64)
             rank[order] = np.arange(len(rows))
-            classes = suffix_classes(data, base[seg] + inside, length)
-            earlier, later = previous_factors(classes, rank[seg] * (1 << 32) + inside)
-            hit = earlier if keep_first else earlier | later
+            starts, places = base[seg] + inside, rank[seg] * (1 << 32) + inside
+            ranks = prefix_ranks(data, length)
+            order = np.lexsort((places, suffix_classes(ranks, starts, length)))
+            hit = longest_factors(ranks, data, starts, order, places, length) >= length
+            if not keep_first:
+                hit |= longest_factors(ranks, data, starts, order, -places, length) >= length
             hit &= (np.array([r["copies"] for r in rows]) == 1)[seg] | keep_first
             yield _ranges(hit, seg, inside, rows)
 

@@ -118,15 +118,30 @@ def test_repeats_cut_into_pieces(monkeypatch, words):
 def test_previous_factors_brute_force():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 300).astype(np.uint8)
+
+    def match(i, j, length):
+        return next((k for k in range(length) if data[i + k] != data[j + k]), length)
+
     for length in (8, 9, 16, 21, 40):
         starts = np.arange(len(data) - length + 1)
         windows = [data[s:s + length].tobytes() for s in starts]
-        classes = repeats.suffix_classes(data, starts, length)
-        order = {w: k for k, w in enumerate(sorted(set(windows)))}
-        assert [order[w] for w in windows] == classes.tolist()
-        earlier, later = repeats.previous_factors(classes, starts)
-        assert earlier.tolist() == [w in windows[:i] for i, w in enumerate(windows)]
-        assert later.tolist() == [w in windows[i + 1:] for i, w in enumerate(windows)]
+        ranks = repeats.prefix_ranks(data, length)
+        classes = repeats.suffix_classes(ranks, starts, length)
+        by_bytes = {w: k for k, w in enumerate(sorted(set(windows)))}
+        assert [by_bytes[w] for w in windows] == classes.tolist()
+        order = np.lexsort((starts, classes))
+        previous = repeats.longest_factors(ranks, data, starts, order, starts, length)
+        later = repeats.longest_factors(ranks, data, starts, order, -starts, length)
+        assert previous.tolist() == [max([match(i, j, length) for j in range(i)], default=0) for i in starts]
+        assert later.tolist() == [max([match(i, j, length) for j in range(i + 1, len(starts))], default=0) for i in starts]
+
+
+def test_nearest_smaller_brute_force():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 7, 64, 257):
+        for x in (rng.integers(-5, 5, n), rng.permutation(n), np.arange(n), np.arange(n)[::-1], np.zeros(n, np.int64)):
+            want = [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(n)]
+            assert repeats.nearest_smaller(x).tolist() == want
 
 
 # ---------------------------------------------------------------- 3
