@@ -151,12 +151,12 @@ def suffix_classes(ranks: dict[int, np.ndarray], starts: np.ndarray, length: int
 def common_prefixes(ranks: dict[int, np.ndarray], data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """Bytes that the windows at ``a`` and ``b`` have in common from their start, at most ``length``."""
     at = np.zeros(len(a), np.int64)
-    last = len(data) - 1
     # Each size is needed once at most, as twice the largest is above the length.
     for size in sorted(ranks, reverse=True):
         r = ranks[size]
-        same = r[np.minimum(a + at, last)] == r[np.minimum(b + at, last)]
-        at[same & (at + size <= length)] += size
+        same = r.take(a + at, mode="clip") == r.take(b + at, mode="clip")
+        same &= at <= length - size
+        at += same * np.int64(size)
     going = np.flatnonzero(at < length)
     for _ in range(7):
         going = going[data[a[going] + at[going]] == data[b[going] + at[going]]]
