@@ -232,7 +232,9 @@ def subtree_totals(tree: DataFrame, values: Sequence[str]) -> DataFrame:
         again = compressed.join(known.withColumnRenamed("node", "child"), "child").select(
             "node", *[(F.col(f"w{i}") + F.col(f"v{i}")).alias(f"v{i}") for i in numbers]
         )
-        known = known.unionByName(raked).unionByName(materialise(again, "trie-totals"))
+        # Written whole: what is known before a round is what is alive after it, a share that falls from round to round, and
+        # no plan has more than one round in it.
+        known = materialise(known.unionByName(raked).unionByName(again), "trie-totals")
     return known.select("node", *[F.col(f"v{i}").alias(c) for i, c in enumerate(values)])
 
 
@@ -242,7 +244,8 @@ _LEAF = "n = 0 AND parent IS NOT NULL"
 def _round(alive: DataFrame, numbers: range, turn: int) -> DataFrame:
     """What is alive after a rake and a compress.
 
-    A row also names the node that was taken out above it (``gone``), whose total is its own plus ``w``.
+    A row also names the node that was taken out above it (``gone``), whose total is its own plus ``w``.  What several
+    parts of a round read is written, so that no plan holds it, and the joins below it, several times.
     """
     v, e, w = ([f"{c}{i}" for i in numbers] for c in "vew")
     leaf = F.expr(_LEAF)
@@ -250,11 +253,11 @@ def _round(alive: DataFrame, numbers: range, turn: int) -> DataFrame:
         *[F.sum(F.when(leaf, F.col(a) + F.col(b))).alias(f"g{i}") for i, a, b in zip(numbers, v, e)],
         F.count(F.when(~leaf, 1)).alias("left"), F.min(F.when(~leaf, F.col("node"))).alias("only"),
     )
-    inner = alive.where(~leaf).join(sent, "node", "left").select(
+    inner = materialise(alive.where(~leaf).join(sent, "node", "left").select(
         "node", "parent", F.coalesce("left", F.lit(0).cast("long")).alias("n"), "only",
         *[(F.col(a) + F.coalesce(f"g{i}", F.lit(0))).alias(a) for i, a in zip(numbers, v)], *e,
         F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("by")).alias("own"),
-    )
+    ), "trie-inner")
     # A chain's node is taken out if its draw is below that of its parent and of its child, where these are of the chain.
     single = (F.col("n") == 1) & F.col("parent").isNotNull()
     chain = inner.where(single)
@@ -263,7 +266,9 @@ def _round(alive: DataFrame, numbers: range, turn: int) -> DataFrame:
         chain.select(F.col("parent").alias("node"), none.alias("above"), F.col("own").alias("below"))
     ).groupBy("node").agg(F.min("above").alias("above"), F.min("below").alias("below"))
     lowest = [F.col(c).isNull() | (F.col("own") < F.col(c)) for c in ("above", "below")]
-    decided = inner.join(told, "node", "left").withColumn("out", single & lowest[0] & lowest[1])
+    decided = materialise(inner.join(told, "node", "left").select(
+        *[c for c in inner.columns if c != "own"], (single & lowest[0] & lowest[1]).alias("out")
+    ), "trie-decided")
     gone = decided.where("out").select(
         F.col("only").alias("node"), F.col("node").alias("gone"), F.col("parent").alias("up"),
         *[F.col(a).alias(f"out_{a}") for a in [*v, *e]],
