@@ -39,6 +39,13 @@ def located(docs: DataFrame, purpose: str) -> DataFrame:
     return stored.select("*", F.xxhash64("_metadata.file_path").alias("_llm_file"), F.col("_metadata.row_index").alias("_llm_row"))
 
 
+def at_places(rows: DataFrame, found: DataFrame, kept: list[str], column: str) -> DataFrame:
+    """Columns ``kept`` of ``rows`` (as ``located``) with ``column``: the last column of ``found`` (file, row, value)."""
+    f, r, s = (fresh(rows, x) for x in ("_f", "_r", "_s"))
+    joined = rows.join(found.toDF(f, r, s), (F.col("_llm_file") == F.col(f)) & (F.col("_llm_row") == F.col(r)))
+    return joined.select(*[F.col(f"`{c}`") for c in kept], F.col(s).alias(column))
+
+
 def _is_table(docs: DataFrame) -> bool:
     """Whether ``docs`` is nothing but columns of one folder or file of Parquet, each row once."""
     try:

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import words_of
+from assaylake.llm.common import at_places, located, words_of
 from assaylake.session import materialise
 
 BLOCK = 128
@@ -139,16 +139,18 @@ def copies(docs: DataFrame, seed: int = 0, column: str = "copies", carry: list[s
     ``size`` is the number of words, 0 for a null or blank text; such documents weigh nothing and are taken the whole
     part of their source's ratio.  A null source is a source of its own, the last.  Repeated rows are rounded each.  A
     source without words has target 0.  An empty table gives no rows.  Draws depend on seed and row, so a rerun over the
-    same files agrees.  With ``carry`` only those columns of ``docs`` are kept.  If ``docs`` has a column of the name
-    ``column``, give another.
+    same files agrees.  With ``carry`` only those columns of ``docs`` are kept; without it the rows' places are written and
+    joined with ``docs`` in the end, so that texts move once and no copy of them stays on disk.  If ``docs`` has a column
+    of the name ``column``, give another.
     """
     if column.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has a column {column}; name another")
-    kept = docs.columns if carry is None else carry
+    rows = located(docs, "mix-input") if carry is None else docs
+    kept = ["_llm_file", "_llm_row"] if carry is None else carry
     # Draws hang on doc_id, so they are the same however the files are split; rows without one, or with one that other
     # rows have too, go by row number.
     number = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
-    sized = docs.select(
+    sized = rows.select(
         F.struct(*kept).alias("doc"), F.col("source").alias("from"), F.size(words_of(F.col("text"))).cast("long").alias("words"),
         F.coalesce(F.col("doc_id").cast("string"), number).alias("key"), F.monotonically_increasing_id().alias("at"),
     )
@@ -191,9 +193,10 @@ def copies(docs: DataFrame, seed: int = 0, column: str = "copies", carry: list[s
     for part in decided[1:]:
         last = last.unionByName(part)
     chosen = last.select(F.col("at").alias("chosen"), "taken")
-    return planned.join(chosen, F.col("at") == F.col("chosen"), "left").select(
+    found = planned.join(chosen, F.col("at") == F.col("chosen"), "left").select(
         "doc.*", F.struct(
             F.col("words").alias("size"), "source_size", "target",
             (F.col("whole") + F.coalesce("taken", F.lit(0))).alias("copies"),
         ).alias(column),
     )
+    return at_places(rows, found, docs.columns, column) if carry is None else found

@@ -27,6 +27,8 @@ from assaylake.llm.wordcache import UnitCache
 MARK = "▁"
 #: Texts of about so many characters are encoded together.
 CHARACTERS_AT_ONCE = 1 << 20
+#: Units that a worker keeps with their ids.
+CACHE = 700_000
 _NOTHING = (0, "", np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), "")
 
 
@@ -172,7 +174,7 @@ class Model:
 class Encoder:
     """Ids, spans and decoded text of whole texts."""
 
-    def __init__(self, model_path: str, cache: int = 700_000) -> None:
+    def __init__(self, model_path: str, cache: int = CACHE) -> None:
         import sentencepiece
 
         with open(model_path, "rb") as file:
@@ -281,9 +283,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(model_path: str) -> Encoder:
+def encoder(model_path: str, cache: int = CACHE) -> Encoder:
     """One per Python worker, which outlives a task."""
-    return Encoder(model_path)
+    return Encoder(model_path, cache)
 
 
 #: Columns that ``encode`` can add.
@@ -294,7 +296,7 @@ OUTPUTS = {
 
 
 def encode(docs: DataFrame, model_path: str, outputs: Sequence[str] = ("ids", "starts", "ends"),
-           carry: list[str] | None = None, column: str = "pieces") -> DataFrame:
+           carry: list[str] | None = None, column: str = "pieces", cache: int = CACHE) -> DataFrame:
     """``docs`` (``text``) with a struct ``column`` of ``outputs``.
 
     ``ids`` are those of the sentencepiece library without begin and end; ``starts`` and ``ends`` the bytes of the text's
@@ -303,6 +305,7 @@ def encode(docs: DataFrame, model_path: str, outputs: Sequence[str] = ("ids", "s
     and ends as little-endian 64-bit integers.  A null text counts as empty: no ids, empty arrays, empty decoded text.
     Rows are independent, so order, repeats and other columns do not matter; if ``docs`` has a column of the name
     ``column``, give another.  With ``carry`` only those columns are returned.  No rows are moved.
+    A Python worker keeps up to ``cache`` units of texts with their ids, also after the last task; the result is the same.
     """
     if column.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has a column {column}; name another")
@@ -316,7 +319,7 @@ def encode(docs: DataFrame, model_path: str, outputs: Sequence[str] = ("ids", "s
     arrow = pa.struct([(n, _ARROW[OUTPUTS[n]]) for n in names])
 
     def run(batches):
-        own = encoder(model_path)
+        own = encoder(model_path, cache)
         for b in batches:
             found = []
             for n, digits, ids, first, end, decoded in own.encode_all(b.column(len(fields)).to_pylist()):

@@ -43,7 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each row's text, with digests of ids, spans and decoded text."""
     outputs = ("n_tokens", "ids", "ids_sha256", "decoded_sha256", "spans_crc32")
-    found = pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), outputs, carry=["doc_id", "source"])
+    # Workers outlive the stage, so a smaller cache leaves memory to the stages of the next run.
+    found = pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), outputs, carry=["doc_id", "source"], cache=250_000)
     return found.select("doc_id", "source", "pieces.*")
 
 

@@ -25,6 +25,26 @@ def written(monkeypatch):
     return frames
 
 
+def test_texts_are_not_kept_on_disk(stored, written):
+    """Before, all texts were written once more, to stay there, by the rules and by the mix."""
+    assert quality.judge(stored).count() == mixing.copies(stored, column="mixed").count() == stored.count()
+    purposes = [purpose for purpose, _ in written]
+    assert "quality" in purposes and "mix-sizes" in purposes
+
+    def leaves(kind, name=""):
+        if isinstance(kind, T.StructType):
+            return {x for f in kind.fields for x in leaves(f.dataType, f.name)}
+        return {name}
+
+    assert all("text" not in leaves(frame.schema) for _, frame in written)
+    carried = quality.judge(stored, carry=["doc_id"]).select("doc_id", "quality.*")
+    assert sorted(map(str, carried.collect())) == sorted(map(str, quality.judge(stored).select("doc_id", "quality.*").collect()))
+    carried = mixing.copies(stored, column="mixed", carry=["doc_id"]).select("doc_id", "mixed.*")
+    assert sorted(map(str, carried.collect())) == sorted(
+        map(str, mixing.copies(stored, column="mixed").select("doc_id", "mixed.*").collect())
+    )
+
+
 def test_plans_of_rounds_stay_small(spark, written):
     """Before, a round held its joins six times, and the way back a union of all rounds."""
     n = 40
