@@ -1,18 +1,19 @@
 """Exact set-similarity join on word shingles, with set-relation skipping.
 
-Texts with the same set are one node.  Nodes whose set is highly similar to a leader's are compared with it once and form a
-ball.  From then on the ball stands for its members in two ways:
+Texts with the same set are one node.  Nodes whose set is similar to a leader's, up to twice the distance that links, are
+compared with it once and form a ball.  From then on the ball stands for its members in two ways:
 
 * Index lists (token -> sets that have it in their prefix) hold a ball once, whatever its size, with bounds over its
   members: sizes, and how much of a set follows the token.  Lists are ordered by size and cut into blocks; pairs of
   blocks, and then of entries, whose bounds rule out the threshold by size or position are skipped.
 * Answers: two balls are compared through their leaders.  Jaccard distance is a metric, so the leaders' distance and the
-  members' distances to them bound every distance between members, also of one ball.  Members at one distance from their
-  leader are a class; where the bounds settle two classes, links are counted as the size of the class, and only members
-  that the bounds leave open are compared themselves.
+  members' distances to them bound every distance between members, also of one ball.  Members at about one distance from
+  their leader are dealt into blocks of bounded size; where the bounds settle two blocks, links are counted as the size of
+  the block.  Blocks that the bounds leave open meet in a task, which compares all their members at once and gives the
+  number of links of each and a forest of links that ties together what is linked.
 
-Copies are one node, so no step lists pairs of them.  Pairs of near copies are listed only where the bounds leave them
-open; that is up to the product of two classes.  A prefix is what is left of a set after the number of tokens
+Copies are one node, so no step lists pairs of them, nor pairs of members: a member is sent along once for each block
+that its own is compared with.  A prefix is what is left of a set after the number of tokens
 that a linked set must share, in the order rare tokens first; which tokens are common is a hint from local counts and
 changes no result.
 """
@@ -51,6 +52,9 @@ PREFIX_BYTES = 1 << 22
 PAIRS_AT_ONCE = 100_000
 #: Entries of a block of an index list.
 BLOCK = 64
+#: Members of a block of a ball, about; and tokens that two such blocks are multiplied over at once.
+MEMBERS = 128
+TOKENS_AT_ONCE = 4096
 #: Up to so many wanted rows, their 64-bit hashes (16 MB) go to all tasks and keep other texts from moving.
 FILTER_ROWS = 1_000_000
 
@@ -66,6 +70,16 @@ class Rule:
         """Tokens of a set of n of which a linked set has at least one."""
         return n - -(-self.percent * n // 100) + 1 if n else 0
 
+    @property
+    def slack(self) -> float:
+        """The largest distance of linked sets."""
+        return 1 - self.percent / 100
+
+    @property
+    def wide(self) -> float:
+        """The largest distance of a ball's members from its leader."""
+        return max(self.slack, min(2 * self.slack, 0.5))
+
 
 def _minima(tokens: np.ndarray) -> list[int]:
     """Per band a hash of the two smallest of the tokens' hashes under two functions."""
@@ -205,12 +219,7 @@ def _prefixes(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
 def _compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """``pairs`` (a, b: nodes) with shared, na, nb: sizes of the common part and of both sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    places = materialise(wanted.join(nodes, "node").select("node", "file", "row"), "wanted")
-    texts = docs.select(F.col("_llm_file").alias("file"), F.col("_llm_row").alias("row"), "text")
-    if places.count() <= FILTER_ROWS:
-        short = places.select(F.xxhash64("file", "row").alias("short")).distinct()
-        texts = texts.join(F.broadcast(short), F.xxhash64("file", "row") == F.col("short"), "left_semi")
-    texts = materialise(texts.join(places, ["file", "row"]).select("node", "text"), "wanted-texts")
+    texts = _texts(wanted.join(nodes, "node").select("node", "file", "row"), docs)
     joined = (
         pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
@@ -235,6 +244,16 @@ def _compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
     return materialise(joined.mapInArrow(run, "a long, b long, shared long, na long, nb long"), "compared")
 
 
+def _texts(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """Node and text of ``places`` (node, file, row), written."""
+    places = materialise(places, "wanted")
+    texts = docs.select(F.col("_llm_file").alias("file"), F.col("_llm_row").alias("row"), "text")
+    if places.count() <= FILTER_ROWS:
+        short = places.select(F.xxhash64("file", "row").alias("short")).distinct()
+        texts = texts.join(F.broadcast(short), F.xxhash64("file", "row") == F.col("short"), "left_semi")
+    return materialise(texts.join(places, ["file", "row"]).select("node", "text"), "wanted-texts")
+
+
 def _linked(rule: Rule):
     return F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * rule.percent
 
@@ -413,24 +432,25 @@ def groups(docs: DataFrame, rule: Rule = Rule(), carry: list[str] | None = None,
     )
     n_nodes = nodes.count()
 
-    # Balls: in each band the smallest node leads; a node joins the first leader that it links with.
+    # Balls: in each band the smallest node leads; a node joins the first leader that is near enough.
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     leaders = banded.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
     led = materialise(
         banded.join(leaders, ["band", "key"]).where("leader <> node")
         .select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "led",
     )
-    compared = _compare(led, nodes, rows, rule).where(_linked(rule)).withColumn("d", _distance())
-    balls = compared.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("a", "d")).alias("first")).select(
-        "node", F.col("first.a").alias("ball"), F.col("first.d").alias("d")
-    )
+    compared = _compare(led, nodes, rows, rule).select("a", "b", _distance().alias("d"), _linked(rule).alias("to_leader"))
+    balls = compared.where(F.col("to_leader") | (F.col("d") <= rule.wide)).groupBy(F.col("b").alias("node")).agg(
+        F.min(F.struct("a", "d", "to_leader")).alias("first")
+    ).select("node", F.col("first.a").alias("ball"), "first.d", "first.to_leader")
     # Everybody else, leaders included, is in the ball of its own number.
     members = materialise(
         nodes.select("node", "n", "file", "row").join(balls, "node", "left").select(
-            "node", "n", "file", "row", F.coalesce("ball", "node").alias("ball"), F.coalesce("d", F.lit(0.0)).alias("d")
+            "node", "n", "file", "row", F.coalesce("ball", "node").alias("ball"), F.coalesce("d", F.lit(0.0)).alias("d"),
+            F.coalesce("to_leader", F.lit(True)).alias("to_leader"),
         ), "members",
     )
-    sure = materialise(compared.select("a", "b"), "ball-links")
+    sure = materialise(compared.where("to_leader").select("a", "b"), "ball-links")
 
     common = _common(described, n_nodes)
     prefixes = _prefixes(rows, rule, common).join(members.select("file", "row", "ball", "n"), ["file", "row"])
@@ -442,8 +462,7 @@ def groups(docs: DataFrame, rule: Rule = Rule(), carry: list[str] | None = None,
     bounded = answers.withColumn("d", _distance()).join(
         radius.select(F.col("ball").alias("a"), F.col("r").alias("ra")), "a"
     ).join(radius.select(F.col("ball").alias("b"), F.col("r").alias("rb")), "b")
-    slack = 1 - rule.percent / 100
-    near = bounded.where(_linked(rule) | (F.col("d") <= slack + EPS + F.col("ra") + F.col("rb")))
+    near = bounded.where(_linked(rule) | (F.col("d") <= rule.slack + EPS + F.col("ra") + F.col("rb")))
     # A ball of several members is also near itself.
     itself = members.groupBy(F.col("ball").alias("a")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(
         "a", F.col("a").alias("b"), F.lit(0.0).alias("d"), F.lit(True).alias("linked")
@@ -451,52 +470,142 @@ def groups(docs: DataFrame, rule: Rule = Rule(), carry: list[str] | None = None,
     near = materialise(near.select("a", "b", "d", _linked(rule).alias("linked")).unionByName(itself), "near-balls")
     sure = sure.unionByName(answers.where(_linked(rule)).select("a", "b"))
 
-    open_, degree = _settled(near, members, slack)
-    side = lambda x: members.select(
-        F.col("ball").alias(x), F.col("d").alias(f"d{x}"), F.col("node").alias(f"n{x}"), F.col("n").alias(f"s{x}")
-    )
-    pairs = (
-        open_.join(side("a"), ["a", "da"]).join(side("b"), ["b", "db"])
-        .where((F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * rule.percent)
-               & ((F.col("a") != F.col("b")) | (F.col("da") != F.col("db")) | (F.col("na") < F.col("nb"))))
-        .select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    )
-    alone = nodes.select(F.col("node").alias("ball"), "n", "parities", F.lit(0.0).alias("r"))
-    pairs = materialise(_plausible(pairs, alone, rule), "member-pairs")
-    if not pairs.isEmpty():
-        more = _compare(pairs, nodes, rows, rule).where(_linked(rule)).select("a", "b")
-        sure = sure.unionByName(more)
-        degree = degree.unionByName(more.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("links")))
+    blocked = materialise(_blocked(members, rule), "blocked")
+    open_, degree = _settled(near, blocked, rule)
+    if not open_.isEmpty():
+        more = _compare_blocks(open_, blocked, rows, rule)
+        sure = sure.unionByName(more.where("a IS NOT NULL").select("a", "b"))
+        degree = degree.unionByName(more.where("node IS NOT NULL").select("node", "links"))
     degree = degree.groupBy("node").agg(F.sum("links").alias("links"))
     return _result(rows, light, nodes, components(materialise(sure.distinct(), "links")), degree, kept_columns, column)
 
 
-def _settled(near: DataFrame, members: DataFrame, slack: float) -> tuple[DataFrame, DataFrame]:
+def _blocked(members: DataFrame, rule: Rule) -> DataFrame:
+    """``members`` with the block of their ball that they are in: a ring (-1: the leader alone) and a part of it."""
+    ring = F.when(F.col("d") == 0, -1).otherwise(F.floor(F.col("d") / max(rule.slack / 2, EPS)).cast("int"))
+    ringed = members.select("node", "file", "row", "ball", "d", "to_leader", ring.alias("ring"))
+    parts = ringed.groupBy("ball", "ring").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(MEMBERS))).cast("int").alias("parts"))
+    return ringed.join(parts, ["ball", "ring"]).select(
+        "node", "file", "row", "ball", "d", "to_leader",
+        F.struct("ring", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")).alias("block"),
+    )
+
+
+def _settled(near: DataFrame, members: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """What the bounds say of ``near`` (balls a, b, distance d of their leaders, linked).
 
-    A class holds the members of a ball at one distance from the leader, 0 being the leader alone.  Gives the pairs of
-    classes (a, da, b, db) left open, those of one ball in one order, and (node, links) of the settled ones.
+    Gives the pairs of blocks (a, block_a, b, block_b) left open, those of one ball in one order, and (node, links) of the
+    settled ones.
     """
-    classes = members.groupBy("ball", "d").agg(F.count(F.lit(1)).alias("m"))
-    side = lambda x: classes.select(F.col("ball").alias(x), F.col("d").alias(f"d{x}"), F.col("m").alias(f"m{x}"))
+    blocks = members.groupBy("ball", "block").agg(
+        F.count(F.lit(1)).alias("m"), F.min("d").alias("least"), F.max("d").alias("most")
+    )
+    side = lambda x: blocks.select(F.col("ball").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("block", "m", "least", "most")])
     same = F.col("a") == F.col("b")
-    # One ball: both orders fall together.  The leaders' own pair, and members with their leader, have been compared.
-    known = F.when(same, (F.col("da") == 0) | (F.col("db") == 0)).otherwise((F.col("da") == 0) & (F.col("db") == 0))
-    reach = F.col("da") + F.col("db")
-    state = F.when(known, F.when(F.col("linked"), 1).otherwise(-1)).when(F.col("d") + reach <= slack - EPS, 1).when(
-        F.col("d") - reach > slack + EPS, -1).otherwise(0)
+    own = same & (F.col("block_a") == F.col("block_b"))
+    leads = [F.col(f"block_{x}.ring") == -1 for x in "ab"]
+    # The leaders' own pair has been compared, and so have members with their leader, whose links are added below.
+    known = F.when(same, leads[0] | leads[1]).otherwise(leads[0] & leads[1])
+    reach = F.col("most_a") + F.col("most_b")
+    apart = F.greatest(
+        F.col("d") - reach, F.col("least_a") - F.col("d") - F.col("most_b"), F.col("least_b") - F.col("d") - F.col("most_a")
+    )
+    state = F.when(known, F.when(~same & F.col("linked"), 1).otherwise(-1)).when(
+        F.col("d") + reach <= rule.slack - EPS, 1).when(apart > rule.slack + EPS, -1).otherwise(0)
     both = materialise(
-        near.join(side("a"), "a").join(side("b"), "b").where(~same | (F.col("da") <= F.col("db")))
-        .withColumn("state", state).where("state >= 0"), "classes",
+        near.join(side("a"), "a").join(side("b"), "b")
+        .where((~same | (F.col("block_a") <= F.col("block_b"))) & ~(own & (F.col("m_a") == 1)))
+        .withColumn("state", state).where("state >= 0"), "blocks",
     )
-    open_ = both.where("state = 0").select("a", "da", "b", "db")
+    open_ = both.where("state = 0").select("a", "block_a", "b", "block_b")
     linked = both.where("state = 1")
-    # A member is no link of its own class; a class with itself is seen from one side only.
-    own = same & (F.col("da") == F.col("db"))
-    gains = linked.select(F.col("a").alias("ball"), F.col("da").alias("d"), (F.col("mb") - own.cast("long")).alias("links")).unionByName(
-        linked.where(~own).select(F.col("b").alias("ball"), F.col("db").alias("d"), F.col("ma").alias("links"))
-    ).groupBy("ball", "d").agg(F.sum("links").alias("links"))
-    return open_, members.select("node", "ball", "d").join(gains, ["ball", "d"]).select("node", "links")
+    # A member is no link of its own block; a block with itself is seen from one side only.
+    gains = linked.select(
+        F.col("a").alias("ball"), F.col("block_a").alias("block"), (F.col("m_b") - own.cast("long")).alias("links")
+    ).unionByName(
+        linked.where(~own).select(F.col("b").alias("ball"), F.col("block_b").alias("block"), F.col("m_a").alias("links"))
+    ).groupBy("ball", "block").agg(F.sum("links").alias("links"))
+    degree = members.join(gains, ["ball", "block"]).select("node", "links")
+    # A leader that is in another ball meets its members there.
+    led = members.where("d > 0 AND to_leader").join(members.where("d = 0").select("ball"), "ball", "left_semi")
+    one = F.lit(1).cast("long")
+    return open_, degree.unionByName(led.select("node", one.alias("links"))).unionByName(
+        led.groupBy(F.col("ball").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+    )
+
+
+def _links(xs: list[np.ndarray], ys: list[np.ndarray], rule: Rule) -> np.ndarray:
+    """Whether each of the sets ``xs`` links with each of ``ys``."""
+    sizes = [np.array([len(s) for s in z], np.int64) for z in (xs, ys)]
+    tokens = [np.concatenate(z) for z in (xs, ys)]
+    owners = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    common = np.intersect1d(*tokens)
+    shared = np.zeros((len(xs), len(ys)), np.int64)
+    for at in range(0, len(common), TOKENS_AT_ONCE):
+        part = common[at:at + TOKENS_AT_ONCE]
+        held = []
+        for token, owner, n in zip(tokens, owners, sizes):
+            place = np.minimum(np.searchsorted(part, token), len(part) - 1)
+            has = part[place] == token
+            held.append(np.zeros((len(n), len(part)), np.float32))
+            held[-1][owner[has], place[has]] = 1
+        shared += (held[0] @ held[1].T).astype(np.int64)
+    return shared * 100 >= (sizes[0][:, None] + sizes[1][None, :] - shared) * rule.percent
+
+
+def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Of ``pairs`` of numbers those that tie together what was apart before them."""
+    top: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while top.setdefault(i, i) != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    out = []
+    for a, b in pairs.tolist():
+        x, y = find(a), find(b)
+        if x != y:
+            top[x] = y
+            out.append((a, b))
+    return out
+
+
+def _compare_blocks(open_: DataFrame, members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """For pairs of blocks: rows (a, b) of links that connect all that is linked, and rows (node, links) of counts."""
+    pairs = materialise(open_.withColumn("pair", F.monotonically_increasing_id()), "block-pairs")
+    end = lambda x, side: F.struct(F.lit(side).alias("side"), F.col(x).alias("ball"), F.col(f"block_{x}").alias("block"))
+    own = (F.col("a") == F.col("b")) & (F.col("block_a") == F.col("block_b"))
+    ends = pairs.select("pair", F.explode(
+        F.when(own, F.array(end("a", 0))).otherwise(F.array(end("a", 0), end("b", 1)))
+    ).alias("end")).select("pair", "end.*")
+    sent = ends.join(members.select("node", "file", "row", "ball", "block"), ["ball", "block"])
+    texts = _texts(sent.select("node", "file", "row").distinct(), docs)
+
+    def run(t: pa.Table) -> pa.Table:
+        side, node = (t.column(c).to_numpy() for c in ("side", "node"))
+        found = sets(t.column("text").to_pylist(), rule.words)
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = not len(y)
+        y = x if alone else y
+        links = _links([found[i] for i in x], [found[i] for i in y], rule)
+        if alone:
+            np.fill_diagonal(links, False)
+        counts = [(node[x], links.sum(axis=1)), *([] if alone else [(node[y], links.sum(axis=0))])]
+        i, j = np.nonzero(np.triu(links) if alone else links)
+        tied = np.array(_forest(np.stack([node[x][i], node[y][j]], axis=1)), np.int64).reshape(-1, 2)
+        counted = np.concatenate([np.stack(c, axis=1) for c in counts])
+        counted = counted[counted[:, 1] > 0]
+        first, last = pa.nulls(len(tied), pa.int64()), pa.nulls(len(counted), pa.int64())
+        return pa.table([
+            pa.concat_arrays([pa.array(tied[:, 0].copy()), last]), pa.concat_arrays([pa.array(tied[:, 1].copy()), last]),
+            pa.concat_arrays([first, pa.array(counted[:, 0].copy())]), pa.concat_arrays([first, pa.array(counted[:, 1].copy())]),
+        ], names=["a", "b", "node", "links"])
+
+    met = sent.select("pair", "side", "node").join(texts, "node").groupBy("pair").applyInArrow(
+        run, "a long, b long, node long, links long"
+    )
+    return materialise(met, "block-links")
 
 
 def _result(rows, light, nodes, joined, degree, kept_columns, column) -> DataFrame:

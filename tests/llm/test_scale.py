@@ -25,6 +25,42 @@ def written(monkeypatch):
     return frames
 
 
+def shingles(text, k):
+    w = tuple(text.encode().lower().split())
+    return frozenset(w[i:i + k] for i in range(len(w) - k + 1))
+
+
+@pytest.mark.parametrize("k,percent,members", [(4, 85, 16), (5, 80, 7), (4, 85, 500), (1, 100, 128)])
+def test_a_group_of_near_copies_makes_no_rows_for_its_pairs(spark, words, written, monkeypatch, k, percent, members):
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
+    rng, base, n = random.Random(k), words(5, 150, 3000).split(), 150
+    texts = []
+    for _ in range(n):
+        text = list(base)
+        for _ in range(rng.randint(1, 5)):
+            text[rng.randrange(len(text))] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(text))
+    rows = [*enumerate(texts), *((500 + i, words(900 + i, 80, 3000)) for i in range(30)), (600, texts[3]), (None, texts[4])]
+    found = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), jaccard.Rule(k, percent)).collect()
+    sets = [shingles(t, k) for t in texts]
+    linked = [(i, j) for i in range(n) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    assert percent == 100 or 0 < len(linked) < n * (n - 1) / 3
+    links, label = Counter(x for pair in linked for x in pair), list(range(n))
+    for i, j in linked:
+        a, b = sorted((label[i], label[j]))
+        label = [a if x == b else x for x in label]
+    got = {r.doc_id: r.near for r in found}
+    assert len(found) == len(rows)
+    assert [(got[i].component_id, got[i].links) for i in range(n)] == [(label[i], links[i]) for i in range(n)]
+    assert (got[600].component_id, got[None].links) == (label[3], links[4])
+    # Balls, not members, are paired; members are sent once for each block that theirs meets.
+    counts = {purpose: frame.count() for purpose, frame in written if purpose in ("open-pairs", "block-pairs", "block-links")}
+    if percent < 100:
+        assert counts["open-pairs"] < 2 * n
+        if members == 500:
+            assert counts["block-links"] < 10 * n
+
+
 def test_texts_are_not_kept_on_disk(stored, written):
     """Before, all texts were written once more, to stay there, by the rules and by the mix."""
     assert quality.judge(stored).count() == mixing.copies(stored, column="mixed").count() == stored.count()
