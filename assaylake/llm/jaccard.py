@@ -53,7 +53,7 @@ PAIRS_AT_ONCE = 100_000
 #: Entries of a block of an index list.
 BLOCK = 64
 #: Members of a block of a ball, about; and tokens that two such blocks are multiplied over at once.
-MEMBERS = 128
+MEMBERS = 256
 TOKENS_AT_ONCE = 4096
 #: Up to so many wanted rows, their 64-bit hashes (16 MB) go to all tasks and keep other texts from moving.
 FILTER_ROWS = 1_000_000
@@ -432,7 +432,7 @@ def groups(docs: DataFrame, rule: Rule = Rule(), carry: list[str] | None = None,
     )
     n_nodes = nodes.count()
 
-    # Balls: in each band the smallest node leads; a node joins the first leader that is near enough.
+    # Balls: in each band the smallest node leads; of the leaders near enough, a node joins the one near to most.
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     leaders = banded.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
     led = materialise(
@@ -440,8 +440,10 @@ def groups(docs: DataFrame, rule: Rule = Rule(), carry: list[str] | None = None,
         .select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "led",
     )
     compared = _compare(led, nodes, rows, rule).select("a", "b", _distance().alias("d"), _linked(rule).alias("to_leader"))
-    balls = compared.where(F.col("to_leader") | (F.col("d") <= rule.wide)).groupBy(F.col("b").alias("node")).agg(
-        F.min(F.struct("a", "d", "to_leader")).alias("first")
+    around = compared.where(F.col("to_leader") | (F.col("d") <= rule.wide))
+    wanted = around.groupBy("a").agg((-F.count(F.lit(1))).alias("fewest"))
+    balls = around.join(wanted, "a").groupBy(F.col("b").alias("node")).agg(
+        F.min(F.struct("fewest", "a", "d", "to_leader")).alias("first")
     ).select("node", F.col("first.a").alias("ball"), "first.d", "first.to_leader")
     # Everybody else, leaders included, is in the ball of its own number.
     members = materialise(
@@ -481,9 +483,13 @@ def groups(docs: DataFrame, rule: Rule = Rule(), carry: list[str] | None = None,
 
 
 def _blocked(members: DataFrame, rule: Rule) -> DataFrame:
-    """``members`` with the block of their ball that they are in: a ring (-1: the leader alone) and a part of it."""
-    ring = F.when(F.col("d") == 0, -1).otherwise(F.floor(F.col("d") / max(rule.slack / 2, EPS)).cast("int"))
-    ringed = members.select("node", "file", "row", "ball", "d", "to_leader", ring.alias("ring"))
+    """``members`` with the block of their ball that they are in: a ring (-1: the leader alone) and a part of it.
+
+    A ball of up to ``MEMBERS`` has one ring.
+    """
+    large = members.groupBy("ball").agg((F.count(F.lit(1)) > MEMBERS).alias("large"))
+    ring = F.when(F.col("d") == 0, -1).when(F.col("large"), F.floor(F.col("d") / max(rule.slack / 2, EPS)).cast("int")).otherwise(0)
+    ringed = members.join(large, "ball").select("node", "file", "row", "ball", "d", "to_leader", ring.alias("ring"))
     parts = ringed.groupBy("ball", "ring").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(MEMBERS))).cast("int").alias("parts"))
     return ringed.join(parts, ["ball", "ring"]).select(
         "node", "file", "row", "ball", "d", "to_leader",
