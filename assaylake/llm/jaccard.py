@@ -9,11 +9,11 @@ compared with it once and form a ball.  From then on the ball stands for its mem
 * Answers: two balls are compared through their leaders.  Jaccard distance is a metric, so the leaders' distance and the
   members' distances to them bound every distance between members, also of one ball.  Members at about one distance from
   their leader are dealt into blocks of bounded size; where the bounds settle two blocks, links are counted as the size of
-  the block.  Blocks that the bounds leave open meet in a task, which compares all their members at once and gives the
-  number of links of each and a forest of links that ties together what is linked.
+  the block.  Blocks that the bounds leave open are dealt into packs; two packs meet in a task, which compares the members
+  of their open blocks and gives the number of links of each and a forest of links that ties together what is linked.
 
-Copies are one node, so no step lists pairs of them, nor pairs of members: a member is sent along once for each block
-that its own is compared with.  A prefix is what is left of a set after the number of tokens
+Copies are one node, so no step lists pairs of them, nor pairs of members: a member is sent along once for each pack
+that its own is compared with, and packs of a group of m hold about 16 * sqrt(m) members.  A prefix is what is left of a set after the number of tokens
 that a linked set must share, in the order rare tokens first; which tokens are common is a hint from local counts and
 changes no result.
 """
@@ -52,8 +52,11 @@ PREFIX_BYTES = 1 << 22
 PAIRS_AT_ONCE = 100_000
 #: Entries of a block of an index list.
 BLOCK = 64
-#: Members of a block of a ball, about; and tokens that two such blocks are multiplied over at once.
+#: Least members of a block or a pack, about; most shingles of one of several; members on a side compared at once, and tokens that
+#: these are multiplied over at once.
 MEMBERS = 256
+SHINGLES = 1 << 20
+TILE = 256
 TOKENS_AT_ONCE = 4096
 #: Up to so many wanted rows, their 64-bit hashes (16 MB) go to all tasks and keep other texts from moving.
 FILTER_ROWS = 1_000_000
@@ -482,6 +485,15 @@ def groups(docs: DataFrame, rule: Rule = Rule(), carry: list[str] | None = None,
     return _result(rows, light, nodes, components(materialise(sure.distinct(), "links")), degree, kept_columns, column)
 
 
+def _dealt(m, n):
+    """Into how many parts ``m`` members of ``n`` shingles are dealt.
+
+    Parts grow with the root of m, so comparing all of them sends m ** 1.5 rows, until parts would exceed ``SHINGLES``.
+    """
+    size = F.greatest(F.lit(float(MEMBERS)), F.sqrt(m * MEMBERS))
+    return F.greatest(F.ceil(m / size), F.ceil(n / F.lit(float(SHINGLES)))).cast("int")
+
+
 def _blocked(members: DataFrame, rule: Rule) -> DataFrame:
     """``members`` with the block of their ball that they are in: a ring (-1: the leader alone) and a part of it.
 
@@ -489,10 +501,10 @@ def _blocked(members: DataFrame, rule: Rule) -> DataFrame:
     """
     large = members.groupBy("ball").agg((F.count(F.lit(1)) > MEMBERS).alias("large"))
     ring = F.when(F.col("d") == 0, -1).when(F.col("large"), F.floor(F.col("d") / max(rule.slack / 2, EPS)).cast("int")).otherwise(0)
-    ringed = members.join(large, "ball").select("node", "file", "row", "ball", "d", "to_leader", ring.alias("ring"))
-    parts = ringed.groupBy("ball", "ring").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(MEMBERS))).cast("int").alias("parts"))
+    ringed = members.join(large, "ball").select("node", "n", "file", "row", "ball", "d", "to_leader", ring.alias("ring"))
+    parts = ringed.groupBy("ball", "ring").agg(_dealt(F.count(F.lit(1)), F.sum("n")).alias("parts"))
     return ringed.join(parts, ["ball", "ring"]).select(
-        "node", "file", "row", "ball", "d", "to_leader",
+        "node", "n", "file", "row", "ball", "d", "to_leader",
         F.struct("ring", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")).alias("block"),
     )
 
@@ -559,56 +571,108 @@ def _links(xs: list[np.ndarray], ys: list[np.ndarray], rule: Rule) -> np.ndarray
     return shared * 100 >= (sizes[0][:, None] + sizes[1][None, :] - shared) * rule.percent
 
 
-def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Of ``pairs`` of numbers those that tie together what was apart before them."""
-    top: dict[int, int] = {}
-
-    def find(i: int) -> int:
-        while top.setdefault(i, i) != i:
-            top[i] = i = top[top[i]]
-        return i
-
-    out = []
-    for a, b in pairs.tolist():
-        x, y = find(a), find(b)
-        if x != y:
-            top[x] = y
-            out.append((a, b))
-    return out
+def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """New labels of what the links (i, j) tie together, and of these links those that tied what was apart before them."""
+    tied = []
+    while True:
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return label, tied
+        # Each label moves below one smaller label, so no two links tie the same.
+        high, first = np.unique(np.maximum(label[i], label[j]), return_index=True)
+        tied.append(np.stack([i[first], j[first]], axis=1))
+        top = np.arange(len(label))
+        top[high] = np.minimum(label[i], label[j])[first]
+        while not np.array_equal(top, top[top]):
+            top = top[top]
+        label = top[label]
+
+
+def _meetings(open_: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the pairs of blocks meet: blocks (id, ball, block) and ``open_`` as (meeting, x, y: ids).
+
+    Balls tied by open pairs are a family, whose blocks are dealt into packs; pairs of blocks of the same two packs are one
+    meeting, so a block is sent to a meeting for each pack of its family at most.  Balls whose hub (of those left open with
+    a ball the one with most such balls) is the same share a pack, unless they are too many for one.
+    """
+    around = open_.select("a", "b").unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(
+        open_.select(F.explode(F.array("a", "b")).alias("a")).select("a", F.col("a").alias("b"))
+    ).distinct()
+    degree = around.groupBy(F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    hubs = around.join(degree, "b").groupBy(F.col("a").alias("ball")).agg(
+        F.max(F.struct("k", (-F.col("b")).alias("least"))).alias("most")
+    ).select("ball", (-F.col("most.least")).alias("hub"))
+    ends = F.array(*[F.struct(F.col(x).alias("ball"), F.col(f"block_{x}").alias("block")) for x in "ab"])
+    blocks = open_.select(F.explode(ends).alias("end")).select("end.*").distinct()
+    sizes = members.groupBy("ball", "block").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    families = components(open_.select("a", "b").where("a <> b")).toDF("ball", "family")
+    blocks = materialise(
+        blocks.join(sizes, ["ball", "block"]).join(hubs, "ball").join(families, "ball", "left")
+        .withColumn("family", F.coalesce("family", "ball")), "open-blocks",
+    )
+    packs = blocks.groupBy("family").agg(F.sum("m").alias("all"), _dealt(F.sum("m"), F.sum("n")).alias("packs"))
+    about = blocks.groupBy("family", "hub").agg(F.sum("m").alias("near")).join(packs, "family")
+    small = F.col("near") * F.col("packs") * 2 <= F.col("all")
+    dealt = F.when(small, F.xxhash64("hub")).otherwise(F.xxhash64("ball", "block"))
+    # Packs and meetings are hashes: were two equal, both would meet in one task, each with its own pairs.
+    pack = F.xxhash64("family", F.pmod(dealt, F.col("packs")))
+    blocks = materialise(
+        blocks.join(about, ["family", "hub"]).select(F.monotonically_increasing_id().alias("id"), "ball", "block", pack.alias("pack")), "packs"
+    )
+    side = lambda x, i: blocks.select(F.col("ball").alias(x), F.col("block").alias(f"block_{x}"), F.col("id").alias(i), F.col("pack").alias(f"pack_{x}"))
+    meeting = F.xxhash64(F.least("pack_a", "pack_b"), F.greatest("pack_a", "pack_b")).alias("meeting")
+    return blocks, open_.join(side("a", "x"), ["a", "block_a"]).join(side("b", "y"), ["b", "block_b"]).select(meeting, "x", "y")
 
 
 def _compare_blocks(open_: DataFrame, members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """For pairs of blocks: rows (a, b) of links that connect all that is linked, and rows (node, links) of counts."""
-    pairs = materialise(open_.withColumn("pair", F.monotonically_increasing_id()), "block-pairs")
-    end = lambda x, side: F.struct(F.lit(side).alias("side"), F.col(x).alias("ball"), F.col(f"block_{x}").alias("block"))
-    own = (F.col("a") == F.col("b")) & (F.col("block_a") == F.col("block_b"))
-    ends = pairs.select("pair", F.explode(
-        F.when(own, F.array(end("a", 0))).otherwise(F.array(end("a", 0), end("b", 1)))
-    ).alias("end")).select("pair", "end.*")
-    sent = ends.join(members.select("node", "file", "row", "ball", "block"), ["ball", "block"])
+    blocks, pairs = _meetings(open_, members)
+    pairs = materialise(pairs, "block-pairs")
+    # However many pairs a block has in a meeting, its members are sent there once.
+    there = pairs.select("meeting", F.explode(F.array("x", "y")).alias("id")).distinct().join(blocks, "id")
+    sent = materialise(
+        there.join(members.select("node", "file", "row", "ball", "block"), ["ball", "block"])
+        .select("meeting", "id", "node", "file", "row"), "block-members",
+    )
     texts = _texts(sent.select("node", "file", "row").distinct(), docs)
 
-    def run(t: pa.Table) -> pa.Table:
-        side, node = (t.column(c).to_numpy() for c in ("side", "node"))
-        found = sets(t.column("text").to_pylist(), rule.words)
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = not len(y)
-        y = x if alone else y
-        links = _links([found[i] for i in x], [found[i] for i in y], rule)
-        if alone:
-            np.fill_diagonal(links, False)
-        counts = [(node[x], links.sum(axis=1)), *([] if alone else [(node[y], links.sum(axis=0))])]
-        i, j = np.nonzero(np.triu(links) if alone else links)
-        tied = np.array(_forest(np.stack([node[x][i], node[y][j]], axis=1)), np.int64).reshape(-1, 2)
-        counted = np.concatenate([np.stack(c, axis=1) for c in counts])
-        counted = counted[counted[:, 1] > 0]
-        first, last = pa.nulls(len(tied), pa.int64()), pa.nulls(len(counted), pa.int64())
+    def run(met: pa.Table, pairs: pa.Table) -> pa.Table:
+        met = met.sort_by("id").combine_chunks()
+        node = met.column("node").to_numpy()
+        found = []
+        for chunk in met.column("text").chunks:
+            for lo, hi in _parts(chunk):
+                found += sets(chunk.slice(lo, hi - lo).to_pylist(), rule.words)
+        ids, block = np.unique(met.column("id").to_numpy(), return_inverse=True)
+        x, y = (np.searchsorted(ids, pairs.column(c).to_numpy()) for c in "xy")
+        wanted = np.zeros((len(ids), len(ids)), bool)
+        wanted[x, y] = wanted[y, x] = True
+        label, count, tied = np.arange(len(node)), np.zeros(len(node), np.int64), [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(node), TILE):
+            for to in range(at, len(node), TILE):
+                here, other = slice(at, at + TILE), slice(to, to + TILE)
+                both = wanted[block[here, None], block[None, other]]
+                if at == to:
+                    both = np.triu(both, 1)
+                if not both.any():
+                    continue
+                rows, columns = np.flatnonzero(both.any(axis=1)), np.flatnonzero(both.any(axis=0))
+                links = _links([found[at + i] for i in rows], [found[to + j] for j in columns], rule) & both[np.ix_(rows, columns)]
+                count[at + rows] += links.sum(axis=1)
+                count[to + columns] += links.sum(axis=0)
+                i, j = np.nonzero(links)
+                label, new = _forest(label, at + rows[i], to + columns[j])
+                tied += new
+        ties = np.concatenate(tied)
+        linked = np.flatnonzero(count)
+        first, last = pa.nulls(len(ties), pa.int64()), pa.nulls(len(linked), pa.int64())
         return pa.table([
-            pa.concat_arrays([pa.array(tied[:, 0].copy()), last]), pa.concat_arrays([pa.array(tied[:, 1].copy()), last]),
-            pa.concat_arrays([first, pa.array(counted[:, 0].copy())]), pa.concat_arrays([first, pa.array(counted[:, 1].copy())]),
+            pa.concat_arrays([pa.array(node[ties[:, 0]]), last]), pa.concat_arrays([pa.array(node[ties[:, 1]]), last]),
+            pa.concat_arrays([first, pa.array(node[linked])]), pa.concat_arrays([first, pa.array(count[linked])]),
         ], names=["a", "b", "node", "links"])
 
-    met = sent.select("pair", "side", "node").join(texts, "node").groupBy("pair").applyInArrow(
+    met = sent.select("meeting", "id", "node").join(texts, "node").groupBy("meeting").cogroup(pairs.groupBy("meeting")).applyInArrow(
         run, "a long, b long, node long, links long"
     )
     return materialise(met, "block-links")

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -61,6 +62,51 @@ def test_a_group_of_near_copies_makes_no_rows_for_its_pairs(spark, words, writte
             assert counts["block-links"] < 10 * n
 
 
+def test_members_of_many_open_balls_are_sent_once_to_a_meeting(spark, words, written):
+    rng, base, n_balls = random.Random(3), words(8, 60, 3000).split(), 40
+    texts = []
+    for _ in range(3 * n_balls):
+        text = list(base)
+        for _ in range(rng.randint(0, 2)):
+            text[rng.randrange(60)] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "_llm_file long, _llm_row long, text string")
+    members = spark.createDataFrame(
+        [(i, 57, 0, i, i // 3, (0, 0)) for i in range(len(texts))],
+        "node long, n long, file long, row long, ball long, block struct<ring: int, part: int>",
+    )
+    # Some pairs are settled, and so not to be counted.
+    pairs = [(a, b) for b in range(n_balls) for a in range(b + 1) if (a + b) % 5 and (a != b or a % 2)]
+    open_ = spark.createDataFrame(
+        [(a, (0, 0), b, (0, 0)) for a, b in pairs],
+        "a long, block_a struct<ring: int, part: int>, b long, block_b struct<ring: int, part: int>",
+    )
+    rows = jaccard._compare_blocks(open_, members, docs, jaccard.Rule(4, 85)).collect()
+    sets, asked = [shingles(t, 4) for t in texts], {*pairs, *((b, a) for a, b in pairs)}
+    linked = [
+        (i, j) for i, x in enumerate(sets) for j, y in enumerate(sets)
+        if i != j and (i // 3, j // 3) in asked and 100 * len(x & y) >= 85 * len(x | y)
+    ]
+    counts = Counter()
+    for r in rows:
+        counts.update({r.node: r.links} if r.node is not None else {})
+    assert counts == Counter(i for i, _ in linked) and 0 < len(linked) < len(texts) ** 2 / 2
+    assert {(r.a, r.b) for r in rows if r.a is not None} <= set(linked)
+    # Rows for each pair of blocks would be 6 times as many as pairs.
+    assert dict(written)["block-members"].count() == len(texts) < len(pairs)
+
+
+def test_forests_tie_what_links_tie():
+    rng = random.Random(1)
+    label, tied, n = np.arange(60), [], 60
+    pairs = [(i, j) for i in range(n) for j in range(i) if i % 4 == j % 4 and rng.random() < 0.5]
+    for at in range(0, len(pairs), 50):
+        label, new = jaccard._forest(label, *np.array(pairs[at:at + 50]).T)
+        tied += [tuple(x) for part in new for x in part.tolist()]
+    assert label.tolist() == [i % 4 for i in range(n)]
+    assert len(tied) == n - 4 and set(tied) <= set(pairs)
+
+
 def test_texts_are_not_kept_on_disk(stored, written):
     """Before, all texts were written once more, to stay there, by the rules and by the mix."""
     assert quality.judge(stored).count() == mixing.copies(stored, column="mixed").count() == stored.count()
