@@ -262,10 +262,12 @@ def op10_set_relation_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("op2_suffix_repeats")
 def op2_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    found = repeats.remove(table(spark, folder, "documents"), length=400, carry=["doc_id"])
+    # Passages of over 50 words may be under 400 bytes; they are counted in a column of their own.
+    found = repeats.remove(table(spark, folder, "documents"), length=400, carry=["doc_id"], passage=51)
     return found.select(
         "doc_id", "repeats.n_bytes", "repeats.n_removed", F.size("repeats.spans").cast("long").alias("n_spans"),
         F.sha2("repeats.kept", 256).alias("kept_sha256"), (F.col("repeats.n_removed") > 0).alias("repeated"),
+        F.col("repeats.n_shared").alias("n_shared_words"),
     )
 
 

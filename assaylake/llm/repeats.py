@@ -28,19 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.llm.anchors import FILTER_ROWS, MOST_SEGMENTS, ranges, smallest, wanted, whole_anchors
 from assaylake.llm.common import fresh, located
+from assaylake.llm.passages import shared_words
 from assaylake.llm.shingles import _constants, _powers, mix
 from assaylake.session import materialise
 
 #: Window starts handled at once.
 PIECE = 1 << 19
-#: Bytes of segments whose suffix order is built at once.
-CHUNK = 1 << 20
-MOST_SEGMENTS = 4_000
-#: Up to so many wanted rows, their 64-bit hashes (16 MB) go to all tasks and keep other texts from moving.
-FILTER_ROWS = 1_000_000
 _U = np.uint64
-_PLACE = 21
 
 
 def offsets_of(length: int) -> int:
@@ -64,16 +60,9 @@ def runs_of(data: bytes, length: int) -> list[tuple[np.ndarray, np.ndarray, np.n
         np.cumsum(letters[raw] * up[:len(raw)], out=sums[1:])
         n = len(raw) - k + 1
         hashes = mix((sums[k:] - sums[:-k]) * down[:n])
-        # Smallest hash in each window of w places, the leftmost of equal ones: block-wise minima from both sides.
-        packed = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, np.uint64)
-        packed[:n] = (hashes >> _U(_PLACE) << _U(_PLACE)) | np.arange(n, dtype=np.uint64)
-        blocks = packed.reshape(-1, w)
-        right = np.minimum.accumulate(blocks, axis=1).ravel()
-        left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        starts = len(raw) - length + 1
-        place = (np.minimum(left[:starts], right[w - 1:w - 1 + starts]) & _U((1 << _PLACE) - 1)).astype(np.int64)
+        place = smallest(hashes, w)
         first = np.flatnonzero(np.diff(place, prepend=-1))
-        count = np.diff(first, append=starts)
+        count = np.diff(first, append=len(place))
         out.append((first + at, count, place[first] + at, hashes[place[first]]))
     return out
 
@@ -200,19 +189,21 @@ def _dense(x: np.ndarray) -> np.ndarray:
 
 
 def longest_factors(
-    ranks: dict[int, np.ndarray], data: np.ndarray, starts: np.ndarray, order: np.ndarray, places: np.ndarray, length: int
+    ranks: dict[int, np.ndarray], data: np.ndarray, starts: np.ndarray, order: np.ndarray, places: np.ndarray, length: int,
+    asked: np.ndarray | None = None,
 ) -> np.ndarray:
     """Longest match, up to ``length`` bytes, of each start with one of a smaller place; ``order`` is the suffix array of the starts.
 
-    With negated places: with one of a larger place.
+    With negated places: with one of a larger place.  Starts that are not ``asked`` for get 0; others may match them.
     """
     n = len(order)
     x = places[order]
     out = np.zeros(n, np.int64)
     before = nearest_smaller(x)
     after = n - 1 - nearest_smaller(x[::-1])[::-1]
+    open_ones = np.ones(n, bool) if asked is None else asked[order]
     for near in (before, after):
-        at = np.flatnonzero((near >= 0) & (near < n))
+        at = np.flatnonzero((near >= 0) & (near < n) & open_ones)
         one, other = order[at], order[near[at]]
         out[one] = np.maximum(out[one], common_prefixes(ranks, data, starts[one], starts[other], length))
     return out
@@ -224,21 +215,8 @@ _FOUND = "file long, row long, start long, n long"
 def _match(segments: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """Ranges of repeated windows of different segments with one anchor (anchor, copies, bytes, and where the first is)."""
 
-    def groups(batches):
-        """Rows of whole anchors, about CHUNK bytes together; rows come sorted by anchor."""
-        held, size = [], 0
-        for b in batches:
-            for r in b.to_pylist():
-                if size >= CHUNK and r["anchor"] != held[-1]["anchor"]:
-                    yield held
-                    held, size = [], 0
-                held.append(r)
-                size += len(r["bytes"])
-        if held:
-            yield held
-
     def run(batches):
-        for rows in groups(batches):
+        for rows in whole_anchors(batches):
             n = np.array([r["n"] for r in rows], np.int64)
             sizes = n + length - 1
             base = np.cumsum(sizes) - sizes
@@ -254,25 +232,21 @@ def _match(segments: DataFrame, length: int, keep_first: bool) -> DataFrame:
             starts, places = base[seg] + inside, rank[seg] * (1 << 32) + inside
             ranks = prefix_ranks(data, length)
             order = np.lexsort((places, suffix_classes(ranks, starts, length)))
-            hit = longest_factors(ranks, data, starts, order, places, length) >= length
+            # Windows of copied runs are found already, where all copies go.
+            asked = (np.array([r["copies"] for r in rows]) == 1)[seg] | keep_first
+            hit = longest_factors(ranks, data, starts, order, places, length, asked) >= length
             if not keep_first:
-                hit |= longest_factors(ranks, data, starts, order, -places, length) >= length
-            hit &= (np.array([r["copies"] for r in rows]) == 1)[seg] | keep_first
+                hit |= longest_factors(ranks, data, starts, order, -places, length, asked & ~hit) >= length
             yield _ranges(hit, seg, inside, rows)
 
     return segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _FOUND)
 
 
 def _ranges(hit, seg, inside, rows) -> pa.RecordBatch:
-    at = np.flatnonzero(hit)
-    new = np.ones(len(at), bool)
-    new[1:] = (np.diff(at) != 1) | (seg[at][1:] != seg[at][:-1])
-    first = np.flatnonzero(new)
-    owner = seg[at[first]]
+    owner, off, n = ranges(hit, seg, inside)
     take = lambda k: np.array([r[k] for r in rows], np.int64)[owner]
     return pa.RecordBatch.from_arrays([
-        pa.array(take("file")), pa.array(take("row")), pa.array(take("start") + inside[at[first]]),
-        pa.array(np.diff(first, append=len(at)).astype(np.int64)),
+        pa.array(take("file")), pa.array(take("row")), pa.array(take("start") + off), pa.array(n),
     ], names=["file", "row", "start", "n"])
 
 
@@ -304,14 +278,6 @@ def _count_windows(segments: DataFrame, length: int, keep_first: bool) -> DataFr
     return joined.where(hit).select("file", "row", "start", F.lit(1).cast("long").alias("n"))
 
 
-def _wanted(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``docs`` without most rows that ``places`` (file, row) does not have, where a short list of them can tell."""
-    if places.count() > FILTER_ROWS:
-        return docs
-    short = places.select(F.xxhash64("file", "row").alias("short")).distinct()
-    return docs.join(F.broadcast(short), F.xxhash64("_llm_file", "_llm_row") == F.col("short"), "left_semi")
-
-
 def repeated_windows(docs: DataFrame, length: int, keep_first: bool = False, most: int = MOST_SEGMENTS) -> DataFrame:
     """Ranges of starts (file, row, start, n) of windows that are repeated; with ``keep_first`` all but the first of each."""
     runs = materialise(_runs(docs, length), "repeat-runs")
@@ -331,12 +297,16 @@ def repeated_windows(docs: DataFrame, length: int, keep_first: bool = False, mos
             | (F.col("first.start") != F.col("start"))
         )
     whole = copied.select("file", "row", "start", "n")
-    mixed = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    mixed = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("copies").alias("fewest")).where("m > 1")
+    if not keep_first:
+        # All windows of copied runs are found already.
+        mixed = mixed.where("fewest = 1")
+    mixed = mixed.select("anchor", "m")
     open_ones = materialise(
         segments.join(mixed, "anchor").select("anchor", "m", "copies", "n", "first.id", "first.file", "first.row", "first.start"),
         "repeat-open",
     )
-    texts = _wanted(docs, open_ones.select("file", "row").distinct()).select(
+    texts = wanted(docs, open_ones.select("file", "row").distinct()).select(
         F.col("_llm_file").alias("file"), F.col("_llm_row").alias("row"), F.col("text").cast("binary").alias("data")
     )
     cut = materialise(open_ones.join(texts, ["file", "row"]).select(
@@ -351,7 +321,7 @@ def repeated_windows(docs: DataFrame, length: int, keep_first: bool = False, mos
 
 
 def remove(docs: DataFrame, length: int = 400, keep_first: bool = False, carry: list[str] | None = None,
-           column: str = "repeats", most: int = MOST_SEGMENTS) -> DataFrame:
+           column: str = "repeats", most: int = MOST_SEGMENTS, passage: int | None = None) -> DataFrame:
     """``docs`` (``doc_id``, ``text``) with a struct ``column``: n_bytes, n_removed, spans (start, end) and kept (binary).
 
     A byte goes if it lies in a run of ``length`` bytes that also starts anywhere else, in the same text or another; with
@@ -359,27 +329,36 @@ def remove(docs: DataFrame, length: int = 400, keep_first: bool = False, carry:
     not cross texts.  Texts are judged as UTF-8 bytes, so what is kept may split a character.  A null text counts as empty;
     texts under ``length`` bytes keep everything.  Spans are the maximal runs of removed bytes.  Repeated rows are copies
     of each other.  Other columns are not read; ``docs`` may not have one called ``column``.
+
+    With ``passage`` the struct ends with n_shared: how many words lie in a run of that many words which another row holds
+    too, whatever white space lies between them.  That removes nothing, as such a run may be under ``length`` bytes.
     """
     if column.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has a column {column}; name another")
     kept_columns = docs.columns if carry is None else carry
     rows = located(docs, "repeat-input")
     found = repeated_windows(rows, length, keep_first, most)
-    f, r, s, own = (fresh(rows, x) for x in ("_f", "_r", "_s", "_data"))
-    per_text = materialise(found.groupBy("file", "row").agg(
+    f, r, s, p, own = (fresh(rows, x) for x in ("_f", "_r", "_s", "_p", "_data"))
+    no_spans = F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)")
+    per_text = found.groupBy("file", "row").agg(
         F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + length - 1).alias("end")))).alias(s)
-    ), "repeat-texts")
+    )
+    if passage is not None:
+        per_text = per_text.join(shared_words(rows, passage, most), ["file", "row"], "full").select(
+            "file", "row", F.coalesce(s, no_spans).alias(s), F.coalesce("n_shared", F.lit(0).cast("long")).alias(p)
+        )
+    per_text = materialise(per_text, "repeat-texts")
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     flat = rows.select(*kept_columns, data.alias(own), "_llm_file", "_llm_row")
     # Overlapping ranges become spans; what lies between spans stays.
-    merged = F.aggregate(s, F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)"), lambda acc, x: F.when(
+    merged = F.aggregate(s, no_spans, lambda acc, x: F.when(
         (F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]),
         F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(
             F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")
         ))),
     ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))))
-    keys = per_text.toDF(f, r, s)
-    hit = _wanted(flat, per_text.select("file", "row")).join(
+    keys = per_text.withColumnsRenamed({"file": f, "row": r})
+    hit = wanted(flat, per_text.select("file", "row")).join(
         keys, (F.col("_llm_file") == F.col(f)) & (F.col("_llm_row") == F.col(r))
     ).withColumn(s, merged)
     between = F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: F.substring(
@@ -390,16 +369,17 @@ def remove(docs: DataFrame, length: int = 400, keep_first: bool = False, carry:
     ))
     joined = F.aggregate(between, F.lit(b""), lambda acc, x: F.concat(acc, x))
     removed = F.aggregate(F.transform(s, lambda x: x["end"] - x["start"]), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = lambda n, spans, kept: F.struct(
-        F.octet_length(own).cast("long").alias("n_bytes"), n.alias("n_removed"), spans.alias("spans"), kept.alias("kept")
+    out = lambda n, spans, kept, shared: F.struct(
+        F.octet_length(own).cast("long").alias("n_bytes"), n.alias("n_removed"), spans.alias("spans"), kept.alias("kept"),
+        *([] if passage is None else [shared.alias("n_shared")]),
     ).alias(column)
-    changed = hit.select(*kept_columns, out(removed, F.col(s), joined))
+    changed = hit.select(*kept_columns, out(removed, F.col(s), joined, F.col(p)))
     short = per_text.select(F.col("file").alias(f), F.col("row").alias(r))
     same = flat.join(short, (F.col("_llm_file") == F.col(f)) & (F.col("_llm_row") == F.col(r)), "left_anti")
     if per_text.count() <= FILTER_ROWS:
         short = per_text.select(F.struct("file", "row").alias(f))
         same = flat.join(F.broadcast(short), F.struct(F.col("_llm_file").alias("file"), F.col("_llm_row").alias("row")) == F.col(f), "left_anti")
     untouched = same.select(*kept_columns, out(
-        F.lit(0).cast("long"), F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)"), F.col(own)
+        F.lit(0).cast("long"), no_spans, F.col(own), F.lit(0).cast("long")
     ))
     return changed.unionByName(untouched)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaylake.llm import dedup, jaccard, langid, mixing, pieces, quality, repeats, sharding, tokenfile, urlfilter
+from assaylake.llm import dedup, jaccard, langid, mixing, passages, pieces, quality, queries, repeats, sharding, tokenfile, urlfilter
 from assaylake.llm.queries import URL_RULES, tokenizer_path
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -98,6 +98,58 @@ def test_repeats_brute_force(spark, words, keep_first, most):
         assert got["n_removed"] == got["n_bytes"] - len(got["kept"]) == sum(s["end"] - s["start"] for s in got["spans"])
 
 
+def shared_brute(texts, words):
+    """Per text the number of its words in windows that another text has."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = {}
+    for i, w in enumerate(split):
+        for k in range(len(w) - words + 1):
+            seen.setdefault(tuple(w[k:k + words]), set()).add(i)
+    out = []
+    for w in split:
+        inside = set()
+        for k in range(len(w) - words + 1):
+            if len(seen[tuple(w[k:k + words])]) > 1:
+                inside.update(range(k, k + words))
+        out.append(len(inside))
+    return out
+
+
+@pytest.mark.parametrize("most, size", [(4_000, 51), (1, 9)])
+def test_shared_words_brute_force(spark, words, monkeypatch, most, size):
+    if most == 1:
+        monkeypatch.setattr(passages, "PIECE", 300)
+    rng = random.Random(size)
+    shared = [words(100 + k, 2 * size, 500).split() for k in range(4)]
+    texts = []
+    for i in range(40):
+        parts = [words(1000 + i, rng.randint(0, 60), 400)]
+        for s in rng.sample(shared, rng.randint(0, 3)):
+            # Other white space and other ends; some parts are too short by a word.
+            at = rng.randint(0, size)
+            parts += [rng.choice([" ", "\n", "\t  "]).join(s[at:at + size + rng.randint(-1, 9)]), words(2000 + i, rng.randint(0, 3))]
+        texts.append(" ".join(parts))
+    own = words(9, size, 500)
+    texts += [None, "", " \n", f"{own} x {own} y", "the " * 200, "the " * (size - 1), texts[3], texts[5] + "é", "the " * 90, "ä " + texts[7]]
+    docs = spark.createDataFrame([(i % 45, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("at", F.monotonically_increasing_id())
+    found = repeats.remove(docs.coalesce(1), 400, most=most, passage=size)
+    got = {r["at"]: r["repeats"] for r in rows_of(found)}
+    assert len(got) == len(texts)
+    assert [got[k]["n_shared"] for k in sorted(got)] == shared_brute(texts, size)
+    plain = {r["at"]: r["repeats"] for r in rows_of(repeats.remove(docs.coalesce(1), 400))}
+    assert all(plain[k][c] == got[k][c] for k in plain for c in ("n_bytes", "n_removed", "spans", "kept"))
+
+
+def test_passages_under_400_bytes_are_counted(spark, words, tmp_path):
+    passage = words(3, 55, 300)
+    assert len(passage.encode()) < 400
+    texts = [words(4, 90) + " " + passage, passage.replace(" ", "\n") + " " + words(5, 90), words(6, 90), None]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in queries.QUERIES["op2_suffix_repeats"](spark, str(tmp_path)).collect()}
+    assert [found[i]["n_removed"] for i in range(4)] == [0] * 4
+    assert [found[i]["n_shared_words"] for i in range(4)] == [55, 55, 0, 0]
+
+
 def test_repeats_awkward(stored, empty):
     found = rows_of(repeats.remove(stored, 400))
     assert len(found) == 13
