@@ -50,12 +50,14 @@ def test_queries_do_not_filter_by_what_they_evaluate(parts, name):
 
 
 def test_codes_are_those_of_the_checks(parts):
-    """Without a list of constraints there is no verdict."""
+    """A list that is too long to be written out included; without a list of constraints there is no verdict."""
     odd = (("a", "sulfur", None, 10.0, "mg/kg", True, False), ("b", "t95", None, 350.0, "K", True, False),
-           ("c", "octane", 1.0, None, "x", False, False), ("d", "density", 820.0, 840.0, "kg/m3", False, True))
+           ("c", "octane", 1.0, None, "x", False, False), ("d", "density", 820.0, 840.0, "kg/m3", False, True),
+           ("e", "cetane_number", 51.0, None, "cetane_number", False, True))
     rows = bl.evaluate(bl.candidate_grid(part_scenarios(parts).withColumn("constraints", limits_literal(odd))))
     told = F.concat("issues", F.filter(F.transform("checks", lambda c: c["reason_code"]), lambda r: r != "OK"))
     wrong, n, checks = rows.agg(F.count_if(~told.eqNullSafe(F.col("codes"))), F.count("*"), F.max(F.size("checks"))).first()
     assert (wrong, n, checks) == (0, 39 * 84, len(odd) + 4)
+    assert len(odd) > bl.WRITTEN_OUT
     none = bl.evaluate(bl.candidate_grid(part_scenarios(parts).withColumn("constraints", F.when(F.col("scenario_id") < 0, limits_literal()))))
     assert none.filter("codes IS NOT NULL OR feasible").count() == 0
